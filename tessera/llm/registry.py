@@ -1,6 +1,17 @@
 """Queries of the llm operators and their DuckDB twins."""
 
-from tessera.llm import simhash
+from tessera.llm import decontaminate, langid, mixing, neighbours, pii, sharding, simhash, token_counts, warc
 
-QUERIES = {"op1_simhash": simhash.op1_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_neighbours": neighbours.op3_neighbours,
+    "op4_pii": pii.op4_pii,
+    "op6_warc": warc.op6_warc,
+    "op7_language_id": langid.op7_language_id,
+    "op8_shards": sharding.op8_shards,
+    "op9_token_counts": token_counts.op9_token_counts,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
+}
+
+ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle()}
