@@ -1,12 +1,13 @@
 """Queries of the llm operators and their DuckDB twins."""
 
-from tessera.llm import decontaminate, langid, mixing, neighbours, pii, sharding, simhash, token_counts, warc
+from tessera.llm import decontaminate, katz, langid, mixing, neighbours, pii, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
     "op3_neighbours": neighbours.op3_neighbours,
     "op4_pii": pii.op4_pii,
+    "op5_katz": katz.op5_katz,
     "op6_warc": warc.op6_warc,
     "op7_language_id": langid.op7_language_id,
     "op8_shards": sharding.op8_shards,
