@@ -289,24 +289,73 @@ def near_duplicates(docs: DataFrame, size: int = 4, max_distance: int = 4, disti
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate components of all documents, by 4-word shingles at 4 bits."""
-    found = near_duplicates(common.documents(spark, sf_dir))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` (doc_id, component_id, text) with the distinct hashes of each text's shingles in place of the text."""
 
-
-def one_of_each(docs: DataFrame, size: int = 5, max_distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; all columns stay.
-
-    Shingles of ``size`` words count once per document here. Rows that share a doc_id are one document: the first by
-    their text stays. Rows without a doc_id can't be told apart and stay.
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part, sets = b.slice(i, 256), []
+                for text in part.column(2).to_pylist():
+                    w = common.words(text)
+                    sets.append(np.unique(xxh64.slices(*_cuts(w, size), SEED)).view(np.int64) if w else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "component_id", "h"])
+
+    return docs.mapInArrow(run, "doc_id long, component_id long, h array<long>")
+
+
+def _similarity(a: str, b: str):
+    """Jaccard similarity of two sets; that of two empty ones is 1."""
+    both, all_ = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    return F.when(all_ == 0, 1.0).otherwise(both / (all_ - both))
+
+
+def _copies(docs: DataFrame, where: str, size: int, similarity: float, max_distance: int) -> DataFrame:
+    """(doc_id) of rows that copy another row nearly: within a component the smallest id leads, what is similar to it
+    goes, and among the rest the smallest leads next, until none is left."""
+    near = common.written(near_duplicates(docs, 1, max_distance, distinct=True), f"{where}/near")
+    shared = near.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = near.join(shared, "component_id").select(F.col("doc_id").alias("_id"), "component_id")
+    left = docs.join(members, F.col("doc_id") == F.col("_id")).select("doc_id", "component_id", "text")
+    left = common.written(shingle_sets(left, size), f"{where}/sets")
+    gone, i = [left.select("doc_id").limit(0)], 0
+    while not left.isEmpty():
+        lead = common.written(left.groupBy("component_id").agg(F.min("doc_id").alias("leader"), F.min_by("h", "doc_id").alias("g")), f"{where}/lead{i}")
+        judged = left.join(lead, "component_id").filter(F.col("doc_id") != F.col("leader")).select("doc_id", "component_id", "h", (_similarity("h", "g") >= similarity).alias("same"))
+        judged = common.written(judged, f"{where}/judged{i}")
+        gone.append(judged.filter("same").select("doc_id"))
+        left, i = judged.filter("not same").drop("same"), i + 1
+    out = gone[0]
+    for g in gone[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_distance: int = 6) -> DataFrame:
+    """One row of ``docs`` per group of copies and near copies, that of the smallest doc_id; all columns stay.
+
+    Fingerprints here are of distinct words, which one edit changes less than shingles; texts within ``max_distance``
+    bits are then compared by their sets of ``size``-word shingles, and go at the Jaccard similarity ``similarity``.
+
+    Rows that share a doc_id are one document: the first by their text stays. Rows without a doc_id can't be told apart
+    and stay. Null and empty texts are copies of each other.
     """
     spark = docs.sparkSession
     where = common.shared_dir(spark)
-    found = common.written(near_duplicates(docs, size, max_distance, distinct=True), f"{where}/near")
-    kept = found.filter("doc_id = component_id").groupBy("doc_id").count()
-    once, often = kept.filter("count = 1").select("doc_id"), kept.filter("count > 1").select("doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = common.written(docs.select("doc_id", F.sha1(text.cast("binary")).alias("key")), f"{where}/keys")
+    often = keyed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     w = Window.partitionBy("doc_id").orderBy("text")
-    repeated = docs.join(often, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
-    parts = [docs.join(once, "doc_id", "left_semi"), repeated, docs.filter("doc_id is null")]
-    return parts[0].select(docs.columns).unionByName(parts[1].select(docs.columns)).unionByName(parts[2])
+    first = docs.join(often, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").select(docs.columns)
+    named = docs.filter("doc_id is not null").join(often, "doc_id", "left_anti").select(docs.columns).unionByName(first)
+    # exact copies go first, so that the rest works on distinct texts
+    least = common.written(keyed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), f"{where}/distinct")
+    distinct = named.join(least, "doc_id", "left_semi").select(docs.columns)
+    gone = common.written(_copies(distinct.select("doc_id", text.alias("text")), where, size, similarity, max_distance), f"{where}/gone")
+    return distinct.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, by 4-word shingles at 4 bits."""
+    found = near_duplicates(common.documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -97,6 +97,22 @@ def test_near_duplicates_nulls_ties_and_extra_columns(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "A b c d e f"), (8, ""), (11, "quite other words stand here now"), (None, "a b c d e f")], key=str)
 
 
+def test_one_of_each_takes_near_copies_and_leaves_others(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 7)))
+    base = [[word() for _ in range(300)] for _ in range(12)]
+    rows, i = [], 0
+    for w in base:
+        for edits in (0, 0, 1, 3, 150):
+            v = list(w)
+            for k in r.sample(range(300), edits):
+                v[k] = word()
+            rows.append((i, " ".join(v)))
+            i += 1
+    kept = sorted(x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted([5 * k for k in range(12)] + [5 * k + 4 for k in range(12)])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
