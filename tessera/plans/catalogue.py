@@ -1,4 +1,6 @@
 """All queries of the engine by name, with their DuckDB twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import corpus_plans
+
+QUERIES: dict = dict(corpus_plans.QUERIES)
+ORACLES: dict = dict(corpus_plans.ORACLES)
