@@ -1,6 +1,6 @@
 """All queries of the engine by name, with their DuckDB twins."""
 
-from tessera.plans import corpus_plans
+from tessera.plans import call_plans, corpus_plans
 
-QUERIES: dict = dict(corpus_plans.QUERIES)
-ORACLES: dict = dict(corpus_plans.ORACLES)
+QUERIES: dict = corpus_plans.QUERIES | call_plans.QUERIES
+ORACLES: dict = corpus_plans.ORACLES | call_plans.ORACLES
