@@ -122,9 +122,9 @@ def missing_required(spark, d):
     return used.join(declared, ["event_id", "tool"]).select("event_id", F.explode(F.array_except("required", F.map_keys("arguments"))).alias("key"))
 
 
-@query(f"{E} SELECT event_id, tool, 'log a thing' AS description FROM e WHERE NOT off AND NOT nolist")
+@query(f"{E} SELECT event_id, tool, 'log a thing' AS description FROM e WHERE NOT off")
 def schema_lookup(spark, d):
-    c = calls(spark, d).filter("not off_topic and event_id % 9 <> 0").withColumn("t", K.items(F.try_parse_json("tools")))
+    c = calls(spark, d).filter("not off_topic").withColumn("t", K.items(F.try_parse_json("tools")))
     first = c.select("event_id", F.get(parsed("gold"), F.lit(0))["name"].alias("tool"))
     declared = c.select("event_id", F.explode("t").alias("t")).select("event_id", K.field(F.col("t"), "name").alias("tool"), K.field(F.col("t"), "description").alias("description"))
     return first.join(declared, ["event_id", "tool"])

@@ -1,6 +1,6 @@
 """All queries of the engine by name, with their DuckDB twins."""
 
-from tessera.plans import call_plans, corpus_plans
+from tessera.plans import call_plans, corpus_plans, other_plans
 
-QUERIES: dict = corpus_plans.QUERIES | call_plans.QUERIES
-ORACLES: dict = corpus_plans.ORACLES | call_plans.ORACLES
+QUERIES: dict = corpus_plans.QUERIES | call_plans.QUERIES | other_plans.QUERIES
+ORACLES: dict = corpus_plans.ORACLES | call_plans.ORACLES | other_plans.ORACLES

@@ -146,9 +146,9 @@ def pack_segments(spark, d):
     return g.withColumn("padding", F.lit(S) - F.col("tokens"))
 
 
-@query(f"{SPANS} SELECT row_id, sum(hi - lo - 1)::BIGINT AS mask1, sum(greatest(hi - lo - 2, 0))::BIGINT AS mask2 FROM spans WHERE row_id < 40 GROUP BY row_id")
+@query(f"{SPANS} SELECT row_id, sum(hi - lo - 1)::BIGINT AS mask1, sum(greatest(hi - lo - 2, 0))::BIGINT AS mask2 FROM spans GROUP BY row_id")
 def loss_mask_counts(spark, d):
-    pos = _spans(spark, d).filter("row_id < 40").select("row_id", "seg", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("pos"))
+    pos = _spans(spark, d).select("row_id", "seg", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("pos"))
     return P.loss_mask(pos).groupBy("row_id").agg(F.count_if("mask1").alias("mask1"), F.count_if("mask2").alias("mask2"))
 
 
@@ -183,10 +183,11 @@ def dilated_taps(spark, d):
     return table(spark, d, "events").select("event_id", F.round(P.taps("value", [0.5, 0.25, 0.125], 3, ["event_type"], "event_id"), 6).alias("tapped"))
 
 
-@query(f"{SPANS}, p AS (SELECT row_id, seg, unnest(range(lo, hi)) AS pos FROM spans WHERE row_id < 6 AND lo < 96) SELECT row_id, pos AS query, (pos - min(pos) OVER (PARTITION BY row_id, seg) + 1)::BIGINT AS n_keys FROM p WHERE pos < 96")
+@query(f"{SPANS.replace(str(S), '32')}, p AS (SELECT row_id, seg, unnest(range(lo, hi)) AS pos FROM spans) SELECT row_id, sum(k)::BIGINT AS edges FROM (SELECT row_id, pos - min(pos) OVER (PARTITION BY row_id, seg) + 1 AS k FROM p) GROUP BY row_id")
 def packing_mask_edges(spark, d):
-    pos = _spans(spark, d).filter("row_id < 6 and lo < 96").select("row_id", "seg", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("pos")).filter("pos < 96")
-    return P.packing_edges(pos, "row_id", "pos", "seg").groupBy("row_id", "query").agg(F.count("*").alias("n_keys"))
+    docs = table(spark, d, "documents").select("doc_id", (n_tokens() + 1).alias("n"))
+    pos = P.spans(docs, "n", "doc_id", 32).select("row_id", "seg", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("pos"))
+    return P.packing_edges(pos, "row_id", "pos", "seg").groupBy("row_id").agg(F.count("*").alias("edges"))
 
 
 @query("SELECT q AS query, k AS key FROM range(64) a(q), range(64) b(k) WHERE k <= q AND (q - k < 8 OR k IN (0, 1, 30))")
@@ -211,9 +212,9 @@ def pad_rows(spark, d):
     return g.select("user_id", F.size(ids).alias("n"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("WITH p AS (SELECT event_type, event_id, value / sum(value) OVER (PARTITION BY event_type) AS p FROM events WHERE event_id < 2000) SELECT event_type, count(*) AS n FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY event_type ORDER BY p DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) WHERE before < 0.5 GROUP BY event_type")
+@query("WITH p AS (SELECT event_type, event_id, value / sum(value) OVER (PARTITION BY event_type) AS p FROM events) SELECT event_type, count(*) AS n FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY event_type ORDER BY p DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) WHERE before < 0.5 GROUP BY event_type")
 def topp_cut(spark, d):
-    e = table(spark, d, "events").filter("event_id < 2000")
+    e = table(spark, d, "events")
     e = e.withColumn("p", F.col("value") / F.sum("value").over(Window.partitionBy("event_type")))
     return P.nucleus(e, ["event_type"], "p", "event_id", 0.5).groupBy("event_type").agg(F.count("*").alias("n"))
 
