@@ -135,14 +135,14 @@ def number_text(x: Column) -> Column:
     d = x.cast("double")
     e = F.when(d == 0, 0).otherwise(F.floor(F.log10(F.abs(d)))).cast("int")
     e = F.when(F.abs(d) >= F.pow(F.lit(10.0), e + 1) - F.pow(F.lit(10.0), e - 5) / 2, e + 1).otherwise(e)
-    plain = F.regexp_replace(F.format_string("%.10f", F.round(d, 10)), r"\.?0+$", "")
-    by = lambda n: F.regexp_replace(F.format_string(f"%.{n}f", d), r"(\.\d*?)0+$", "$1")
-    fixed = plain
-    for n in range(0, 11):
-        fixed = F.when(F.lit(5) - e == n, F.regexp_replace(by(n), r"\.$", "")).otherwise(fixed)
-    mantissa = F.regexp_replace(F.regexp_replace(F.format_string("%.5f", d / F.pow(F.lit(10.0), e)), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    exact = d.cast("decimal(38,16)")
+    cut = lambda x, n: F.regexp_replace(F.regexp_replace(F.bround(x, n).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    fixed = cut(exact, 10)
+    for n in range(0, 10):
+        fixed = F.when(F.lit(5) - e == n, cut(exact, n)).otherwise(fixed)
+    mantissa = cut((d / F.pow(F.lit(10.0), e)).cast("decimal(20,15)"), 5)
     power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    return F.when((e >= 6) | (e < -4), F.concat(mantissa, F.lit("e"), power)).otherwise(fixed)
+    return F.when((e >= 6) | (e < -4), F.concat(mantissa, F.lit("e"), power)).otherwise(F.when(d == 0, "0").otherwise(fixed))
 
 
 def natural_key(text: Column, width: int = 12) -> Column:
