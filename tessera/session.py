@@ -22,6 +22,17 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+#: Tables of texts, whose rows cost far more to work on than to move.
+TEXTS = frozenset({"documents", "pages", "conversations"})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the files give fewer tasks than that, as one small file does."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of the directory ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
