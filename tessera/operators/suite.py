@@ -119,6 +119,45 @@ def build_suite(tools: DataFrame, values: DataFrame, seed: int = 0, families=FAM
     return a.join(twin, "id", "left").select("id", "family", "name", "query", "values", "held_out", reasoning(F.col("values")).alias("reasoning"), "twin")
 
 
+def declare(errands: DataFrame, neighbours: DataFrame, near: int = NEAR, per_turn: int = TOOLS_PER_TURN, seed: int = 0) -> DataFrame:
+    """(id, names, overlap): the target, its ``near`` nearest tools and a seeded draw of those that share nothing.
+
+    ``neighbours`` has (name, other, overlap, place); the names of a turn are in seeded order.
+    """
+    c = errands.select("id", "name").join(neighbours, "name")
+    c = c.withColumn("_near", F.col("place") <= near).filter(F.col("_near") | (F.col("overlap") == 0))
+    w = Window.partitionBy("id").orderBy(F.desc("_near"), seeded(seed, F.col("id"), F.col("other")))
+    c = c.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_turn - 1)
+    g = c.groupBy("id", "name").agg(F.collect_list("other").alias("o"), F.max("overlap").alias("overlap"))
+    names = F.concat(F.array("name"), "o")
+    order = F.array_sort(F.transform(names, lambda x: F.struct(seeded(seed, F.lit("turn"), F.col("id"), x).alias("k"), x.alias("n"))))
+    return g.select("id", F.transform(order, lambda s: s["n"]).alias("names"), F.round("overlap", 4).alias("overlap"))
+
+
+def two_call_errands(tools: DataFrame, values: DataFrame, pair: tuple[str, str], phrasings: list[str], binding: dict[str, str], count: int, seed: int = 0) -> DataFrame:
+    """(query, first, second, place): one sentence for two calls; slots of the second that are bound, or that
+    the first has too, take the first's values. A catalogue too small for ``count`` raises."""
+    spark = tools.sparkSession
+    own = values.filter(F.col("name") == pair[0])
+    had = own.select("key").distinct()
+    more = values.filter((F.col("name") == pair[1]) & ~F.col("key").isin(list(binding) or [""])).join(had, "key", "left_anti")
+    both = own.select(F.lit("pair").alias("name"), "key", "slot", "ord", "value").unionByName(more.select(F.lit("pair").alias("name"), "key", (F.col("slot") + 100).alias("slot"), "ord", "value"))
+    a = assignments(spark.createDataFrame([("pair", phrasings)], "name string, phrasings array<string>"), both, seed)
+    if a.count() < count:
+        raise ValueError(f"pair {pair[0]}+{pair[1]} can't produce {count} distinct errands")
+    keys = {r.name: r["keys"] for r in values.filter(F.col("name").isin(*pair)).groupBy("name").agg(F.collect_set("key").alias("keys")).collect()}  # two tools' slots
+    first = F.map_filter("values", lambda k, v: k.isin(keys[pair[0]]))
+    second = F.map_concat(F.map_filter("values", lambda k, v: k.isin([k_ for k_ in keys[pair[1]] if k_ not in binding] or [""])), *([F.create_map(*[x for k_, s in binding.items() for x in (F.lit(k_), F.col("values")[s])])] if binding else []))
+    return a.filter(F.col("place") < count).select("query", first.alias("first"), second.alias("second"), "place")
+
+
+def copy_rows(spark, rows: int, seed: int = 0, lo: int = 4, hi: int = 24, vocab: int = 512) -> DataFrame:
+    """(row, prompt, target): seeded copy-task rows: a random run of tokens, to be repeated."""
+    n = F.lit(lo) + F.floor(F.conv(F.substring(seeded(seed, F.col("id")), 1, 8), 16, 10).cast("double") / 4294967296 * (hi - lo + 1)).cast("int")
+    token = lambda i: F.lit(14) + (F.conv(F.substring(seeded(seed, F.col("row"), i), 1, 8), 16, 10).cast("long") % (vocab - 14)).cast("int")
+    return spark.range(rows).select(F.col("id").alias("row"), n.alias("n")).select("row", F.transform(F.sequence(F.lit(1), F.col("n")), token).alias("prompt")).withColumn("target", F.col("prompt"))
+
+
 def twin_errands(suite: DataFrame) -> DataFrame:
     """The twins as errands of their own."""
     t = suite.filter("twin is not null")
