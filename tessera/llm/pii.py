@@ -91,15 +91,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _fits(kind: int, token: str) -> bool:
+def _fits(kind, token):
     """Whether a candidate's shape allows the kind."""
-    digits = sum(c.isdigit() for c in token)
-    return (
-        kind == 0 and "@" in token,
-        kind == 1 and token.count(".") >= 3 and digits >= 4,
-        kind == 2 and 12 <= digits <= 19,
-        kind == 3 and 7 <= digits <= 15,
-    )[kind]
+    digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
+    dots = F.length(token) - F.length(F.replace(token, F.lit("."), F.lit("")))
+    return F.when(kind == 0, token.contains("@")).when(kind == 1, (dots >= 3) & (digits >= 4)).when(kind == 2, digits.between(12, 19)).otherwise(digits.between(7, 15))
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
@@ -200,8 +196,7 @@ def find(docs: DataFrame, **k) -> DataFrame:
     seen = rows.filter(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
     found = discover(seen, where, **k)
     new = seen.filter("kind < 0").drop("kind").join(found, ["pattern", "instance"])
-    fits = F.udf(_fits, "boolean")
-    added = new.select("row", "start", "end", "kind", "instance").distinct().filter(fits("kind", "instance"))
+    added = new.select("row", "start", "end", "kind", "instance").distinct().filter(_fits(F.col("kind"), F.col("instance")))
     # one kind per token: the first in order
     added = added.groupBy("row", "start", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     return rows.join(added, "row", "left").select("doc_id", "base", "base_sha256", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(), "op6_warc": warc.ORACLE, "op10_decontaminate": decontaminate.oracle()}

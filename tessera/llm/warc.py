@@ -329,3 +329,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through ZIP-packaged archives and back."""
     where = common.shared_dir(spark)
     return read(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), where))
+
+
+ORACLE = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS digest FROM p),
+  k AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS kept FROM d)
+  SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> kept THEN kept END AS refers_to FROM k"""
