@@ -290,18 +290,18 @@ def near_duplicates(docs: DataFrame, size: int = 4, max_distance: int = 4, disti
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` (doc_id, component_id, text) with the distinct hashes of each text's shingles in place of the text."""
+    """``docs`` (doc_id, text) with the distinct hashes of each text's shingles, h, in place of the text."""
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part, sets = b.slice(i, 256), []
-                for text in part.column(2).to_pylist():
+                for text in part.column(1).to_pylist():
                     w = common.words(text)
                     sets.append(np.unique(xxh64.slices(*_cuts(w, size), SEED)).view(np.int64) if w else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "component_id", "h"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "h"])
 
-    return docs.mapInArrow(run, "doc_id long, component_id long, h array<long>")
+    return docs.mapInArrow(run, "doc_id long, h array<long>")
 
 
 def _similarity(a: str, b: str):
@@ -311,31 +311,29 @@ def _similarity(a: str, b: str):
 
 
 def _copies(docs: DataFrame, where: str, size: int, similarity: float, max_distance: int) -> DataFrame:
-    """(doc_id) of rows that copy another row nearly: within a component the smallest id leads, what is similar to it
-    goes, and among the rest the smallest leads next, until none is left."""
-    near = common.written(near_duplicates(docs, 1, max_distance, distinct=True), f"{where}/near")
-    shared = near.groupBy("component_id").count().filter("count > 1").select("component_id")
-    members = near.join(shared, "component_id").select(F.col("doc_id").alias("_id"), "component_id")
-    left = docs.join(members, F.col("doc_id") == F.col("_id")).select("doc_id", "component_id", "text")
-    left = common.written(shingle_sets(left, size), f"{where}/sets")
-    gone, i = [left.select("doc_id").limit(0)], 0
-    while not left.isEmpty():
-        lead = common.written(left.groupBy("component_id").agg(F.min("doc_id").alias("leader"), F.min_by("h", "doc_id").alias("g")), f"{where}/lead{i}")
-        judged = left.join(lead, "component_id").filter(F.col("doc_id") != F.col("leader")).select("doc_id", "component_id", "h", (_similarity("h", "g") >= similarity).alias("same"))
-        judged = common.written(judged, f"{where}/judged{i}")
-        gone.append(judged.filter("same").select("doc_id"))
-        left, i = judged.filter("not same").drop("same"), i + 1
-    out = gone[0]
-    for g in gone[1:]:
-        out = out.unionByName(g)
-    return out
+    """(doc_id) of rows of ``docs`` (doc_id, text; distinct) that aren't the first of their group: the groups join the
+    pairs of linked fingerprints, one document for each, whose texts are similar enough."""
+    prints = common.written(fingerprints(docs, 1, distinct=True), f"{where}/prints")
+    ids = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{where}/ids")
+    found = links(ids.select("fp"), max_distance, where)
+    a, b = ids.select(F.col("fp").alias("a"), F.col("first").alias("x")), ids.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    pairs = found.join(a, "a").join(b, "b").select("x", "y")
+    # texts of one fingerprint are each held against the first of them
+    pairs = pairs.unionByName(prints.join(ids, "fp").filter("doc_id > first").select(F.col("first").alias("x"), F.col("doc_id").alias("y")))
+    pairs = common.written(pairs, f"{where}/pairs")
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    sets = common.written(shingle_sets(docs.join(asked, "doc_id", "left_semi").select("doc_id", "text"), size), f"{where}/sets")
+    near = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("h").alias("g")), "x").join(sets.select(F.col("doc_id").alias("y"), "h"), "y")
+    near = near.filter(_similarity("g", "h") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return components(near, f"{where}/cc").filter("node <> root").select(F.col("node").alias("doc_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_distance: int = 6) -> DataFrame:
     """One row of ``docs`` per group of copies and near copies, that of the smallest doc_id; all columns stay.
 
-    Fingerprints here are of distinct words, which one edit changes less than shingles; texts within ``max_distance``
-    bits are then compared by their sets of ``size``-word shingles, and go at the Jaccard similarity ``similarity``.
+    Fingerprints here are of distinct words, which one edit changes less than shingles; linked texts are then compared by
+    their sets of ``size``-word shingles, and form a group at the Jaccard similarity ``similarity``. Of a run of over 64
+    fingerprints with equal block bits, the links of its spanning forests are compared.
 
     Rows that share a doc_id are one document: the first by their text stays. Rows without a doc_id can't be told apart
     and stay. Null and empty texts are copies of each other.
