@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import table
+
 #: Lower-cases A-Z in UTF-8 bytes and leaves every other byte alone.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table; one small file is dealt to all cores."""
+    return table(spark, sf_dir, "documents")
 
 
 def words(text: str | None) -> list[bytes]:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
+from tessera.session import table
 
 # Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -328,7 +329,7 @@ def read(manifest: DataFrame, at_once: int = 1000) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through ZIP-packaged archives and back."""
     where = common.shared_dir(spark)
-    return read(write(spark.read.parquet(f"{sf_dir}/pages.parquet"), where))
+    return read(write(table(spark, sf_dir, "pages"), where))
 
 
 ORACLE = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS digest FROM p),
