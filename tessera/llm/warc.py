@@ -314,7 +314,10 @@ ROWS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payl
 def read(manifest: DataFrame, at_once: int = 1000) -> DataFrame:
     """The records of the manifest's archives, read by ranges of ``at_once`` records."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(at_once).cast("long"))
-    ranges = manifest.filter("records > 0").select("path", F.explode(starts).alias("first")).repartition("path", "first")
+    ranges = manifest.filter("records > 0").select("path", F.explode(starts).alias("first"))
+    # a stated number of tasks: the rows are tiny, and by their size Spark would put all reading into one
+    n, wide = ranges.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism
+    ranges = ranges.repartition(max(1, min(n, max(wide, n // 64))), "path", "first")
 
     def run(batches):
         for b in batches:
