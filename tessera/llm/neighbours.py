@@ -135,6 +135,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, block_rows: int = 2
         return pa.table([[int(q_ids[i]) for i, _, _ in got], [a for _, a, _ in got], [s for _, _, s in got]], schema=FOUND)
 
     key = ["block", "chunk", "dim"]
+    # a stated number of tasks: the work follows the pairs of blocks, not the bytes that Spark would go by
+    tasks = max(1, min(blocks * chunks, 8192))
+    data, asked = data.repartition(tasks, *key), asked.repartition(tasks, *key)
     found = data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
