@@ -15,16 +15,16 @@ def share(a: Column, b: Column, empty: float = 0.0) -> Column:
 
 
 def headline(rows: DataFrame) -> DataFrame:
-    """A07, A08, A12 from one row per errand: off_topic, n_calls, n_valid, exact, selected, hit, total."""
+    """A07, A08, A12 from one row per request: off_topic, n_calls, n_valid, exact, selected, hit, total."""
     on = ~F.col("off_topic")
     agg = rows.agg(
-        F.count("*").alias("n"), F.count_if(on).alias("errands"), F.count_if(~on).alias("off"), F.sum("n_calls").alias("calls"), F.sum("n_valid").alias("valid"), F.count_if(on & F.col("exact")).alias("exact"),
+        F.count("*").alias("n"), F.count_if(on).alias("requests"), F.count_if(~on).alias("off"), F.sum("n_calls").alias("calls"), F.sum("n_valid").alias("valid"), F.count_if(on & F.col("exact")).alias("exact"),
         F.count_if(on & F.col("selected")).alias("selected"), F.count_if(~on & (F.col("n_calls") == 0)).alias("refused"), F.count_if(on & (F.col("n_calls") == 0)).alias("over"), F.sum(F.when(on, F.col("hit"))).alias("hit"), F.sum(F.when(on, F.col("total"))).alias("total"),
     )
     c = F.col
     return agg.select(
-        "n", "errands", "calls", share(c("exact"), c("errands")).alias("exact_call"), share(c("selected"), c("errands")).alias("tool_selection"), share(c("hit"), c("total")).alias("argument_grounding"),
-        share(c("refused"), c("off")).alias("refusal"), share(c("valid"), c("calls"), 1.0).alias("schema_valid"), share(c("over"), c("errands")).alias("over_refusal"),
+        "n", "requests", "calls", share(c("exact"), c("requests")).alias("exact_call"), share(c("selected"), c("requests")).alias("tool_selection"), share(c("hit"), c("total")).alias("argument_grounding"),
+        share(c("refused"), c("off")).alias("refusal"), share(c("valid"), c("calls"), 1.0).alias("schema_valid"), share(c("over"), c("requests")).alias("over_refusal"),
     )
 
 
@@ -34,7 +34,7 @@ def by_family(rows: DataFrame) -> DataFrame:
 
 
 def by_slice(rows: DataFrame) -> DataFrame:
-    """Each errand counts in two slices."""
+    """Each request counts in two slices."""
     slices = F.array(F.when(F.col("held_out"), "held_out").otherwise("seen"), F.when(F.col("n_gold") > 1, "multi_call").otherwise("single_call"))
     return rows.filter(~F.col("off_topic")).withColumn("slice", F.explode(slices)).groupBy("slice").agg(share(F.count_if("exact"), F.count("*")).alias("exact_call"))
 

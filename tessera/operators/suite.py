@@ -97,7 +97,7 @@ def sample_per_group(df: DataFrame, group: list[str], key: str, k: int, seed: in
 
 
 def build_suite(tools: DataFrame, values: DataFrame, seed: int = 0, families=FAMILIES, held_out: int = HELD_OUT) -> DataFrame:
-    """One-call errands per the family plan: (id, family, name, query, values, held_out, reasoning, twin).
+    """One-call requests per the family plan: (id, family, name, query, values, held_out, reasoning, twin).
 
     A tool's share is an even part of its family's; a catalogue too small for its share raises.
     """
@@ -110,7 +110,7 @@ def build_suite(tools: DataFrame, values: DataFrame, seed: int = 0, families=FAM
     room = a.groupBy("name", "want").agg(F.count("*").alias("n"))
     short = room.filter("n < want").limit(1).collect()
     if short:
-        raise ValueError(f"tool {short[0].name!r} can produce {short[0].n} distinct errands, {short[0].want} asked for")
+        raise ValueError(f"tool {short[0].name!r} can produce {short[0].n} distinct requests, {short[0].want} asked for")
     a = a.filter(F.col("place") < F.col("want"))
     order = Window.partitionBy("family").orderBy(seeded(seed, F.lit("row"), F.col("query")), "query")
     a = a.withColumn("_r", F.row_number().over(order)).withColumn("id", F.concat(F.replace("family", F.lit(" "), F.lit("-")), F.lit("-"), F.lpad(F.col("_r").cast("string"), 4, "0")))
@@ -119,12 +119,12 @@ def build_suite(tools: DataFrame, values: DataFrame, seed: int = 0, families=FAM
     return a.join(twin, "id", "left").select("id", "family", "name", "query", "values", "held_out", reasoning(F.col("values")).alias("reasoning"), "twin")
 
 
-def declare(errands: DataFrame, neighbours: DataFrame, near: int = NEAR, per_turn: int = TOOLS_PER_TURN, seed: int = 0) -> DataFrame:
+def declare(requests: DataFrame, neighbours: DataFrame, near: int = NEAR, per_turn: int = TOOLS_PER_TURN, seed: int = 0) -> DataFrame:
     """(id, names, overlap): the target, its ``near`` nearest tools and a seeded draw of those that share nothing.
 
     ``neighbours`` has (name, other, overlap, place); the names of a turn are in seeded order.
     """
-    c = errands.select("id", "name").join(neighbours, "name")
+    c = requests.select("id", "name").join(neighbours, "name")
     c = c.withColumn("_near", F.col("place") <= near).filter(F.col("_near") | (F.col("overlap") == 0))
     w = Window.partitionBy("id").orderBy(F.desc("_near"), seeded(seed, F.col("id"), F.col("other")))
     c = c.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_turn - 1)
@@ -134,7 +134,7 @@ def declare(errands: DataFrame, neighbours: DataFrame, near: int = NEAR, per_tur
     return g.select("id", F.transform(order, lambda s: s["n"]).alias("names"), F.round("overlap", 4).alias("overlap"))
 
 
-def two_call_errands(tools: DataFrame, values: DataFrame, pair: tuple[str, str], phrasings: list[str], binding: dict[str, str], count: int, seed: int = 0) -> DataFrame:
+def two_call_requests(tools: DataFrame, values: DataFrame, pair: tuple[str, str], phrasings: list[str], binding: dict[str, str], count: int, seed: int = 0) -> DataFrame:
     """(query, first, second, place): one sentence for two calls; slots of the second that are bound, or that
     the first has too, take the first's values. A catalogue too small for ``count`` raises."""
     spark = tools.sparkSession
@@ -144,7 +144,7 @@ def two_call_errands(tools: DataFrame, values: DataFrame, pair: tuple[str, str],
     both = own.select(F.lit("pair").alias("name"), "key", "slot", "ord", "value").unionByName(more.select(F.lit("pair").alias("name"), "key", (F.col("slot") + 100).alias("slot"), "ord", "value"))
     a = assignments(spark.createDataFrame([("pair", phrasings)], "name string, phrasings array<string>"), both, seed)
     if a.count() < count:
-        raise ValueError(f"pair {pair[0]}+{pair[1]} can't produce {count} distinct errands")
+        raise ValueError(f"pair {pair[0]}+{pair[1]} can't produce {count} distinct requests")
     keys = {r.name: r["keys"] for r in values.filter(F.col("name").isin(*pair)).groupBy("name").agg(F.collect_set("key").alias("keys")).collect()}  # two tools' slots
     first = F.map_filter("values", lambda k, v: k.isin(keys[pair[0]]))
     second = F.map_concat(F.map_filter("values", lambda k, v: k.isin([k_ for k_ in keys[pair[1]] if k_ not in binding] or [""])), *([F.create_map(*[x for k_, s in binding.items() for x in (F.lit(k_), F.col("values")[s])])] if binding else []))
@@ -158,12 +158,12 @@ def copy_rows(spark, rows: int, seed: int = 0, lo: int = 4, hi: int = 24, vocab:
     return spark.range(rows).select(F.col("id").alias("row"), n.alias("n")).select("row", F.transform(F.sequence(F.lit(1), F.col("n")), token).alias("prompt")).withColumn("target", F.col("prompt"))
 
 
-def twin_errands(suite: DataFrame) -> DataFrame:
-    """The twins as errands of their own."""
+def twin_requests(suite: DataFrame) -> DataFrame:
+    """The twins as requests of their own."""
     t = suite.filter("twin is not null")
     return t.select(F.concat("id", F.lit("-twin")).alias("id"), "family", "name", F.col("twin.query").alias("query"), F.col("twin.values").alias("values"), "held_out", reasoning(F.col("twin.values")).alias("reasoning"), F.col("id").alias("twin_of"))
 
 
 def summary(suite: DataFrame) -> DataFrame:
     """Counts, held-out share, mean overlap of twins."""
-    return suite.agg(F.count("*").alias("errands"), F.count_if("held_out").alias("held_out"), F.count("twin").alias("twins"), F.avg("twin.overlap").alias("mean_overlap"))
+    return suite.agg(F.count("*").alias("requests"), F.count_if("held_out").alias("held_out"), F.count("twin").alias("twins"), F.avg("twin.overlap").alias("mean_overlap"))

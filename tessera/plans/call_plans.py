@@ -69,8 +69,8 @@ def parsed(c: str):
     return K.call_list(F.try_parse_json(c))
 
 
-def errands(spark, d):
-    """One row per errand with what the report adds up."""
+def requests(spark, d):
+    """One row per request with what the report adds up."""
     c = calls(spark, d)
     bad = K.schema_errors(c, "event_id", parsed("pred"), "tools").groupBy("event_id").agg(F.countDistinct("ix").alias("bad"))
     c = c.withColumn("p", parsed("pred")).withColumn("g", parsed("gold"))
@@ -144,20 +144,20 @@ def argument_grounding(spark, d):
 RATES = ("exact_call", "tool_selection", "argument_grounding", "refusal", "schema_valid", "over_refusal")
 
 
-@query(f"{E} SELECT count(*) AS n, count(*) FILTER (NOT off) AS errands, sum(n_calls)::BIGINT AS calls, round(avg(exact::INT) FILTER (NOT off), 6) AS exact_call, round(avg(selected::INT) FILTER (NOT off), 6) AS tool_selection, round(sum(hit) FILTER (NOT off) / sum(total) FILTER (NOT off), 6) AS argument_grounding, round(avg(nocall::INT) FILTER (off), 6) AS refusal, round(sum(n_valid) / sum(n_calls), 6) AS schema_valid, round(avg(nocall::INT) FILTER (NOT off), 6) AS over_refusal FROM v")
+@query(f"{E} SELECT count(*) AS n, count(*) FILTER (NOT off) AS requests, sum(n_calls)::BIGINT AS calls, round(avg(exact::INT) FILTER (NOT off), 6) AS exact_call, round(avg(selected::INT) FILTER (NOT off), 6) AS tool_selection, round(sum(hit) FILTER (NOT off) / sum(total) FILTER (NOT off), 6) AS argument_grounding, round(avg(nocall::INT) FILTER (off), 6) AS refusal, round(sum(n_valid) / sum(n_calls), 6) AS schema_valid, round(avg(nocall::INT) FILTER (NOT off), 6) AS over_refusal FROM v")
 def score_headline(spark, d):
-    h = S.headline(errands(spark, d))
-    return h.select("n", "errands", "calls", *[F.round(r, 6).alias(r) for r in RATES])
+    h = S.headline(requests(spark, d))
+    return h.select("n", "requests", "calls", *[F.round(r, 6).alias(r) for r in RATES])
 
 
 @query(f"{E} SELECT tool AS family, round(avg(exact::INT), 6) AS exact_call FROM r WHERE NOT off GROUP BY tool")
 def score_by_family(spark, d):
-    return S.by_family(errands(spark, d)).withColumn("exact_call", F.round("exact_call", 6))
+    return S.by_family(requests(spark, d)).withColumn("exact_call", F.round("exact_call", 6))
 
 
 @query(f"{E} SELECT slice, round(avg(exact::INT), 6) AS exact_call FROM (SELECT exact, unnest([CASE WHEN held THEN 'held_out' ELSE 'seen' END, CASE WHEN n_gold > 1 THEN 'multi_call' ELSE 'single_call' END]) AS slice FROM r WHERE NOT off) GROUP BY slice")
 def score_by_slice(spark, d):
-    return S.by_slice(errands(spark, d)).withColumn("exact_call", F.round("exact_call", 6))
+    return S.by_slice(requests(spark, d)).withColumn("exact_call", F.round("exact_call", 6))
 
 
 def confident(spark, d):

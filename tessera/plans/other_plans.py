@@ -129,9 +129,9 @@ def suite_build(spark, d):
     return U.build_suite(*_catalogue(spark), families=SMALL, held_out=11).select("id", "family", "name", "query", "held_out", "reasoning", F.col("twin.query").alias("twin_query"), F.col("twin.overlap").alias("twin_overlap"))
 
 
-@query("SELECT 30::BIGINT AS errands, 11::BIGINT AS held_out, 30::BIGINT AS twins")
+@query("SELECT 30::BIGINT AS requests, 11::BIGINT AS held_out, 30::BIGINT AS twins")
 def suite_summary(spark, d):
-    return U.summary(U.build_suite(*_catalogue(spark), families=SMALL, held_out=11)).select("errands", "held_out", "twins")
+    return U.summary(U.build_suite(*_catalogue(spark), families=SMALL, held_out=11)).select("requests", "held_out", "twins")
 
 
 TEMPLATES, SUBJECTS = ["what is {topic}", "sing about {topic}", "who invented {topic}"], ["rain", "glass", "tax law", "chess"]

@@ -51,18 +51,18 @@ def test_suite(spark, tmp_path):
         assert all(v in r.query for v in r["values"].values())
         if r.twin:
             assert sum(r.twin["values"][k] != v for k, v in r["values"].items()) == 1 and r.twin["query"] != r.query
-    assert U.twin_errands(s).count() == sum(r.twin is not None for r in got)
+    assert U.twin_requests(s).count() == sum(r.twin is not None for r in got)
     with pytest.raises(ValueError, match="can produce"):
         U.build_suite(tools, values, families=[("phone", 500)], held_out=100).collect()
     d = U.declare(s, Q.tool_neighbours(tools)).collect()
     target = {r.id: r.name for r in got}
     assert len(d) == 30 and all(target[r.id] in r.names and 3 <= len(set(r.names)) <= 5 for r in d)
-    two = U.two_call_errands(tools, values, ("set_timer", "start_run"), ["time {minutes} for {label} and run as long"], {"minutes": "minutes"}, 5).collect()
+    two = U.two_call_requests(tools, values, ("set_timer", "start_run"), ["time {minutes} for {label} and run as long"], {"minutes": "minutes"}, 5).collect()
     assert len(two) == 5 and all(r["second"]["minutes"] == r["first"]["minutes"] and "label" in r["first"] for r in two)
     c = U.copy_rows(spark, 50).collect()
     assert all(4 <= len(r.prompt) <= 24 and r.prompt == r.target for r in c) and len({tuple(r.prompt) for r in c}) == 50
     N.save_report({"summary": U.summary(s)}, str(tmp_path / "r"))
-    assert N.load_report(spark, str(tmp_path / "r"))["summary"][0]["errands"] == 30
+    assert N.load_report(spark, str(tmp_path / "r"))["summary"][0]["requests"] == 30
 
 
 def test_build_corpus(spark):
