@@ -286,7 +286,7 @@ def _partial(kind, hashes, n, rows=None, score=None, seen=None, below=None, name
     )
 
 
-def score(docs: DataFrame, held_out: Column, batch_tokens: int = 2_000_000, parts: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, batch_tokens: int = 1_000_000, parts: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``."""
     spark = docs.sparkSession
     where = common.shared_dir(spark)
