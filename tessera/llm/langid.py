@@ -166,12 +166,17 @@ def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, samp
     """(languages, pieces, probabilities) from the rows of ``docs`` where ``train`` holds."""
     pieces = vocabulary(vocabulary_path)
     labelled = docs.filter(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    langs = sorted(r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    langs = sorted(counts)
     p = np.full((len(pieces), max(len(langs), 1)), 1 / len(pieces))
     if not langs:
         return langs, pieces, p
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.filter(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
+    # ids of small hash, four times as many as wanted, so that the ranking sees as many rows whatever the input
+    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, int((1 << 40) * min(1.0, (4 * sample_docs + 100) / counts[k])))])
+    few = labelled.select("doc_id", "lang").withColumn("h", hash_).filter(F.col("h") <= share[F.col("lang")])
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
     sample = common.written(labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"), common.shared_dir(docs.sparkSession))
     sample = sample.repartition(max(1, min(64, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
     number = {x: i for i, x in enumerate(langs)}
