@@ -289,19 +289,61 @@ def near_duplicates(docs: DataFrame, size: int = 4, max_distance: int = 4, disti
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Bands of minima and minima per band: a pair of similarity 0.8 shares no band in 3 of a million cases.
+BANDS, ROWS = 24, 4
+
+
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``n`` hash functions, the same in every process."""
+    r = np.random.default_rng(SEED).integers(0, 1 << 64, (2, n), np.uint64)
+    return r[0] | np.uint64(1), r[1]
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles; none for a text without words."""
+    w = common.words(text)
+    return np.unique(xxh64.slices(*_cuts(w, size), SEED)) if w else np.empty(0, np.uint64)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """One key per band of the set ``h``: two sets share that of a band with probability similarity ** ROWS."""
+    factor, summand = _factors(BANDS * ROWS)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 4096):
+        least = np.minimum(least, (h[None, i : i + 4096] * factor[:, None] + summand[:, None]).min(1))
+    mixed, (factor, summand) = least.reshape(BANDS, ROWS), _factors(ROWS + 1)
+    key = np.arange(BANDS, dtype=np.uint64) * factor[ROWS]
+    for k in range(ROWS):
+        key = (key ^ mixed[:, k]) * factor[k]
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def bands(docs: DataFrame, size: int) -> DataFrame:
+    """(node, t, key): the key of each band t of the texts of ``docs`` (node, text)."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                keys = [band_keys(shingle_set(text, size)) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+
+    kind = docs.schema["node"].dataType.simpleString()
+    return docs.mapInArrow(run, f"node {kind}, keys array<long>").select("node", F.posexplode("keys").alias("t", "key"))
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` (doc_id, text) with the distinct hashes of each text's shingles, h, in place of the text."""
+    """``docs`` (node, text) with the distinct hashes of each text's shingles, h, in place of the text."""
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                part, sets = b.slice(i, 256), []
-                for text in part.column(1).to_pylist():
-                    w = common.words(text)
-                    sets.append(np.unique(xxh64.slices(*_cuts(w, size), SEED)).view(np.int64) if w else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "h"])
+                part = b.slice(i, 256)
+                sets = [shingle_set(text, size).view(np.int64) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
 
-    return docs.mapInArrow(run, "doc_id long, h array<long>")
+    return docs.mapInArrow(run, f"node {docs.schema['node'].dataType.simpleString()}, h array<long>")
 
 
 def _similarity(a: str, b: str):
@@ -310,30 +352,120 @@ def _similarity(a: str, b: str):
     return F.when(all_ == 0, 1.0).otherwise(both / (all_ - both))
 
 
-def _copies(docs: DataFrame, where: str, size: int, similarity: float, max_distance: int) -> DataFrame:
-    """(doc_id) of rows of ``docs`` (doc_id, text; distinct) that aren't the first of their group: the groups join the
-    pairs of linked fingerprints, one document for each, whose texts are similar enough."""
-    prints = common.written(fingerprints(docs, 1, distinct=True), f"{where}/prints")
-    ids = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{where}/ids")
-    found = links(ids.select("fp"), max_distance, where)
-    a, b = ids.select(F.col("fp").alias("a"), F.col("first").alias("x")), ids.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    pairs = found.join(a, "a").join(b, "b").select("x", "y")
-    # texts of one fingerprint are each held against the first of them
-    pairs = pairs.unionByName(prints.join(ids, "fp").filter("doc_id > first").select(F.col("first").alias("x"), F.col("doc_id").alias("y")))
-    pairs = common.written(pairs, f"{where}/pairs")
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = common.written(shingle_sets(docs.join(asked, "doc_id", "left_semi").select("doc_id", "text"), size), f"{where}/sets")
-    near = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("h").alias("g")), "x").join(sets.select(F.col("doc_id").alias("y"), "h"), "y")
-    near = near.filter(_similarity("g", "h") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return components(near, f"{where}/cc").filter("node <> root").select(F.col("node").alias("doc_id"))
-
-
-def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_distance: int = 6) -> DataFrame:
+def _joins(h: pa.ListArray, label: np.ndarray, asks: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join the labels as all similar pairs (one asks, any) do."""
+    flat = np.asarray(h.flatten())
+    size = np.diff(np.asarray(h.offsets))
+    start, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    _, number = np.unique(flat, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    post, many = owner[order], np.bincount(number)
+    at, label, out = np.cumsum(many) - many, label.copy(), []
+    for d in np.flatnonzero(asks):
+        ids = number[start[d] : start[d] + size[d]]
+        n = many[ids]
+        # the sets that hold each of the ids, one slice after another
+        both = np.bincount(post[np.arange(n.sum()) + np.repeat(at[ids] - (np.cumsum(n) - n), n)], minlength=len(size))
+        all_ = size + size[d] - both
+        near = np.flatnonzero((both / np.maximum(all_, 1) >= np.where(all_ > 0, similarity, 0)) & (label != label[d]))
+        new, which = np.unique(label[near], return_index=True)
+        if len(new):
+            out += [(d, e) for e in near[which]]
+            label[np.isin(label, new)] = label[d]
+            if (label == label[0]).all():
+                break
+    return out
+
+
+def _compare(similarity: float):
+    """Reads (key, i, j, asks, node, root, h), block after block (key, i, j), and yields the pairs of ``_joins``."""
+
+    def run(batches):
+        def joined(rows: pa.Table):
+            root = rows["root"].combine_chunks()
+            pairs = _joins(rows["h"].combine_chunks(), np.asarray(root.dictionary_encode().indices), np.asarray(rows["asks"].combine_chunks()), similarity)
+            node = rows["node"].combine_chunks()
+            a, b = (node.take(pa.array([int(x[k]) for x in pairs], pa.int64())) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+        waiting, block = [], None
+        for b in batches:
+            at = [np.asarray(b.column(k)) for k in range(3)]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                if lo == hi:
+                    continue
+                now = tuple(int(x[lo]) for x in at)
+                if waiting and now != block:
+                    yield joined(pa.Table.from_batches(waiting))
+                    waiting = []
+                block = now
+                waiting.append(b.slice(lo, hi - lo))
+        if waiting:
+            yield joined(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def _left(members: DataFrame, sets: DataFrame, labels: DataFrame, where: str, similarity: float) -> DataFrame | None:
+    """(a, b): similar pairs among the members of each key that no ``labels`` join yet and that aren't with its head.
+
+    Members outside the head's group ask all others. They meet in blocks of bounded size: each asking part meets each
+    part of all. None if nothing is left.
+    """
+    rows = members.filter("node <> head").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.join(labels.select(F.col("node").alias("head"), F.col("root").alias("of_head")), "head", "left")
+    rows = rows.withColumn("asks", F.col("root") != F.coalesce("of_head", "head")).select("key", "node", "root", "asks")
+    open_ = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    rows = common.written(rows.join(open_, "key", "left_semi"), f"{where}/open")
+    if rows.isEmpty():
+        return None
+    sized = rows.join(sets.select("node", F.size("h").alias("n")), "node")
+    parts = sized.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(BLOCK) + F.lit(1e-9)).alias("all_"), F.ceil(F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)) / F.lit(BLOCK // 2) + F.lit(1e-9)).alias("some"))
+    rows = rows.join(parts, "key")
+    mine = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    asking = rows.filter("asks").select("key", mine("some", 1).alias("i"), each("all_").alias("j"), "asks", "node", "root")
+    asked = rows.select("key", each("some").alias("i"), mine("all_", 2).alias("j"), F.lit(False).alias("asks"), "node", "root")
+    block = asking.unionByName(asked).join(sets, "node").select("key", "i", "j", "asks", "node", "root", "h")
+    block = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    kind = members.schema["node"].dataType.simpleString()
+    return common.written(block.mapInArrow(_compare(similarity), f"a {kind}, b {kind}"), f"{where}/joins")
+
+
+#: Shingles of a block that are compared at once.
+BLOCK = 1 << 20
+
+
+def _copies(docs: DataFrame, where: str, size: int, similarity: float) -> DataFrame:
+    """(node) of rows of ``docs`` (node, text; distinct) that aren't the first of their group: the groups join all pairs
+    that share a key of ``bands`` and are similar enough."""
+    keys = common.written(bands(docs, size), f"{where}/bands")
+    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
+    members = common.written(keys.join(heads, "key").select("t", "key", "head", "node"), f"{where}/members")
+    common.removed(docs.sparkSession, f"{where}/bands")
+    pairs = common.written(members.filter("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y")).distinct(), f"{where}/pairs")
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    sets = common.written(shingle_sets(docs.join(asked, "node", "left_semi").select("node", "text"), size), f"{where}/sets")
+    near = pairs.join(sets.select(F.col("node").alias("x"), F.col("h").alias("g")), "x").join(sets.select(F.col("node").alias("y"), "h"), "y")
+    near = common.written(near.filter(_similarity("g", "h") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b")), f"{where}/near")
+    labels = common.written(components(near, f"{where}/cc"), f"{where}/labels")
+    # what the first band joins needn't be compared in the others
+    for k, some in enumerate(("t = 0", "t > 0")):
+        more = _left(members.filter(some), sets, labels, f"{where}/left{k}", similarity)
+        if more is not None:
+            near = near.unionByName(more)
+            labels = common.written(components(near, f"{where}/cc{k}"), f"{where}/labels{k}")
+    return labels.filter("node <> root").select("node")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` per group of copies and near copies, that of the smallest doc_id; all columns stay.
 
-    Fingerprints here are of distinct words, which one edit changes less than shingles; linked texts are then compared by
-    their sets of ``size``-word shingles, and form a group at the Jaccard similarity ``similarity``. Of a run of over 64
-    fingerprints with equal block bits, the links of its spanning forests are compared.
+    Texts of Jaccard similarity ``similarity`` or more, by their sets of ``size``-word shingles, form a group. They are
+    looked for by minima of hashes, which carry that similarity where a SimHash distance doesn't, and each one found is
+    checked exactly. In a run of equal keys all are held against the first; whoever that leaves in another group is
+    held against all others.
 
     Rows that share a doc_id are one document: the first by their text stays. Rows without a doc_id can't be told apart
     and stay. Null and empty texts are copies of each other.
@@ -349,7 +481,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, max_dis
     # exact copies go first, so that the rest works on distinct texts
     least = common.written(keyed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), f"{where}/distinct")
     distinct = named.join(least, "doc_id", "left_semi").select(docs.columns)
-    gone = common.written(_copies(distinct.select("doc_id", text.alias("text")), where, size, similarity, max_distance), f"{where}/gone")
+    gone = common.written(_copies(distinct.select(F.col("doc_id").alias("node"), text.alias("text")), where, size, similarity).withColumnRenamed("node", "doc_id"), f"{where}/gone")
     return distinct.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -113,6 +113,59 @@ def test_one_of_each_takes_near_copies_and_leaves_others(spark):
     assert kept == sorted([5 * k for k in range(12)] + [5 * k + 4 for k in range(12)])
 
 
+def words_of(r, n):
+    return ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+
+def edited(r, w, edits):
+    """``w`` with words replaced, at places that share no shingle."""
+    v = list(w)
+    for k in r.sample(range(2, len(w) - 4, 5), edits):
+        v[k] = words_of(r, 1)[0]
+    return v
+
+
+def brute_firsts(rows):
+    """The first ids of the groups that all pairs of Jaccard similarity 0.8 or more join."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+
+
+def kept_of(spark, rows):
+    return sorted(x.doc_id for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+
+
+def test_a_large_group_is_compared_until_none_is_left(spark):
+    r = random.Random(5)
+    w = words_of(r, 300)  # each copy is 0.88 similar to it, two copies 0.77 to each other
+    rows = [(i, " ".join(edited(r, w, 4))) for i in range(1000)] + [(1000, " ".join(w))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for _, t in rows]
+    assert all(len(s & sets[-1]) / len(s | sets[-1]) >= 0.8 for s in sets)
+    assert sum(len(sets[0] & s) / len(sets[0] | s) >= 0.8 for s in sets[1:-1]) < 500
+    assert kept_of(spark, rows) == [0]
+
+
+def test_blocks_of_a_long_run_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 3000)
+    r = random.Random(6)
+    w = words_of(r, 300)
+    rows = [(i, " ".join(edited(r, w, 6))) for i in range(60)] + [(60, " ".join(w)), (61, " ".join(words_of(r, 300)))]
+    assert kept_of(spark, rows) == brute_firsts(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
