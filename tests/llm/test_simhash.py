@@ -166,6 +166,15 @@ def test_blocks_of_a_long_run_meet(spark, monkeypatch):
     assert kept_of(spark, rows) == brute_firsts(rows)
 
 
+def test_texts_of_one_vocabulary_are_compared_with_each_other(spark):
+    r = random.Random(7)
+    w = words_of(r, 60)
+    shuffled = [r.sample(w, 60) * 5 for _ in range(3)]  # one set of words, unlike in order
+    rows = [(1, " ".join(shuffled[0])), (2, " ".join(shuffled[1])), (4, " ".join(shuffled[1] + w[:3])), (5, " ".join(shuffled[2])), (6, " ".join(w[:2] + shuffled[2]))]
+    assert len(set(simhash.fingerprints_of([t for _, t in rows], 1, distinct=True).tolist())) == 1
+    assert kept_of(spark, rows) == brute_firsts(rows) == [1, 2, 5]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
