@@ -10,8 +10,8 @@ front; one longer than ``CHUNK`` characters is scored as consecutive pieces of t
 The words of a batch that aren't cached are scored together, grouped by length. Caches are bounded.
 
 Fitting: expected piece counts (forward-backward) over a bounded sample of labelled texts, ``sample_docs`` per language,
-those of least id hash; two rounds from equal probabilities. What reaches the driver is at most the vocabulary times
-``max_languages``; with more languages than that, the most frequent ones are learned.
+those of least id hash; two rounds from equal probabilities. Every label is learned, ``at_once`` of them in one pass, so
+that counts of at most the vocabulary times ``at_once`` reach the driver at a time. The model is one column per language.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and if nothing could be learned. Rows with
 null or repeated ids come back one by one; extra columns are ignored by ``predict`` and kept by ``known``.
@@ -108,20 +108,22 @@ def _chunks(word: bytes) -> list[str]:
     return [w[i : i + CHUNK] for i in range(0, len(w), CHUNK)]
 
 
-def _by_length(words):
+def _by_length(words, languages: int):
+    """Words of one length, at most 4096 of them and fewer for more than 64 languages, so that a lattice stays as large."""
+    most = max(1, min(4096, 4096 * 64 // languages))
     groups: dict[int, list[str]] = {}
     for w in words:
         groups.setdefault(len(w), []).append(w)
     for g in groups.values():
-        for i in range(0, len(g), 4096):
-            yield g[i : i + 4096]
+        for i in range(0, len(g), most):
+            yield g[i : i + most]
 
 
 class Scorer:
     """Log probabilities of words per language, cached in one growing matrix of bounded height."""
 
     def __init__(self, pieces: list[str], p: np.ndarray, cache_size: int = 300_000):
-        self.lattice, self.cache_size = Lattice(pieces), cache_size
+        self.lattice, self.cache_size = Lattice(pieces), min(cache_size, cache_size * 64 // p.shape[1])
         self.table = self.lattice.table(p)
         self.row: dict[bytes, int] = {}
         self.log = np.empty((1024, p.shape[1]))
@@ -136,7 +138,7 @@ class Scorer:
             self.log = more
         parts = {w: _chunks(w) for w in words}
         found = {}
-        for g in _by_length({c for p in parts.values() for c in p}):
+        for g in _by_length({c for p in parts.values() for c in p}, self.log.shape[1]):
             found.update(zip(g, np.log(self.lattice.forward(g, self.table)[-1])))
         for w, p in parts.items():
             self.log[at] = found[p[0]] if len(p) == 1 else sum(found[c] for c in p)
@@ -162,26 +164,31 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, sample_docs: int = 400, max_languages: int = 64, rounds: int = 2):
+def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, sample_docs: int = 400, at_once: int = 64, rounds: int = 2):
     """(languages, pieces, probabilities) from the rows of ``docs`` where ``train`` holds."""
     pieces = vocabulary(vocabulary_path)
     labelled = docs.filter(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(counts)
-    p = np.full((len(pieces), max(len(langs), 1)), 1 / len(pieces))
     if not langs:
-        return langs, pieces, p
+        return langs, pieces, np.full((len(pieces), 1), 1 / len(pieces))
     # ids of small hash, four times as many as wanted, so that the ranking sees as many rows whatever the input
     hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, int((1 << 40) * min(1.0, (4 * sample_docs + 100) / counts[k])))])
-    few = labelled.select("doc_id", "lang").withColumn("h", hash_).filter(F.col("h") <= share[F.col("lang")])
+    share = docs.sparkSession.createDataFrame([(k, int((1 << 40) * min(1.0, (4 * sample_docs + 100) / counts[k]))) for k in langs], "lang string, share long")
+    few = labelled.select("doc_id", "lang").withColumn("h", hash_).join(F.broadcast(share), "lang").filter("h <= share").drop("share")
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
     sample = common.written(labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"), common.shared_dir(docs.sparkSession))
     sample = sample.repartition(max(1, min(64, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
-    number = {x: i for i, x in enumerate(langs)}
+    parts = [langs[i : i + at_once] for i in range(0, len(langs), at_once)]
+    return langs, pieces, np.hstack([_learned(sample if len(parts) == 1 else sample.filter(F.col("lang").isin(x)), x, pieces, rounds) for x in parts])
+
+
+def _learned(sample: DataFrame, langs: list[str], pieces: list[str], rounds: int) -> np.ndarray:
+    """Probabilities (pieces x languages) from the texts of ``sample`` (lang, text); languages don't affect each other."""
+    p, number = np.full((len(pieces), len(langs)), 1 / len(pieces)), {x: i for i, x in enumerate(langs)}
     for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((pieces, p))
+        shared = sample.sparkSession.sparkContext.broadcast((pieces, p))
 
         def count(batches, shared=shared):
             pieces, p = shared.value
@@ -196,7 +203,7 @@ def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, samp
                             if c not in n:
                                 n[c] = np.zeros(p.shape[1])
                             n[c][k] += 1
-                for g in _by_length(n):
+                for g in _by_length(n, p.shape[1]):
                     total += lattice.expected(g, np.array([n[c] for c in g]), table)
             at = np.argwhere(total > 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(total[at[:, 0], at[:, 1]])], names=["piece", "k", "n"])
@@ -208,7 +215,7 @@ def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, samp
         # a piece never seen keeps a small share, the same for all languages
         p = (n + 0.01) / (n.sum(0) + 0.01 * len(pieces))
         shared.unpersist()
-    return langs, pieces, p
+    return p
 
 
 def _predict(scorer: Scorer, langs: list[str], texts: list):

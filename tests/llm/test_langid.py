@@ -64,3 +64,14 @@ def test_nothing_to_learn_and_empty(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert l.predict(docs, l.fit(docs, ~l.held_out())).first().lang_pred == "und"
     assert l.predict(docs.limit(0), l.fit(docs.limit(0), ~l.held_out())).count() == 0
+
+
+def test_every_label_is_learned(spark):
+    r = random.Random(9)
+    own = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(7)) for _ in range(6)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(r.choice(own[lang]) for _ in range(30)), lang) for k, lang in enumerate(own) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = l.fit(docs, F.lit(True))
+    assert model[0] == sorted(own) and model[2].shape == (len(model[1]), 70) and np.allclose(model[2].sum(0), 1)
+    got = {x.doc_id: x.lang_pred for x in l.predict(docs, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.98
