@@ -175,6 +175,17 @@ def test_texts_of_one_vocabulary_are_compared_with_each_other(spark):
     assert kept_of(spark, rows) == brute_firsts(rows) == [1, 2, 5]
 
 
+def test_near_copies_with_a_block_more_are_found(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(200):
+        w = words_of(r, r.choice([60, 200, 600]))
+        at = r.randrange(len(w))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:at] + words_of(r, len(w) // 5 - 9) + w[at:]))]
+    want = brute_firsts(rows)
+    assert len(want) < 210 and kept_of(spark, rows) == want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
