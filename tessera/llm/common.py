@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -28,20 +27,38 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under a folder of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir.
+
+    Where that is unset a local master, as in tests, gets a folder of its own; on a cluster it is an error, because executors
+    would each write to a folder that nobody else sees.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_before.get() if set_before.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
-        if not set_before.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
+        base = set_before.get() if set_before.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir isn't set: the operators need a folder that the driver and all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}"
 
 
+#: Frees a query's shuffle files as soon as it has ended: what ``written`` returns is read from its table, never from them.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, path: str, *by: str) -> DataFrame:
-    """Cuts the lineage of ``df``: writes it to the shared ``path`` and reads it back."""
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not by else df.sparkSession.read.parquet(path)
+    """Cuts the lineage of ``df``: writes it to the shared ``path``, frees its shuffle files, and reads it back."""
+    spark = df.sparkSession
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, *paths: str) -> None:
@@ -52,10 +69,32 @@ def removed(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now, not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def filesystem(uri: str):
+    """(file system, path) of a shared folder or file, by its scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def put(uri: str, blobs: list[bytes]) -> None:
+    """Writes blobs as one shared file."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as f:
+        for b in blobs:
+            f.write(len(b).to_bytes(8, "little") + b)
+
+
+def get(uri: str) -> list[bytes]:
+    """The blobs of a shared file."""
+    fs, path = filesystem(uri)
+    with fs.open_input_stream(path) as f:
+        data, out, at = f.read(), [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
 
 
 def crc_of_id(column: str = "doc_id"):
@@ -73,19 +112,23 @@ def batches_of(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def pack_u64(values: np.ndarray) -> bytes:
-    """Sorted unsigned longs as compressed differences, one plane per byte."""
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, one compressed plane per byte that the largest needs."""
     import zstandard
 
-    d = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
+    v = np.ascontiguousarray(values).astype(np.uint64)
+    width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
-def unpack_u64(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    width = blob[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
 
 
 def pack_ints(values: np.ndarray, dtype: str = "<u4") -> bytes:

@@ -40,13 +40,6 @@ READ_AT_ONCE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
-def filesystem(uri: str):
-    """(file system, path) of a shared folder or file, by its scheme."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 # Writing
 
 
@@ -112,7 +105,7 @@ class Archive:
 
     def save(self, where: str) -> tuple[str, int, int]:
         out = zip_bytes([("datapackage.json", b'{"profile":"data-package"}'), ("archive/data.warc.gz", bytes(self.data)), ("indexes/index.cdxj", "\n".join(self.index).encode())])
-        fs, path = filesystem(where)
+        fs, path = common.filesystem(where)
         fs.create_dir(path, recursive=True)
         name = f"{uuid.uuid4().hex}.wacz"
         with fs.open_output_stream(f"{path}/{name}") as f:
@@ -322,7 +315,7 @@ def read(manifest: DataFrame, at_once: int = 1000) -> DataFrame:
     def run(batches):
         for b in batches:
             for path, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                fs, local = filesystem(path)
+                fs, local = common.filesystem(path)
                 with fs.open_input_file(local) as f:
                     yield common.batches_of([result(r) for r in records(Zip(f), first, first + at_once)], ROWS)
 

@@ -13,62 +13,105 @@ def tokens(t):
     return ["".join(c.lower() if c.isascii() else c for c in w) for w in (t or "").replace("\n", " ").split(" ") if w] + [None]
 
 
-def brute(rows):
-    held = {i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows}
-    c1, c2, ch = Counter(), Counter(), Counter()
-    for i, t in rows:
-        if not held[i]:
+class Brute:
+    """Counts in dictionaries, probabilities by the recursion of the module's docstring."""
+
+    def __init__(self, texts, order, freed=katz.FREED):
+        self.order, self.freed = order, freed
+        self.c = {k: Counter() for k in range(1, order + 1)}
+        self.h = {k: Counter() for k in range(2, order + 1)}
+        for t in texts:
             w = tokens(t)
-            c1.update(w)
-            c2.update(zip(["<s>", *w], w))
-            ch.update(["<s>", *w[:-1]])
-    n, v = sum(c1.values()), len(c1)
-    nr = lambda c: [0] + [sum(x == r for x in c.values()) for r in range(1, 7)]
-    d1, d2 = katz.discounts(nr(c1)), katz.discounts(nr(c2))
-    mass1 = {w: (d1[c] if c <= 5 else 1) * c for w, c in c1.items()}
-    unknown = 1 - sum(mass1.values()) / n
-    total = n
-    if unknown <= 1e-12:
-        total, unknown = n + 1, 1 / (n + 1)
-    p1 = lambda w: mass1[w] / total if w in mass1 else unknown
-    follow = {}
-    for h, w in c2:
-        follow.setdefault(h, []).append(w)
-    mass = lambda h, w: max(min((d2[c2[h, w]] if c2[h, w] <= 5 else 1) * c2[h, w], c2[h, w] - katz.FREED), 0)
-
-    def p(h, w):
-        if not ch[h]:
-            return p1(w)
-        if c2[h, w]:
-            return mass(h, w) / ch[h]
-        seen = follow[h]
-        return (1 - sum(mass(h, x) for x in seen) / ch[h]) / (1 - sum(map(p1, seen))) * p1(w)
-
-    for h in ["<s>", *list(c1)[:20], "never met"]:
-        if h is not None:
-            assert sum(p(h, w) for w in [*c1, "never met either"]) == pytest.approx(1)
-    out = []
-    for i, t in rows:
+            for i, x in enumerate(w):
+                self.c[1][x] += 1
+                for k in range(2, order + 1):
+                    if i >= k - 2:
+                        g = tuple(["<s>", *w][i + 2 - k : i + 1])
+                        self.c[k][g, x] += 1
+                        self.h[k][g] += 1
+        nr = lambda c: [0] + [sum(x == r for x in c.values()) for r in range(1, 7)]
+        self.d = {k: katz.discounts(nr(c)) for k, c in self.c.items()}
+        self.n, self.v = sum(self.c[1].values()), len(self.c[1])
+        self.m1 = {w: (self.d[1][c] if c <= 5 else 1) * c for w, c in self.c[1].items()}
+        self.total, self.unknown = self.n, 1 - sum(self.m1.values()) / self.n
+        if self.unknown <= 1e-12:
+            self.total, self.unknown = self.n + 1, 1 / (self.n + 1)
+        self.follow = {k: {} for k in self.h}
+        for k in self.h:
+            for g, x in self.c[k]:
+                self.follow[k].setdefault(g, []).append(x)
+
+    def mass(self, k, g, x):
+        c = self.c[k][g, x]
+        return max(min((self.d[k][c] if c <= 5 else 1) * c, c - self.freed), 0)
+
+    def p(self, g, x):
+        if not g:
+            return self.m1[x] / self.total if x in self.m1 else self.unknown
+        k = len(g) + 1
+        if not self.h[k][g]:
+            return self.p(g[1:], x)
+        if self.c[k][g, x]:
+            return self.mass(k, g, x) / self.h[k][g]
+        seen = self.follow[k][g]
+        return (1 - sum(self.mass(k, g, y) for y in seen) / self.h[k][g]) / (1 - sum(self.p(g[1:], y) for y in seen)) * self.p(g[1:], x)
+
+    def row(self, i, held, t):
         w = tokens(t)
-        out.append((i, held[i], len(w), sum(c1[x] > 0 for x in w), n, sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w], w))))
-    return out
+        before = lambda j: tuple(["<s>", *w][max(0, j + 2 - self.order) : j + 1])
+        score = sum(math.log10(self.p(before(j), x)) for j, x in enumerate(w))
+        return i, held, len(w), sum(self.c[1][x] > 0 for x in w), self.n, sum(math.log10((self.c[1][x] + 1) / (self.n + self.v + 1)) for x in w), score
 
 
-@pytest.mark.parametrize("batch_tokens", [60, 10**6])
-def test_scores_equal_brute_force(spark, batch_tokens):
+def held_out(i):
+    return zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+
+
+def some_rows():
     r = random.Random(9)
     vocabulary = [f"w{int(r.paretovariate(0.7))}" for _ in range(400)] + ["Hot"] * 200
     rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(0, 40)))) for i in range(120)]
-    rows += [(None, "hot hot\nnews"), (200, None), (201, ""), (7, rows[7][1]), (202, "unheard of " * 50)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("batch", F.lit(1)).withColumn("score", F.lit(1))
-    got = katz.score(docs, common.crc_of_id() % 7 == 2, batch_tokens, parts=3).collect()
-    want = sorted(brute(rows), key=lambda x: (str(x[0]), x[5]))
-    got = sorted(map(tuple, got), key=lambda x: (str(x[0]), x[5]))
+    return rows + [(None, "hot hot\nnews"), (200, None), (201, ""), (7, rows[7][1]), (202, "unheard of " * 50)]
+
+
+def same(got, want):
+    key = lambda x: (str(x[0]), x[5])
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
+@pytest.mark.parametrize("order,batch_tokens,hot", [(3, 60, 20), (3, 10**6, None), (2, 200, 15), (4, 300, 30), (1, 100, None)])
+def test_scores_equal_brute_force(spark, order, batch_tokens, hot):
+    rows = some_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("batch", F.lit(1)).withColumn("score", F.lit(1)).withColumn("part", F.lit("x"))
+    b = Brute([t for i, t in rows if not held_out(i)], order)
+    if order > 1:
+        for g in list(b.h[order])[:15] + [("hot",), ("never met",)][: 2 if order == 2 else 0]:
+            assert sum(b.p(g, x) for x in [*b.c[1], "never met either"]) == pytest.approx(1)
+    got = katz.score(docs, common.crc_of_id() % 7 == 2, batch_tokens, parts=3, order=order, hot=hot).collect()
+    same(got, [b.row(i, held_out(i), t) for i, t in rows])
+
+
+def test_kept_model_scores_other_texts(spark):
+    rows = some_rows()
+    train, other = [x for x in rows if not held_out(x[0])], [x for x in rows if held_out(x[0])] + [(300, "hot hot hot w1 w2"), (301, "")]
+    where = common.shared_dir(spark)
+    kept = katz.score(spark.createDataFrame(train, "doc_id long, text string"), F.lit(False), 100, parts=3, hot=20, keep=where)
+    assert kept.count() == len(train)
+    got = katz.score_with(spark.createDataFrame(other, "doc_id long, text string"), katz.load(spark, where), 50).collect()
+    b = Brute([t for _, t in train], 3)
+    same(got, [b.row(i, True, t) for i, t in other])
+
+
+def test_without_the_least_discount_a_text_would_be_impossible():
+    b = Brute(["a b"] * 8, 2, freed=0)
+    assert b.p(("a",), "b") == 1 and b.p(("a",), "c") == 0
+    b = Brute(["a b"] * 8, 2)
+    assert 0 < b.p(("a",), "c") < b.p(("a",), "b") < 1
+
+
 def test_discounts():
     d = katz.discounts([0, 1000, 400, 200, 120, 80, 60])
     assert all(0 < x <= 1 for x in d) and d[1] < d[5]
