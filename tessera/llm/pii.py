@@ -1,14 +1,20 @@
 """Operator 4: personal data, by fixed patterns and bootstrapped contextual extraction.
 
-Base spans of four kinds come from fixed patterns. They seed the extraction: the words around each seed make lexical
-patterns (the two words before it; the word before with the word after), and identifier-like tokens that no base span
-covers are the candidates. Spark scores the graph of patterns and instances by turns: a pattern's confidence for a kind
-is the summed score of its instances over their number plus one, an instance's score is the noisy-or over its patterns.
-Only patterns met with ``min_seeds`` distinct seeds of the kind count. After ``rounds`` turns, a candidate of score
-``threshold`` or more whose shape fits the kind is a found identifier; its occurrences in high-confidence patterns are
-added as spans. Base spans stay as they are.
-
-A candidate is a token of 5 to 64 characters between white space, stripped of punctuation, with a digit or an @.
+Base spans of four kinds come from fixed patterns. They seed the extraction, and so do strings of 32 to 64 hexadecimal
+digits that are assigned in quotes, as seeds of a fifth kind, secret, which has no base spans. The tokens around an entity
+(words and punctuation marks) make its lexical patterns: the two and the three before it, and the one before with the one
+after; a pattern of punctuation alone says nothing and isn't kept. Candidates are identifier-like tokens and groups of
+digits that no base span covers.
+
+Spark scores the graph of patterns and instances in rounds. A pattern's confidence for a kind is the summed score of its
+known instances of the kind over the number of all its instances plus one; it counts from half of ``threshold`` on, if it
+is met with ``min_seeds`` known ones. A candidate's score is the noisy-or over its patterns; with ``threshold`` or more, and a shape that
+fits the kind, it is known from the next round on, so that what was found induces patterns as the seeds do. Rounds end
+when nothing changes, or after ``rounds``. The occurrences of found instances in counting patterns are added as spans,
+and so are those of seeds of secrets. Base spans stay as they are.
+
+A candidate is a token of 5 to 128 characters between white space, stripped of punctuation, with a digit or an @, or a
+run of 7 to 19 digits in groups joined by single blanks, dots, hyphens or brackets.
 
 Defined results: a null text counts as empty: no spans. Offsets are code points, end exclusive. Repeated rows and null
 ids come back one by one; extra columns are ignored. Empty table: no rows.
@@ -16,6 +22,7 @@ ids come back one by one; extra columns are ignored. Empty table: no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -25,8 +32,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Kinds in their fixed order.
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds in their fixed order; the last has no base spans.
+KINDS = ("email", "ip", "card", "phone", "secret")
+SECRET = 4
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,7 +44,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 SIGN = re.compile(r"[0-9@]")
-WORD = re.compile(r"\w+")
+TOKEN = re.compile(r"\w+|[^\w\s]")
+ASSIGNED = re.compile(r"[=:]\s?[\"']([0-9A-Fa-f]{32,64})[\"']")
+GROUPS = re.compile(r"(?<![0-9])[+(]?[0-9]+(?:(?:[ .-]|\) ?| ?\()[0-9]+)+")
+#: The longest candidate.
+LONGEST = 128
 DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -95,45 +107,72 @@ def _fits(kind, token):
     """Whether a candidate's shape allows the kind."""
     digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
     dots = F.length(token) - F.length(F.replace(token, F.lit("."), F.lit("")))
-    return F.when(kind == 0, token.contains("@")).when(kind == 1, (dots >= 3) & (digits >= 4)).when(kind == 2, digits.between(12, 19)).otherwise(digits.between(7, 15))
+    secret = (F.length(token) >= 16) & (digits > 0) & ~token.contains(" ") & ~token.contains("@")
+    return F.when(kind == 0, token.contains("@")).when(kind == 1, (dots >= 3) & (digits >= 4)).when(kind == 2, digits.between(12, 19)).when(kind == SECRET, secret).otherwise(digits.between(7, 15))
+
+
+def _named(token: str) -> str:
+    """A token in lower case, a very long one by its digest."""
+    token = token.lower()
+    return token if len(token) <= 64 else hashlib.sha1(token.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _before(text: str, end: int, n: int) -> list[str]:
+    """The last ``n`` tokens before ``end``, whole ones."""
+    size = 48
+    while True:
+        start = max(0, end - size)
+        found = TOKEN.findall(text, start, end)
+        if len(found) > n or not start:  # the first one may be cut
+            return [_named(t) for t in found[-n:]]
+        size *= 4
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    before = WORD.findall(text[max(0, start - 48) : start].lower())[-2:]
-    after = WORD.findall(text[end : end + 24].lower())[:1]
-    out = ["L " + " ".join(before)] if len(before) == 2 else []
-    return out + (["B " + before[-1] + " _ " + after[0]] if before and after else [])
+    before = _before(text, start, 3)
+    after = TOKEN.search(text, end)
+    out = [("L", before[-n:]) for n in (2, 3) if len(before) >= n]
+    if before and after:
+        out.append(("B", [before[-1], "_", _named(after.group())]))
+    return [f"{kind} {' '.join(p)}" for kind, p in out if any(t != "_" and t[0].isalnum() for t in p)]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of identifier-like tokens outside the base spans."""
-    out, last, k = [], 0, 0
+    """Spans of identifier-like tokens and groups of digits outside the base spans."""
+    runs = [m.span() for m in GROUPS.finditer(text) if 7 <= sum(c.isdigit() for c in m.group()) <= 19]
+    found, last = [(a, b) for a, b in runs if any(c.isspace() for c in text[a:b])], 0
     for m in SIGN.finditer(text):
         i = m.start()
         if i < last:
             continue
         a = b = i
-        while a > 0 and i - a <= 64 and not text[a - 1].isspace():
+        while a > 0 and i - a <= LONGEST and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and b - i <= 64 and not text[b].isspace():
+        while b < len(text) and b - i <= LONGEST and not text[b].isspace():
             b += 1
         last = b
         while a < b and not text[a].isalnum() and text[a] not in "+(":
             a += 1
         while a < b and not text[b - 1].isalnum() and text[b - 1] != ")":
             b -= 1
-        while k < len(base) and base[k][2] <= a and (k + 1 == len(base) or base[k + 1][0] <= a):
-            k += 1
-        if 5 <= b - a <= 64 and not any(s < b and e > a for s, _, e in base[max(0, k - 3) : k + 8]):
+        if 5 <= b - a <= LONGEST:
+            found.append((a, b))
+    # base spans first, then the longer candidates; nothing overlaps what is taken already
+    out, taken = [], sorted((a, e) for a, _, e in base)
+    for a, b in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
+        k = bisect.bisect_left(taken, (b,))
+        if all(e <= a for _, e in taken[max(0, k - len(KINDS)) : k]):
+            bisect.insort(taken, (a, b))
             out.append((a, b))
-    return out
+    return sorted(out)
 
 
 def _row(text: str):
     base = base_spans(text)
     seen = [(p, text[a:b].lower(), a, b, kind) for a, kind, b in base for p in _patterns(text, a, b)]
     if SIGN.search(text):
-        seen += [(p, text[a:b].lower(), a, b, -1) for a, b in candidates(text, base) for p in _patterns(text, a, b)]
+        secrets = {m.span(1) for m in ASSIGNED.finditer(text)}
+        seen += [(p, text[a:b].lower(), a, b, SECRET if (a, b) in secrets else -1) for a, b in candidates(text, base) for p in _patterns(text, a, b)]
     return base, seen
 
 
@@ -168,25 +207,29 @@ def _noisy_or(confidence):
     return 1 - F.exp(F.sum(F.log(1 - F.least(confidence, F.lit(0.999999)))))
 
 
-def discover(seen: DataFrame, where: str, rounds: int = 3, min_seeds: int = 5, threshold: float = 0.9) -> DataFrame:
-    """(pattern, instance, kind): the found identifiers and the high-confidence patterns that they stand in.
+def discover(seen: DataFrame, where: str, rounds: int = 6, min_seeds: int = 5, threshold: float = 0.9) -> DataFrame:
+    """(pattern, instance, kind): the found instances, and seeds of secrets, with the counting patterns that they stand in.
 
     ``seen`` has pattern, instance and kind (-1: not known) per occurrence.
     """
     edges = common.written(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), f"{where}/edges")
-    seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= min_seeds).select("pattern", F.col("kind").alias("of"))
-    # only patterns with enough seeds of a kind can count for it, and only what stands in them can be found
-    graph = common.written(edges.join(seeds, "pattern").select("pattern", "of", "instance", "kind"), f"{where}/graph")
-    score = F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)
-    scored = graph.select("pattern", "of", "instance", "kind", score.alias("score"))
+    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeds = edges.filter("kind >= 0").select("instance", F.col("kind").alias("of"), F.lit(1.0).alias("score")).distinct()
+    known, before = seeds, None
     for i in range(rounds):
-        conf = scored.groupBy("pattern", "of").agg((F.sum("score") / (F.count("*") + 1)).alias("conf"))
-        votes = graph.join(conf, ["pattern", "of"])
-        new = votes.groupBy("instance", "of").agg(_noisy_or(F.col("conf")).alias("voted"))
-        scored = votes.join(new, ["instance", "of"]).select("pattern", "of", "instance", "kind", "conf", F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") >= 0, 0.0).otherwise(F.col("voted")).alias("score"))
-        scored = common.written(scored, f"{where}/round{i}")
-    found = scored.filter((F.col("kind") < 0) & (F.col("score") >= threshold) & (F.col("conf") >= threshold / 2))
-    return found.select("pattern", "instance", F.col("of").alias("kind"))
+        support = edges.join(known, "instance").groupBy("pattern", "of").agg(F.sum("score").alias("score"), F.count("*").alias("known"))
+        good = support.filter(F.col("known") >= min_seeds).join(size, "pattern").select("pattern", "of", (F.col("score") / (F.col("n") + 1)).alias("conf"))
+        good = common.written(good.filter(F.col("conf") >= threshold / 2), f"{where}/good{i}")
+        votes = edges.filter("kind < 0").join(good, "pattern").filter(_fits(F.col("of"), F.col("instance")))
+        new = votes.groupBy("instance", "of").agg(_noisy_or(F.col("conf")).alias("score")).filter(F.col("score") >= threshold)
+        new = common.written(new, f"{where}/new{i}")
+        known = seeds.unionByName(new)
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("instance", "of").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    found = edges.filter("kind < 0").join(new.select("instance", "of"), "instance").unionByName(edges.filter(F.col("kind") == SECRET).withColumn("of", F.col("kind")))
+    return found.join(good, ["pattern", "of"]).select("pattern", "instance", F.col("of").alias("kind"))
 
 
 def find(docs: DataFrame, **k) -> DataFrame:
@@ -194,9 +237,9 @@ def find(docs: DataFrame, **k) -> DataFrame:
     where = common.shared_dir(docs.sparkSession)
     rows = common.written(_scan(docs).withColumn("row", F.monotonically_increasing_id()), f"{where}/rows")
     seen = rows.filter(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    found = discover(seen, where, **k)
-    new = seen.filter("kind < 0").drop("kind").join(found, ["pattern", "instance"])
-    added = new.select("row", "start", "end", "kind", "instance").distinct().filter(_fits(F.col("kind"), F.col("instance")))
+    found = common.written(discover(seen, where, **k), f"{where}/found")
+    new = seen.filter(f"kind < 0 or kind = {SECRET}").drop("kind").join(found, ["pattern", "instance"])
+    added = new.select("row", "start", "end", "kind").distinct()
     # one kind per token: the first in order
     added = added.groupBy("row", "start", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     return rows.join(added, "row", "left").select("doc_id", "base", "base_sha256", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
@@ -210,5 +253,6 @@ def joined(spans):
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return find(common.documents(spark, sf_dir)).select("doc_id", *n, "base_sha256", joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:SECRET])]
+    every = F.concat("base", "added")
+    return find(common.documents(spark, sf_dir)).select("doc_id", *n, "base_sha256", joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(every).cast("long").alias("n_spans"))

@@ -38,15 +38,84 @@ def test_base_spans_equal_the_plain_patterns():
     assert pii.base_spans("9" * 20000 + "@") == []
 
 
-def test_contexts_discover_unseen_identifiers(spark):
-    rows = [(i, f"intro text {i} please call me under +1 555 010 {1000 + i} today thanks") for i in range(40)]
-    rows += [(100, "intro please call me under 555-010-7777 today thanks"), (101, "the year of 1984-2001 was long"), (None, None), (102, ""), (102, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("row", F.lit(1))
-    got = {}
-    for x in pii.find(docs).collect():
-        got.setdefault(x.doc_id, []).append(x)
-    assert sum(map(len, got.values())) == len(rows)
-    assert [tuple(s) for s in got[100][0].added] == [(27, 3, 39)] and not got[100][0].base
-    assert all(not x.added for k, v in got.items() if k != 100 for x in v)
-    assert len(got[7][0].base) == 1 and got[None][0].base_sha256 == hashlib.sha256(b"").hexdigest() and len(got[102]) == 2
+def patterns(text, a, b):
+    """The patterns of a span by plain reading of the whole text."""
+    token = re.compile(r"\w+|[^\w\s]")
+    before, after = token.findall(text[:a].lower())[-3:], token.findall(text[b:].lower())[:1]
+    out = [("L", before[-2:])] * (len(before) >= 2) + [("L", before)] * (len(before) == 3) + [("B", [*before[-1:], "_", *after])] * bool(before and after)
+    return {k + " " + " ".join(p) for k, p in out if any(t[0].isalnum() for t in p)}
+
+
+def shape(kind, t):
+    digits = sum(c.isdigit() for c in t)
+    return ["@" in t, t.count(".") >= 3 and digits >= 4, 12 <= digits <= 19, 7 <= digits <= 15, len(t) >= 16 and digits > 0 and " " not in t and "@" not in t][kind]
+
+
+def bootstrap(texts, rounds=6, min_seeds=5, threshold=0.9):
+    """The added spans by dictionaries."""
+    seen, edges = [], {}
+    for t in texts:
+        base = brute(t)
+        secrets = {m.span(1) for m in re.finditer(r"[=:]\s?[\"']([0-9A-Fa-f]{32,64})[\"']", t)}
+        own = [(a, b, k) for a, k, b in base] + [(a, b, 4 if (a, b) in secrets else -1) for a, b in pii.candidates(t, base)]
+        seen.append([(a, b, k, t[a:b].lower(), patterns(t, a, b)) for a, b, k in own])
+        for _, _, k, i, ps in seen[-1]:
+            for p in ps:
+                edges.setdefault(p, {})[i] = max(k, edges.get(p, {}).get(i, -1))
+    seeds = {(i, k): 1.0 for e in edges.values() for i, k in e.items() if k >= 0}
+    known, good, new = seeds, {}, {}
+    for _ in range(rounds):
+        good, before = {}, new
+        for p, e in edges.items():
+            for k in range(5):
+                s = [known[i, k] for i in e if (i, k) in known]
+                if len(s) >= min_seeds and sum(s) / (len(e) + 1) >= threshold / 2:
+                    good[p, k] = sum(s) / (len(e) + 1)
+        miss = {}
+        for p, k in good:
+            for i, own in edges[p].items():
+                if own < 0 and shape(k, i):
+                    miss[i, k] = miss.get((i, k), 1) * (1 - good[p, k])
+        new = {x: 1 - m for x, m in miss.items() if 1 - m >= threshold}
+        known = {**seeds, **new}
+        if new.keys() == before.keys():
+            break
+    out = []
+    for spans in seen:
+        found = {}
+        for a, b, own, i, ps in spans:
+            for k in range(5):
+                if (own < 0 and (i, k) in new or own == k == 4) and any((p, k) in good and (edges[p][i] < 0 or k == 4) for p in ps):
+                    found.setdefault((a, b), k)
+        out.append(sorted((a, k, b) for (a, b), k in found.items()))
+    return out
+
+
+def test_added_spans_equal_a_plain_bootstrap(spark):
+    r = random.Random(3)
+    words = "ask the desk for a line or two then go on with it".split()
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    texts = [f"{some(5)} please call me under +1 555 010 {1000 + i} today {some(3)}" for i in range(40)]
+    # found by what the seeds induce; they in turn induce the pattern of the last ones
+    texts += [f"{some(4)} please call me under 0555-01-{7000 + i} today {some(4)}" for i in range(3)]
+    texts += [f"{some(4)} please call me under (0171) 555 {4000 + i} today and my fax number is (0171) 555 {4000 + i} {some(2)}" for i in range(30)]
+    texts += [f"{some(3)} my fax number is 0800 55 {100 + i} {some(2)}" for i in range(2)]
+    texts += [f'{some(6)} token = "{r.randrange(16**40):040x}" {some(2)}' for _ in range(30)] + [f'{some(3)} token = "Ab{r.randrange(16**20):020x}zz" {some(2)}']
+    texts += [f"{some(4)} write to {some(1)}{i}@mail{i % 3}.example.com {some(3)} 12{i} 4567{i}89{i}" for i in range(20)]
+    texts += ["x" * 3000 + " y" * 3 + " 12 34 5678", "the year of 1984-2001 was long", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).withColumn("base", F.lit(1)).withColumn("row", F.lit(1)).withColumn("pattern", F.lit(1))
+    want = bootstrap([t or "" for t in texts])
+    got = {x.doc_id: sorted(tuple(s) for s in x.added) for x in pii.find(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(want[i] for i in range(40, 106)) and not any(want[:40]) and not any(want[106:])
+    one_round = {x.doc_id: x.added for x in pii.find(docs, rounds=1).collect()}
+    assert any(one_round[i] for i in range(40, 43)) and not any(one_round[i] for i in (73, 74))
+
+
+def test_defined_results(spark):
+    rows = [(None, None), (102, ""), (102, ""), (3, "a@b.de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(pii.find(docs).collect(), key=lambda x: x.doc_id or 0)
+    assert [len(x.base) for x in got] == [0, 1, 0, 0] and not any(x.added for x in got)
+    assert got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert pii.find(docs.limit(0)).count() == 0
