@@ -274,7 +274,7 @@ class Questions:
             classes, below = np.zeros((len(self.counts[k]), K + 1)), np.zeros(len(self.counts[k]))
             probe = np.zeros(len(self.counts[k]), bool)
             probe[back] = True
-            got = [(unpack(r["classes"]).reshape(-1, K + 1), np.frombuffer(r["below"], "<f8")) for r in rows]
+            got = [(unpack(r["classes"]).reshape(-1, K + 1), unpack(r["below"]).view(np.float64)) for r in rows]
             if got:
                 classes[probe], below[probe] = np.concatenate([g for g, _ in got]), np.concatenate([b for _, b in got])
             # two shares of a history may have met in one part, which then has answered for both
@@ -339,7 +339,7 @@ def _add_up(model: Model, k: int):
             t, r = total[b], rank[b][seen[b]]
             probes = at[i : i + s][w[i : i + s] == PROBE] if k > 1 else []
             if name:
-                out.append({"kind": "answer", "batch": name, "counts": pack(t), "ranks": pack(np.diff(r, prepend=0)), "classes": pack(cls[probes].ravel()), "below": below[probes].astype("<f8").tobytes() if k > 1 else b""})
+                out.append({"kind": "answer", "batch": name, "counts": pack(t), "ranks": pack(np.diff(r, prepend=0)), "classes": pack(cls[probes].ravel()), "below": pack(below[probes].view(U64)) if k > 1 else b""})
             i += s
         out.append({"kind": "sums", "nr": [int(total.sum()), int(seen.sum())] + [int((total == r).sum()) for r in range(1, K + 2)]})
         out.append({"kind": "table", "batch": "", **dict(zip(("ctx", "fan", "w"), pack_grams(ctx[ctx_of[seen]], w_of[seen]))), "n": pack(total[seen]), "low": pack(low_of[seen])})
@@ -437,5 +437,5 @@ def score_with(docs: DataFrame, model: Model, batch_tokens: int = 1_000_000) ->
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents, learned from those whose id hash isn't held out."""
-    return score(common.documents(spark, sf_dir), common.crc_of_id() % 7 == 2)
+    """Bigram scores of all documents, learned from those whose id hash isn't held out (README: what trigrams cost)."""
+    return score(common.documents(spark, sf_dir), common.crc_of_id() % 7 == 2, order=2)
