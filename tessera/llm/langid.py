@@ -6,36 +6,38 @@ The prediction is the language of largest posterior under equal priors, ties to
 posterior.
 
 Words are the runs of letters and other non-ASCII characters of the lower-cased text, with the vocabulary's word mark in
-front; one longer than ``CHUNK`` characters is scored as consecutive pieces of that length, so that time stays linear.
-The words of a batch that aren't cached are scored together, grouped by length. Caches are bounded.
+front, of any length: time is linear in it, and sums are rescaled on the way. The words of a batch that aren't cached are
+scored together, grouped by length. Caches are bounded, and outlive the tasks of a worker.
 
-Fitting: expected piece counts (forward-backward) over a bounded sample of labelled texts, ``sample_docs`` per language,
-those of least id hash; two rounds from equal probabilities. Every label is learned, ``at_once`` of them in one pass, so
+Fitting: expected piece counts (forward-backward) over a bounded sample of labelled texts, the ``sample_docs`` rows per
+language whose id and text have the least hash; two rounds from equal probabilities. Every label is learned, ``at_once`` of them in one pass, so
 that counts of at most the vocabulary times ``at_once`` reach the driver at a time. The model is one column per language.
 
-Defined results: `und` with score 0 for null texts, texts without a letter, and if nothing could be learned. Rows with
+Defined results: `und` with score 0 for null texts, texts without a letter (by Unicode's categories: ½ and ² are none), and
+if nothing could be learned. Rows with
 null or repeated ids come back one by one; extra columns are ignored by ``predict`` and kept by ``known``.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import repeat
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-CHUNK = 32
 MARK = "▁"
 #: ASCII letters and all bytes of other code points stay.
 LETTERS = bytes(c if 97 <= c <= 122 or 65 <= c <= 90 or c > 127 else 32 for c in range(256))
-HAS_LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = regex.compile(r"\p{L}")
 #: The probability of a character that the vocabulary lacks.
 UNKNOWN = 1e-7
+#: Longer words are rescaled, every so many characters.
+SHORT, STEP = 24, 8
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -78,43 +80,55 @@ class Lattice:
                     found[i, j] = ids
         return found
 
-    def forward(self, words, table, cells=None):
-        cells, n = cells or self.cells(words), len(words[0])
-        a = np.zeros((n + 1, len(words), table.shape[1]))
-        a[0] = 1
+    def _swept(self, words, table, cells, back: bool = False):
+        """(sums, logarithms of their scales) at each place, from the first on, or from the last on backwards."""
+        n, shape = len(words[0]), (len(words), table.shape[1])
+        a, scale = np.zeros((n + 1, *shape)), np.zeros((n + 1, *shape)) if n > SHORT else None
+        by: dict[int, list[tuple[int, np.ndarray]]] = {}
         for (i, j), ids in cells.items():
-            a[j] += a[i] * table[ids]
-        return a
+            by.setdefault(n - i if back else j, []).append((n - j if back else i, ids))
+        a[0] = 1
+        now = np.zeros(shape)
+        for j in range(1, n + 1):
+            for i, ids in by.get(j, ()):
+                a[j] += (a[i] if scale is None else a[i] * np.exp(scale[i] - now)) * table[ids]
+            if scale is not None:
+                scale[j] = now
+                if j % STEP == 0:
+                    now = now + np.log(a[j])
+        return (a[::-1], None if scale is None else scale[::-1]) if back else (a, scale)
+
+    def log_forward(self, words, table) -> np.ndarray:
+        """The logarithm of each word's probability, summed over all segmentations."""
+        a, scale = self._swept(words, table, self.cells(words))
+        return np.log(a[-1]) + (0 if scale is None else scale[-1])
 
     def expected(self, words, weights, table):
         """Expected counts per piece and language of words that occur ``weights`` (words x languages) times."""
         cells, n = self.cells(words), len(words[0])
-        a = self.forward(words, table, cells)
-        b = np.zeros_like(a)
-        b[n] = 1
-        for (i, j), ids in reversed(cells.items()):
-            b[i] += table[ids] * b[j]
-        scale = weights / a[n]
+        (a, la), (b, lb) = self._swept(words, table, cells), self._swept(words, table, cells, True)
+        share = weights / a[n]
         out = np.zeros((len(self.pieces) + 2, table.shape[1]))
         for (i, j), ids in cells.items():
-            got = a[i] * table[ids] * b[j] * scale
+            got = a[i] * table[ids] * b[j] * share
+            if la is not None:
+                got *= np.exp(la[i] + lb[j] - la[n])
             for k in range(table.shape[1]):
                 out[:, k] += np.bincount(ids, got[:, k], len(out))
         return out[: len(self.pieces)]
 
 
-def _chunks(word: bytes) -> list[str]:
-    w = MARK + word.decode("utf-8", "replace")
-    return [w[i : i + CHUNK] for i in range(0, len(w), CHUNK)]
+def _marked(word: bytes) -> str:
+    return MARK + word.decode("utf-8", "replace")
 
 
 def _by_length(words, languages: int):
-    """Words of one length, at most 4096 of them and fewer for more than 64 languages, so that a lattice stays as large."""
-    most = max(1, min(4096, 4096 * 64 // languages))
+    """Words of one length, at most 4096 of them and fewer of long ones and for many languages, so that a lattice stays as large."""
     groups: dict[int, list[str]] = {}
     for w in words:
         groups.setdefault(len(w), []).append(w)
-    for g in groups.values():
+    for n, g in groups.items():
+        most = max(1, min(4096, 4096 * 64 * SHORT // (languages * n)))
         for i in range(0, len(g), most):
             yield g[i : i + most]
 
@@ -136,14 +150,15 @@ class Scorer:
             more = np.empty((max(2 * len(self.log), at + len(words)), self.log.shape[1]))
             more[:at] = self.log[:at]
             self.log = more
-        parts = {w: _chunks(w) for w in words}
-        found = {}
-        for g in _by_length({c for p in parts.values() for c in p}, self.log.shape[1]):
-            found.update(zip(g, np.log(self.lattice.forward(g, self.table)[-1])))
-        for w, p in parts.items():
-            self.log[at] = found[p[0]] if len(p) == 1 else sum(found[c] for c in p)
-            self.row[w] = at
-            at += 1
+        whole: dict[str, list[bytes]] = {}
+        for w in words:
+            whole.setdefault(_marked(w), []).append(w)
+        for g in _by_length(whole, self.log.shape[1]):
+            for m, log in zip(g, self.lattice.log_forward(g, self.table)):
+                for w in whole[m]:
+                    self.log[at] = log
+                    self.row[w] = at
+                    at += 1
 
     def __call__(self, texts: list[list[bytes]]) -> np.ndarray:
         """Log probabilities (texts x languages)."""
@@ -167,18 +182,17 @@ class Scorer:
 def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, sample_docs: int = 400, at_once: int = 64, rounds: int = 2):
     """(languages, pieces, probabilities) from the rows of ``docs`` where ``train`` holds."""
     pieces = vocabulary(vocabulary_path)
-    labelled = docs.filter(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    labelled = docs.filter(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return langs, pieces, np.full((len(pieces), 1), 1 / len(pieces))
-    # ids of small hash, four times as many as wanted, so that the ranking sees as many rows whatever the input
-    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    # rows of small hash, four times as many as wanted, so that the ranking sees as many whatever the input
     share = docs.sparkSession.createDataFrame([(k, int((1 << 40) * min(1.0, (4 * sample_docs + 100) / counts[k]))) for k in langs], "lang string, share long")
-    few = labelled.select("doc_id", "lang").withColumn("h", hash_).join(F.broadcast(share), "lang").filter("h <= share").drop("share")
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_docs).select("doc_id", "lang").distinct()
-    sample = common.written(labelled.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"), common.shared_dir(docs.sparkSession))
+    few = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(F.broadcast(share), "lang").filter("h <= share")
+    w = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    ranked = few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_docs)
+    sample = common.written(ranked.select("lang", "text"), common.shared_dir(docs.sparkSession))
     sample = sample.repartition(max(1, min(64, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
     parts = [langs[i : i + at_once] for i in range(0, len(langs), at_once)]
     return langs, pieces, np.hstack([_learned(sample if len(parts) == 1 else sample.filter(F.col("lang").isin(x)), x, pieces, rounds) for x in parts])
@@ -199,10 +213,10 @@ def _learned(sample: DataFrame, langs: list[str], pieces: list[str], rounds: int
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     k = number[lang]
                     for word in split(text):
-                        for c in _chunks(word):
-                            if c not in n:
-                                n[c] = np.zeros(p.shape[1])
-                            n[c][k] += 1
+                        c = _marked(word)
+                        if c not in n:
+                            n[c] = np.zeros(p.shape[1])
+                        n[c][k] += 1
                 for g in _by_length(n, p.shape[1]):
                     total += lattice.expected(g, np.array([n[c] for c in g]), table)
             at = np.argwhere(total > 1e-9)
@@ -227,13 +241,24 @@ def _predict(scorer: Scorer, langs: list[str], texts: list):
     return [langs[b] if o and langs else "und" for b, o in zip(best, ok)], [float(s) if o and langs else 0.0 for s, o in zip(top, ok)]
 
 
+#: The worker's scorer, by the name of its model: one at a time, kept from task to task.
+_KEPT: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, shared) -> Scorer:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Scorer(*shared.value)
+    return _KEPT[name]
+
+
 def predict(docs: DataFrame, model) -> DataFrame:
     """(doc_id, lang_pred, score) per row of ``docs``; only the text is looked at."""
     langs, *rest = model
-    shared = docs.sparkSession.sparkContext.broadcast(rest)
+    shared, name = docs.sparkSession.sparkContext.broadcast(rest), uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(*shared.value)
+        scorer = _scorer(name, shared)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -247,10 +272,10 @@ def predict(docs: DataFrame, model) -> DataFrame:
 def known(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is found with a score of ``least`` or more."""
     langs, *rest = model
-    shared, at = docs.sparkSession.sparkContext.broadcast(rest), docs.columns.index("text")
+    shared, name, at = docs.sparkSession.sparkContext.broadcast(rest), uuid.uuid4().hex, docs.columns.index("text")
 
     def run(batches):
-        scorer = Scorer(*shared.value)
+        scorer = _scorer(name, shared)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)

@@ -24,9 +24,32 @@ def test_forward_sums_all_segmentations():
     p = np.array([[0.1, 0.3], [0.2, 0.1], [0.1, 0.1], [0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.2, 0.1]])
     lattice = l.Lattice(pieces)
     for w in ("▁abab", "▁babba", "▁xbab"):
-        got = lattice.forward([w, w], lattice.table(p))[-1]
+        got = lattice.log_forward([w, w], lattice.table(p))
         for k in range(2):
-            assert np.allclose(got[:, k], brute(w, dict(zip(pieces, p[:, k]))))
+            assert np.allclose(np.exp(got[:, k]), brute(w, dict(zip(pieces, p[:, k]))))
+
+
+def logs(word, prob):
+    """The log of the same sum by a recursion in logarithms."""
+    a = [0.0] + [-np.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - 4), j):
+            p = prob.get(word[i:j], l.UNKNOWN if j - i == 1 else 0.0)
+            a[j] = np.logaddexp(a[j], a[i] + np.log(p)) if p else a[j]
+    return a[-1]
+
+
+def test_long_words_are_summed_over_all_segmentations():
+    pieces = ["a", "ab", "b", "ba", "bab", "▁", "▁a"]
+    p = np.array([[0.1, 0.3], [0.2, 0.1], [0.1, 0.1], [0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.2, 0.1]])
+    lattice, r = l.Lattice(pieces), random.Random(1)
+    for n in (24, 25, 33, 400, 5000):
+        w = "▁" + "".join(r.choice("abbax") for _ in range(n))
+        got = lattice.log_forward([w, w], lattice.table(p))
+        assert np.allclose(got, [[logs(w, dict(zip(pieces, p[:, k]))) for k in range(2)]] * 2, rtol=1e-12)
+    n = lattice.expected(["▁" + "abba" * 300], np.array([[2.0, 1.0]]), lattice.table(p))
+    size = np.array([len(x.replace("▁", "")) for x in pieces])
+    assert np.allclose(size @ n, [2400, 1200])
 
 
 def test_expected_counts_keep_every_character():
@@ -55,6 +78,8 @@ def test_held_out_accuracy_and_defined_results(spark):
     by = {x.doc_id: x for x in got}
     assert np.mean([by[i].lang_pred == truth[i] for i in truth]) > 0.98
     assert by[900].lang_pred == by[901].lang_pred == by[902].lang_pred == "und"
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ³"), (3, "½ der und"), (4, "ª")], "doc_id long, text string")
+    assert [x.lang_pred == "und" for x in sorted(l.predict(odd, model).collect())] == [True, True, False, False]
     assert by[None].lang_pred == "de" and all(0 <= x.score <= 1 for x in got)
     kept = l.known(docs, model)
     assert kept.columns == docs.columns and kept.filter("doc_id in (900, 901, 902)").count() == 0 and kept.filter("doc_id < 300").count() >= 295
@@ -75,3 +100,13 @@ def test_every_label_is_learned(spark):
     assert model[0] == sorted(own) and model[2].shape == (len(model[1]), 70) and np.allclose(model[2].sum(0), 1)
     got = {x.doc_id: x.lang_pred for x in l.predict(docs, model).collect()}
     assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.98
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_are_learned_from_like_others(spark):
+    r = random.Random(2)
+    rows = [(None, texts(r, "de", 20), "de") for _ in range(450)] + [(i, texts(r, "de", 20), "de") for i in range(1, 100)] + [(7, texts(r, "fr", 20), "fr") for _ in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, pieces, p = l.fit(docs, F.lit(True), sample_docs=50)
+    assert langs == ["de", "fr"] and all(p[:, k].max() > 5 / len(pieces) for k in range(2))
+    got = l.predict(docs, (langs, pieces, p)).collect()
+    assert np.mean([x.lang_pred == lang for x, (_, _, lang) in zip(got, rows)]) > 0.98
