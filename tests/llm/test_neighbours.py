@@ -1,10 +1,14 @@
 import math
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import neighbours as nb
 
+D = "/root/testdata/sf0.01"
+
 
 def brute(rows, k):
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(e is not None and math.isfinite(e) for e in v) and any(v)]
@@ -44,8 +48,12 @@ def test_leaves_hold_every_point_once():
     x = np.concatenate([rng.standard_normal(64) * 3 + rng.standard_normal((400, 64)) * 0.1 for _ in range(8)])
     leaves = nb.leaves_of(x[:, :8])
     assert sorted(np.concatenate(leaves).tolist()) == list(range(len(x))) and max(map(len, leaves)) <= nb.LEAF
-    got = nb.search(x, np.arange(len(x)), x[:20], np.arange(20), 5)
-    assert len(got) == 100
+    got = list(nb.Cell(x, [[i] for i in range(len(x))], 8).search(x[:20], 5, np.full(20, -np.inf), 0.98))
+    assert len(got) == 100 and [a for i, a, _, same in got if same] == list(range(20))
+    cells = nb.Cells(x[:, :8], 3)
+    at = cells.of(x[:, :8])
+    assert len(set(at.tolist())) == 8 and max(np.bincount(at)) <= 401
+    assert all((cells.lo[c] <= p).all() and (p <= cells.hi[c]).all() for c, p in zip(at, x[:, :8]))
 
 
 def test_ties_nulls_copies_and_few_candidates(spark):
@@ -58,3 +66,32 @@ def test_ties_nulls_copies_and_few_candidates(spark):
     got = sorted((r.rank, r.vec_id) for r in nb.nearest(many, F.col("vec_id") == 2, k=5, block_rows=50).collect())
     assert got == [(1, 0), (2, 1), (3, 3), (4, 4), (5, 5)]
     assert nb.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in nb.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, k=3).collect())
+    assert got == sorted([(0, 1, 50), (0, 2, 50), (0, 3, 1), (0, 1, 2), (0, 2, 3), (0, 3, 1)] + 2 * [(50, 1, 0), (50, 2, 50), (50, 3, 1)])
+
+
+def test_a_hot_vector_and_clusters_over_many_cells(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16)) * 4
+    x = (centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 16))).astype(np.float32)
+    x[rng.random(4000) < 0.3] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = brute(rows, 5)
+    got = {}
+    for r in nb.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, block_rows=100, query_rows=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert got.keys() == want.keys() and all(len(g) == 5 for g in got.values())
+    assert sum(len({j for _, j in w} & {j for _, j in got[i]}) for i, w in want.items()) / (5 * len(want)) >= 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
+def test_recall_of_the_query_on_the_embeddings_table(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{D}/embeddings.parquet").collect()]
+    want, got = brute(rows, 5), {}
+    for r in nb.op3_neighbours(spark, D).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sum(len({j for _, j in w} & set(got[i])) for i, w in want.items()) / (5 * len(want)) >= 0.95
