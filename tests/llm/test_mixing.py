@@ -56,7 +56,7 @@ def test_oracle_agrees(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(con.sql(mixing.oracle()).fetchall(), key=str)
-    assert sorted(map(tuple, mixing.plan(docs).select("doc_id", "source", "lang", "topic", "tokens", "probability", "kept").collect()), key=str) == want
+    assert sorted(map(tuple, mixing.plan(docs).select("doc_id", "source", "lang", "topic", "tokens", "probability", "kept", "residual").collect()), key=str) == want
 
 
 def test_sample_keeps_columns_and_takes_targets(spark):
@@ -68,6 +68,30 @@ def test_sample_keeps_columns_and_takes_targets(spark):
     assert mixing.sample(docs.limit(0), rounds=1).count() == 0
 
 
+def test_many_cells_are_raked_alike_by_grouped_sums(spark):
+    docs = docs_of(spark)
+    one, many = ({r.doc_id: r for r in mixing.plan(docs, rounds=6, one_task_cells=n).filter("doc_id is not null and doc_id <> 5").collect()} for n in (10**6, 3))
+    assert one.keys() == many.keys()
+    for i, r in one.items():
+        assert r.probability == pytest.approx(many[i].probability, abs=2e-6) and r.residual == pytest.approx(many[i].residual, abs=2e-6)
+
+
+def test_the_residual_says_whether_targets_are_met(spark):
+    docs = docs_of(spark)
+    assert mixing.plan(docs, temper=0.95, rate=0.01).first().residual < 1e-4
+    far = {"source": spark.createDataFrame([("a", 0.99)], "value string, share double")}
+    assert mixing.plan(docs, targets=far).first().residual > 0.1
+
+
+def test_columns_that_clash_come_back_as_they_were(spark):
+    docs = docs_of(spark).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in ("_p", "_source", "_lang", "_topic", "p", "cell", "_cell", "share", "tokens", "topic", "w", "total", "a.b")})
+    out = mixing.sample(docs, rounds=2)
+    assert out.columns == docs.columns
+    keep = {tuple(r) for r in docs.collect()}
+    got = [tuple(r) for r in out.collect()]
+    assert got and set(got) <= keep
+
+
 def test_no_python_in_the_plan(spark):
     plan = mixing.sample(docs_of(spark), rounds=1)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
