@@ -5,10 +5,11 @@ ties go to the lower shard. Groups of one size differ in name only, so that the
 and deals a long run of equal groups at once: the schedule picks the m smallest of the loads at which an item could
 start, {load of shard + j * size}. The result is that of the one-by-one schedule.
 
-What reaches the driver is one row per distinct size. Sizes are at least ``size_floor`` and their sum is the data's, so
-that S distinct ones need S * S / 2 units at least: 100 TB have under 15 million. Groups are numbered within their size
-over (size, hash bucket) windows with the buckets' counts added up, so that neither a hot group nor a hot size nor one
-shard has to pass through one task.
+The schedule is one walk over the distinct sizes, in one task that holds nothing but the loads: it reads (size, groups)
+in order and writes ranges of ranks as it goes, so that neither side has to fit into memory. Sizes are at least
+``size_floor`` and their sum is the data's, so that S distinct ones need S * S / 2 units at least: 100 TB have under
+15 million. Groups are numbered within their size over (size, hash bucket) windows with the buckets' counts added up, so
+that neither a hot group nor a hot size nor one shard has to pass through one task; the buckets follow the rows.
 
 Law: ``bytes``. Defined results: a null text counts no bytes, has the checksum of the empty text, and all null texts are
 one group, apart from the group of empty texts; rows with null or repeated doc_ids are rows like others; extra columns
@@ -18,21 +19,24 @@ are ignored by ``assign``. An empty table gives an empty result; with fewer grou
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Hash buckets of the windows that number groups of one size and rows of one shard.
-BUCKETS = 256
+#: Rows of a hash bucket, by expectation, in the windows that number groups of one size and rows of one shard.
+BUCKET_ROWS = 100_000
 
 
-def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """(size, first rank, end rank, shard) for (size, number of groups), largest size first."""
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, int]]:
+    """(size, first rank, end rank, shard) for (size, number of groups) from the largest size down, a range per size and shard."""
     heap = [(0, k) for k in range(shards)]
-    plan = []
-    for size, m in sorted(sizes, reverse=True):
+    for size, m in sizes:
+        dealt: dict[int, int] = {}
         rank = 0
         if m > 4 * shards and size > 0:
             loads = dict((k, load) for load, k in heap)
@@ -48,35 +52,38 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int,
             for k, load in loads.items():
                 n = (lo - load) // size + 1 if load <= lo else 0
                 if n:
-                    plan.append((size, rank, rank + n, k))
+                    dealt[k] = n
                     rank += n
                     loads[k] = load + n * size
             heap = [(load, k) for k, load in loads.items()]
             heapq.heapify(heap)
         while rank < m:
             load, k = heapq.heappop(heap)
-            plan.append((size, rank, rank + 1, k))
+            dealt[k] = dealt.get(k, 0) + 1
             heapq.heappush(heap, (load + size, k))
             rank += 1
-    return plan
+        at = 0
+        for k, n in dealt.items():
+            yield size, at, at + n, k
+            at += n
 
 
-def _merged(plan):
-    """One range of ranks per size and shard, so that the plan has no more rows than sizes times shards."""
-    by: dict[tuple[int, int], int] = {}
-    for size, a, b, k in plan:
-        by[size, k] = by.get((size, k), 0) + b - a
-    out, at, last = [], 0, None
-    for (size, k), n in by.items():
-        at = at if size == last else 0
-        out.append((size, at, at + n, k))
-        at, last = at + n, size
-    return out
+PLAN = pa.schema([("gsize", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int32())])
 
 
-def _numbered(df: DataFrame, key: str, tie: list[str], name: str) -> DataFrame:
+def _planned(shards: int):
+    def run(batches):
+        sizes = ((size, n) for b in batches for size, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        plan = schedule(sizes, shards)
+        while rows := list(itertools.islice(plan, 10_000)):
+            yield common.batches_of(rows, PLAN)
+
+    return run
+
+
+def _numbered(df: DataFrame, key: str, tie: list[str], name: str, buckets: int) -> DataFrame:
     """``df`` with a gapless number from 0 within ``key``, without a window over a whole key."""
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*tie), F.lit(BUCKETS)))
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*tie), F.lit(buckets)))
     counts = df.groupBy(key, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
@@ -97,14 +104,14 @@ def assign(docs: DataFrame, shards: int = 24, size: Column | None = None, size_f
     rows = common.written(rows, f"{where}/rows")
     groups = rows.groupBy("g").agg(F.sum("size").alias("gsize"), F.count("*").alias("rows"))
     groups = common.written(groups.select("g", "gsize"), f"{where}/groups")
-    sizes = [(r.gsize, r.n) for r in groups.groupBy("gsize").agg(F.count("*").alias("n")).toLocalIterator()]
-    plan = _merged(schedule(sizes, shards)) or [(-1, 0, 0, 0)]
-    plan = spark.createDataFrame(plan, "gsize long, a long, b long, shard int")
-    ranked = _numbered(groups, "gsize", ["g"], "rank")
+    sizes = groups.groupBy("gsize").agg(F.count("*").alias("n")).repartition(1).sortWithinPartitions(F.desc("gsize"))
+    plan = common.written(sizes.mapInArrow(_planned(shards), "gsize long, a long, b long, shard int"), f"{where}/plan")
+    buckets = max(64, rows.count() // BUCKET_ROWS)
+    ranked = _numbered(groups, "gsize", ["g"], "rank", buckets)
     placed = ranked.join(plan, "gsize").filter("rank >= a and rank < b").select("g", "shard")
-    sharded = rows.join(placed, "g").drop("g")
-    sharded = common.written(sharded, f"{where}/sharded")
-    return _numbered(sharded, "shard", ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    sharded = common.written(rows.join(placed, "g").drop("g"), f"{where}/sharded")
+    common.removed(spark, f"{where}/rows", f"{where}/groups", f"{where}/plan")
+    return _numbered(sharded, "shard", ["doc_id", "text_crc32", "size"], "slot", buckets).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

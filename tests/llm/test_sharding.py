@@ -22,7 +22,7 @@ def one_by_one(sizes, shards):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 60), max_size=12), st.integers(1, 5))
 def test_runs_give_the_one_by_one_schedule(sizes, shards):
-    plan = sharding._merged(sharding.schedule(list(sizes.items()), shards))
+    plan = list(sharding.schedule(sorted(sizes.items(), reverse=True), shards))
     got = {}
     for size, a, b, k in plan:
         got[size, k] = got.get((size, k), 0) + b - a
