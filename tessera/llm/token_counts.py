@@ -2,8 +2,8 @@
 
 Texts are cut into the tokenizer's own pre-tokens, whose token counts add up to the text's. The first tier is a compact
 table of frequent pre-tokens and their counts, found on a bounded sample of documents and broadcast (``tier_size`` rows
-at most); the second is a cache in each worker, of bounded size, filled by encoding what the first tier misses. No
-pre-token is ever shuffled. The tiers hold what the library itself gave, so that they change speed and nothing else.
+at most); the second is a cache in each worker, of bounded size, which outlives its tasks, filled by encoding what the
+first tier misses. No pre-token of the documents is shuffled; only the sample's are, to find the frequent ones. The tiers hold what the library itself gave, so that they change speed and nothing else.
 
 The fast cut covers texts whose characters all lie in a range where NFC changes nothing and where lower-casing is the
 same in Python and in the library; any other text is encoded by the library whole. The cut is checked against the
@@ -17,6 +17,7 @@ rows.
 from __future__ import annotations
 
 import os
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -54,7 +55,8 @@ class Counting:
     """Counts tokens of texts with a table of frequent pre-tokens and a bounded cache for the rest."""
 
     def __init__(self, tokenizer, frequent: dict[str, int] | None = None, cache_size: int = 400_000):
-        self.library, self.frequent, self.cache, self.cache_size = tokenizer, frequent or {}, {}, cache_size
+        self.library, self.frequent, self.cache_size = tokenizer, frequent or {}, cache_size
+        self.known = dict(self.frequent)  # both tiers
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
@@ -80,20 +82,18 @@ class Counting:
                 whole.append(k)
             else:
                 missing.update(c[0])
-        missing -= self.frequent.keys()
-        fresh = [m for m in missing if m not in self.cache]
-        table = self.cache
-        if len(self.cache) + len(fresh) > self.cache_size:
-            self.cache.clear()
-            fresh = list(missing)
+        missing -= self.known.keys()
+        if len(self.known) + len(missing) > self.cache_size + len(self.frequent):
+            self.known = dict(self.frequent)
+            missing = {w for c in cut if c for w in c[0]} - self.known.keys()
+        fresh = list(missing)
         for i in range(0, len(fresh), 4096):
             some = fresh[i : i + 4096]
-            table.update(zip(some, (len(e) for e in self.library.encode_batch(some, add_special_tokens=False))))
-        out = [0] * len(texts)
-        first, second = self.frequent.get, table.get
+            self.known.update(zip(some, map(len, self.library.encode_batch(some, add_special_tokens=False))))
+        out, number = [0] * len(texts), self.known.__getitem__
         for k, c in enumerate(cut):
             if c is not None:
-                out[k] = c[1] + sum([first(w) or second(w) for w in c[0]])
+                out[k] = c[1] + sum(map(number, c[0]))
         if whole:
             for k, e in zip(whole, self.library.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
                 out[k] = len(e)
@@ -120,13 +120,24 @@ def frequent_table(docs: DataFrame, path: str | None, sample_docs: int, tier_siz
     return dict(zip(found, map(len, tokenizer(path).encode_batch(found, add_special_tokens=False))))
 
 
+#: The worker's counter, by the name of its table: one at a time, kept from task to task.
+_KEPT: dict[str, Counting] = {}
+
+
+def _counting(name: str, path: str | None, shared, cache_size: int) -> Counting:
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Counting(tokenizer(path), shared.value, cache_size)
+    return _KEPT[name]
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, sample_docs: int = 2000, tier_size: int = 50_000, cache_size: int = 400_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) per row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path, sample_docs, tier_size))
+    shared, name = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path, sample_docs, tier_size)), uuid.uuid4().hex
 
     def run(batches):
-        count = Counting(tokenizer(path), shared.value, cache_size)
+        count = _counting(name, path, shared, cache_size)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
