@@ -284,6 +284,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, max_distance: int = 4, disti
     found = components(links(ids.select("fp"), max_distance, where, run_limit), f"{where}/cc")
     roots = ids.join(found, ids.fp == found.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     roots = common.written(roots, f"{where}/roots")
+    common.removed(spark, *[f"{where}/{x}" for x in ("ids", "found", "cc")])
     of_root = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_print = roots.join(of_root, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
@@ -467,22 +468,28 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     checked exactly. In a run of equal keys all are held against the first; whoever that leaves in another group is
     held against all others.
 
-    Rows that share a doc_id are one document: the first by their text stays. Rows without a doc_id can't be told apart
-    and stay. Null and empty texts are copies of each other.
+    Every row is a document: rows that share a doc_id but not the text are told apart, of rows that repeat both one
+    stays, and rows without a doc_id come after all others. Null and empty texts are copies of each other.
     """
     spark = docs.sparkSession
     where = common.shared_dir(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = common.written(docs.select("doc_id", F.sha1(text.cast("binary")).alias("key")), f"{where}/keys")
-    often = keyed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    w = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.join(often, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").select(docs.columns)
-    named = docs.filter("doc_id is not null").join(often, "doc_id", "left_anti").select(docs.columns).unionByName(first)
-    # exact copies go first, so that the rest works on distinct texts
-    least = common.written(keyed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), f"{where}/distinct")
-    distinct = named.join(least, "doc_id", "left_semi").select(docs.columns)
-    gone = common.written(_copies(distinct.select(F.col("doc_id").alias("node"), text.alias("text")), where, size, similarity).withColumnRenamed("node", "doc_id"), f"{where}/gone")
-    return distinct.join(gone, "doc_id", "left_anti").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    key, least, n, node, nth = common.fresh(docs, "key", "least", "n", "node", "nth")
+    marked = docs.withColumn(key, F.unhex(F.sha2(text.cast("binary"), 256)))
+    # of each text the smallest id, and how many rows have both; numbers in the order of the ids
+    counted = marked.select("doc_id", F.col(key).alias("key")).groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    texts = counted.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("x")).select("key", "x.*")
+    texts = common.written(texts, f"{where}/texts").repartitionByRange("none", "doc_id").sortWithinPartitions("none", "doc_id", "key")
+    texts = common.written(texts.select(F.col("key").alias(key), F.col("doc_id").alias(least), F.col("n").alias(n), F.monotonically_increasing_id().alias(node)), f"{where}/numbered")
+    # the id is part of the join, so that a text of very many rows isn't one key
+    met = marked.join(texts.withColumnRenamed(key, f"{key}_"), (F.col(key) == F.col(f"{key}_")) & F.col("doc_id").eqNullSafe(F.col(least)))
+    first = F.row_number().over(Window.partitionBy(node).orderBy(F.to_json(F.struct(*common.columns(docs)))))
+    rows = [*common.columns(docs), F.col(node)]
+    distinct = met.filter(F.col(n) == 1).select(rows).unionByName(met.filter(F.col(n) > 1).withColumn(nth, first).filter(F.col(nth) == 1).select(rows))
+    distinct = common.written(distinct, f"{where}/distinct")
+    gone = common.written(_copies(distinct.select(F.col(node).alias("node"), text.alias("text")), f"{where}/copies", size, similarity), f"{where}/gone")
+    common.removed(spark, *[f"{where}/{x}" for x in ("texts", "numbered", "copies")])
+    return distinct.join(gone.withColumnRenamed("node", node), node, "left_anti").select(common.columns(docs))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
