@@ -6,7 +6,7 @@ end record, the ZIP64 end record where there is one, and the central directory,
 index, and reads records by range from inside the archive; nothing is extracted. Without an index it walks the gzip
 members of the stored file. Neighbouring records are read in one range of about a megabyte.
 
-Of records with equal payloads of ``revisit_floor`` bytes or more, that with the largest page_id is the response; the
+Of records with equal payloads (by length and SHA-256) of ``revisit_floor`` bytes or more, that with the largest page_id is the response; the
 others are revisits that refer to it and carry its digest and length, not its payload. Smaller ones are all responses.
 
 Archives are written straight to the shared folder by the tasks, under names that no other attempt uses; the manifest
@@ -117,11 +117,11 @@ def write(pages: DataFrame, where: str, revisit_floor: int = 1000, archive_bytes
     """Writes archives of ``pages`` (page_id, url, html) to the shared folder; the manifest (path, records, bytes)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
-    pages = pages.withColumn("digest", F.sha1("payload"))
+    pages = pages.withColumn("digest", F.sha1("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
     # only ids and digests are gathered here; the payloads move once, in the join
-    same = pages.filter(F.octet_length("payload") >= revisit_floor).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    same = same.filter("n > 1").select("digest", "kept")
-    decided = pages.join(same, "digest", "left")
+    same = pages.filter(F.col("size") >= revisit_floor).groupBy("sha256", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
+    same = same.filter("n > 1").select("sha256", "size", "kept")
+    decided = pages.join(same, ["sha256", "size"], "left")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
 
     def run(batches):
