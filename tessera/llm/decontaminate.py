@@ -8,8 +8,9 @@ a window are states of their own.
 Ahead of the walk, whole batches are reduced with numpy to runs in which each word, and each pair of neighbours, occurs
 in some item; no window can lie outside such a run of its own length, so this leaves nothing out.
 
-The items are broadcast: a benchmark doesn't grow with the corpus, and ``max_item_words`` is checked; beyond it the
-items are dealt into several automata that are walked one after another, each within that bound.
+An automaton is built in the driver from at most ``max_item_words`` item words (or one item) and broadcast, so that its
+size is bounded. A benchmark of more words makes several: one after another is built, broadcast, walked by all documents
+and dropped, and what each finds is put together by document.
 
 Defined results: null and empty texts have no words (0 words, 0 hits, no items, not contaminated); null items and items
 without words have no windows; equal items all count; rows with a null or repeated doc_id come back one by one. Extra
@@ -19,7 +20,9 @@ columns of documents are kept by ``clean`` and ignored by ``matches``. Empty tab
 from __future__ import annotations
 
 import pickle
-from itertools import repeat
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -161,94 +164,138 @@ class Automaton:
         return start[long_enough], end[long_enough] + (self.least >= 2)
 
 
-def automata(items: DataFrame, window: int, max_item_words: int) -> list[Automaton]:
-    """Automata of (item_id, text) rows, each of at most ``max_item_words`` words (or of one item)."""
-    parts, n = [[]], 0
+def automata(items: DataFrame, window: int, max_item_words: int) -> Iterator[Automaton]:
+    """Automata of (item_id, text) rows, each of at most ``max_item_words`` words (or of one item), built when asked for."""
+    part, n = [], 0
     for r in items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
         w = words(r.t)
         if not w:
             continue
-        if parts[-1] and n + len(w) > max_item_words:
-            parts.append([])
-            n = 0
-        parts[-1].append((r.i if r.i is not None else "", w))
+        if part and n + len(w) > max_item_words:
+            yield Automaton(part, window)
+            part, n = [], 0
+        part.append((r.i if r.i is not None else "", w))
         n += len(w)
-    return [Automaton(p, window) for p in parts if p]
+    if part:
+        yield Automaton(part, window)
 
 
-def _hits(models: list[Automaton], docs: list[list[bytes]]):
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted disjoint spans that cover the same words."""
+    out: list[list[int]] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return [(x, y) for x, y in out]
+
+
+def _hits(m: Automaton | None, docs: list[list[bytes]]):
     """For each document: sorted disjoint (first, end) word spans, and the set of item names."""
     hit: list[list[tuple[int, int]]] = [[] for _ in docs]
     names: list[set[str]] = [set() for _ in docs]
     size = np.fromiter(map(len, docs), np.int64, len(docs))
     flat = [w for d in docs for w in d]
     first = np.cumsum(size) - size
-    for m in models:
-        ids = np.fromiter(map(m.number.get, flat, repeat(-1)), np.int64, len(flat))
-        if not len(ids):
-            continue
-        # a separator after each document would cost a copy: runs are cut at document bounds below
-        for a, b in zip(*(x.tolist() for x in m.runs(ids))):
-            k = int(np.searchsorted(first, a, side="right")) - 1
-            while a < b:
-                while first[k] + size[k] <= a:
-                    k += 1
-                end = min(b, int(first[k] + size[k]))
-                if end - a >= m.least:
-                    for x, y, which in m.walk(ids[a:end].tolist()):
-                        hit[k].append((a + x - int(first[k]), a + y - int(first[k])))
-                        names[k].update(m.names[i] for i in which)
-                a = end
-    for k, spans in enumerate(hit):
-        if spans:
-            spans.sort()
-            merged = [list(spans[0])]
-            for x, y in spans[1:]:
-                if x <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], y)
-                else:
-                    merged.append([x, y])
-            hit[k] = [tuple(s) for s in merged]
-    return hit, names
-
-
-def _broadcast(docs: DataFrame, items: DataFrame, window: int, max_item_words: int):
-    return docs.sparkSession.sparkContext.broadcast(pickle.dumps(automata(items, window, max_item_words)))
-
-
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, max_item_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) per row of ``docs``; spans are of words, end exclusive."""
-    shared = _broadcast(docs, items, window, max_item_words)
-
-    def run(batches):
-        models = pickle.loads(shared.value)
+    ids = np.fromiter(map(m.number.get, flat, repeat(-1)), np.int64, len(flat)) if m else np.empty(0, np.int64)
+    # a separator after each document would cost a copy: runs are cut at document bounds below
+    for a, b in zip(*(x.tolist() for x in m.runs(ids))) if len(ids) else ():
+        k = int(np.searchsorted(first, a, side="right")) - 1
+        while a < b:
+            while first[k] + size[k] <= a:
+                k += 1
+            end = min(b, int(first[k] + size[k]))
+            if end - a >= m.least:
+                for x, y, which in m.walk(ids[a:end].tolist()):
+                    hit[k].append((a + x - int(first[k]), a + y - int(first[k])))
+                    names[k].update(m.names[i] for i in which)
+            a = end
+    return [_merged(h) for h in hit], names
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+FOUND_DDL = "items array<string>, spans array<struct<first: long, end: long>>"
+
+
+def _found(docs: DataFrame, items: DataFrame, window: int, max_item_words: int, finish, ddl: str) -> DataFrame:
+    """``finish(rows, words, spans, names)`` for batches of ``docs`` (with a text), of which it makes batches of schema ``ddl``."""
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    models = automata(items, window, max_item_words)
+    one, two = next(models, None), next(models, None)
+
+    def sliced(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                texts = [words(t) for t in part.column(1).to_pylist()]
-                hit, names = _hits(models, texts)
+                yield part, [words(t) for t in part.column(at).cast(pa.string()).to_pylist()]
+
+    if two is None:
+        shared = spark.sparkContext.broadcast(pickle.dumps(one))
+
+        def run(batches):
+            model = pickle.loads(shared.value)
+            for part, split in sliced(batches):
+                yield finish(part, split, *_hits(model, split))
+
+        return docs.mapInArrow(run, ddl)
+    where = common.shared_dir(spark)
+    row, found = common.fresh(docs, "row", "found")
+    rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), f"{where}/rows")
+    parts = []
+    for k, model in enumerate(chain((one, two), models)):
+        shared = spark.sparkContext.broadcast(pickle.dumps(model))
+
+        def walk(batches, shared=shared):
+            model = pickle.loads(shared.value)
+            for part, split in sliced(batches):
+                hit, names = _hits(model, split)
+                some = [i for i, h in enumerate(hit) if h]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(list(map(len, texts)), pa.int64()),
-                        pa.array([sum(y - x for x, y in h) for h in hit], pa.int64()),
-                        pa.array([sorted(n) for n in names], pa.list_(pa.string())),
-                        pa.array([[{"first": x, "end": y} for x, y in h] for h in hit], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                    [part.column(part.num_columns - 1).take(pa.array(some, pa.int64())), pa.array([sorted(names[i]) for i in some], pa.list_(pa.string())), pa.array([[{"first": x, "end": y} for x, y in hit[i]] for i in some], SPANS)],
+                    names=["row", "items", "spans"],
                 )
 
+        parts.append(common.written(rows.mapInArrow(walk, f"row long, {FOUND_DDL}"), f"{where}/part{k}"))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    both = rows.join(every.select(F.col("row").alias(row), F.struct("items", "spans").alias(found)), row, "left").select(*common.columns(docs), F.col(found))
+
+    def put_together(batches):
+        for part, split in sliced(batches):
+            got = part.column(part.num_columns - 1).to_pylist()
+            part = pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+            spans = [_merged([(s["first"], s["end"]) for s in g["spans"]]) if g else [] for g in got]
+            yield finish(part, split, spans, [set(g["items"]) if g else set() for g in got])
+
+    return both.mapInArrow(put_together, ddl)
+
+
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, max_item_words: int = 200_000) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans) per row of ``docs``; spans are of words, end exclusive."""
+
+    def finish(part, split, hit, names):
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column(0),
+                pa.array(list(map(len, split)), pa.int64()),
+                pa.array([sum(y - x for x, y in h) for h in hit], pa.int64()),
+                pa.array([sorted(n) for n in names], pa.list_(pa.string())),
+                pa.array([[{"first": x, "end": y} for x, y in h] for h in hit], SPANS),
+            ],
+            names=["doc_id", "n_words", "n_hit", "items", "spans"],
+        )
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first: long, end: long>>")
+    return _found(docs, items, window, max_item_words, finish, f"doc_id long, n_words long, n_hit long, {FOUND_DDL}")
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, max_item_words: int = 2_000_000) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, max_item_words: int = 200_000) -> DataFrame:
     """``docs`` with hit spans cut out of ``text``; documents of which more than ``max_coverage`` is hit go.
 
     A cut takes the words of a span and what stands between them. All columns stay; ``n_chars``, where it exists,
     follows the new text.
     """
-    shared = _broadcast(docs, items, window, max_item_words)
     at = docs.columns.index("text")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -259,30 +306,23 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: flo
             last = where[y - 1][1]
         return "".join([*out, text[last:]])
 
-    def run(batches):
-        models = pickle.loads(shared.value)
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                texts = part.column(at).to_pylist()
-                split = [words(t) for t in texts]
-                hit, _ = _hits(models, split)
-                keep = [sum(y - x for x, y in h) <= max_coverage * len(w) for h, w in zip(hit, split)]
-                touched = [k for k, h in enumerate(hit) if h and keep[k]]
-                if touched:
-                    for k in touched:
-                        texts[k] = cut(texts[k], hit[k])
-                    cols = part.columns
-                    cols[at] = pa.array(texts, part.schema.field(at).type)
-                    if chars is not None:
-                        n = part.column(chars).to_pylist()
-                        for k in touched:
-                            n[k] = len(texts[k])
-                        cols[chars] = pa.array(n, part.schema.field(chars).type)
-                    part = pa.RecordBatch.from_arrays(cols, schema=part.schema)
-                yield part.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def finish(part, split, hit, names):
+        keep = [sum(y - x for x, y in h) <= max_coverage * len(w) for h, w in zip(hit, split)]
+        touched = [k for k, h in enumerate(hit) if h and keep[k]]
+        if touched:
+            cols, texts = part.columns, part.column(at).to_pylist()
+            for k in touched:
+                texts[k] = cut(texts[k], hit[k])
+            cols[at] = pa.array(texts, part.schema.field(at).type)
+            if chars is not None:
+                n = part.column(chars).to_pylist()
+                for k in touched:
+                    n[k] = len(texts[k])
+                cols[chars] = pa.array(n, part.schema.field(chars).type)
+            part = pa.RecordBatch.from_arrays(cols, schema=part.schema)
+        return part.filter(pa.array(keep, pa.bool_()))
+
+    return _found(docs, items, window, max_item_words, finish, docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

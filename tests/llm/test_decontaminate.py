@@ -36,8 +36,8 @@ def test_matches_equal_brute_force(spark):
     for seed, letters, n, short in ((1, "abc", 12, True), (2, "abcdé", 30, False), (3, "ab", 8, False), (4, "abcdefghij", 20, True)):
         items, docs = cases(seed, letters, n, short)
         items += [("x1", None), ("x2", " .,"), ("x3", items[0][1])]
-        models = d.automata(spark.createDataFrame(items, "item_id string, text string"), 5, 1000)
-        hit, names = d._hits(models, [d.words(t) for t in docs])
+        (model,) = d.automata(spark.createDataFrame(items, "item_id string, text string"), 5, 10_000)
+        hit, names = d._hits(model, [d.words(t) for t in docs])
         got = [(len(d.words(t)), sum(y - x for x, y in h), sorted(n)) for t, h, n in zip(docs, hit, names)]
         assert got == [brute(t, items, 5) for t in docs]
 
@@ -45,10 +45,20 @@ def test_matches_equal_brute_force(spark):
 def test_several_automata_give_the_same(spark):
     items, docs = cases(5, "abcd", 25, True)
     df = spark.createDataFrame(items, "item_id string, text string")
-    one, many = d.automata(df, 6, 10**6), d.automata(df, 6, 30)
-    assert len(one) == 1 and len(many) > 3
-    w = [d.words(t) for t in docs]
-    assert d._hits(one, w) == d._hits(many, w)
+    assert len(list(d.automata(df, 6, 10**6))) == 1 and len(list(d.automata(df, 6, 60))) > 3
+    rows = spark.createDataFrame([*enumerate(docs), (None, None), (None, "a b c")], "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("found", F.lit("x")).withColumn("n_chars", F.length("text"))
+    one, many = (sorted(map(tuple, d.matches(rows, df, 6, n).collect()), key=str) for n in (10**6, 60))
+    assert one == many and sum(x[2] > 0 for x in one) > 20
+    one, many = (sorted(map(tuple, d.clean(rows, df, 6, 0.9, n).collect()), key=str) for n in (10**6, 60))
+    assert one == many and 0 < len(one) < rows.count()
+
+
+def test_a_very_long_text(spark):
+    items = [("7", "one two three four five six")]
+    text = "a b " * 200_000 + "one two three four five six " + "c " * 100_000 + "one two three four five"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = d.matches(docs, spark.createDataFrame(items, "item_id string, text string"), 5).first()
+    assert (r.n_words, r.n_hit) == (500_011, 11)
 
 
 def test_rows_nulls_and_empty_tables(spark):
