@@ -259,10 +259,10 @@ def session_budget(spark, d):
 # Grammar
 
 
-@query("SELECT p AS prefix, g AS digit, lo, hi, CASE WHEN v BETWEEN lo AND hi THEN true WHEN length(hi::VARCHAR) < length(p || g) THEN false ELSE EXISTS (SELECT 1 FROM range(0, 1001) r(x) WHERE starts_with(x::VARCHAR, (p || g)::VARCHAR) AND length(x::VARCHAR) = length(hi::VARCHAR) AND x BETWEEN lo AND hi) END AS allowed FROM (SELECT p, g::VARCHAR AS g, lo, hi, (p || g)::INT AS v FROM (VALUES (''), ('1'), ('2'), ('9'), ('10'), ('45')) a(p), range(1, 10) b(g), (VALUES (50, 100), (0, 9), (7, 42), (100, 999)) c(lo, hi))")
+@query("SELECT p AS prefix, g::VARCHAR AS digit, lo, hi, EXISTS (SELECT 1 FROM range(0, 10000) r(x) WHERE starts_with(x::VARCHAR, p || g) AND x BETWEEN lo AND hi) AS allowed FROM (VALUES (''), ('1'), ('2'), ('9'), ('10'), ('45')) a(p), range(1, 10) b(g), (VALUES (50, 100), (0, 9), (7, 42), (100, 999), (50, 1000)) c(lo, hi)")
 def digit_walker(spark, d):
     p = spark.createDataFrame([(x,) for x in ("", "1", "2", "9", "10", "45")], "prefix string")
-    b = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in ((50, 100), (0, 9), (7, 42), (100, 999))])
+    b = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in ((50, 100), (0, 9), (7, 42), (100, 999), (50, 1000))])
     g = p.select("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda x: x.cast("string"))).alias("digit")).select("prefix", "digit", F.explode(b).alias("b")).select("prefix", "digit", "b.*")
     return g.withColumn("allowed", T.digit_allowed(F.col("prefix"), F.col("digit"), F.col("lo").cast("double"), F.col("hi").cast("double")))
 
@@ -311,10 +311,10 @@ def natural_order(spark, d):
 @query("SELECT event_id, 'attn.' || event_type || '.out_proj' AS name FROM events")
 def canonical_name(spark, d):
     raw = F.concat(F.lit("params/Layers/self_attn/attn/"), F.upper("event_type"), F.lit("/out_proj/kernel"))
-    return table(spark, d, "events").select("event_id", T.canonical_name(raw).alias("name"))
+    return table(spark, d, "events").select("event_id", T.canonical_name(raw, ["params", "layers", "kernel"], {"self_attn": "attn"}, ["head_"]).alias("name"))
 
 
-@query("SELECT event_id, CASE WHEN event_id = 0 THEN '0' ELSE event_id::VARCHAR END AS whole, CASE WHEN event_id % 4 = 0 THEN (event_id // 4)::VARCHAR ELSE (event_id // 4)::VARCHAR || CASE event_id % 4 WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END END AS quarter FROM events WHERE event_id < 400000")
+@query("SELECT event_id, CASE WHEN event_id = 0 THEN '0' ELSE event_id::VARCHAR END AS whole, CASE WHEN event_id % 4 = 0 THEN (event_id // 4)::VARCHAR ELSE (event_id // 4)::VARCHAR || CASE event_id % 4 WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END END AS quarter FROM events")
 def number_text(spark, d):
     i = F.col("event_id")
     return table(spark, d, "events").select("event_id", T.number_text(i).alias("whole"), T.number_text(i / 4).alias("quarter"))

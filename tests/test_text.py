@@ -76,10 +76,10 @@ def test_numbers_print_as_g(spark):
 
 def test_digit_walker(spark):
     def brute(prefix, digit, lo, hi):
-        """In range now, or at the length of the bound that more digits move towards."""
+        """Whether some number of so many digits as the bound has starts so and lies in the range."""
         c = prefix + digit
         n = len(str(abs(int(lo if c.startswith("-") else hi)))) - len(c.lstrip("-"))
-        return lo <= int(c) <= hi or n >= 0 and any(lo <= int(c + str(k).zfill(n)[-n:]) <= hi for k in range(10**n) if n)
+        return any(lo <= int(c + (str(x).zfill(k) if k else "")) <= hi for k in range(max(n, 0) + 1) for x in range(10**k))
 
     rows = [(p, g, lo, hi) for p in ("", "-", "1", "-1", "12", "-4") for g in "0159" for lo, hi in ((50.0, 100.0), (0.0, 9.0), (-20.0, 30.0), (-150.0, -120.0))]
     df = spark.createDataFrame(rows, "p string, g string, lo double, hi double")
@@ -90,6 +90,6 @@ def test_digit_walker(spark):
 
 
 def test_names(spark):
-    v = values(spark, ["params/Layers/self_attn/attn/out_proj/kernel", "layer10.w", "layer2.w", "head_a/b", "kernel"], T.canonical_name(F.col("t")), T.natural_key(F.col("t")), T.snake(F.lit("HTTPServerName")))
+    v = values(spark, ["params/Layers/self_attn/attn/out_proj/kernel", "layer10.w", "layer2.w", "head_a/b", "kernel"], T.canonical_name(F.col("t"), ["params", "layers", "kernel"], {"self_attn": "attn"}, ["head_"]), T.natural_key(F.col("t")), T.snake(F.lit("HTTPServerName")))
     assert [x[0] for x in v] == ["attn.out_proj", "layer10.w", "layer2.w", "head.a.b", "kernel"]
     assert v[2][1] < v[1][1] and v[0][2] == "http_server_name"
