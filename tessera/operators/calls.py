@@ -6,12 +6,14 @@ rows: one per (example, tool, property), or JSON lists of schemas in the example
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
 ARGS = "map<string, variant>"
+#: Code fences around a reply: a fixed value.
+FENCE = r"(?m)^\s*```(?:json)?\s*|\s*```\s*$"
 #: Numbers that a request can spell out: fixed values.
 NUMBER_WORDS = {
     "zero": 0, "one": 1, "a": 1, "an": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
@@ -22,7 +24,7 @@ NUMBER_WORDS = {
 
 def kind(v: Column) -> Column:
     """The outer JSON type of a variant: STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID, OBJECT or ARRAY."""
-    return F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def items(v: Column) -> Column:
@@ -53,7 +55,7 @@ def explode_calls(df: DataFrame, calls: Column, keep: list[str]) -> DataFrame:
 
 def parse_examples(reply: Column) -> Column:
     """the objects with a query in the widest [...] of a reply; an empty list if it can't be read."""
-    body = T.trim(F.regexp_replace(reply, r"(?m)^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    body = T.trim(F.regexp_replace(reply, FENCE, ""))
     got = items(F.try_parse_json(F.regexp_extract(body, r"(?s)\[.*\]", 0)))
     return F.coalesce(F.filter(got, lambda r: (kind(r) == "OBJECT") & F.map_contains_key(fields(r), "query")), F.array().cast("array<variant>"))
 
@@ -102,67 +104,92 @@ def grounded(value: Column, enum: Column, query: Column) -> Column:
     )
 
 
-def schemas(df: DataFrame, tools: Column, keep: list[str]) -> DataFrame:
-    """(keep..., tool, properties, required) per declared tool, the last of a name winning."""
-    t = df.select(*keep, F.posexplode(tools).alias("tix", "t"))
-    t = t.select(*keep, "tix", F.coalesce(field(F.col("t"), "name"), F.lit("")).alias("tool"), F.coalesce(fields(field(F.col("t"), "parameters.properties", "variant")), F.create_map().cast(ARGS)).alias("properties"), F.coalesce(F.try_variant_get("t", "$.parameters.required", "array<string>"), F.array().cast("array<string>")).alias("required"))
-    w = Window.partitionBy(*keep, "tool").orderBy(F.desc("tix"))
-    return t.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "tix")
+def declared(tools: Column) -> Column:
+    """The tools of a variant list as structs (tool, properties, required, description)."""
+    return F.transform(
+        F.coalesce(items(tools), F.array().cast("array<variant>")),
+        lambda t: F.struct(
+            F.coalesce(field(t, "name"), F.lit("")).alias("tool"),
+            F.coalesce(fields(field(t, "parameters.properties", "variant")), F.create_map().cast(ARGS)).alias("properties"),
+            F.coalesce(F.try_variant_get(t, "$.parameters.required", "array<string>"), F.array().cast("array<string>")).alias("required"),
+            field(t, "description").alias("description"),
+        ),
+    )
+
+
+def lookup(tools: Column, name: Column) -> Column:
+    """Of ``declared`` tools the one of a name, the last if there are several; null if there is none."""
+    return F.try_element_at(F.filter(tools, lambda t: t["tool"] == name), F.lit(-1))
 
 
 def validate(df: DataFrame, key: str, query: str, answers: str, tools: str) -> DataFrame:
     """(key, reason) per example: the first rule that fails, "" if none.
 
-    ``answers`` and ``tools`` are JSON text. Calls meet their schemas in one join on (key, tool).
+    ``answers`` and ``tools`` are JSON text. Calls and schemas share the row, so that nothing is shuffled.
     """
-    df = df.withColumn("_a", F.try_parse_json(answers)).withColumn("_t", F.coalesce(items(F.try_parse_json(tools)), F.array().cast("array<variant>")))
-    raw = df.select(key, F.col(query).alias("_q"), F.posexplode(items(F.col("_a"))).alias("ix", "c"))
-    c = raw.select(key, "_q", "ix", (kind(F.col("c")) == "OBJECT").alias("is_object"), F.coalesce(field(F.col("c"), "name"), F.lit("")).alias("tool"), fields(field(F.col("c"), "arguments", "variant")).alias("args"))
-    j = c.join(schemas(df, F.col("_t"), [key]), [key, "tool"], "left")
-    undeclared = F.array_except(F.map_keys("args"), F.map_keys("properties"))
-    absent = F.array_except("required", F.map_keys("args"))
-    ungrounded = F.filter(F.map_entries("args"), lambda e: ~grounded(e["value"], F.try_variant_get(F.col("properties")[e["key"]], "$.enum", "array<variant>"), F.col("_q")))
-    reason = (
-        F.when(~F.col("is_object"), "a call is not an object")
-        .when(F.col("properties").isNull(), "undeclared tool")
-        .when(F.col("args").isNull(), "no arguments object")
-        .when(F.size(undeclared) > 0, "undeclared arguments")
-        .when(F.size(absent) > 0, "missing required")
+    df = df.select(F.col(key), F.col(query).alias("_q"), F.try_parse_json(answers).alias("_a"), declared(F.try_parse_json(tools)).alias("_t"))
+
+    def judged(c):
+        spec, args = lookup(F.col("_t"), F.coalesce(field(c, "name"), F.lit(""))), fields(field(c, "arguments", "variant"))
+        reason = (
+            F.when(kind(c) != "OBJECT", "a call is not an object")
+            .when(spec.isNull(), "undeclared tool")
+            .when(args.isNull(), "no arguments object")
+            .when(F.size(F.array_except(F.map_keys(args), F.map_keys(spec["properties"]))) > 0, "undeclared arguments")
+            .when(F.size(F.array_except(spec["required"], F.map_keys(args))) > 0, "missing required")
+        )
+        evidence = lambda e: grounded(e["value"], F.try_variant_get(spec["properties"][e["key"]], "$.enum", "array<variant>"), F.col("_q"))
+        return F.struct(reason.alias("reason"), F.when(reason.isNull(), ~F.forall(F.map_entries(args), evidence)).otherwise(False).alias("ungrounded"))
+
+    df = df.withColumn("_list", items(F.col("_a"))).withColumn("_r", F.transform("_list", judged))
+    worst = F.get(F.filter("_r", lambda r: r["reason"].isNotNull()), F.lit(0))["reason"]
+    final = (
+        F.when(F.coalesce(T.trim(F.col("_q")), F.lit("")) == "", "empty query")
+        .when(F.col("_list").isNull(), "answers is not a list")
+        .when(worst.isNotNull(), worst)
+        .when(F.exists("_r", lambda r: F.coalesce(r["ungrounded"], F.lit(False))), "values not evidenced in the query")
+        .otherwise("")
     )
-    per = j.select(key, "ix", reason.alias("reason"), F.when(reason.isNull(), F.size(ungrounded)).otherwise(0).alias("ungrounded"))
-    worst = per.groupBy(key).agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("ix"))).alias("reason"), F.sum("ungrounded").alias("ungrounded"))
-    out = df.select(key, F.col(query).alias("_q"), (kind(F.col("_a")) == "ARRAY").alias("_list")).join(worst, key, "left")
-    final = F.when(F.coalesce(T.trim(F.col("_q")), F.lit("")) == "", "empty query").when(~F.coalesce("_list", F.lit(False)), "answers is not a list").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("ungrounded") > 0, "values not evidenced in the query").otherwise("")
-    return out.select(key, final.alias("reason"))
+    return df.select(key, final.alias("reason"))
 
 
 #: JSON types and the variant types that pass for them; a flag passes for a number, as in the scorer that this follows.
 JSON_TYPES = {"string": ["STRING"], "integer": ["BIGINT", "BOOLEAN"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"], "boolean": ["BOOLEAN"], "array": ["ARRAY"], "object": ["OBJECT"]}
 
 
+PROBLEMS = "array<struct<problem: string, arg: string>>"
+
+
+def problems(calls: Column, tools: Column) -> Column:
+    """for each call a list of struct(problem, arg): why it can't be executed as written by the ``declared`` tools."""
+    said = lambda p, arg: F.struct(F.lit(p).alias("problem"), arg.alias("arg"))
+    types = F.create_map(*[x for t, ok in JSON_TYPES.items() for x in (F.lit(t), F.array(*map(F.lit, ok)))])
+
+    def of_call(c):
+        spec, args = lookup(tools, c["name"]), c["arguments"]
+        unknown = F.transform(F.array_except(F.map_keys(args), F.map_keys(spec["properties"])), lambda k: said("wrong_argument_key", k))
+        missing = F.transform(F.array_except(spec["required"], F.map_keys(args)), lambda k: said("missing_required", k))
+
+        def of_value(e):
+            wants, v = spec["properties"][e["key"]], e["value"]
+            wanted = types[F.coalesce(field(wants, "type"), F.lit(""))]
+            n = F.when(kind(v).isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "double"))
+            lo, hi = field(wants, "minimum", "double"), field(wants, "maximum", "double")
+            enum = F.try_variant_get(wants, "$.enum", "array<variant>")
+            tests = [("wrong_type", wanted.isNotNull() & ~F.array_contains(wanted, kind(v))), ("value_outside_choices", enum.isNotNull() & ~in_enum(v, enum)), ("number_outside_range", (n < lo) | (n > hi))]
+            return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), said(p, e["key"])) for p, t in tests]))
+
+        values = F.flatten(F.transform(F.filter(F.map_entries(args), lambda e: F.map_contains_key(spec["properties"], e["key"])), of_value))
+        return F.when(spec.isNull(), F.array(said("wrong_tool_name", c["name"]))).otherwise(F.concat(unknown, missing, F.coalesce(values, F.array().cast(PROBLEMS))))
+
+    return F.transform(calls, of_call)
+
+
 def schema_errors(df: DataFrame, key: str, calls: Column, tools: str) -> DataFrame:
     """(key, ix, problem, arg) for every reason why a predicted call can't be executed as written."""
-    df = df.withColumn("_t", F.coalesce(items(F.try_parse_json(tools)), F.array().cast("array<variant>")))
-    c = explode_calls(df, calls, [key]).withColumnRenamed("name", "tool")
-    j = c.join(schemas(df, F.col("_t"), [key]), [key, "tool"], "left")
-    problem = lambda p, arg: F.struct(F.lit(p).alias("problem"), arg.alias("arg"))
-    none = F.array().cast("array<struct<problem: string, arg: string>>")
-    unknown = F.transform(F.array_except(F.map_keys("arguments"), F.map_keys("properties")), lambda k: problem("wrong_argument_key", k))
-    missing = F.transform(F.array_except("required", F.map_keys("arguments")), lambda k: problem("missing_required", k))
-
-    def of_value(e):
-        spec, v = F.col("properties")[e["key"]], e["value"]
-        types = F.create_map(*[x for t, ok in JSON_TYPES.items() for x in (F.lit(t), F.array(*map(F.lit, ok)))])
-        wanted = types[F.coalesce(field(spec, "type"), F.lit(""))]
-        n = F.when(kind(v).isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "double"))
-        lo, hi = field(spec, "minimum", "double"), field(spec, "maximum", "double")
-        enum = F.try_variant_get(spec, "$.enum", "array<variant>")
-        tests = [("wrong_type", wanted.isNotNull() & ~F.array_contains(wanted, kind(v))), ("value_outside_choices", enum.isNotNull() & ~in_enum(v, enum)), ("number_outside_range", (n < lo) | (n > hi))]
-        return F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), problem(p, e["key"])) for p, t in tests]), lambda x: x.isNotNull())
-
-    values = F.flatten(F.transform(F.filter(F.map_entries("arguments"), lambda e: F.map_contains_key(F.col("properties"), e["key"])), of_value))
-    found = F.when(F.col("properties").isNull(), F.array(problem("wrong_tool_name", F.col("tool")))).otherwise(F.concat(unknown, missing, F.coalesce(values, none)))
-    return j.select(key, "ix", F.explode(found).alias("p")).select(key, "ix", "p.problem", "p.arg")
+    df = df.select(key, calls.alias("_c"), declared(F.try_parse_json(tools)).alias("_t"))
+    found = df.select(key, F.posexplode(problems(F.col("_c"), F.col("_t"))).alias("ix", "p"))
+    return found.select(key, "ix", F.explode("p").alias("p")).select(key, "ix", "p.problem", "p.arg")
 
 
 def comparable(v: Column) -> Column:

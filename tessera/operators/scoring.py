@@ -86,21 +86,18 @@ def tempered(p: Column, temperature: Column) -> Column:
     return 1 / (1 + F.exp(-logit(p) / temperature))
 
 
-def temperature_grid(df: DataFrame, conf: str, correct: str, lo: float = 0.05, hi: float = 20.0, points: int = 400, places: int = 3) -> DataFrame:
+def temperature_grid(df: DataFrame, conf: str, correct: str, lo: float = 0.05, hi: float = 20.0, points: int = 400) -> DataFrame:
     """(i, t, nll) per grid point.
 
-    Confidences are grouped by value and outcome first, so that the product with the grid has no row per prediction.
-    ``places`` rounds nothing: equal values only are added up.
+    Each prediction meets every grid point in its own task, which adds them up: one row per point and task is shuffled.
     """
     import math
 
-    g = df.select(F.col(conf).cast("double").alias("p"), F.col(correct).cast("double").alias("y")).groupBy("p", "y").agg(F.count("*").alias("n"))
-    steps = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    x = df.select(logit(F.col(conf).cast("double")).alias("z"), F.col(correct).cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     t = F.exp(F.lit(math.log(lo)) + F.col("i") * F.lit((math.log(hi) - math.log(lo)) / (points - 1)))
-    x = g.select("*", steps.alias("i")).withColumn("t", t)
-    q = F.least(F.greatest(tempered(F.col("p"), F.col("t")), F.lit(1e-9)), F.lit(1 - 1e-9))
+    q = F.least(F.greatest(1 / (1 + F.exp(-F.col("z") / t)), F.lit(1e-9)), F.lit(1 - 1e-9))
     nll = -(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))
-    return x.groupBy("i", "t").agg((F.sum(nll * F.col("n")) / F.sum("n")).alias("nll"))
+    return x.groupBy("i").agg(F.avg(nll).alias("nll")).select("i", t.alias("t"), "nll")
 
 
 def fit_temperature(df: DataFrame, conf: str, correct: str, **k) -> DataFrame:
@@ -144,11 +141,20 @@ def contrastive_loss(pairs: DataFrame, row: str, col: str, score: str) -> DataFr
     return side(row).crossJoin(side(col).withColumnRenamed("l", "l2")).select(((F.col("l") + F.col("l2")) / 2).alias("loss"))
 
 
-def error_rates(problems: DataFrame, n_calls: Column | int, calls: DataFrame) -> DataFrame:
-    """Errors of each kind per 1000 calls, one decimal."""
-    kinds = problems.sparkSession.createDataFrame([(e,) for e in ERRORS], "problem string")
-    n = problems.groupBy("problem").agg(F.count("*").alias("n"))
-    total = calls.agg(F.greatest(F.sum(n_calls), F.lit(1)).alias("_calls"))
-    return kinds.join(n, "problem", "left").crossJoin(F.broadcast(total)).select("problem", F.round(1000.0 * F.coalesce("n", F.lit(0)) / F.col("_calls"), 1).alias("per_1000"))
+def _is(value: str):
+    return lambda x: x == value
 
 
+def error_rates(rows: DataFrame, problems: str, unread: str) -> DataFrame:
+    """Errors of each kind per 1000 calls, one decimal.
+
+    ``problems`` holds a list of struct(problem, arg) per call of a turn; ``unread`` says that a turn could not be read as
+    calls: it counts as malformed, and as one attempted call if it has none.
+    """
+    n = F.size(F.col(problems))
+    bad = F.coalesce(F.col(unread), F.lit(False))
+    calls = F.sum(n + F.when(bad & (n == 0), 1).otherwise(0))
+    named = [F.sum(F.size(F.filter(F.transform(F.flatten(problems), lambda p: p["problem"]), _is(e)))).alias(e) for e in ERRORS if e != "malformed_json"]
+    total = rows.agg(F.greatest(calls, F.lit(1)).alias("_calls"), F.count_if(bad).alias("malformed_json"), *named)
+    each = F.explode(F.array(*[F.struct(F.lit(e).alias("problem"), F.col(e).alias("n")) for e in ERRORS])).alias("x")
+    return total.select("_calls", each).select("x.problem", F.round(1000.0 * F.coalesce("x.n", F.lit(0)) / F.col("_calls"), 1).alias("per_1000"))
