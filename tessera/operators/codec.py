@@ -226,7 +226,7 @@ def offsets(tensors: DataFrame, order: str, size: str, align: int = 64) -> DataF
     from tessera.operators.corpus import running_total
 
     up = F.ceil(F.col(size) / align) * align
-    return running_total(tensors.withColumn("_up", up.cast("long")), "_up", [order], F.floor(F.col(order) / 4096), name="offset").drop("_up")
+    return running_total(tensors.withColumn("_up", up.cast("long")), "_up", [order], name="offset").drop("_up")
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

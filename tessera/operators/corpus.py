@@ -45,6 +45,33 @@ def keep_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def mix_report(read: DataFrame, kept: DataFrame, budgets: DataFrame, source: str, tokens: str) -> DataFrame:
+    """Per source what was read and kept, its share of all kept tokens, and how many tokens its budget lacks."""
+    n = read.groupBy(source).agg(F.count("*").alias("n_read"))
+    k = kept.groupBy(source).agg(F.count("*").alias("kept"), F.sum(tokens).alias("tokens"))
+    r = budgets.select(source, F.col("tokens").alias("budget")).join(n, source, "left").join(k, source, "left").na.fill(0, ["n_read", "kept", "tokens"])
+    total = F.greatest(F.sum("tokens").over(Window.partitionBy()), F.lit(1))  # a row per source
+    return r.select(source, "n_read", "kept", "tokens", (F.col("tokens") / total).alias("share"), F.greatest(F.col("budget") - F.col("tokens"), F.lit(0)).alias("shortfall"))
+
+
+def interleave(frames: dict[str, DataFrame], order: str, seed: int | None = None) -> DataFrame:
+    """The union of several sources with ``source`` and ``place``, in turn by how far each is read.
+
+    The i-th of n rows of a source stands at (i + 1/2) / n; ties go by source. With a seed, rows come in seeded order.
+    """
+    out = None
+    for name, df in frames.items():
+        df = df.withColumn("source", F.lit(name)).withColumn("_one", F.lit(1))
+        if seed is None:
+            df = running_total(df, "_one", [order], name="_i")
+        else:
+            df = running_total(df.withColumn("_o", seeded(seed, F.col("source"), F.col(order))), "_one", ["_o", order], F.substring("_o", 1, DIGITS), name="_i").drop("_o")
+        n = df.agg(F.count("*").alias("_n"))  # one row
+        df = df.crossJoin(F.broadcast(n)).withColumn("place", (F.col("_i") + 0.5) / F.col("_n")).drop("_one", "_i", "_n")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def apportion(shares: DataFrame, total: int, name: str = "source", share: str = "share", order: str = "ord") -> DataFrame:
     """Largest remainder: parts of ``total`` by share that sum to it, ties in declaration order."""
     exact = shares.withColumn("_e", F.lit(float(total)) * F.col(share) / F.sum(share).over(Window.partitionBy()))
@@ -58,11 +85,24 @@ def seeded(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
-def running_total(df: DataFrame, value: str, order: list, bucket: Column, within: list[str] | None = None, name: str = "before") -> DataFrame:
-    """Sum of ``value`` over all earlier rows, in two levels: ``bucket`` is a function of the order that never falls,
-    buckets are added up in a small window, rows within their bucket; no task sorts everything."""
+#: Buckets of a running total, and the digits of a hash order that make as many.
+BUCKETS, DIGITS = 4096, 3
+
+
+def even_buckets(df: DataFrame, order: str, n: int = BUCKETS) -> DataFrame:
+    """``df`` with _bucket: where a number lies between the least and the greatest of its column, in ``n`` equal steps."""
+    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))  # one row
+    step = (F.col("_hi") - F.col("_lo")) / n
+    place = F.when(step > 0, F.least(F.floor((F.col(order) - F.col("_lo")) / step), F.lit(n - 1))).otherwise(0)
+    return df.crossJoin(F.broadcast(ends)).withColumn("_bucket", place).drop("_lo", "_hi")
+
+
+def running_total(df: DataFrame, value: str, order: list, bucket: Column | None = None, within: list[str] | None = None, name: str = "before") -> DataFrame:
+    """Sum of ``value`` over all earlier rows, in two levels: ``bucket`` is a function of the order that never falls (by
+    default equal steps of the first column of the order, a number), buckets are added up in a small window, rows
+    within their bucket; no task sorts everything."""
     within = within or []
-    df = df.withColumn("_bucket", bucket)
+    df = even_buckets(df, order[0]) if bucket is None else df.withColumn("_bucket", bucket)
     sums = df.groupBy(*within, "_bucket").agg(F.sum(value).alias("_s"))
     up_to = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*within, "_bucket", F.coalesce(F.sum("_s").over(up_to), F.lit(0)).alias("_start"))
@@ -76,5 +116,5 @@ def mix_draw(docs: DataFrame, budgets: DataFrame, source: str, tokens: str, key:
     The order is a hash, whose first digits make even buckets of it.
     """
     df = docs.withColumn("_o", seeded(seed, F.col(key)))
-    df = running_total(df, tokens, ["_o", key], F.substring("_o", 1, 2), [source])
+    df = running_total(df, tokens, ["_o", key], F.substring("_o", 1, DIGITS), [source])
     return df.join(budgets.select(F.col(source), F.col("tokens").alias("budget")), source).filter(F.col("before") < F.col("budget")).drop("_o")

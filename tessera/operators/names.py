@@ -91,7 +91,7 @@ def positional(a: DataFrame, b: DataFrame, order: str, key: str = "ix") -> DataF
     n, m = a.count(), b.count()
     if n != m:
         raise ValueError(f"{n} and {m} rows: they pair by position, so there must be as many")
-    num = lambda d: C.running_total(d.withColumn("_one", F.lit(1)), "_one", [order], F.floor(F.col(order) / 4096), name=key).drop("_one")
+    num = lambda d: C.running_total(d.withColumn("_one", F.lit(1)), "_one", [order], name=key).drop("_one")
     return num(a).join(num(b).drop(order), key)
 
 

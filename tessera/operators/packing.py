@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.corpus import running_total, seeded
+from tessera.operators.corpus import DIGITS, running_total, seeded
 
 PAD, EOS, BOS, UNK = 0, 1, 2, 3
 #: Fixed values of the n-gram hash.
 SEED, PRIME, MASK = 0x9E3779B9, 0x01000193, 0xFFFFFFFF
 
 
-def spans(docs: DataFrame, n: str, order: str, seq_len: int, width: int = 4096) -> DataFrame:
+def spans(docs: DataFrame, n: str, order: str, seq_len: int) -> DataFrame:
     """(row_id, seg, order, lo, hi): where each document of ``n`` tokens (end included) lies in rows of seq_len.
 
     Documents of no tokens have no span; a document cut at a row's end continues under a new segment.
     """
     if seq_len < 2:
         raise ValueError("seq_len must be at least 2")
-    df = running_total(docs.filter(F.col(n) > 0).select(order, n), n, [order], F.floor(F.col(order) / width))
+    df = running_total(docs.filter(F.col(n) > 0).select(order, n), n, [order])
     s, e = F.col("before"), F.col("before") + F.col(n)
     rows = F.sequence(F.floor(s / seq_len), F.floor((e - 1) / seq_len))
     df = df.select(order, s.alias("s"), e.alias("e"), F.explode(rows).alias("row_id"))
@@ -54,7 +54,7 @@ def batches(df: DataFrame, key: str, size: int, seed: int = 0, epochs: int = 1)
     """
     df = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     df = df.withColumn("_o", seeded(seed, F.col("epoch"), F.col(key))).withColumn("_one", F.lit(1))
-    df = running_total(df, "_one", ["_o", key], F.substring("_o", 1, 2), ["epoch"], "place")
+    df = running_total(df, "_one", ["_o", key], F.substring("_o", 1, DIGITS), ["epoch"], "place")
     n = df.groupBy("epoch").agg(F.count("*").alias("_n"))
     df = df.join(n, "epoch").withColumn("batch", F.floor(F.col("place") / size))
     return df.filter((F.col("batch") + 1) * size <= F.col("_n")).select("epoch", "batch", key)

@@ -1,7 +1,8 @@
 """Retrieval and overlap.
 
-A catalogue is scored in blocks: each query meets every block through a join on the block's number, and keeps k rows per
-block before the last ranking. Nothing is broadcast, and no task holds the whole product.
+Texts are matched by an inverted index: only what shares a word, or spells a name out, meets. Vectors are scored in blocks:
+each query meets every block through a join on the block's number, and keeps k rows per block before the last ranking.
+Nothing is broadcast, and no task holds the whole product.
 """
 
 from __future__ import annotations
@@ -42,16 +43,27 @@ def vector_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int =
     return top(pairs.select("qid", "ix", F.round(dot(F.col("q"), F.col("v")), places).alias("score")), ["qid"], "score", "ix", k)
 
 
-def lexical_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int = 6, **blocks) -> DataFrame:
+def lexical_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int = 6) -> DataFrame:
     """Requests (qid, query) against tools (ix, name, text).
 
-    Word sets are made once per row, before the pairs.
+    Shared words are counted over an inverted index, and added up per task before the shuffle. A name that a request spells
+    out starts with up to three characters that the request holds: they are the key of a second join. Tools without
+    any score can only fill up a ranking: the 2k smallest ix are enough for that.
     """
-    q = queries.select("qid", F.array_distinct(T.words(F.col("query"))).alias("_q"), T.normalise(F.col("query")).alias("_h"))
+    asked = queries.select("qid", F.explode(F.array_distinct(T.words(F.col("query")))).alias("_w"))
     t = catalogue.select("ix", F.array_distinct(T.words(F.concat_ws(" ", "name", "text"))).alias("_t"), F.regexp_replace(F.lower("name"), "_", " ").alias("_s"))
-    p = in_blocks(q, t, **blocks)
-    score = F.size(F.array_intersect("_q", "_t")) / F.sqrt(F.size("_t")) + F.when((F.col("_s") != "") & F.col("_h").contains(F.col("_s")), 1.0).otherwise(0.0)
-    return top(p.select("qid", "ix", F.round(F.when(F.size("_t") == 0, 0.0).otherwise(score), places).alias("score")), ["qid"], "score", "ix", k)
+    held = t.select("ix", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
+    shared = asked.join(held, "_w").groupBy("qid", "ix", "_n").agg(F.count("*").alias("_c")).select("qid", "ix", (F.col("_c") / F.sqrt("_n")).alias("score"))
+    spelled = queries.select("qid", T.normalise(F.col("query")).alias("_h"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_h")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substr("_h", i, n)))))
+    keyed = spelled.filter("_h <> ''").select("qid", "_h", F.explode(grams).alias("_g"))
+    named = t.filter((F.col("_s") != "") & (F.size("_t") > 0)).select("ix", "_s", F.substring("_s", 1, 3).alias("_g"))
+    bonus = keyed.join(named, "_g").filter(F.col("_h").contains(F.col("_s"))).select("qid", "ix", F.lit(1.0).alias("score"))
+    least = F.slice(F.sort_array(F.collect_list("ix")), 1, 2 * k)
+    fill = t.select("ix").orderBy("ix").limit(2 * k).agg(least.alias("_all"))
+    none = queries.select("qid").crossJoin(F.broadcast(fill)).select("qid", F.explode("_all").alias("ix"), F.lit(0.0).alias("score"))
+    every = shared.unionByName(bonus).unionByName(none).groupBy("qid", "ix").agg(F.round(F.sum("score"), places).alias("score"))
+    return top(every, ["qid"], "score", "ix", k)
 
 
 def choose_tools(scored: DataFrame, declared: DataFrame, room: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.corpus import apportion, running_total, seeded
+from tessera.operators.corpus import DIGITS, apportion, running_total, seeded
 from tessera.operators.retrieval import request_overlap
 
 #: Fixed values of the suite: families and sizes, off-topic and held-out counts, share of two-call rows, twins' targets.
@@ -50,7 +50,7 @@ def assignments(tools: DataFrame, values: DataFrame, seed: int = 0) -> DataFrame
     t = tools.join(slots, "name").select("name", F.explode("phrasings").alias("phrasing"), F.aggregate("slots", empty, grow).alias("combos"))
     t = t.select("name", "phrasing", F.explode("combos").alias("values")).withColumn("query", fill(F.col("phrasing"), F.col("values")))
     t = t.withColumn("_o", seeded(seed, F.col("name"), F.col("query"))).withColumn("_one", F.lit(1))
-    return running_total(t, "_one", ["_o", "query"], F.substring("_o", 1, 2), ["name"], "place").drop("_o", "_one")
+    return running_total(t, "_one", ["_o", "query"], F.substring("_o", 1, DIGITS), ["name"], "place").drop("_o", "_one")
 
 
 def reasoning(values: Column) -> Column:
@@ -74,7 +74,7 @@ def off_topic(templates: DataFrame, subjects: DataFrame, count: int, seed: int =
     s = subjects.agg(F.collect_list("subject").alias("subjects"))  # a catalogue's pool, a few dozen words
     q = templates.crossJoin(F.broadcast(s)).select(F.explode(F.transform("subjects", lambda x: F.replace(F.col("template"), F.lit("{topic}"), x))).alias("query"))
     q = q.withColumn("_o", seeded(seed, F.col("query"))).withColumn("_one", F.lit(1))
-    return running_total(q, "_one", ["_o", "query"], F.substring("_o", 1, 2), [], "place").filter(F.col("place") < count).select("query", "place")
+    return running_total(q, "_one", ["_o", "query"], F.substring("_o", 1, DIGITS), [], "place").filter(F.col("place") < count).select("query", "place")
 
 
 def bind(first: Column, second: Column, binding: dict[str, str]) -> Column:
@@ -86,7 +86,7 @@ def split_holdout(df: DataFrame, key: str, share: float, seed: int = 0) -> DataF
     """``df`` with held_out: the first int(n * share) rows of the seeded order."""
     n = df.count()
     d = df.withColumn("_o", seeded(seed, F.col(key))).withColumn("_one", F.lit(1))
-    d = running_total(d, "_one", ["_o", key], F.substring("_o", 1, 2), [], "_place")
+    d = running_total(d, "_one", ["_o", key], F.substring("_o", 1, DIGITS), [], "_place")
     return d.withColumn("held_out", F.col("_place") < int(n * share)).drop("_o", "_one", "_place")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import calls as K
+from tessera.operators import corpus as C
 from tessera.operators import scoring as S
 from tessera.session import table
 
@@ -291,4 +292,5 @@ def render_conversation(spark, d):
 @query(f"{E} SELECT tool, two, k, min(event_id) AS first, count(*) AS n FROM e GROUP BY tool, two, k")
 def dedup_request_call(spark, d):
     c = calls(spark, d).select("event_id", "tool", "k", (F.col("event_id") % 7 == 0).alias("two"), K.dedup_key(F.concat(F.lit(" "), F.upper("tool")), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('[{"b":2,"k":'), F.col("k"), F.lit("}]"))).otherwise(F.concat(F.lit('[{"k":'), F.col("k"), F.lit("}]")))).alias("key"))
-    return c.groupBy("key").agg(F.first("tool").alias("tool"), F.first("two").alias("two"), F.first("k").alias("k"), F.min("event_id").alias("first"), F.count("*").alias("n")).drop("key")
+    n = c.groupBy("key").agg(F.count("*").alias("n"))
+    return C.first_of(c, ["key"], ["event_id"]).join(n, "key").select("tool", "two", "k", F.col("event_id").alias("first"), "n")

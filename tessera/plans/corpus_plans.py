@@ -91,10 +91,11 @@ def text_field_extract(spark, d):
 @query(f"SELECT source, min(doc_id) AS doc_id, count(*) AS copies FROM ({CLEANED}) GROUP BY source, sha256(c)")
 def exact_dedup_in_source(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", F.sha2(T.clean(F.col("text")), 256).alias("key"))
-    return docs.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("key")
+    copies = docs.groupBy("source", "key").agg(F.count("*").alias("copies"))
+    return C.first_of(docs, ["source", "key"], ["doc_id"]).join(copies, ["source", "key"]).drop("key")
 
 
-@query("SELECT * FROM (VALUES ('fineweb-edu', 620007::BIGINT), ('the-stack-v2', 180002), ('schemas', 120001), ('synth-tools', 80001)) t(source, tokens)")
+@query(f"WITH s(source, share, ord) AS (VALUES {', '.join(f'({s!r}, {x}::DOUBLE, {i})' for i, (s, x) in enumerate(C.MIX))}), e AS (SELECT source, ord, 1000011 * share / sum(share) OVER () AS e FROM s), r AS (SELECT *, 1000011 - sum(floor(e)) OVER () AS short, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) AS n FROM e) SELECT source, (floor(e) + (n <= short)::INT)::BIGINT AS tokens FROM r")
 def mix_plan(spark, d):
     shares = spark.createDataFrame([(s, x, i) for i, (s, x) in enumerate(C.MIX)], "source string, share double, ord int")
     return C.apportion(shares, 1_000_011).select("source", "tokens")
@@ -116,11 +117,16 @@ def mix_draw(spark, d):
     return _draw(spark, d).select("doc_id", "lang", "n", "before")
 
 
-@query(f"{DRAW}, k AS (SELECT lang, count(*) FILTER (before < budget) AS kept, count(*) AS n_read, coalesce(sum(n) FILTER (before < budget), 0) AS tok FROM r JOIN b USING (lang) GROUP BY lang) SELECT lang, kept, n_read, tok::BIGINT AS tokens, round(tok / sum(tok) OVER (), 6) AS share FROM k")
+@query(f"{DRAW}, k AS (SELECT lang, count(*) FILTER (before < budget) AS kept, count(*) AS n_read, coalesce(sum(n) FILTER (before < budget), 0) AS tok FROM r JOIN b USING (lang) GROUP BY lang) SELECT lang, kept, n_read, tok::BIGINT AS tokens, round(tok / sum(tok) OVER (), 6) AS share, greatest(budget - tok, 0)::BIGINT AS shortfall FROM k JOIN b USING (lang)")
 def mix_report(spark, d):
-    kept = _draw(spark, d).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("tokens"))
-    read = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n_read"))
-    return read.join(kept, "lang").withColumn("share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), 6))
+    budgets = spark.createDataFrame(BUDGETS, "lang string, tokens long")
+    return C.mix_report(table(spark, d, "documents"), _draw(spark, d), budgets, "lang", "n").withColumn("share", F.round("share", 6))
+
+
+@query("WITH a AS (SELECT 'docs' AS source, doc_id AS id, (row_number() OVER (ORDER BY doc_id) - 0.5) / count(*) OVER () AS place FROM documents), b AS (SELECT 'pages' AS source, page_id AS id, (row_number() OVER (ORDER BY page_id) - 0.5) / count(*) OVER () AS place FROM pages) SELECT source, id, round(place, 9)::DOUBLE AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
+def interleaved_sources(spark, d):
+    docs, pages = table(spark, d, "documents").select(F.col("doc_id").alias("id")), table(spark, d, "pages").select(F.col("page_id").alias("id"))
+    return C.interleave({"docs": docs, "pages": pages}, "id").select("source", "id", F.round("place", 9).alias("place"))
 
 
 S = 512
@@ -140,10 +146,14 @@ def pack_spans(spark, d):
     return _spans(spark, d)
 
 
-@query(f"{SPANS} SELECT row_id, max(seg)::INT AS segments, sum(hi - lo)::BIGINT AS tokens, ({S} - sum(hi - lo))::BIGINT AS padding FROM spans GROUP BY row_id")
+@query(f"{SPANS} SELECT row_id, max(seg)::INT AS segments, sum(hi - lo)::BIGINT AS tokens, ({S} - sum(hi - lo))::BIGINT AS padding, sum(seg * (hi - lo))::BIGINT AS seg_sum FROM spans GROUP BY row_id")
 def pack_segments(spark, d):
-    g = _spans(spark, d).groupBy("row_id").agg(F.max("seg").alias("segments"), F.sum(F.col("hi") - F.col("lo")).alias("tokens"))
-    return g.withColumn("padding", F.lit(S) - F.col("tokens"))
+    # each document as 4s and one end, which its segments are read back from
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "hi", "last"))), lambda x: F.concat(F.array_repeat(F.lit(4), (x["hi"] - x["lo"] - 1).cast("int")), F.array(F.when(x["last"], P.EOS).otherwise(4)))))
+    ends = _spans(spark, d).withColumn("last", F.col("row_id") == F.max("row_id").over(Window.partitionBy("doc_id")))
+    seg = ends.groupBy("row_id").agg(ids.alias("ids")).select("row_id", P.segments_from_eos(F.col("ids")).alias("seg"))
+    tokens = F.size("seg").cast("long")
+    return seg.select("row_id", F.array_max("seg").alias("segments"), tokens.alias("tokens"), (F.lit(S) - tokens).alias("padding"), F.aggregate("seg", F.lit(0).cast("long"), lambda a, x: a + x).alias("seg_sum"))
 
 
 @query(f"{SPANS} SELECT row_id, sum(hi - lo - 1)::BIGINT AS mask1, sum(greatest(hi - lo - 2, 0))::BIGINT AS mask2 FROM spans GROUP BY row_id")
@@ -160,27 +170,27 @@ def row_batches(spark, d):
 def _fnv_sql(n, t, slots):
     acc = str((P.SEED * (t + 1)) & P.MASK) + "::HUGEINT"
     for j in range(n):
-        tok = f"coalesce(lag(user_id, {j}) OVER w, 0)" if j else "user_id"
+        tok = f"coalesce(lag(event_id, {j}) OVER w, 0)" if j else "event_id"
         acc = f"((xor(({acc})::BIGINT, ({tok})::BIGINT)::HUGEINT * {P.PRIME}) & {P.MASK})"
     return f"(xor(({acc})::BIGINT, ({acc})::BIGINT >> 15) % {slots})::BIGINT"
 
 
-@query(f"SELECT event_id, {_fnv_sql(2, 0, 8192)} AS h2, {_fnv_sql(3, 1, 8192)} AS h3 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
+@query(f"SELECT event_id, {_fnv_sql(2, 0, 8192)} AS h2, {_fnv_sql(3, 1, 8192)} AS h3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def ngram_hash(spark, d):
     e = table(spark, d, "events")
-    h = lambda n, t: P.ngram_hash("user_id", n, t, 8192, ["event_type"], "event_id")
+    h = lambda n, t: P.ngram_hash("event_id", n, t, 8192, ["user_id"], "event_id")
     return e.select("event_id", h(2, 0).alias("h2"), h(3, 1).alias("h3"))
 
 
-@query("SELECT event_id, coalesce(lag(user_id, 2) OVER (PARTITION BY event_type ORDER BY event_id), 0)::BIGINT AS two_back FROM events")
+@query("SELECT event_id, coalesce(lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id), 0)::BIGINT AS two_back FROM events")
 def shift_right(spark, d):
     e = table(spark, d, "events")
-    return e.select("event_id", P.shift_right(e, "user_id", 2, ["event_type"], "event_id").alias("two_back"))
+    return e.select("event_id", P.shift_right(e, "event_id", 2, ["user_id"], "event_id").alias("two_back"))
 
 
-@query("SELECT event_id, round(0.5 * value + 0.25 * coalesce(lag(value, 3) OVER w, 0) + 0.125 * coalesce(lag(value, 6) OVER w, 0), 6) AS tapped FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
+@query("SELECT event_id, round(0.5 * value + 0.25 * coalesce(lag(value, 3) OVER w, 0) + 0.125 * coalesce(lag(value, 6) OVER w, 0), 6) AS tapped FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def dilated_taps(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(P.taps("value", [0.5, 0.25, 0.125], 3, ["event_type"], "event_id"), 6).alias("tapped"))
+    return table(spark, d, "events").select("event_id", F.round(P.taps("value", [0.5, 0.25, 0.125], 3, ["user_id"], "event_id"), 6).alias("tapped"))
 
 
 @query(f"{SPANS.replace(str(S), '32')}, p AS (SELECT row_id, seg, unnest(range(lo, hi)) AS pos FROM spans) SELECT row_id, sum(k)::BIGINT AS edges FROM (SELECT row_id, pos - min(pos) OVER (PARTITION BY row_id, seg) + 1 AS k FROM p) GROUP BY row_id")
@@ -212,11 +222,11 @@ def pad_rows(spark, d):
     return g.select("user_id", F.size(ids).alias("n"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("WITH p AS (SELECT event_type, event_id, value / sum(value) OVER (PARTITION BY event_type) AS p FROM events) SELECT event_type, count(*) AS n FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY event_type ORDER BY p DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) WHERE before < 0.5 GROUP BY event_type")
+@query("WITH p AS (SELECT user_id, event_id, value / sum(value) OVER (PARTITION BY user_id) AS p FROM events) SELECT user_id, count(*) AS n FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY user_id ORDER BY p DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) WHERE before < 0.5 GROUP BY user_id")
 def topp_cut(spark, d):
     e = table(spark, d, "events")
-    e = e.withColumn("p", F.col("value") / F.sum("value").over(Window.partitionBy("event_type")))
-    return P.nucleus(e, ["event_type"], "p", "event_id", 0.5).groupBy("event_type").agg(F.count("*").alias("n"))
+    e = e.withColumn("p", F.col("value") / F.sum("value").over(Window.partitionBy("user_id")))
+    return P.nucleus(e, ["user_id"], "p", "event_id", 0.5).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)::INT) AS a FROM documents), s AS (SELECT doc_id, a[1:len(a) - 8] AS p, a[len(a) - 7:] AS t FROM w WHERE len(a) > 40) SELECT doc_id, (1 + least(len(p), 54) + 8 + 1)::INT AS used, (2 + list_sum(p[len(p) - least(len(p), 54) + 1:]) + list_sum(t) + 1)::BIGINT AS total, 9.0::DOUBLE AS weight FROM s")

@@ -280,7 +280,7 @@ def mask_candidates(spark, d):
 
     pieces = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"([^ \n]+)"), F.lit(1))).alias("piece"))
     pieces = pieces.unionByName(spark.createDataFrame([("ick",), ('ew"',), ('lick":',)], "piece string")).distinct()
-    v = pieces.withColumn("_one", F.lit(1)).withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("piece")).cast("long")).drop("_one")
+    v = running_total(pieces.withColumn("_one", F.lit(1)), "_one", ["piece"], F.substring("piece", 1, 2), [], "id").withColumn("id", F.col("id") + 1).drop("_one")
     words = table(spark, d, "events").select(F.col("event_type").alias("word")).distinct()
     first = words.agg(F.min("word")).first()[0][:1]
     return R.candidates(v, words, first)

@@ -41,7 +41,7 @@ def test_spans_equal_a_sequential_packer(spark):
     r = random.Random(0)
     sizes = [r.choice([0, 1, 2, 7, 8, 9, 30]) for _ in range(200)]
     df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n long")
-    got = sorted((x.row_id, x.seg, x.doc_id, x.lo, x.hi) for x in P.spans(df, "n", "doc_id", 8, width=16).collect())
+    got = sorted((x.row_id, x.seg, x.doc_id, x.lo, x.hi) for x in P.spans(df, "n", "doc_id", 8).collect())
     assert got == pack(sizes, 8)
     with pytest.raises(ValueError):
         P.spans(df, "n", "doc_id", 1)
