@@ -17,6 +17,7 @@ come back repeated. Extra columns are ignored by ``near_duplicates``. An empty t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -438,16 +439,16 @@ def _left(members: DataFrame, sets: DataFrame, labels: DataFrame, where: str, si
 BLOCK = 1 << 20
 
 
-def _copies(docs: DataFrame, where: str, size: int, similarity: float) -> DataFrame:
-    """(node) of rows of ``docs`` (node, text; distinct) that aren't the first of their group: the groups join all pairs
-    that share a key of ``bands`` and are similar enough."""
-    keys = common.written(bands(docs, size), f"{where}/bands")
+def _copies(texts: Callable[[DataFrame | None], DataFrame], where: str, size: int, similarity: float) -> DataFrame:
+    """(node) of texts that aren't the first of their group: the groups join all pairs that share a key of ``bands`` and
+    are similar enough. ``texts`` gives (node, text) of some nodes, or of all."""
+    keys = common.written(bands(texts(None), size), f"{where}/bands")
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     members = common.written(keys.join(heads, "key").select("t", "key", "head", "node"), f"{where}/members")
-    common.removed(docs.sparkSession, f"{where}/bands")
+    common.removed(keys.sparkSession, f"{where}/bands")
     pairs = common.written(members.filter("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y")).distinct(), f"{where}/pairs")
     asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    sets = common.written(shingle_sets(docs.join(asked, "node", "left_semi").select("node", "text"), size), f"{where}/sets")
+    sets = common.written(shingle_sets(texts(asked), size), f"{where}/sets")
     near = pairs.join(sets.select(F.col("node").alias("x"), F.col("h").alias("g")), "x").join(sets.select(F.col("node").alias("y"), "h"), "y")
     near = common.written(near.filter(_similarity("g", "h") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b")), f"{where}/near")
     labels = common.written(components(near, f"{where}/cc"), f"{where}/labels")
@@ -478,18 +479,26 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     marked = docs.withColumn(key, F.unhex(F.sha2(text.cast("binary"), 256)))
     # of each text the smallest id, and how many rows have both; numbers in the order of the ids
     counted = marked.select("doc_id", F.col(key).alias("key")).groupBy("key", "doc_id").agg(F.count("*").alias("n"))
-    texts = counted.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("x")).select("key", "x.*")
-    texts = common.written(texts, f"{where}/texts").repartitionByRange("none", "doc_id").sortWithinPartitions("none", "doc_id", "key")
-    texts = common.written(texts.select(F.col("key").alias(key), F.col("doc_id").alias(least), F.col("n").alias(n), F.monotonically_increasing_id().alias(node)), f"{where}/numbered")
-    # the id is part of the join, so that a text of very many rows isn't one key
-    met = marked.join(texts.withColumnRenamed(key, f"{key}_"), (F.col(key) == F.col(f"{key}_")) & F.col("doc_id").eqNullSafe(F.col(least)))
+    distinct = counted.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("x")).select("key", "x.*")
+    distinct = common.written(distinct, f"{where}/distinct").repartitionByRange("none", "doc_id").sortWithinPartitions("none", "doc_id", "key")
+    distinct = common.written(distinct.select(F.col("key").alias(f"{key}_"), F.col("doc_id").alias(least), F.col("n").alias(n), F.monotonically_increasing_id().alias(node)), f"{where}/numbered")
+
+    def rows(some: DataFrame) -> DataFrame:
+        """The rows of ``docs`` that ``some`` of the distinct texts stand for, with their number."""
+        # the id is part of the join, so that a text of very many rows isn't one key
+        return marked.join(some, (F.col(key) == F.col(f"{key}_")) & F.col("doc_id").eqNullSafe(F.col(least)))
+
+    def texts(nodes: DataFrame | None) -> DataFrame:
+        some = distinct if nodes is None else distinct.join(nodes.withColumnRenamed("node", node), node, "left_semi")
+        found = rows(some).select(F.col(node).alias("node"), text.alias("text"), F.col(n).alias("n"))
+        return found.filter("n = 1").select("node", "text").unionByName(found.filter("n > 1").groupBy("node").agg(F.first("text").alias("text")))
+
+    gone = common.written(_copies(texts, f"{where}/copies", size, similarity), f"{where}/gone")
+    common.removed(spark, f"{where}/distinct", f"{where}/copies")
+    kept = rows(distinct.join(gone.withColumnRenamed("node", node), node, "left_anti"))
     first = F.row_number().over(Window.partitionBy(node).orderBy(F.to_json(F.struct(*common.columns(docs)))))
-    rows = [*common.columns(docs), F.col(node)]
-    distinct = met.filter(F.col(n) == 1).select(rows).unionByName(met.filter(F.col(n) > 1).withColumn(nth, first).filter(F.col(nth) == 1).select(rows))
-    distinct = common.written(distinct, f"{where}/distinct")
-    gone = common.written(_copies(distinct.select(F.col(node).alias("node"), text.alias("text")), f"{where}/copies", size, similarity), f"{where}/gone")
-    common.removed(spark, *[f"{where}/{x}" for x in ("texts", "numbered", "copies")])
-    return distinct.join(gone.withColumnRenamed("node", node), node, "left_anti").select(common.columns(docs))
+    repeated = kept.filter(F.col(n) > 1).withColumn(nth, first).filter(F.col(nth) == 1)
+    return kept.filter(F.col(n) == 1).select(common.columns(docs)).unionByName(repeated.select(common.columns(docs)))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
