@@ -1,8 +1,9 @@
-"""Model geometry as arithmetic (A25, A32, C31, C32, K12): plain functions of a settings record, for driver-side tables."""
+"""Model geometry as arithmetic (S25, A25, A27, A32, C31, C32): plain functions of a settings record, for driver-side tables."""
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 #: Fixed values of the session budget.
@@ -33,8 +34,14 @@ class Geometry:
 
     @classmethod
     def of(cls, **settings):
-        """Unknown settings are left out, not raised."""
-        return cls(**{k: v for k, v in settings.items() if k in cls.__dataclass_fields__})
+        """Unknown settings are left out, not raised; a list stands for its length where a number is meant."""
+        counted = {k: len(v) if isinstance(v, (list, tuple)) else v for k, v in settings.items()}
+        return cls(**{k: v for k, v in counted.items() if k in cls.__dataclass_fields__})
+
+    @classmethod
+    def from_yaml(cls, text: str):
+        """The settings of a flat YAML text: ``name: value`` lines with numbers, flags, texts and lists in brackets."""
+        return cls.of(**dict(filter(None, map(_setting, text.splitlines()))))
 
     @property
     def head_dim(self) -> int:
@@ -67,6 +74,60 @@ class Geometry:
         return min(self.budget_window, self.kv_window or self.budget_window)
 
 
+def _setting(line: str):
+    """(name, value) of a YAML line, None for an empty one."""
+    line = re.sub(r"(^|\s)#.*", "", line).strip()
+    if not line:
+        return None
+    name, colon, value = line.partition(":")
+    if not colon:
+        raise ValueError(f"{line!r} is not name: value")
+    return name.strip(), _value(value.strip())
+
+
+def _value(text: str):
+    if text.startswith("[") and text.endswith("]"):
+        return [_value(x.strip()) for x in text[1:-1].split(",") if x.strip()]
+    if text[:1] in "\"'" and text[:1] == text[-1:] and len(text) > 1:
+        return text[1:-1]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return {"true": True, "false": False, "null": None, "": None}.get(text.lower(), text)
+
+
+#: Named geometries, fixed values.
+PRESETS = {
+    "base": {"d_model": 512, "num_heads": 8, "num_kv_heads": 4, "num_layers": 27, "sites": 2},
+    "wide": {"d_model": 768, "num_heads": 12, "num_kv_heads": 6, "num_layers": 27, "sites": 2},
+    "tiny": {"d_model": 128, "num_heads": 4, "num_kv_heads": 2, "num_layers": 2, "sites": 1, "slots": 256, "lanes": 2, "max_seq_len": 256, "kv_window": 128},
+}
+
+
+def preset(name: str, **over) -> Geometry:
+    """A named geometry with some settings replaced."""
+    if name not in PRESETS:
+        raise KeyError(f"no preset {name!r}; there are {', '.join(sorted(PRESETS))}")
+    return Geometry.of(**PRESETS[name] | over)
+
+
+def tensors(g: Geometry) -> list[tuple[str, tuple[int, ...]]]:
+    """(name, shape) of every tensor that ships; the components are those of ``param_count``, per-layer ones stacked."""
+    d, wide, n = g.d_model, g.lanes * g.d_model, g.num_layers
+    block = {
+        "attn.q_proj": (d, d), "attn.k_proj": (d, g.kv_dim), "attn.v_proj": (d, g.kv_dim), "attn.gate_proj": (d, d), "attn.out_proj": (d, d), "attn.q_norm": (g.head_dim,), "attn.k_norm": (g.head_dim,),
+        "attn.pre_norm": (d,), "attn.post_norm": (d,), "attn.gate": (), "mix.norm": (d,), "mix.first": (g.hadamard,), "mix.second": (g.hadamard,), "mix.third": (g.hadamard,),
+    }
+    router = {"pre": (wide, g.lanes), "post": (wide, g.lanes), "res": (wide, g.lanes**2), "pre_bias": (g.lanes,), "post_bias": (g.lanes,), "res_bias": (g.lanes, g.lanes), "pre_scale": (), "post_scale": (), "res_scale": ()}
+    site = {"table": (g.tables, g.slots, d // g.tables), "k_proj": (d, d), "v_proj": (d, d), "taps": (TAPS, d)}
+    found = [("embedding", (g.vocab_size, d))] + [(f"block.{k}", (n, *s)) for k, s in block.items()] + [(f"router.{k}", (n, *s)) for k, s in router.items()]
+    found += [(f"memory.{i}.{k}", s) for i in range(g.sites) for k, s in site.items()]
+    found += [("retrieval.probe", (g.retrieval_probes, d)), ("retrieval.proj", (g.retrieval_probes, d, g.retrieval_dim)), ("retrieval.temp", ())]
+    return found + [("confidence.probe", (g.confidence_probes, d)), ("confidence.gate", (g.confidence_probes, d)), ("confidence.bias", ()), ("final_norm", (d,))]
+
+
 def param_count(g: Geometry) -> dict[str, int]:
     """Parameters by component."""
     d, wide = g.d_model, g.lanes * g.d_model

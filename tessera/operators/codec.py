@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,3 +234,52 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """The element-wise mean per key, in element order."""
     e = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+
+
+def _halved(df: DataFrame, vector: str) -> DataFrame:
+    """``df`` with a vector's values rounded to half precision."""
+    at = df.columns.index(vector)
+
+    def run(batches):
+        for b in batches:
+            cols = b.columns
+            v = cols[at]
+            half = np.asarray(v.flatten()).astype(np.float32).astype(np.float16).astype(np.float64)
+            size = pa.array(np.concatenate([[0], np.cumsum(np.asarray(pc.coalesce(pc.list_value_length(v), 0)))]), pa.int32())
+            cols[at] = pa.ListArray.from_arrays(size, pa.array(half, pa.float64()))
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return df.withColumn(vector, F.col(vector).cast("array<double>")).mapInArrow(run, df.withColumn(vector, F.col(vector).cast("array<double>")).schema)
+
+
+def average_checkpoints(leaves: DataFrame, key: str = "name", values: str = "values", integer: str = "integer") -> DataFrame:
+    """(key, mean): floats averaged element by element and rounded to half precision; integers must agree, or the job fails."""
+    e = leaves.select(key, integer, F.posexplode(values).alias("i", "x"))
+    g = e.groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.max(integer).alias("int"))
+    one = F.when(F.col("int") & (F.col("lo") != F.col("hi")), F.raise_error(F.concat(F.lit("integer leaves differ: "), F.col(key)))).otherwise(F.col("m"))
+    m = g.select(key, "i", "int", one.alias("m")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"), F.max("int").alias("int"))
+    floats = _halved(m.filter(~F.col("int")).select(key, "mean"), "mean")
+    return floats.unionByName(m.filter("int").select(key, "mean"))
+
+
+def mixed_quantise(leaves: DataFrame, spec: str, group: int, name: str = "name", values: str = "values") -> DataFrame:
+    """(name, bits, back): each leaf's rows of ``group`` values at its family's width; 16 bits and more through half precision."""
+    t = widths_for(leaves.select(name, F.col(values).cast("array<double>").alias(values)), name, spec)
+    table, default = parse_widths(spec)
+    parts = []
+    for bits in sorted({*table.values(), default}):
+        some = t.filter(F.col("bits") == bits)
+        if bits >= 16:
+            parts.append(_halved(some.select(name, "bits", F.col(values).alias("back")), "back") if bits < 32 else some.select(name, "bits", F.col(values).alias("back")))
+        else:
+            parts.append(quantise(some, name, values, bits, group).select(name, F.lit(bits).alias("bits"), F.col("back").cast("array<double>").alias("back")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def rms_error(df: DataFrame, by: str, original: str, back: str) -> DataFrame:
+    """The root of the mean squared error per group of vectors."""
+    sq = F.aggregate(F.zip_with(original, back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return df.groupBy(by).agg(F.sqrt(F.sum(sq) / F.sum(F.size(original))).alias("rms"))

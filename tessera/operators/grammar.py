@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import CALL_END, CALL_START
+from tessera.functions.text import CALL_END, CALL_START, digit_allowed, number_complete
 
 
 def trie(words: DataFrame, group: list[str], word: str) -> DataFrame:
@@ -40,6 +40,41 @@ def token_text(piece, is_control, is_byte):
     return F.when(is_control, "").when(is_byte, F.char(code)).otherwise(F.replace(piece, F.lit("▁"), F.lit(" ")))
 
 
+#: What may follow a value.
+VALUE_ENDS = ",}] \t\r\n"
+
+
+def number_fits(piece: Column, prefix: Column, lo: Column, hi: Column, most: int = 24) -> Column:
+    """Whether a piece can go on a number begun as ``prefix`` that must lie in [lo, hi], null bounds being open.
+
+    A piece is digits, each of which must leave the range reachable, and then nothing or an end, where the number is complete.
+    No digit follows a lone zero, and only a range below zero takes a minus.
+    """
+    head = F.regexp_extract(piece, r"^-?[0-9]*", 0)
+    tail = F.substr(piece, F.length(head) + 1)
+    whole = F.concat(prefix, head)
+    ok = (piece != "") & F.when(head.startswith("-"), (prefix == "") & (lo.isNull() | (lo < 0))).otherwise(True) & ~whole.rlike("^-?0[0-9]")
+    steps = F.sequence(F.lit(1), F.least(F.length(head), F.lit(most)))
+    digit = lambda i: (F.substr(head, i, F.lit(1)) == "-") | digit_allowed(F.concat(prefix, F.substr(head, F.lit(1), i - 1)), F.substr(head, i, F.lit(1)), lo, hi)
+    walked = (F.length(head) == 0) | F.forall(steps, digit)
+    ended = F.when(tail == "", True).otherwise(F.lit(VALUE_ENDS).contains(F.substr(tail, F.lit(1), F.lit(1))) & number_complete(whole, lo, hi))
+    return ok & walked & ended
+
+
+def bare_fits(piece: Column, rest: Column) -> Column:
+    """Whether a piece can go on an unquoted choice of which ``rest`` is left: a part of it, or all and then an end."""
+    past = F.substr(piece, F.length(rest) + 1)
+    return (piece != "") & (rest.startswith(piece) | (piece.startswith(rest) & F.lit(VALUE_ENDS).contains(F.substr(past, F.lit(1), F.lit(1)))))
+
+
+def await_fits(piece: Column, seen_colon: Column, value_fits) -> Column:
+    """Whether a piece can stand between a key and its value: blanks, the colon unless seen, then a value that ``value_fits``."""
+    trimmed = F.regexp_replace(piece, r"^\s+", "")
+    colon = trimmed.startswith(":")
+    value = F.when(seen_colon, trimmed).otherwise(F.regexp_replace(F.substr(trimmed, F.lit(2)), r"^\s+", ""))
+    return F.when(~seen_colon & ~colon, False).otherwise((value == "") | value_fits(value))
+
+
 class Reading:
     """The state of an unfinished list of calls, read as JSON tokens on a stack of open brackets.
 
@@ -55,13 +90,13 @@ class Reading:
     def read(self, text: str) -> dict:
         at = text.rfind(CALL_START)
         if at < 0 or text.find(CALL_END, at) >= 0:
-            return {"state": "disarmed", "text": "", "tool": None, "keys": [], "pending": [], "broken": False}
+            return {"state": "disarmed", "text": "", "tool": None, "keys": [], "pending": [], "broken": False, "forbids_close": False}
         self.stack, self.tool, self.keys, self.key, self.args, self.broken = [], None, [], None, 0, False
         state, span = "free", ""
         for kind, token, closed in self._tokens(text[at + len(CALL_START) :]):
             state, span = self._step(kind, token, closed)
         pending = sorted(self.rules.get(self.tool, ({}, set()))[1] - set(self.keys)) if self.args else []
-        return {"state": state, "text": span, "tool": self.tool, "keys": self.keys, "pending": pending, "broken": self.broken}
+        return {"state": state, "text": span, "tool": self.tool, "keys": self.keys, "pending": pending, "broken": self.broken, "forbids_close": bool(pending) and len(self.stack) == self.args}
 
     @staticmethod
     def _tokens(text: str):
@@ -147,7 +182,7 @@ class Reading:
         return rule.get("minimum", x) <= x <= rule.get("maximum", x)
 
 
-STATE = "state string, text string, tool string, keys array<string>, pending array<string>, broken boolean"
+STATE = "state string, text string, tool string, keys array<string>, pending array<string>, broken boolean, forbids_close boolean"
 
 
 def call_state(df: DataFrame, key: str, text: str, tools: str) -> DataFrame:
@@ -162,7 +197,7 @@ def call_state(df: DataFrame, key: str, text: str, tools: str) -> DataFrame:
                 except ValueError:
                     tools_ = []
                 out.append(Reading([x for x in tools_ if isinstance(x, dict)]).read(t or ""))
-            cols = [pa.array([o[k] for o in out], t) for k, t in (("state", pa.string()), ("text", pa.string()), ("tool", pa.string()), ("keys", pa.list_(pa.string())), ("pending", pa.list_(pa.string())), ("broken", pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "state", "text", "tool", "keys", "pending", "broken"])
+            cols = [pa.array([o[k] for o in out], t) for k, t in (("state", pa.string()), ("text", pa.string()), ("tool", pa.string()), ("keys", pa.list_(pa.string())), ("pending", pa.list_(pa.string())), ("broken", pa.bool_()), ("forbids_close", pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "state", "text", "tool", "keys", "pending", "broken", "forbids_close"])
 
     return df.select(key, text, tools).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {STATE}")

@@ -129,3 +129,19 @@ def load_report(spark, path: str) -> dict:
     return json.loads(spark.read.text(path).first().value)
 
 
+
+
+def canonical_order(leaves: DataFrame, regions: list[str], name: str = "name", layer: str = "layer") -> DataFrame:
+    """(place, name, layer): leaves by region, then layer (whole ones first), then natural name.
+
+    A leaf's region is the first of ``regions`` that its name starts with; others come last.
+    """
+    from tessera.functions.text import natural_key
+
+    region = F.lit(len(regions))
+    for i, r in reversed(list(enumerate(regions))):
+        region = F.when(F.col(name).startswith(r), i).otherwise(region)
+    t = leaves.select(name, layer, region.alias("_r"), F.greatest(F.col(layer), F.lit(0)).alias("_l"), natural_key(F.col(name)).alias("_k")).withColumn("_one", F.lit(1))
+    bucket = F.struct("_r", "_l")
+    t = C.running_total(t, "_one", ["_r", "_l", "_k", name, layer], bucket, name="place")
+    return t.select("place", name, layer)

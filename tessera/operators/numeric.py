@@ -92,3 +92,8 @@ def arm_summary(leaves: DataFrame, arm: str, size: str) -> DataFrame:
 def steps_per_epoch(rows: int, batch: int) -> int:
     """K12."""
     return max(1, -(-rows // batch))
+
+
+def recommended_epochs(rows: int, batch: int = 16, steps: int = 390, least: int = 10, most: int = 30) -> int:
+    """The epochs that come to about ``steps`` steps, within bounds."""
+    return min(most, max(least, -(-steps // steps_per_epoch(max(rows, 1), max(batch, 1)))))

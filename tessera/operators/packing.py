@@ -128,3 +128,17 @@ def nucleus(df: DataFrame, part: list[str], p: str, tie: str, top_p: float) -> D
     """The likeliest rows whose predecessors sum to less than top_p."""
     w = Window.partitionBy(*part).orderBy(F.desc(p), tie).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("before", F.coalesce(F.sum(p).over(w), F.lit(0.0))).filter(F.col("before") < top_p)
+
+
+def dataset(rows: DataFrame, prompt: str, target: str, max_len: int) -> DataFrame:
+    """``rows`` with example (ids, weights); rows whose target alone is too long go, and if none is left the job fails."""
+    d = rows.withColumn("example", encode_example(F.col(prompt), F.col(target), max_len)).filter("example is not null")
+    left = d.agg(F.count("*").alias("_left"))  # one row
+    checked = left.select(F.when(F.col("_left") == 0, F.raise_error(F.lit(f"no row fits {max_len} tokens"))).otherwise(F.col("_left")).alias("_left"))
+    # the row of the count stays where no example is left, so that it is looked at
+    return checked.join(d, F.lit(True), "left").filter(F.col("_left") > 0).drop("_left")
+
+
+def ring(df: DataFrame, pos: str, value: str, pinned: int, size: int) -> DataFrame:
+    """(slot, pos, value): the last writer of each slot of a ring with pinned places."""
+    return df.groupBy(ring_slot(F.col(pos), pinned, size).alias("slot")).agg(F.max(pos).alias(pos), F.max_by(value, pos).alias(value))

@@ -158,3 +158,18 @@ def error_rates(rows: DataFrame, problems: str, unread: str) -> DataFrame:
     total = rows.agg(F.greatest(calls, F.lit(1)).alias("_calls"), F.count_if(bad).alias("malformed_json"), *named)
     each = F.explode(F.array(*[F.struct(F.lit(e).alias("problem"), F.col(e).alias("n")) for e in ERRORS])).alias("x")
     return total.select("_calls", each).select("x.problem", F.round(1000.0 * F.coalesce("x.n", F.lit(0)) / F.col("_calls"), 1).alias("per_1000"))
+
+
+def calibration_report(df: DataFrame, conf: str, correct: str) -> DataFrame:
+    """(temperature, ece, mce, ece_tempered, mce_tempered): calibration as it is, and with the fitted temperature."""
+    t = fit_temperature(df, conf, correct)
+    after = df.crossJoin(F.broadcast(t)).withColumn(conf, tempered(F.col(conf), F.col("temperature")))
+    cooled = calibration_errors(after, conf, correct).toDF("ece_tempered", "mce_tempered")
+    return t.crossJoin(F.broadcast(calibration_errors(df, conf, correct))).crossJoin(F.broadcast(cooled))
+
+
+def report_text(headline: dict, families: list[tuple[str, float]], sweep: list[dict]) -> str:
+    """The rates, the families by falling rate, and the sweep, one to a line."""
+    out = [f"{k.replace('_', ' '):<24}{v:>8.1%}" for k, v in headline.items()]
+    out += [f"{k:<24}{v:>8.1%}" for k, v in sorted(families, key=lambda x: -x[1])]
+    return "\n".join(out + [f"{r['threshold']:<24.2f}" + "".join(f"{r[k]:>8.1%}" for k in ("handled", "exact_call_handled", "exact_call_escalated")) for r in sweep])

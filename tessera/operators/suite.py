@@ -167,3 +167,96 @@ def twin_requests(suite: DataFrame) -> DataFrame:
 def summary(suite: DataFrame) -> DataFrame:
     """Counts, held-out share, mean overlap of twins."""
     return suite.agg(F.count("*").alias("requests"), F.count_if("held_out").alias("held_out"), F.count("twin").alias("twins"), F.avg("twin.overlap").alias("mean_overlap"))
+
+
+def with_twins(suite: DataFrame) -> DataFrame:
+    """The suite and its twins as one relation; twin_of is null for a request of the suite itself."""
+    return suite.drop("twin").unionByName(twin_requests(suite), allowMissingColumns=True)
+
+
+def save_suite(suite: DataFrame, path: str) -> None:
+    """One JSON request per line."""
+    suite.write.mode("overwrite").json(path)
+
+
+def load_suite(spark, path: str, schema) -> DataFrame:
+    """The requests that ``save_suite`` wrote."""
+    return spark.read.schema(schema).json(path)
+
+
+def tool_schemas(tools: DataFrame, slots: DataFrame) -> DataFrame:
+    """(name, schema, combinations): each tool's JSON schema from its slots (name, key, slot, value, type, minimum, maximum,
+    enum, optional), and how many requests its phrasings and values make.
+
+    A slot's type, bounds and flags are those of its first value's row.
+    """
+    per = slots.groupBy("name", "key").agg(F.min("slot").alias("slot"), F.count("*").alias("n"), *[F.min_by(c, "ord").alias(c) for c in ("type", "minimum", "maximum", "enum", "optional")], F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("pool"))
+    choices = F.when(F.col("enum"), F.transform("pool", lambda p: p["value"]))
+    prop = F.struct(F.col("type"), F.col("minimum"), F.col("maximum"), choices.alias("enum"))
+    per = per.select("name", "key", "slot", "n", F.coalesce("optional", F.lit(False)).alias("optional"), prop.alias("property"))
+    g = per.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("slot", "key", "property", "optional", "n"))).alias("s"))
+    t = tools.join(g, "name", "left").withColumn("s", F.coalesce("s", F.array().cast(g.schema["s"].dataType)))
+    props = F.map_from_entries(F.transform("s", lambda x: F.struct(x["key"], x["property"])))
+    required = F.transform(F.filter("s", lambda x: ~x["optional"]), lambda x: x["key"])
+    schema = F.to_json(F.struct("name", "description", F.struct(F.lit("object").alias("type"), props.alias("properties"), required.alias("required")).alias("parameters")))
+    return t.select("name", schema.alias("schema"), F.aggregate("s", F.size("phrasings").cast("long"), lambda a, x: a * x["n"]).alias("combinations"))
+
+
+def catalogue_problems(tools: DataFrame, slots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(name, problem) for every way in which a catalogue's own gold answers would be invalid.
+
+    Phrasings must mention every slot, numbers lie within their slot's bounds, choices be texts, and the tools of a pair
+    (first, second, bound) share no argument but bound ones.
+    """
+    keys = slots.select("name", "key").distinct()
+    silent = tools.select("name", F.explode("phrasings").alias("p")).join(keys, "name").filter(~F.col("p").contains(F.concat(F.lit("{"), F.col("key"), F.lit("}"))))
+    number = F.col("value").try_cast("double")
+    outside = slots.filter((F.col("type") != "string") & ((number < F.col("minimum")) | (number > F.col("maximum"))))
+    untyped = slots.filter(F.col("enum") & (F.col("type") != "string"))
+    a, b = keys.select(F.col("name").alias("first"), "key"), keys.select(F.col("name").alias("second"), "key")
+    shared = pairs.join(a, "first").join(b, ["second", "key"]).filter(~F.array_contains("bound", F.col("key")))
+    say = lambda df, name, *text: df.select(F.col(name).alias("name"), F.concat(*text).alias("problem"))
+    return (
+        say(silent, "name", F.lit("a phrasing never mentions "), F.col("key"))
+        .unionByName(say(outside, "name", F.col("key"), F.lit(" has a value outside its bounds: "), F.col("value")))
+        .unionByName(say(untyped, "name", F.col("key"), F.lit(" has choices that aren't texts")))
+        .unionByName(say(shared, "first", F.lit("shares "), F.col("key"), F.lit(" with "), F.col("second"), F.lit(", unbound")))
+        .distinct()
+    )
+
+
+def checked_catalogue(tools: DataFrame, slots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """the tools; a problem of the catalogue raises."""
+    bad = catalogue_problems(tools, slots, pairs).orderBy("name", "problem").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.name}: {r.problem}" for r in bad))
+    return tools
+
+
+def full_suite(tools: DataFrame, values: DataFrame, pairs: list[tuple], templates: DataFrame, subjects: DataFrame, seed: int = 0, families=FAMILIES, held_out: int = HELD_OUT, off_topic_rows: int = OFF_TOPIC, near: int = NEAR, per_turn: int = TOOLS_PER_TURN) -> DataFrame:
+    """One-call, two-call and off-topic requests with their declared tools: (id, family, query, calls, held_out, reasoning, tools).
+
+    ``calls`` lists (name, arguments) in order, none for off-topic rows. ``pairs`` has (family, first, second, phrasings,
+    binding) per family; its two-call rows are as many as the family's plan says. ``tools`` are names in seeded order.
+    """
+    from tessera.operators.retrieval import tool_neighbours
+
+    spark = tools.sparkSession
+    call = lambda name, args: F.struct(name.alias("name"), args.alias("arguments"))
+    rows = build_suite(tools, values, seed, families, held_out).select("id", "family", "name", "query", F.array(call(F.col("name"), F.col("values"))).alias("calls"), "held_out", "reasoning")
+    wanted = {r.family: r.multi for r in family_plan(spark, families, held_out).collect()}
+    for family, first, second, phrasings, binding in pairs:
+        two = two_call_requests(tools, values, (first, second), phrasings, binding, wanted[family], seed)
+        n = F.lpad((F.col("place") + 1).cast("string"), 4, "0")
+        said = F.concat(reasoning(F.col("first")), F.lit("; "), reasoning(F.col("second")))
+        two = two.select(F.concat(F.lit(family.replace(" ", "-") + "-two-"), n).alias("id"), F.lit(family).alias("family"), F.lit(first).alias("name"), "query", F.array(call(F.lit(first), F.col("first")), call(F.lit(second), F.col("second"))).alias("calls"), F.lit(False).alias("held_out"), said.alias("reasoning"))
+        rows = rows.unionByName(two)
+    off = off_topic(templates, subjects, off_topic_rows, seed)
+    target = tools.select("name").withColumn("_t", F.row_number().over(Window.orderBy(seeded(seed, F.col("name")))) - 1)  # a catalogue of tools
+    off = off.crossJoin(F.broadcast(tools.agg(F.count("*").alias("_n")))).withColumn("_t", (F.col("place") % F.col("_n")).cast("int")).join(target, "_t")
+    none = rows.schema["calls"].dataType
+    off = off.select(F.concat(F.lit("off-topic-"), F.lpad((F.col("place") + 1).cast("string"), 4, "0")).alias("id"), F.lit("off topic").alias("family"), "name", "query", F.array().cast(none).alias("calls"), F.lit(False).alias("held_out"), F.lit("no tool fits").alias("reasoning"))
+    rows = rows.unionByName(off)
+    turn = declare(rows.select("id", "name"), tool_neighbours(tools), near, per_turn, seed).select("id", "names")
+    also = F.filter(F.transform("calls", lambda c: c["name"]), lambda n: ~F.array_contains("names", n))
+    return rows.join(turn, "id").select("id", "family", "query", "calls", "held_out", "reasoning", F.concat("names", also).alias("tools"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results rely on, or that let Spark re-plan at run time.
@@ -32,6 +35,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; without that setting a local master gets one of its own, a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder is needed that the driver and all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex[:12]}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of the directory ``sf_dir``."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

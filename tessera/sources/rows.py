@@ -108,3 +108,27 @@ def aligned_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("name", F.col("shape").alias("sa")).join(b.select("name", F.col("shape").alias("sb")), "name", "full_outer")
     p = F.when(F.col("sa").isNull(), "only in the second").when(F.col("sb").isNull(), "only in the first").when(F.col("sa") != F.col("sb"), "shapes differ")
     return j.select("name", p.alias("problem")).filter("problem is not null")
+
+
+def save_checkpoint(leaves: DataFrame, path: str, geometry: dict, step: int = 0) -> None:
+    """Leaves (name, shape, values) and one row of metadata; each table appears when its job commits, the metadata last."""
+    leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+    meta = json.dumps({"tag": TAG.decode(), "version": VERSION, "step": step, "geometry": geometry}, sort_keys=True)
+    leaves.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_checkpoint(spark: SparkSession, path: str, geometry: dict | None = None) -> tuple[DataFrame, int]:
+    """(leaves, step); another tag or version, or a geometry that differs from the given one, is refused."""
+    meta = json.loads(spark.read.parquet(f"{path}/meta").first().meta)
+    if meta["tag"] != TAG.decode() or meta["version"] != VERSION:
+        raise ValueError("not a checkpoint of this version")
+    if geometry is not None and (off := sorted(k for k in {*geometry, *meta["geometry"]} if geometry.get(k) != meta["geometry"].get(k))):
+        raise ValueError(f"the checkpoint's geometry differs in {', '.join(off)}")
+    return spark.read.parquet(f"{path}/leaves"), meta["step"]
+
+
+def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path, sha256, verdict): ``digests`` held against sidecars (path, want): ok, unchecked without one; a wrong digest fails."""
+    j = files.join(expected, "path", "left")
+    bad = F.raise_error(F.concat(F.lit("wrong digest: "), F.col("path")))
+    return j.select("path", "sha256", F.when(F.col("want").isNull(), "unchecked").when(F.lower("want") == F.col("sha256"), "ok").otherwise(bad).alias("verdict"))

@@ -1,4 +1,4 @@
-"""Text shards, JSON lines, catalogues.
+"""Text shards, JSON lines, catalogues.
 
 Shards are read by Spark's text source, so that any file system it knows will do; ``.gz`` is opened by its suffix.
 """
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import calls as K
 from tessera.operators import corpus as C
+from tessera.operators.retrieval import unit
 
 
 def _files(spark: SparkSession, path: str, pattern: str, whole: bool = False) -> DataFrame:
@@ -80,12 +81,33 @@ def write_isolated(df: DataFrame, column: str, path: str) -> None:
     df.select(T.pre_tokenize(F.col(column)).alias("value")).write.mode("overwrite").text(path)
 
 
-def catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """(ix, name, schema VARIANT, text) of a tool catalogue; ix is its order in the file."""
+def as_stream(data):
+    """Rows as an iterator, partition by partition from a DataFrame, or what is one already."""
+    return data.toLocalIterator() if isinstance(data, DataFrame) else iter(data)
+
+
+def ordered_map(df: DataFrame, order: list[str], run, schema: str) -> DataFrame:
+    """``run`` over Arrow batches on all cores, its rows (which keep the order columns) in that order again."""
+    return df.mapInArrow(run, schema).orderBy(*order)
+
+
+def compact_json(*columns):
+    """The columns as one compact JSON text, non-ASCII kept."""
+    return F.to_json(F.struct(*columns))
+
+
+def catalogue(spark: SparkSession, path: str, embeddings: DataFrame | None = None) -> DataFrame:
+    """(ix, name, schema VARIANT, text) of a tool catalogue, with emb, of unit length, from ``embeddings`` (name, emb).
+
+    ix is the place in the files, by path and line.
+    """
     if path.rstrip("/").endswith((".jsonl", ".jsonl.gz")):
-        df = read_objects(spark, path, "name").select(F.col("value").alias("schema"), F.monotonically_increasing_id().alias("ix"))
+        lines = _files(spark, path, "*").filter(T.trim(F.col("value")) != "").select("shard", "block", "row", F.parse_json("value").alias("schema"))
+        lines = lines.filter(F.map_contains_key(K.fields(F.col("schema")), "name")).withColumn("_one", F.lit(1))
+        df = C.running_total(lines, "_one", ["shard", "block", "row"], F.struct("shard", "block"), name="ix").drop("_one")
     else:
         v = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
         df = v.select(F.posexplode(F.coalesce(K.items(F.col("v")), F.array("v"))).alias("ix", "schema")).filter(K.field(F.col("schema"), "name").isNotNull())
     keys = F.map_keys(F.coalesce(K.fields(K.field(F.col("schema"), "parameters.properties", "variant")), F.create_map().cast(K.ARGS)))
-    return df.select(F.col("ix").cast("long").alias("ix"), K.field(F.col("schema"), "name").alias("name"), "schema", F.concat_ws(" ", K.field(F.col("schema"), "description"), F.array_join(keys, " ")).alias("text"))
+    out = df.select(F.col("ix").cast("long").alias("ix"), K.field(F.col("schema"), "name").alias("name"), "schema", F.concat_ws(" ", K.field(F.col("schema"), "description"), F.array_join(keys, " ")).alias("text"))
+    return out if embeddings is None else out.join(embeddings.select("name", unit(F.col("emb")).alias("emb")), "name", "left")

@@ -30,12 +30,15 @@ def first_seen(df: DataFrame, column: str, time: str | None = None, delay: str =
 RUN = "conv_id long, turns long, stop_reason string"
 
 
-def agent_runs(turns: DataFrame, max_steps: int = 8) -> DataFrame:
-    """Turns (conv_id, turn, role, n_calls, error) to runs: (conv_id, turns, stop_reason).
+def agent_runs(turns: DataFrame, max_steps: int = 8, threshold: float = 0.0, execute: bool = True) -> DataFrame:
+    """Turns (conv_id, turn, role, n_calls, confidence) to runs: (conv_id, turns, stop_reason).
 
-    A run stops as ``done`` at an assistant turn without calls, ``reported`` at one with an error, ``max_steps`` after so
-    many assistant turns; later turns of a stopped run are ignored. State is two numbers and the reason.
+    A run stops at an assistant turn: as ``escalate`` if its confidence lies under ``threshold``, before anything else; as
+    ``done`` if it has no calls; as ``reported`` if calls aren't to be executed; as ``max_steps`` after so many with calls.
+    Later turns of a stopped run are ignored. State is two numbers and the reason.
     """
+    if max_steps < 1:
+        raise ValueError("max_steps must be at least 1")
 
     def step(key, frames: Iterator[pd.DataFrame], state):
         seen, steps, reason = state.get if state.exists else (0, 0, "")
@@ -46,12 +49,12 @@ def agent_runs(turns: DataFrame, max_steps: int = 8) -> DataFrame:
                 seen += 1
                 if r.role == "assistant":
                     steps += 1
-                    bad = isinstance(r.error, str) and r.error
-                    reason = "reported" if bad else "done" if r.n_calls == 0 else "max_steps" if steps >= max_steps else ""
+                    unsure = r.confidence is not None and r.confidence < threshold
+                    reason = "escalate" if unsure else "done" if r.n_calls == 0 else "reported" if not execute else "max_steps" if steps >= max_steps else ""
         state.update((seen, steps, reason))
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [seen], "stop_reason": [reason]})
 
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("n_calls").cast("long").alias("n_calls"), "error")
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("n_calls").cast("long").alias("n_calls"), F.col("confidence").cast("double").alias("confidence"))
     return t.groupBy("conv_id").applyInPandasWithState(step, RUN, "seen long, steps long, reason string", "update", GroupStateTimeout.NoTimeout)
 
 

@@ -276,7 +276,7 @@ def test_trie_and_candidates(spark):
 def test_retrieval(spark):
     q = spark.createDataFrame([(0, "turn on the kitchen lights"), (1, "???")], "qid int, query string")
     c = spark.createDataFrame([(0, "kitchen_lights", "room"), (1, "weather", "city the"), (2, "", "")], "ix int, name string, text string")
-    got = {(r.qid, r["rank"]): (r.ix, r.score) for r in Q.lexical_topk(q, c, 2, block_rows=1).collect()}
+    got = {(r.qid, r["rank"]): (r.ix, r.score) for r in Q.lexical_topk(q, c, 2).collect()}
     assert got[0, 1] == (0, round(2 / math.sqrt(3) + 1, 6)) and got[0, 2] == (1, round(1 / math.sqrt(3), 6)) and got[1, 1] == (0, 0.0)
     eye = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
     t = spark.createDataFrame(list(enumerate(eye)), "ix int, v array<double>")

@@ -111,12 +111,12 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.text for r in spark.table("seen").collect()) == sorted([long.rstrip(), long + "z"])
-    turns = [(1, 0, "user", 0, None), (1, 1, "assistant", 1, None), (1, 2, "tool", 0, None), (1, 3, "assistant", 0, None), (1, 4, "user", 0, None), (2, 0, "assistant", 1, "bad"), (3, 0, "assistant", 1, None), (3, 1, "assistant", 1, None)]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, n_calls long, error string")
+    turns = [(1, 0, "user", 0, None), (1, 1, "assistant", 1, 0.9), (1, 2, "tool", 0, None), (1, 3, "assistant", 0, 0.8), (1, 4, "user", 0, None), (2, 0, "assistant", 0, 0.2), (3, 0, "assistant", 1, None), (3, 1, "assistant", 1, 0.9)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, n_calls long, confidence double")
     df.write.parquet(str(tmp_path / "turns"))
-    q = state.agent_runs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "turns")), 2).writeStream.format("memory").queryName("runs").outputMode("update").start()
+    q = state.agent_runs(spark.readStream.schema(df.schema).parquet(str(tmp_path / "turns")), 2, 0.5).writeStream.format("memory").queryName("runs").outputMode("update").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.table("runs").collect())) == [(1, 4, "done"), (2, 1, "reported"), (3, 2, "max_steps")]
+    assert sorted(map(tuple, spark.table("runs").collect())) == [(1, 4, "done"), (2, 1, "escalate"), (3, 2, "max_steps")]
     r = state.recent(df, 1, 3).collect()
     assert sorted(x.turn for x in r if x.conv_id == 1) == [0, 3, 4]
