@@ -251,8 +251,12 @@ def joined(spans):
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _equals(k: int):
+    return lambda x: x == k  # a second parameter would be taken for the element's place
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:SECRET])]
+    n = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _equals(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:SECRET])]
     every = F.concat("base", "added")
     return find(common.documents(spark, sf_dir)).select("doc_id", *n, "base_sha256", joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(every).cast("long").alias("n_spans"))
