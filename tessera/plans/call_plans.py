@@ -203,13 +203,15 @@ def temperature_fit(spark, d):
     return S.fit_temperature(confident(spark, d), "confidence", "correct").select(F.round("temperature", 6).alias("temperature"))
 
 
-@query()
+def _errors(of: str) -> str:
+    return f"SELECT round(sum(n * abs(ac - cf)) / sum(n), 5) AS ece, round(max(abs(ac - cf)), 5) AS mce FROM (SELECT greatest(ceil(p * 10), 1) AS bin, count(*) AS n, avg(p) AS cf, avg(y) AS ac FROM {of} GROUP BY bin)"
+
+
+@query(f"""{GRID}, best AS (SELECT arg_min(t, (round(nll, 9), i)) AS t FROM l), raw AS (SELECT conf AS p, y FROM c), cool AS (SELECT 1 / (1 + exp(-ln(p / (1 - p)) / t)) AS p, y FROM s, best)
+  SELECT round(t, 6) AS temperature, a.ece, a.mce, b.ece AS ece_tempered, b.mce AS mce_tempered FROM best, ({_errors('raw')}) a, ({_errors('cool')}) b""")
 def calibration(spark, d):
-    c = confident(spark, d)
-    t = S.fit_temperature(c, "confidence", "correct")
-    after = c.crossJoin(F.broadcast(t)).withColumn("confidence", S.tempered(F.col("confidence"), F.col("temperature")))
-    raw, cooled = S.calibration_errors(c, "confidence", "correct"), S.calibration_errors(after, "confidence", "correct").toDF("ece_tempered", "mce_tempered")
-    return t.crossJoin(raw).crossJoin(cooled)
+    r = S.calibration_report(confident(spark, d), "confidence", "correct")
+    return r.select(F.round("temperature", 6).alias("temperature"), *[F.round(c, 5).alias(c) for c in r.columns[1:]])
 
 
 @query("SELECT round(avg((quality - toxic) ** 2), 6) AS mse, round(avg(abs(quality - toxic)), 6) AS mae, round(corr(quality, toxic), 6) AS pearson FROM labels")

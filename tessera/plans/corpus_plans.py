@@ -72,7 +72,12 @@ def mean_line_length(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(T.mean_length(lines), 6).alias("mean_line"))
 
 
-@query()
+BARE = r"""regexp_replace(html, '"([^"\\]|\\[\s\S])*"', '', 'g')"""
+STEP = "CASE WHEN a = '!' OR (x IN ('(', '[', '{') AND length(a) >= 65) THEN '!' WHEN x IN ('(', '[', '{') THEN a || x WHEN right(a, 1) || x IN ('()', '[]', '{}') THEN left(a, -1) ELSE '!' END"
+
+
+# the stack is a text that starts with a blank, so that it is never empty
+@query(rf"WITH b AS (SELECT page_id, {BARE} AS t FROM pages) SELECT page_id, NOT contains(t, '\"') AND list_reduce(list_prepend(' ', regexp_extract_all(t, '[()\[\]{{}}]')), lambda a, x: {STEP}) = ' ' AS balanced FROM b".replace('\\"', '"'))
 def balanced_brackets(spark, d):
     return table(spark, d, "pages").select("page_id", T.balanced(F.col("html")).alias("balanced"))
 

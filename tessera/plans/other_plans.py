@@ -13,6 +13,7 @@ from tessera.operators import scoring as S
 from tessera.operators import suite as U
 from tessera.operators.corpus import running_total
 from tessera.session import table
+from tessera.sources import shards as H
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -111,7 +112,7 @@ def choose_tools(spark, d):
 # Benchmark generation
 
 
-@query(f"SELECT family, total::BIGINT AS total, held::BIGINT AS held, multi::BIGINT AS multi, (total - held - multi)::BIGINT AS single FROM {values([('phone', 420, 85, 42), ('wearable', 240, 48, 24), ('smart home', 330, 66, 33), ('robot', 210, 42, 21)])} t(family, total, held, multi)")
+@query(f"WITH f(family, total, ord) AS {values([(n, t, i) for i, (n, t) in enumerate(U.FAMILIES)])}, e AS (SELECT *, {U.HELD_OUT} * total / sum(total) OVER () AS e FROM f), h AS (SELECT *, (floor(e) + (row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) <= {U.HELD_OUT} - sum(floor(e)) OVER ())::INT)::BIGINT AS held, round_even(total * {U.MULTI_SHARE}, 0)::BIGINT AS multi FROM e) SELECT family, total::BIGINT AS total, held, multi, (total - held - multi)::BIGINT AS single FROM h")
 def suite_apportion(spark, d):
     return U.family_plan(spark)
 
@@ -129,7 +130,7 @@ def suite_build(spark, d):
     return U.build_suite(*_catalogue(spark), families=SMALL, held_out=11).select("id", "family", "name", "query", "held_out", "reasoning", F.col("twin.query").alias("twin_query"), F.col("twin.overlap").alias("twin_overlap"))
 
 
-@query("SELECT 30::BIGINT AS requests, 11::BIGINT AS held_out, 30::BIGINT AS twins")
+@query(f"WITH f(family, total, ord) AS {values([(n, t, i) for i, (n, t) in enumerate(SMALL)])}, e AS (SELECT total, 11 * total / sum(total) OVER () AS e, ord FROM f), h AS (SELECT total, floor(e) + (row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) <= 11 - sum(floor(e)) OVER ())::INT AS held FROM e) SELECT sum(total - round_even(total * 0.1, 0))::BIGINT AS requests, sum(held)::BIGINT AS held_out, sum(total - round_even(total * 0.1, 0))::BIGINT AS twins FROM h")
 def suite_summary(spark, d):
     return U.summary(U.build_suite(*_catalogue(spark), families=SMALL, held_out=11)).select("requests", "held_out", "twins")
 
@@ -142,14 +143,17 @@ def offtopic_product(spark, d):
     return U.off_topic(spark.createDataFrame([(t,) for t in TEMPLATES], "template string"), spark.createDataFrame([(s,) for s in SUBJECTS], "subject string"), 10)
 
 
-@query(f"""WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), c AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b), t AS (SELECT item_id, i, array_to_string(w, ' ') AS q, array_to_string(list_concat(list_concat(w[1:i - 1], ['zz']), w[i + 1:]), ' ') AS n FROM c),
-  o AS (SELECT *, {WORDS.format('q')} AS x, {WORDS.format('n')} AS y FROM t) SELECT item_id, arg_min(i, (round(abs(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) - 0.9), 9), i)) - 1 AS place FROM o GROUP BY item_id""")
+@query(f"""WITH s(name, key, slot, ord, value) AS {values(SLOTS)}, ph AS (SELECT name, unnest(p) AS phrasing FROM {values([(t[0], t[4]) for t in TOOLS])} t(name, p)),
+  v AS (SELECT a.name, a.key AS k0, a.value AS v0, b.key AS k1, b.value AS v1 FROM s a LEFT JOIN s b ON b.name = a.name AND b.slot = 1 WHERE a.slot = 0),
+  r AS (SELECT name, phrasing, k0, v0, k1, v1, replace(replace(phrasing, '{{' || k0 || '}}', v0), '{{' || coalesce(k1, '') || '}}', coalesce(v1, '')) AS query FROM ph JOIN v USING (name)),
+  c AS (SELECT r.*, s.key, s.slot, s.ord, replace(replace(phrasing, '{{' || k0 || '}}', CASE WHEN s.key = k0 THEN s.value ELSE v0 END), '{{' || coalesce(k1, '') || '}}', coalesce(CASE WHEN s.key = k1 THEN s.value ELSE v1 END, '')) AS twin FROM r JOIN s ON s.name = r.name AND (s.key = k0 AND s.value <> v0 OR s.key = k1 AND s.value <> v1)),
+  o AS (SELECT *, {WORDS.format('query')} AS x, {WORDS.format('twin')} AS y FROM c), p AS (SELECT *, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS ov FROM o)
+  SELECT name, query, arg_min(twin, (round(abs(ov - 0.75), 9), slot, ord)) AS twin, round(arg_min(ov, (round(abs(ov - 0.75), 9), slot, ord)), 4) AS overlap FROM p GROUP BY name, query""")
 def twin_candidates(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", "text", F.split("text", " ").alias("w"))
-    c = b.select("item_id", "text", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    new = F.array_join(F.transform("w", lambda x, j: F.when(j == F.col("i"), "zz").otherwise(x)), " ")
-    c = c.withColumn("dist", F.round(F.abs(Q.request_overlap(F.col("text"), new) - 0.9), 9))
-    return c.groupBy("item_id").agg(F.min_by(F.col("i").cast("long"), F.struct("dist", "i")).alias("place"))
+    tools, slots = _catalogue(spark)
+    rows = U.assignments(tools, slots).withColumn("target", F.lit(0.75))
+    t = U.twins(rows.select("name", "phrasing", "values", "query", "target"), slots, ["name", "query"])
+    return t.select("name", "query", F.col("twin.query").alias("twin"), F.col("twin.overlap").alias("overlap"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('5:' || doc_id), doc_id) - 1 < (SELECT (count(*) * 0.1)::DOUBLE // 1 FROM documents) AS held_out FROM documents")
@@ -191,24 +195,32 @@ def pack_bits(spark, d):
     return e.select("vec_id", "packed", (V.unpack_lsb(F.col("packed"), 2) == F.col("idx")).alias("same"))
 
 
-@query()
+LEVELS = [float(x) for x in V.codebook(2, 64)]
+CUTS = [(a + b) / 2 for a, b in zip(LEVELS, LEVELS[1:])]
+
+
+# rotations keep lengths, so that errors can be measured before turning back; half-precision norms move the third digit
+@query(f"""WITH w AS (SELECT label, {WALSH} AS r FROM embeddings), n AS (SELECT label, r, sqrt(list_sum(list_transform(r, lambda x: x * x))) AS n FROM w),
+  e AS (SELECT label, list_sum(list_transform(r, lambda x: pow(x - n * CASE WHEN x / n <= {CUTS[0]} THEN {LEVELS[0]} WHEN x / n <= {CUTS[1]} THEN {LEVELS[1]} WHEN x / n <= {CUTS[2]} THEN {LEVELS[2]} ELSE {LEVELS[3]} END, 2))) AS e FROM n) SELECT label, round(sqrt(sum(e) / (64 * count(*))), 2) AS rms FROM e GROUP BY label""")
 def quantise_error(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     q = V.quantise(e, "vec_id", "embedding", 2, 64).select("vec_id", "back").join(e, "vec_id")
-    sq = F.aggregate(F.zip_with("embedding", "back", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return q.groupBy("label").agg(F.sqrt(F.avg(sq / F.size("embedding"))).alias("rms"))
+    return V.rms_error(q, "label", "embedding", "back").withColumn("rms", F.round("rms", 2))
 
 
-@query()
+@query("SELECT label, list(m ORDER BY i) AS mean FROM (SELECT label, i, round(avg(embedding[i + 1]::DOUBLE), 6) + 0.0 AS m FROM embeddings, range(64) r(i) GROUP BY label, i) GROUP BY label")
 def checkpoint_mean(spark, d):
-    return V.mean_vectors(table(spark, d, "embeddings"), "label", "embedding")
+    m = V.mean_vectors(table(spark, d, "embeddings"), "label", "embedding")
+    return m.select("label", F.transform("mean", lambda x: F.round(x, 6) + F.lit(0.0)).alias("mean"))
 
 
-@query()
+@query("""WITH e AS (SELECT label, arg_min(embedding, vec_id) AS a, arg_max(embedding, vec_id) AS b FROM embeddings GROUP BY label), u AS (SELECT label, list_transform(a, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(a, lambda y: y::DOUBLE * y::DOUBLE)))) AS a, list_transform(b, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(b, lambda y: y::DOUBLE * y::DOUBLE)))) AS b FROM e),
+  p AS (SELECT x.label AS r, y.label AS c, list_sum(list_transform(range(1, 65), lambda i: x.a[i] * y.b[i])) / 0.1 AS s FROM u x, u y)
+  SELECT round((avg(zr - s) + avg(zc - s)) / 2, 6) AS loss FROM p JOIN (SELECT r, ln(sum(exp(s))) AS zr FROM p GROUP BY r) USING (r) JOIN (SELECT c, ln(sum(exp(s))) AS zc FROM p GROUP BY c) USING (c) WHERE r = c""")
 def contrastive_loss(spark, d):
     e = table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("a"), F.max_by("embedding", "vec_id").alias("b"))
     p = Q.in_blocks(e.select(F.col("label").alias("row"), Q.unit(F.col("a")).alias("q")), e.select(F.col("label").alias("col"), Q.unit(F.col("b")).alias("v")), ix="col")
-    return S.contrastive_loss(p.select("row", "col", (Q.dot(F.col("q"), F.col("v")) / 0.1).alias("s")), "row", "col", "s")
+    return S.contrastive_loss(p.select("row", "col", (Q.dot(F.col("q"), F.col("v")) / 0.1).alias("s")), "row", "col", "s").select(F.round("loss", 6).alias("loss"))
 
 
 TENSORS = [("embedding", [8192, 512]), ("attn.q_proj", [27, 512, 512]), ("attn.out_proj", [27, 512, 512]), ("attn.q_norm", [27, 64]), ("router.phi_pre", [27, 2048, 4]), ("router.b_pre", [27, 4]), ("memory.2.table", [4, 8192, 128]), ("head.proj", [4, 512, 128]), ("final_norm", [512]), ("small", [64, 64])]
@@ -322,5 +334,5 @@ def number_text(spark, d):
 
 @query("SELECT event_id, '{\"b\":' || user_id || ',\"t\":\"' || event_type || '\"}' AS value FROM events")
 def compact_json(spark, d):
-    return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("user_id").alias("b"), F.col("event_type").alias("t"))).alias("value"))
+    return table(spark, d, "events").select("event_id", H.compact_json(F.col("user_id").alias("b"), F.col("event_type").alias("t")).alias("value"))
 
