@@ -113,6 +113,11 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ...: functions over Arrow batches can't take every name."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id as text, as an unsigned long; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -218,9 +218,9 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 FOUND_DDL = "items array<string>, spans array<struct<first: long, end: long>>"
 
 
-def _found(docs: DataFrame, items: DataFrame, window: int, max_item_words: int, finish, ddl: str) -> DataFrame:
-    """``finish(rows, words, spans, names)`` for batches of ``docs`` (with a text), of which it makes batches of schema ``ddl``."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
+def _found(docs: DataFrame, at: int, items: DataFrame, window: int, max_item_words: int, finish, ddl) -> DataFrame:
+    """``finish(rows, words, spans, names)`` for batches of ``docs`` (texts in column ``at``), of which it makes batches of ``ddl``."""
+    spark = docs.sparkSession
     models = automata(items, window, max_item_words)
     one, two = next(models, None), next(models, None)
 
@@ -287,7 +287,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, max_item_words:
         )
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _found(docs, items, window, max_item_words, finish, f"doc_id long, n_words long, n_hit long, {FOUND_DDL}")
+    return _found(docs, 1, items, window, max_item_words, finish, f"doc_id long, n_words long, n_hit long, {FOUND_DDL}")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, max_item_words: int = 200_000) -> DataFrame:
@@ -322,7 +322,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: flo
             part = pa.RecordBatch.from_arrays(cols, schema=part.schema)
         return part.filter(pa.array(keep, pa.bool_()))
 
-    return _found(docs, items, window, max_item_words, finish, docs.schema)
+    rows = common.plain(docs)
+    return _found(rows, at, items, window, max_item_words, finish, rows.schema).toDF(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,7 +282,8 @@ def known(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
                 lang, score = _predict(scorer, langs, part.column(at).to_pylist())
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = common.plain(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def held_out() -> Column:
