@@ -431,3 +431,160 @@ def recent_turns(spark, d):
     from tessera.streaming.state import recent
 
     return recent(table(spark, d, "conversations"), 1, 3).select("conv_id", "turn")
+
+
+# Tools, replies and tokens
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '\"' || event_type || event_type || '\"' END AS result, CASE event_id % 3 WHEN 1 THEN 'no tool ''gone''' WHEN 2 THEN 'ValueError: too many' END AS error FROM events")
+def executed_calls(spark, d):
+    """Calls run by a registry of tools; an exception becomes the call's error."""
+    from tessera.functions import registry as B
+
+    @B.tool(name="twice")
+    def twice(what: str, times: int = 2) -> str:
+        if times > 5:
+            raise ValueError("too many")
+        return what * times
+
+    reg, m = B.Registry(), F.col("event_id") % 3
+    reg.register(twice)
+    args = F.when(m == 2, F.to_json(F.struct(F.col("event_type").alias("what"), F.lit(9).alias("times")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("what"))))
+    calls = table(spark, d, "events").select("event_id", F.when(m == 1, "gone").otherwise("twice").alias("name"), args.alias("arguments"))
+    return reg.execute(calls, "event_id", "name", "arguments")
+
+
+@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '{\"n\": ' || length(text) || '}' END AS value FROM benchmark")
+def extracted_values(spark, d):
+    """An extractor over passages; it declines every second one."""
+    from tessera.functions import registry as B
+
+    b = table(spark, d, "benchmark").withColumn("text", F.when(F.col("item_id") % 2 == 0, F.col("text")))
+    return B.extract(b, "item_id", "text", {"n": "integer"}, _length_of)
+
+
+def _length_of(text, schema):
+    return {k: len(text) for k in schema}
+
+
+REPLY = """WITH r AS (SELECT event_id AS batch, event_type AS tool, (props->>'$.k')::BIGINT AS k FROM events WHERE event_id < 400), g AS (SELECT *, batch % 10 <> 9 AS came FROM r)"""
+
+
+def _replies(spark, d):
+    e = table(spark, d, "events").filter("event_id < 400").select(F.col("event_id").alias("batch"), F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").alias("k"))
+    body = F.to_json(F.struct("tool", "k", "batch"))
+    from tessera.sources import teacher as E
+
+    replies = E.ask(e.select("batch", body.alias("body")), _replayed)
+    tools = F.concat(F.lit('[{"name":"'), F.col("tool"), F.lit('","parameters":{"properties":{"k":{"type":"integer"}},"required":["k"]}}]'))
+    return replies.join(e.select("batch", tools.alias("tools")), "batch")
+
+
+def _replayed(body):
+    if int(body["batch"]) % 10 == 9:
+        raise OSError("no answer")
+    call = '{"name": "%s", "arguments": {"k": %s}}' % (body["tool"], body["k"])
+    return 'Here:\n```json\n[{"query": "%s item %s", "answers": [%s]}, {"query": "", "answers": []}]\n```' % (body["tool"], body["k"], call)
+
+
+@query(f"{REPLY} SELECT batch, tool || ' item ' || k AS query FROM (SELECT *, row_number() OVER (PARTITION BY tool, k ORDER BY batch) AS n FROM g WHERE came) WHERE n = 1 ORDER BY batch LIMIT 50")
+def generated_examples(spark, d):
+    """Replies to examples, the first 50 distinct valid ones."""
+    from tessera.sources import teacher as E
+
+    return E.generate(_replies(spark, d), "tools", 50).select("batch", "query")
+
+
+@query(f"{REPLY}, u AS (SELECT DISTINCT tool, k FROM g WHERE came) SELECT count(*) FILTER (NOT came) AS failed, count(*) FILTER (came) AS produced, least(50, (SELECT count(*) FROM u)) AS kept, round(1 - (SELECT count(*) FROM u) / count(*) FILTER (came), 6) AS duplicates, 0.0::DOUBLE AS refusal_share FROM g")
+def generation_report(spark, d):
+    """Failed, produced, kept and duplicate shares."""
+    from tessera.sources import teacher as E
+
+    r = _replies(spark, d)
+    return E.generation_report(r, E.examples(r, "tools"), E.generate(r, "tools", 50)).withColumn("duplicates", F.round("duplicates", 6))
+
+
+@query("SELECT item_id, true AS same FROM benchmark")
+def token_round_trip(spark, d):
+    """Pieces of a public vocabulary, and back."""
+    import public_tokenizers
+
+    from tessera.functions import tokenizer as Z
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    back = Z.decode(Z.encode(b, "item_id", "text", path, isolate=False), "item_id", "ids", path)
+    return back.join(b.withColumnRenamed("text", "was"), "item_id").select("item_id", (T.trim(F.col("text")) == T.trim(F.col("was"))).alias("same"))
+
+
+@query("SELECT event_id AS key, true AS balanced FROM events WHERE event_id < 200")
+def balanced_matrices(spark, d):
+    """Rows and columns that sum to 1."""
+    i = F.col("event_id")
+    m = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda x: ((x * 7 + i) % 5).cast("double"))
+    s = M.sinkhorn(table(spark, d, "events").filter("event_id < 200").select(i.alias("key"), m.alias("m")), "key", "m")
+    near = lambda at: F.abs(sum(F.get("matrix", F.lit(k)) for k in at) - 1) < 1e-2
+    sums = [near(range(3 * r, 3 * r + 3)) for r in range(3)] + [near(range(c, 9, 3)) for c in range(3)]
+    return s.select("key", F.forall(F.array(*sums), lambda x: x).alias("balanced"))
+
+
+@query("SELECT true AS distinct_tools, true AS whole FROM range(1)")
+def distinct_tool_batches(spark, d):
+    """K07, as sets: no tool twice in a batch, every batch whole."""
+    b = M.unique_batches(table(spark, d, "events").select("event_id", "user_id"), "event_id", "user_id", 4)
+    g = b.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"))
+    return g.agg(F.min(F.col("n") == F.col("u")).alias("distinct_tools"), F.min(F.col("n") == 4).alias("whole"))
+
+
+@query(f"SELECT id AS name, true AS ok FROM {values([(t[0],) for t in TOOLS])} t(id)")
+def declared_tools(spark, d):
+    """The target, its near tools and strangers, within the size of a turn."""
+    from tessera.operators.retrieval import tool_neighbours
+
+    tools = _catalogue(spark)[0]
+    t = U.declare(tools.select(F.col("name").alias("id"), "name"), tool_neighbours(tools))
+    return t.select(F.col("id").alias("name"), (F.array_contains("names", F.col("id")) & F.size("names").between(3, 5) & (F.size(F.array_distinct("names")) == F.size("names"))).alias("ok"))
+
+
+@query("SELECT event_id, event_type AS who, user_id::VARCHAR AS item FROM events")
+def bound_calls(spark, d):
+    """A second call that takes a bound argument from the first."""
+    first = F.create_map(F.lit("name"), F.col("event_type"))
+    second = F.create_map(F.lit("who"), F.lit("?"), F.lit("item"), F.col("user_id").cast("string"))
+    b = U.bind(first, second, {"who": "name"})
+    return table(spark, d, "events").select("event_id", b["who"].alias("who"), b["item"].alias("item"))
+
+
+@query("SELECT vec_id AS row_id, 64 AS n, label AS seg FROM embeddings")
+def packed_rows(spark, d):
+    """Packed rows written and loaded."""
+    where = scratch(spark)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("int")).alias("tokens"), F.array_repeat("label", 64).alias("segs"))
+    W.write_rows(e, f"{where}/rows")
+    return W.load_rows(spark, f"{where}/rows").select("row_id", F.size("tokens").alias("n"), F.element_at("segs", 1).alias("seg"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def report_round_trip(spark, d):
+    """A small report saved and loaded."""
+    where = scratch(spark)
+    N.save_report({"langs": table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))}, f"{where}/report")
+    return spark.createDataFrame([(r["lang"], r["n"]) for r in N.load_report(spark, f"{where}/report")["langs"]], "lang string, n long")
+
+
+@query("WITH c AS (SELECT sha256(page_id::VARCHAR) AS sha, page_id FROM pages WHERE page_id < 20) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ok' ELSE 'unchecked' END AS verdict FROM c")
+def verified_files(spark, d):
+    """Digests held against sidecars."""
+    p = table(spark, d, "pages").filter("page_id < 20").select(F.col("page_id").cast("string").alias("path"), F.sha2(F.col("page_id").cast("string"), 256).alias("sha256"))
+    want = p.filter(F.col("path").cast("long") % 2 == 0).select("path", F.upper("sha256").alias("want"))
+    return W.verified(p, want).select(F.col("path").cast("long").alias("page_id"), "verdict")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) ORDER BY doc_id")
+def ordered_map(spark, d):
+    """Work on all cores whose rows come in order again."""
+    return H.ordered_map(table(spark, d, "documents").select("doc_id"), ["doc_id"], _same, "doc_id long")
+
+
+def _same(batches):
+    yield from batches
