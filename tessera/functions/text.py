@@ -16,6 +16,11 @@ SPACE = r"(?U)[\s\x1c-\x1f]"
 TEXT_FIELDS = ("text", "content", "code", "body", "document")
 
 
+def let(value: Column, of) -> Column:
+    """``of(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """line ends to LF, lines right-stripped, outer newlines cut, at most one blank line in a row."""
     t = F.regexp_replace(text, "\r\n?", "\n")
@@ -134,15 +139,20 @@ def number_text(x: Column) -> Column:
     """C11: a number with six significant digits, as %g prints it."""
     d = x.cast("double")
     e = F.when(d == 0, 0).otherwise(F.floor(F.log10(F.abs(d)))).cast("int")
-    e = F.when(F.abs(d) >= F.pow(F.lit(10.0), e + 1) - F.pow(F.lit(10.0), e - 5) / 2, e + 1).otherwise(e)
-    exact = d.cast("decimal(38,16)")
     cut = lambda x, n: F.regexp_replace(F.regexp_replace(F.bround(x, n).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    fixed = cut(exact, 10)
-    for n in range(0, 10):
-        fixed = F.when(F.lit(5) - e == n, cut(exact, n)).otherwise(fixed)
-    mantissa = cut((d / F.pow(F.lit(10.0), e)).cast("decimal(20,15)"), 5)
-    power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    return F.when((e >= 6) | (e < -4), F.concat(mantissa, F.lit("e"), power)).otherwise(F.when(d == 0, "0").otherwise(fixed))
+
+    def printed(e):
+        exact = d.cast("decimal(38,16)")
+        fixed = cut(exact, 10)
+        for n in range(0, 10):
+            fixed = F.when(F.lit(5) - e == n, cut(exact, n)).otherwise(fixed)
+        mantissa = cut((d / F.pow(F.lit(10.0), e)).cast("decimal(20,15)"), 5)
+        power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+        return F.when((e >= 6) | (e < -4), F.concat(mantissa, F.lit("e"), power)).otherwise(F.when(d == 0, "0").otherwise(fixed))
+
+    # a mantissa that rounds up to ten has the next exponent
+    up = lambda e: F.when(F.abs(d) >= F.pow(F.lit(10.0), e + 1) - F.pow(F.lit(10.0), e - 5) / 2, e + 1).otherwise(e)
+    return let(let(e, up), printed)
 
 
 def natural_key(text: Column, width: int = 12) -> Column:

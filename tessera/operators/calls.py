@@ -95,13 +95,16 @@ def in_enum(value: Column, enum: Column) -> Column:
 
 def grounded(value: Column, enum: Column, query: Column) -> Column:
     """enum members, flags and nulls need no evidence; numbers and strings do; nested values have none."""
-    k = kind(value)
-    return (
-        F.when(value.isNull() | (k == "VOID") | (k == "BOOLEAN") | in_enum(value, enum), True)
-        .when(k.isin("BIGINT", "DECIMAL", "DOUBLE"), number_in(F.try_variant_get(value, "$", "double"), query))
-        .when(k == "STRING", T.normalise(query).contains(T.normalise(F.try_variant_get(value, "$", "string"))))
-        .otherwise(False)
-    )
+
+    def by(k):
+        return (
+            F.when(value.isNull() | k.isin("VOID", "BOOLEAN") | in_enum(value, enum), True)
+            .when(k.isin("BIGINT", "DECIMAL", "DOUBLE"), number_in(F.try_variant_get(value, "$", "double"), query))
+            .when(k == "STRING", T.normalise(query).contains(T.normalise(F.try_variant_get(value, "$", "string"))))
+            .otherwise(False)
+        )
+
+    return T.let(kind(value), by)
 
 
 def declared(tools: Column) -> Column:
@@ -130,7 +133,9 @@ def validate(df: DataFrame, key: str, query: str, answers: str, tools: str) -> D
     df = df.select(F.col(key), F.col(query).alias("_q"), F.try_parse_json(answers).alias("_a"), declared(F.try_parse_json(tools)).alias("_t"))
 
     def judged(c):
-        spec, args = lookup(F.col("_t"), F.coalesce(field(c, "name"), F.lit(""))), fields(field(c, "arguments", "variant"))
+        return T.let(F.struct(lookup(F.col("_t"), F.coalesce(field(c, "name"), F.lit(""))).alias("spec"), fields(field(c, "arguments", "variant")).alias("args")), lambda x: of_known(x["spec"], x["args"], c))
+
+    def of_known(spec, args, c):
         reason = (
             F.when(kind(c) != "OBJECT", "a call is not an object")
             .when(spec.isNull(), "undeclared tool")
@@ -139,7 +144,7 @@ def validate(df: DataFrame, key: str, query: str, answers: str, tools: str) -> D
             .when(F.size(F.array_except(spec["required"], F.map_keys(args))) > 0, "missing required")
         )
         evidence = lambda e: grounded(e["value"], F.try_variant_get(spec["properties"][e["key"]], "$.enum", "array<variant>"), F.col("_q"))
-        return F.struct(reason.alias("reason"), F.when(reason.isNull(), ~F.forall(F.map_entries(args), evidence)).otherwise(False).alias("ungrounded"))
+        return T.let(reason, lambda r: F.struct(r.alias("reason"), F.when(r.isNull(), ~F.forall(F.map_entries(args), evidence)).otherwise(False).alias("ungrounded")))
 
     df = df.withColumn("_list", items(F.col("_a"))).withColumn("_r", F.transform("_list", judged))
     worst = F.get(F.filter("_r", lambda r: r["reason"].isNotNull()), F.lit(0))["reason"]
@@ -166,18 +171,25 @@ def problems(calls: Column, tools: Column) -> Column:
     types = F.create_map(*[x for t, ok in JSON_TYPES.items() for x in (F.lit(t), F.array(*map(F.lit, ok)))])
 
     def of_call(c):
-        spec, args = lookup(tools, c["name"]), c["arguments"]
+        return T.let(lookup(tools, c["name"]), lambda spec: of_known(spec, c))
+
+    def of_known(spec, c):
+        args = c["arguments"]
         unknown = F.transform(F.array_except(F.map_keys(args), F.map_keys(spec["properties"])), lambda k: said("wrong_argument_key", k))
         missing = F.transform(F.array_except(spec["required"], F.map_keys(args)), lambda k: said("missing_required", k))
 
         def of_value(e):
             wants, v = spec["properties"][e["key"]], e["value"]
-            wanted = types[F.coalesce(field(wants, "type"), F.lit(""))]
-            n = F.when(kind(v).isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "double"))
-            lo, hi = field(wants, "minimum", "double"), field(wants, "maximum", "double")
-            enum = F.try_variant_get(wants, "$.enum", "array<variant>")
-            tests = [("wrong_type", wanted.isNotNull() & ~F.array_contains(wanted, kind(v))), ("value_outside_choices", enum.isNotNull() & ~in_enum(v, enum)), ("number_outside_range", (n < lo) | (n > hi))]
-            return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), said(p, e["key"])) for p, t in tests]))
+
+            def by(k):
+                wanted = types[F.coalesce(field(wants, "type"), F.lit(""))]
+                n = F.when(k.isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "double"))
+                lo, hi = field(wants, "minimum", "double"), field(wants, "maximum", "double")
+                enum = F.try_variant_get(wants, "$.enum", "array<variant>")
+                tests = [("wrong_type", wanted.isNotNull() & ~F.array_contains(wanted, k)), ("value_outside_choices", enum.isNotNull() & ~in_enum(v, enum)), ("number_outside_range", (n < lo) | (n > hi))]
+                return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), said(p, e["key"])) for p, t in tests]))
+
+            return T.let(kind(v), by)
 
         values = F.flatten(F.transform(F.filter(F.map_entries(args), lambda e: F.map_contains_key(spec["properties"], e["key"])), of_value))
         return F.when(spec.isNull(), F.array(said("wrong_tool_name", c["name"]))).otherwise(F.concat(unknown, missing, F.coalesce(values, F.array().cast(PROBLEMS))))
@@ -194,11 +206,18 @@ def schema_errors(df: DataFrame, key: str, calls: Column, tools: str) -> DataFra
 
 def comparable(v: Column) -> Column:
     """F16: a value in the form in which two answers are compared: case and space folded, digits in quotes a number."""
-    k = kind(v)
-    text = F.lower(T.trim(F.regexp_replace(F.try_variant_get(v, "$", "string"), r"(?U)[\s\x1c-\x1f]+", " ")))
-    number = F.when(k.isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "double")).when(k == "STRING", F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), text.try_cast("double")))
-    finite = number.isNotNull() & (F.abs(number) < float("inf"))
-    return F.when(finite, F.concat(F.lit("n:"), number.cast("string"))).when(k == "STRING", F.concat(F.lit("s:"), text)).otherwise(F.concat(F.lit("j:"), F.coalesce(F.to_json(v), F.lit("null"))))
+    number = lambda x, other: F.when(x.isNotNull() & (F.abs(x) < float("inf")), F.concat(F.lit("n:"), x.cast("string"))).otherwise(other)
+    plain = F.concat(F.lit("j:"), F.coalesce(F.to_json(v), F.lit("null")))
+
+    def of_text(t):
+        read = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), t.try_cast("double"))
+        return number(read, F.concat(F.lit("s:"), t))
+
+    def by(k):
+        text = F.lower(T.trim(F.regexp_replace(F.try_variant_get(v, "$", "string"), r"(?U)[\s\x1c-\x1f]+", " ")))
+        return F.when(k == "STRING", T.let(text, of_text)).when(k.isin("BIGINT", "DECIMAL", "DOUBLE"), number(F.try_variant_get(v, "$", "double"), plain)).otherwise(plain)
+
+    return T.let(kind(v), by)
 
 
 def comparable_args(args: Column) -> Column:

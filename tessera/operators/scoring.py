@@ -89,15 +89,17 @@ def tempered(p: Column, temperature: Column) -> Column:
 def temperature_grid(df: DataFrame, conf: str, correct: str, lo: float = 0.05, hi: float = 20.0, points: int = 400) -> DataFrame:
     """(i, t, nll) per grid point.
 
-    Each prediction meets every grid point in its own task, which adds them up: one row per point and task is shuffled.
+    Equal predictions are counted first; each of the rest meets every grid point in its own task, which adds them up, so that
+    one row per point and task is shuffled.
     """
     import math
 
-    x = df.select(logit(F.col(conf).cast("double")).alias("z"), F.col(correct).cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    g = df.select(logit(F.col(conf).cast("double")).alias("z"), F.col(correct).cast("double").alias("y")).groupBy("z", "y").agg(F.count("*").alias("n"))
+    x = g.select("z", "y", "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     t = F.exp(F.lit(math.log(lo)) + F.col("i") * F.lit((math.log(hi) - math.log(lo)) / (points - 1)))
     q = F.least(F.greatest(1 / (1 + F.exp(-F.col("z") / t)), F.lit(1e-9)), F.lit(1 - 1e-9))
     nll = -(F.col("y") * F.ln(q) + (1 - F.col("y")) * F.ln(1 - q))
-    return x.groupBy("i").agg(F.avg(nll).alias("nll")).select("i", t.alias("t"), "nll")
+    return x.groupBy("i").agg((F.sum(nll * F.col("n")) / F.sum("n")).alias("nll")).select("i", t.alias("t"), "nll")
 
 
 def fit_temperature(df: DataFrame, conf: str, correct: str, **k) -> DataFrame:
