@@ -424,7 +424,9 @@ def _left(members: DataFrame, sets: DataFrame, labels: DataFrame, where: str, si
         return None
     sized = rows.join(sets.select("node", F.size("h").alias("n")), "node")
     parts = sized.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(BLOCK) + F.lit(1e-9)).alias("all_"), F.ceil(F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)) / F.lit(BLOCK // 2) + F.lit(1e-9)).alias("some"))
-    rows = rows.join(parts, "key")
+    # dealt by a share of the node too, so that a key of very many rows isn't one task
+    share = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SHARES)).cast("int")
+    rows = rows.withColumn("share", share).join(parts.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["key", "share"]).drop("share")
     mine = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts))
     each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
     asking = rows.filter("asks").select("key", mine("some", 1).alias("i"), each("all_").alias("j"), "asks", "node", "root")
@@ -435,8 +437,8 @@ def _left(members: DataFrame, sets: DataFrame, labels: DataFrame, where: str, si
     return common.written(block.mapInArrow(_compare(similarity), f"a {kind}, b {kind}"), f"{where}/joins")
 
 
-#: Shingles of a block that are compared at once.
-BLOCK = 1 << 20
+#: Shingles of a block that are compared at once, and the shares that the rows of a key are dealt in.
+BLOCK, SHARES = 1 << 20, 16
 
 
 def _copies(texts: Callable[[DataFrame | None], DataFrame], where: str, size: int, similarity: float) -> DataFrame:
