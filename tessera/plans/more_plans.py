@@ -588,3 +588,27 @@ def ordered_map(spark, d):
 
 def _same(batches):
     yield from batches
+
+
+@query("SELECT DISTINCT md5(t) AS md5 FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) WHERE length(t) >= 200")
+def source_documents(spark, d):
+    """Cleaned documents of a folder of shards that pass the filter, one line each."""
+    where = scratch(spark)
+    table(spark, d, "documents").select(F.regexp_replace("text", r"\s+", " ").alias("value")).write.text(f"{where}/docs")
+    return H.source_documents(spark, f"{where}/docs", "docs").select(F.md5("text").alias("md5")).distinct()
+
+
+@query("SELECT key, n FROM (VALUES ('best', 3::BIGINT), ('all', 4)) t(key, n)")
+def folders_of_sources(spark, d):
+    """The folders of named sources; a missing one is an error that names it."""
+    where = scratch(spark)
+    names = ["a", "b", "c", "d"]
+    for n in names:
+        spark.range(1).write.parquet(f"{where}/{n}")
+    found = H.source_dirs(spark, where, names)
+    try:
+        H.source_dirs(spark, where, [*names[:3], "gone"])
+        best = 0
+    except FileNotFoundError as e:
+        best = 3 if "gone" in str(e) else 0
+    return spark.createDataFrame([("best", best), ("all", len(found))], "key string, n long")

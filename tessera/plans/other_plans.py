@@ -125,7 +125,19 @@ def suite_assignments(spark, d):
     return U.assignments(*_catalogue(spark)).select("name", "query", "place")
 
 
-@query()
+HELD = f"f(family, total, ord) AS {values([(n, t, i) for i, (n, t) in enumerate(SMALL)])}, e AS (SELECT *, 11 * total / sum(total) OVER () AS e FROM f), h AS (SELECT family, total, floor(e) + (row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) <= 11 - sum(floor(e)) OVER ())::INT AS held, round_even(total * 0.1, 0) AS multi FROM e)"
+
+
+@query(f"""WITH {HELD}, s(name, key, slot, ord, value) AS {values(SLOTS)}, ph AS (SELECT name, unnest(p) AS phrasing FROM {values([(t[0], t[4]) for t in TOOLS])} t(name, p)),
+  v AS (SELECT a.name, a.key AS k0, a.value AS v0, b.key AS k1, b.value AS v1 FROM s a LEFT JOIN s b ON b.name = a.name AND b.slot = 1 WHERE a.slot = 0),
+  r AS (SELECT name, phrasing, k0, v0, k1, v1, replace(replace(phrasing, '{{' || k0 || '}}', v0), '{{' || coalesce(k1, '') || '}}', coalesce(v1, '')) AS query FROM ph JOIN v USING (name)),
+  t AS (SELECT name, family, out, row_number() OVER (PARTITION BY family, out ORDER BY name) - 1 AS i, count(*) OVER (PARTITION BY family, out) AS n FROM {values([(t[0], t[1], int(t[2])) for t in TOOLS])} t(name, family, out)),
+  w AS (SELECT name, family, out = 1 AS held_out, floor(x / n) + (i < x % n)::INT AS want FROM (SELECT t.*, CASE WHEN out = 1 THEN held ELSE total - held - multi END AS x FROM t JOIN h USING (family))),
+  a AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY md5('0:row:' || query), query) AS r FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5('0:' || name || ':' || query), query) - 1 AS place FROM r) JOIN w USING (name) WHERE place < want),
+  b AS (SELECT *, replace(family, ' ', '-') || '-' || lpad(r::VARCHAR, 4, '0') AS id, [0.60, 0.75, 0.90][(r - 1) % 3 + 1]::DOUBLE AS target FROM a),
+  c AS (SELECT b.*, s.slot, s.ord, replace(replace(phrasing, '{{' || k0 || '}}', CASE WHEN s.key = k0 THEN s.value ELSE v0 END), '{{' || coalesce(k1, '') || '}}', coalesce(CASE WHEN s.key = k1 THEN s.value ELSE v1 END, '')) AS twin FROM b JOIN s ON s.name = b.name AND (s.key = k0 AND s.value <> v0 OR s.key = k1 AND s.value <> v1)),
+  o AS (SELECT *, {WORDS.format('query')} AS x, {WORDS.format('twin')} AS y FROM c), p AS (SELECT *, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS ov FROM o)
+  SELECT id, family, name, query, held_out, '''' || v0 || ''' -> ' || k0 || coalesce('; ''' || v1 || ''' -> ' || k1, '') AS reasoning, arg_min(twin, (round(abs(ov - target), 9), slot, ord)) AS twin_query, round(arg_min(ov, (round(abs(ov - target), 9), slot, ord)), 4) AS twin_overlap FROM p GROUP BY ALL""")
 def suite_build(spark, d):
     return U.build_suite(*_catalogue(spark), families=SMALL, held_out=11).select("id", "family", "name", "query", "held_out", "reasoning", F.col("twin.query").alias("twin_query"), F.col("twin.overlap").alias("twin_overlap"))
 
