@@ -192,10 +192,13 @@ def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, samp
     few = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(F.broadcast(share), "lang").filter("h <= share")
     w = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     ranked = few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_docs)
-    sample = common.written(ranked.select("lang", "text"), common.shared_dir(docs.sparkSession))
+    where = common.shared_dir(docs.sparkSession)
+    sample = common.written(ranked.select("lang", "text"), where)
     sample = sample.repartition(max(1, min(64, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
     parts = [langs[i : i + at_once] for i in range(0, len(langs), at_once)]
-    return langs, pieces, np.hstack([_learned(sample if len(parts) == 1 else sample.filter(F.col("lang").isin(x)), x, pieces, rounds) for x in parts])
+    p = np.hstack([_learned(sample if len(parts) == 1 else sample.filter(F.col("lang").isin(x)), x, pieces, rounds) for x in parts])
+    common.removed(docs.sparkSession, where)
+    return langs, pieces, p
 
 
 def _learned(sample: DataFrame, langs: list[str], pieces: list[str], rounds: int) -> np.ndarray:

@@ -276,6 +276,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, block_rows: int = 2
     found = visited(asked.withColumn("bound", F.lit(None).cast("double")), "near")
     kth = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k + 1).select("q", F.col("score").alias("bound"))
     found = found.unionByName(visited(asked.join(kth, "q", "left").select("q", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")), "far"))
+    common.removed(spark, *[f"{where}/{x}" for x in ("rows", "dealt", "near-sent", "far-sent")])
     top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
     lists = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "same"))).alias("found")).join(asked, "q").select("v", "found")
     # each row leaves itself out: the first of its id with an equal vector

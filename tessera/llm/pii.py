@@ -237,7 +237,8 @@ def find(docs: DataFrame, **k) -> DataFrame:
     where = common.shared_dir(docs.sparkSession)
     rows = common.written(_scan(docs).withColumn("row", F.monotonically_increasing_id()), f"{where}/rows")
     seen = rows.filter(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    found = common.written(discover(seen, where, **k), f"{where}/found")
+    found = common.written(discover(seen, f"{where}/graph", **k), f"{where}/found")
+    common.removed(docs.sparkSession, f"{where}/graph")
     new = seen.filter(f"kind < 0 or kind = {SECRET}").drop("kind").join(found, ["pattern", "instance"])
     added = new.select("row", "start", "end", "kind").distinct()
     # one kind per token: the first in order
