@@ -1,4 +1,4 @@
-"""Vector codec: Walsh rotation, codebooks, bit packing, widths and sizes.
+"""Vector codec: Walsh rotation, codebooks, bit packing, widths and sizes.
 
 Rotations and packing are expressions for narrow use; ``encode`` and ``decode`` work on Arrow batches of whole vectors.
 """

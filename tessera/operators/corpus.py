@@ -1,4 +1,4 @@
-"""Corpus curation: filter, first-wins dedup, token budgets."""
+"""Corpus curation: filter, first-wins dedup, token budgets."""
 
 from __future__ import annotations
 

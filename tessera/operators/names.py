@@ -1,4 +1,4 @@
-"""Rules over leaf names and small tables."""
+"""Rules over leaf names and small tables."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Packing and sequences: fixed rows, segments, batches, n-gram hashes."""
+"""Packing and sequences: fixed rows, segments, batches, n-gram hashes."""
 
 from __future__ import annotations
 

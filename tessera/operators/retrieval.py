@@ -1,4 +1,4 @@
-"""Retrieval and overlap.
+"""Retrieval and overlap.
 
 Texts are matched by an inverted index: only what shares a word, or spells a name out, meets. Vectors are scored in blocks:
 each query meets every block through a join on the block's number, and keeps k rows per block before the last ranking.

@@ -1,4 +1,4 @@
-"""Scoring: headline rates, breakdowns, calibration."""
+"""Scoring: headline rates, breakdowns, calibration."""
 
 from __future__ import annotations
 

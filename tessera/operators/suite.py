@@ -1,4 +1,4 @@
-"""Benchmark generation.
+"""Benchmark generation.
 
 The catalogue is data: tools (name, family, held_out, keys, phrasings) and slot values (name, key, value). Draws follow the
 seeded md5 order, so that counts and invariants are those of the suite and any engine can replay it.

@@ -1,4 +1,4 @@
-"""Packed rows, array files and tensor containers."""
+"""Packed rows, array files and tensor containers."""
 
 from __future__ import annotations
 
