@@ -47,6 +47,30 @@ def unique_batches(rows: DataFrame, key: str, tool: str, size: int, seed: int =
     return r.select(F.struct("_w", "_b").alias("batch"), key, tool)
 
 
+def greedy_batches(rows: DataFrame, key: str, tool: str, size: int, seed: int = 0) -> DataFrame:
+    """(batch, key, tool) by one walk in seeded order: a row whose tool is in the open batch is left out of the epoch,
+    and so is an unfinished last batch.
+
+    What a batch takes depends on all rows before it, so that the walk is one task; it streams, and holds one batch.
+    """
+    o = seeded(seed, F.col(key))
+    rows = rows.select(key, tool)
+
+    def run(batches):
+        n, held, tools = 0, [], set()
+        for b in batches:
+            for k, t in zip(*(c.to_pylist() for c in b.columns)):
+                if t not in tools:
+                    held.append((k, t))
+                    tools.add(t)
+                if len(held) == size:
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * size, pa.int64()), pa.array([x[0] for x in held], b.schema.field(0).type), pa.array([x[1] for x in held], b.schema.field(1).type)], names=["batch", key, tool])
+                    n, held, tools = n + 1, [], set()
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (key, tool)}
+    return rows.repartition(1).sortWithinPartitions(o, key).mapInArrow(run, f"batch long, {key} {kind[key]}, {tool} {kind[tool]}")
+
+
 def rotary(v: Column, pos: Column, theta: float = 1e5) -> Column:
     """Half-split rotation of a vector by its position."""
     half = (F.size(v) / 2).cast("int")

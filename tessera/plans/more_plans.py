@@ -536,6 +536,14 @@ def distinct_tool_batches(spark, d):
     return g.agg(F.min(F.col("n") == F.col("u")).alias("distinct_tools"), F.min(F.col("n") == 4).alias("whole"))
 
 
+@query("SELECT true AS distinct_tools, true AS whole, true AS in_turn FROM range(1)")
+def greedy_tool_batches(spark, d):
+    """K07, as the walk: no tool twice in a batch, every batch whole, batches numbered in turn."""
+    b = M.greedy_batches(table(spark, d, "events").select("event_id", "user_id"), "event_id", "user_id", 4)
+    g = b.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"))
+    return g.agg(F.min(F.col("n") == F.col("u")).alias("distinct_tools"), F.min(F.col("n") == 4).alias("whole"), (F.max("batch") + 1 == F.count("*")).alias("in_turn"))
+
+
 @query(f"SELECT id AS name, true AS ok FROM {values([(t[0],) for t in TOOLS])} t(id)")
 def declared_tools(spark, d):
     """The target, its near tools and strangers, within the size of a turn."""

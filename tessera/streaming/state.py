@@ -1,7 +1,8 @@
-"""Streams: cleaned text, first-wins dedup, and the state of conversations."""
+"""Streams: cleaned text, first-wins dedup, and the state of conversations."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.functions import text as T
 from tessera.operators import corpus as C
+from tessera.operators.grammar import Reading
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -58,6 +60,24 @@ def agent_runs(turns: DataFrame, max_steps: int = 8, threshold: float = 0.0, exe
     return t.groupBy("conv_id").applyInPandasWithState(step, RUN, "seen long, steps long, reason string", "update", GroupStateTimeout.NoTimeout)
 
 
+def call_states(pieces: DataFrame, tools: str) -> DataFrame:
+    """Pieces (conv_id, at, piece) of unfinished turns, as they arrive, to the state in which each turn stands.
+
+    ``tools`` is JSON text. State is the turn's text so far; the reading of it is that of ``grammar.call_state``.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state):
+        text = state.get[0] if state.exists else ""
+        for f in frames:
+            text += "".join(f.sort_values("at")["piece"])
+        state.update((text,))
+        r = Reading(json.loads(tools)).read(text)
+        yield pd.DataFrame({"conv_id": [key[0]], "state": [r["state"]], "text": [r["text"]], "tool": [r["tool"]], "forbids_close": [r["forbids_close"]]})
+
+    p = pieces.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("at").cast("long").alias("at"), F.coalesce("piece", F.lit("")).alias("piece"))
+    return p.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, state string, text string, tool string, forbids_close boolean", "text string", "update", GroupStateTimeout.NoTimeout)
+
+
 def recent(turns: DataFrame, pinned: int, window: int) -> DataFrame:
     """Per conversation, the pinned first turns and the last of the rest, ``window`` in all (batch form)."""
     from pyspark.sql import Window

@@ -321,3 +321,22 @@ def test_tokenizer_columns(spark):
     assert spark.range(1).select(K.framed(F.array(F.lit(7), F.lit(8)), 6).alias("x"), K.framed(F.array(F.lit(7), F.lit(8)), 3).alias("y")).first() == ([2, 7, 8, 1, 0, 0], [2, 7, 8])
     p = K.pinned_length(spark.createDataFrame([(1, "<tools>[]</tools> q"), (2, "q")], "id int, p string"), "id", "p", path, 5).orderBy("id").collect()
     assert [x.pinned for x in p] == [4, 0]
+
+
+def test_greedy_batches_equal_a_walk(spark):
+    import hashlib
+
+    from tessera.operators import numeric as M
+
+    r = random.Random(5)
+    rows = [(i, r.choice("abcdefg")) for i in range(300)]
+    order = sorted(rows, key=lambda x: (hashlib.md5(f"4:{x[0]}".encode()).hexdigest(), x[0]))
+    want, held = [], []
+    for k, t in order:
+        if t not in [x[1] for x in held]:
+            held.append((k, t))
+        if len(held) == 5:
+            want += [(len(want) // 5, *x) for x in held]
+            held = []
+    got = [tuple(x) for x in M.greedy_batches(spark.createDataFrame(rows, "i long, t string").repartition(4), "i", "t", 5, 4).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100

@@ -120,3 +120,26 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("runs").collect())) == [(1, 4, "done"), (2, 1, "escalate"), (3, 2, "max_steps")]
     r = state.recent(df, 1, 3).collect()
     assert sorted(x.turn for x in r if x.conv_id == 1) == [0, 3, 4]
+
+
+def test_states_of_calls_as_their_pieces_arrive(spark, tmp_path):
+    tools = '[{"name": "lamp", "parameters": {"properties": {"room": {"enum": ["hall", "attic"]}}, "required": ["room"]}}]'
+    first = [(1, 0, '<tool_call>[{"name": "la'), (2, 0, "no call")]
+    second = [(1, 1, 'mp", "arguments": {'), (2, 1, " at all")]
+    third = [(1, 3, 'om": "at'), (1, 2, '"ro')]
+    df = spark.createDataFrame(first, "conv_id long, at long, piece string")
+    where = str(tmp_path / "pieces")
+    q = state.call_states(spark.readStream.schema(df.schema).parquet(where + "*"), tools).writeStream.format("memory").queryName("calls").outputMode("update")
+    seen = []
+    for k, rows in enumerate((first, second, third)):
+        spark.createDataFrame(rows, df.schema).coalesce(1).write.parquet(f"{where}{k}")
+        if k == 0:
+            q = q.start()
+        q.processAllAvailable()
+        seen.append(spark.table("calls").count())
+    q.stop()
+    got = [tuple(r) for r in spark.table("calls").collect()]
+    assert seen == [2, 4, 5]
+    assert sorted(got[:2], key=str) == [(1, "name", "la", None, False), (2, "disarmed", "", None, False)]
+    assert sorted(got[2:4], key=str) == [(1, "free", "", "lamp", True), (2, "disarmed", "", None, False)]
+    assert got[4] == (1, "value", "at", "lamp", False)
