@@ -1,6 +1,6 @@
 """Queries of the llm operators and their DuckDB twins."""
 
-from tessera.llm import decontaminate, katz, langid, mixing, neighbours, pii, sharding, simhash, token_counts, warc
+from tessera.llm import centroids, decontaminate, katz, langid, mixing, neighbours, pii, sharding, simhash, token_counts, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_shards": sharding.op8_shards,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op13_exponion": centroids.op13_exponion,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(), "op6_warc": warc.ORACLE, "op10_decontaminate": decontaminate.oracle()}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(), "op6_warc": warc.ORACLE, "op10_decontaminate": decontaminate.oracle(), "op13_exponion": centroids.oracle()}
