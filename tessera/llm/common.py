@@ -49,13 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, path: str, *by: str) -> DataFrame:
+def written(df: DataFrame, path: str, *by: str, **options: str) -> DataFrame:
     """Cuts the lineage of ``df``: writes it to the shared ``path``, frees its shuffle files, and reads it back."""
     spark = df.sparkSession
     before = spark.conf.get(FREE, None)
     spark.conf.set(FREE, "true")
     try:
-        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+        writer = df.write.options(**options)
+        (writer.partitionBy(*by) if by else writer).parquet(path)
     finally:
         spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -166,3 +167,14 @@ def unpack_ints(blob: bytes, dtype: str = "<u4") -> np.ndarray:
     size = np.dtype(dtype).itemsize
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def crc_table() -> str:
+    """A DuckDB common table ``crc`` of one row: ``crc_t``, the CRC-32 of each byte, computed by its rule."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"crc AS MATERIALIZED (SELECT list(list_reduce([i::BIGINT] || range(8), lambda c, _: {step}) ORDER BY i) AS crc_t FROM range(256) r(i))"
+
+
+def crc_sql(numbers: str) -> str:
+    """CRC-32 of a list of byte values, in DuckDB, beside ``crc_t``."""
+    return f"xor(list_reduce([4294967295::BIGINT] || {numbers}, lambda c, b: xor(c >> 8, crc_t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
