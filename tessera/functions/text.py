@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the wire format.
@@ -21,6 +21,17 @@ def let(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """The names, with as many underscores in front as keep them apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else out
+
+
 def clean(text: Column) -> Column:
     """line ends to LF, lines right-stripped, outer newlines cut, at most one blank line in a row."""
     t = F.regexp_replace(text, "\r\n?", "\n")

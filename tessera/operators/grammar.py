@@ -1,14 +1,12 @@
-"""Constrained text: prefixes, candidates and the state of an unfinished call."""
+"""Constrained text: prefixes, candidates, and pieces that fit (C19, C20, G01, G02, G06, G07, J17, C33); automaton.py has the calls."""
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import CALL_END, CALL_START, digit_allowed, number_complete
+from tessera.functions.text import digit_allowed, number_complete
+from tessera.operators.automaton import call_state  # noqa: F401
 
 
 def trie(words: DataFrame, group: list[str], word: str) -> DataFrame:
@@ -73,131 +71,3 @@ def await_fits(piece: Column, seen_colon: Column, value_fits) -> Column:
     colon = trimmed.startswith(":")
     value = F.when(seen_colon, trimmed).otherwise(F.regexp_replace(F.substr(trimmed, F.lit(2)), r"^\s+", ""))
     return F.when(~seen_colon & ~colon, False).otherwise((value == "") | value_fits(value))
-
-
-class Reading:
-    """The state of an unfinished list of calls, read as JSON tokens on a stack of open brackets.
-
-    state: free, name, key, await (a value with a rule comes next) or value; ``text`` is the open span so far.
-    """
-
-    def __init__(self, tools: list[dict]):
-        self.rules = {}
-        for t in tools:
-            p = t.get("parameters") or {}
-            self.rules[str(t.get("name", ""))] = (p.get("properties") or {}, set(p.get("required") or []))
-
-    def read(self, text: str) -> dict:
-        at = text.rfind(CALL_START)
-        if at < 0 or text.find(CALL_END, at) >= 0:
-            return {"state": "disarmed", "text": "", "tool": None, "keys": [], "pending": [], "broken": False, "forbids_close": False}
-        self.stack, self.tool, self.keys, self.key, self.args, self.broken = [], None, [], None, 0, False
-        state, span = "free", ""
-        for kind, token, closed in self._tokens(text[at + len(CALL_START) :]):
-            state, span = self._step(kind, token, closed)
-        pending = sorted(self.rules.get(self.tool, ({}, set()))[1] - set(self.keys)) if self.args else []
-        return {"state": state, "text": span, "tool": self.tool, "keys": self.keys, "pending": pending, "broken": self.broken, "forbids_close": bool(pending) and len(self.stack) == self.args}
-
-    @staticmethod
-    def _tokens(text: str):
-        i, n = 0, len(text)
-        while i < n:
-            c = text[i]
-            if c == '"':
-                j = i + 1
-                while j < n and text[j] != '"':
-                    j += 2 if text[j] == "\\" else 1
-                yield "string", text[i + 1 : min(j, n)], j < n
-                i = j + 1
-            elif c in "{}[],:":
-                yield c, c, True
-                i += 1
-            elif c.isspace():
-                i += 1
-            else:
-                j = i
-                while j < n and text[j] not in '{}[],:"' and not text[j].isspace():
-                    j += 1
-                yield "bare", text[i:j], j < n
-                i = j
-
-    def _rule(self):
-        field = self.rules.get(self.tool, ({}, set()))[0].get(self.key or "") or {}
-        return field if "enum" in field or "minimum" in field or "maximum" in field else None
-
-    def _step(self, kind, token, closed):
-        inside = len(self.stack)
-        wants_key = inside and self.stack[-1] == "{k"
-        if kind in "{[":
-            if kind == "{" and self.key == "arguments" and not self.args:
-                self.args, self.keys = inside + 1, []
-            self.stack.append("{k" if kind == "{" else "[")
-            self.key = None
-            return "free", ""
-        if kind in "}]":
-            if self.args and inside == self.args:
-                self.args = 0
-            self.stack = self.stack[:-1]
-            return "free", ""
-        if kind == ",":
-            if inside and self.stack[-1] == "{v":
-                self.stack[-1] = "{k"
-            return "free", ""
-        if kind == ":":
-            return ("await" if self.args and inside == self.args and self._rule() else "free"), ""
-        if kind == "string" and wants_key:
-            in_args = self.args and inside == self.args
-            word = "".join(token.split()) if not closed or in_args else token.strip()
-            if closed:
-                self.key = word
-                self.stack[-1] = "{v"
-                if in_args:
-                    self.keys.append(word)
-                    self.broken |= word not in self.rules.get(self.tool, ({}, set()))[0]
-                    return ("await" if self._rule() else "free"), ""
-                return "free", ""
-            return ("key" if in_args else "free"), word
-        word = "".join(token.split())
-        if kind == "string" and self.key == "name" and not self.args:
-            if closed:
-                self.tool = word
-                self.broken |= word not in self.rules
-                return "free", ""
-            return "name", word
-        rule = self._rule() if self.args and inside == self.args else None
-        if rule and closed:
-            self.broken |= not self._allowed(rule, kind, token.strip())
-        return ("value" if rule and not closed else "free"), (word if rule and not closed else "")
-
-    @staticmethod
-    def _allowed(rule, kind, token) -> bool:
-        if "enum" in rule:
-            return any((kind == "string") == isinstance(e, str) and (e == token if isinstance(e, str) else json.dumps(e) == token) for e in rule["enum"])
-        if kind == "string":
-            return True
-        try:
-            x = float(token)
-        except ValueError:
-            return False
-        return rule.get("minimum", x) <= x <= rule.get("maximum", x)
-
-
-STATE = "state string, text string, tool string, keys array<string>, pending array<string>, broken boolean, forbids_close boolean"
-
-
-def call_state(df: DataFrame, key: str, text: str, tools: str) -> DataFrame:
-    """The state in which each unfinished turn stops, what is pending, and whether a rule was broken."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for t, spec in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                try:
-                    tools_ = json.loads(spec or "[]")
-                except ValueError:
-                    tools_ = []
-                out.append(Reading([x for x in tools_ if isinstance(x, dict)]).read(t or ""))
-            cols = [pa.array([o[k] for o in out], t) for k, t in (("state", pa.string()), ("text", pa.string()), ("tool", pa.string()), ("keys", pa.list_(pa.string())), ("pending", pa.list_(pa.string())), ("broken", pa.bool_()), ("forbids_close", pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "state", "text", "tool", "keys", "pending", "broken", "forbids_close"])
-
-    return df.select(key, text, tools).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {STATE}")
