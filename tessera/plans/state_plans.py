@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import automaton as A
 from tessera.operators.corpus import running_total
 from tessera.plans.corpus_plans import CLEANED, KEEP
-from tessera.session import scratch, table
+from tessera.session import scratch, stored, table
 from tessera.streaming import state as S
 
 QUERIES: dict = {}
@@ -66,8 +66,7 @@ WORDS = rf"""t AS (SELECT DISTINCT event_type AS t FROM events), n AS (SELECT li
   SELECT conv_id, turn, kind, count(*) AS masked, count(*) FILTER (fits) AS fits FROM m GROUP BY ALL""")
 def turn_masks(spark, d):
     """All pieces of all turns looked up in the automaton: how many stand in a span, and how many of them it allows."""
-    turns, words, steps = _automaton(spark, d)
-    vocabulary = _vocabulary(turns)
+    turns, vocabulary, words, steps = _automaton(spark, d)
     each = turns.select("conv_id", "turn", "tools", F.posexplode("texts").alias("at", "piece")).join(vocabulary, "piece")
     pieces = each.groupBy("conv_id", "turn", "tools").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id", "piece"))), lambda p: F.struct(p["id"], p["piece"])).alias("pieces"))
     pieces = pieces.withColumn("key", F.struct("conv_id", "turn"))
@@ -76,9 +75,11 @@ def turn_masks(spark, d):
 
 
 def _automaton(spark, d):
-    turns = _turns(spark, d)
-    words = A.constraints(turns, "tools")
-    return turns, words, A.transitions(words, _vocabulary(turns))
+    """(turns, vocabulary, words, steps): the tables of the automaton are built once and kept."""
+    where = scratch(spark)
+    turns = stored(_turns(spark, d), f"{where}/turns")
+    vocabulary, words = stored(_vocabulary(turns), f"{where}/vocabulary"), stored(A.constraints(turns, "tools"), f"{where}/words")
+    return turns, vocabulary, words, stored(A.transitions(words, vocabulary), f"{where}/steps")
 
 
 @query(rf"""WITH {WORDS}, v0 AS (SELECT DISTINCT unnest(regexp_extract_all('ok <tool_call>[{{"name":"' || tool || '","arguments":{{"role":"' || role || '","turn":' || turn || '}}}}', '{PIECE}')) AS p FROM c), v AS (SELECT DISTINCT unnest([p, ' ' || p, p || '"']) AS piece FROM v0),
@@ -89,7 +90,7 @@ def _automaton(spark, d):
   SELECT kind, tool, prefix, count(DISTINCT s) AS sets, count(*) AS allowed FROM ok GROUP BY kind, tool, prefix""")
 def state_masks(spark, d):
     """The bitmap of each state: how many pieces it allows, over the sets of tools that have it."""
-    masks = A.masks(_automaton(spark, d)[2])
+    masks = A.masks(_automaton(spark, d)[3])
     return masks.groupBy("kind", "tool", "prefix").agg(F.count_distinct("tools").alias("sets"), F.sum(F.bitmap_count("allowed")).cast("long").alias("allowed"))
 
 

@@ -46,6 +46,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` once, and read back from there wherever it is used."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of the directory ``sf_dir``."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
