@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,15 +90,18 @@ def sinkhorn(df: DataFrame, key: str, matrix: str, rounds: int = 20) -> DataFram
 
     def run(batches):
         for b in batches:
-            out = []
-            for flat in b.column(1).to_pylist():
-                n = math.isqrt(len(flat))
-                x = np.array(flat, np.float64).reshape(n, n)
+            flat = b.column(1)
+            sizes, out = np.asarray(pc.list_value_length(flat)), [None] * b.num_rows
+            for size in np.unique(sizes):  # matrices of one size are scaled together
+                at = np.flatnonzero(sizes == size)
+                n = math.isqrt(size)
+                x = np.asarray(flat.take(pa.array(at)).flatten(), np.float64).reshape(-1, n, n)
                 for _ in range(rounds):
-                    for axis in (1, 0):
+                    for axis in (2, 1):
                         top = x.max(axis, keepdims=True)
                         x = x - top - np.log(np.exp(x - top).sum(axis, keepdims=True))
-                out.append(np.exp(x).ravel())
+                for k, row in zip(at, np.exp(x).reshape(len(at), -1)):
+                    out[k] = row
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "matrix"])
 
     return df.select(key, matrix).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, matrix array<double>")

@@ -234,11 +234,12 @@ def topp_cut(spark, d):
     return P.nucleus(e, ["user_id"], "p", "event_id", 0.5).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)::INT) AS a FROM documents), s AS (SELECT doc_id, a[1:len(a) - 8] AS p, a[len(a) - 7:] AS t FROM w WHERE len(a) > 40) SELECT doc_id, (1 + least(len(p), 54) + 8 + 1)::INT AS used, (2 + list_sum(p[len(p) - least(len(p), 54) + 1:]) + list_sum(t) + 1)::BIGINT AS total, 9.0::DOUBLE AS weight FROM s")
+@query("WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)::INT) AS a FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, a[1:greatest(len(a) - 8, 0)] AS p, a[greatest(len(a) - 7, 1):] AS t FROM w) SELECT doc_id, len(list_filter(p[len(p) - least(len(p), 54) + 1:] || t, lambda x: x <> 0))::INT + 2 AS used, (2 + coalesce(list_sum(p[len(p) - least(len(p), 54) + 1:]), 0) + list_sum(t) + 1)::BIGINT AS total, (len(t) + 1)::DOUBLE AS weight FROM s")
 def sft_encode(spark, d):
     a = F.transform(F.split("text", " "), lambda x: F.length(x))
-    s = table(spark, d, "documents").select("doc_id", a.alias("a")).filter(F.size("a") > 40)
-    x = P.encode_example(F.slice("a", F.lit(1), F.size("a") - 8), F.slice("a", -8, 8), 64)
+    s = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", a.alias("a"))
+    n = F.greatest(F.size("a") - 8, F.lit(0))
+    x = P.encode_example(F.slice("a", F.lit(1), n), F.slice("a", n + 1, F.lit(8)), 64)
     s = s.select("doc_id", x.alias("x"))
     add = lambda c, zero: F.aggregate(c, zero, lambda a, v: a + v)
     used = F.size(F.filter("x.ids", lambda v: v != P.PAD))

@@ -17,6 +17,7 @@ from tessera.operators import scoring as S
 from tessera.operators import suite as U
 from tessera.plans.other_plans import SLOTS, SMALL, SUBJECTS, TEMPLATES, TOOLS, _catalogue, values
 from tessera.session import scratch, table
+from tessera.sources import files as L
 from tessera.sources import rows as W
 from tessera.sources import shards as H
 
@@ -59,11 +60,11 @@ def read_objects(spark, d):
     return got.select(K.field(v, "event_id", "long").alias("event_id"), K.field(v, "name").alias("name"), K.field(v, "k", "long").alias("k"))
 
 
-@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS ix, event_type || '_' || event_id AS name, 'logs ' || event_id || ' k' AS text FROM events WHERE event_id < 500")
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS ix, event_type || '_' || event_id AS name, 'logs ' || event_id || ' k' AS text FROM events")
 def catalogue_rows(spark, d):
-    """A tool catalogue of JSON lines, in file order."""
+    """A tool catalogue of JSON lines in several files, in file order."""
     where = scratch(spark)
-    e = table(spark, d, "events").filter("event_id < 500").orderBy("event_id").coalesce(1)
+    e = table(spark, d, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
     tool = F.struct(F.concat_ws("_", "event_type", "event_id").alias("name"), F.concat(F.lit("logs "), F.col("event_id")).alias("description"), F.struct(F.struct(F.struct(F.lit("integer").alias("type")).alias("k")).alias("properties")).alias("parameters"))
     e.select(F.to_json(tool).alias("value")).write.text(f"{where}/tools.jsonl")
     return H.catalogue(spark, f"{where}/tools.jsonl").select("ix", "name", "text")
@@ -90,24 +91,42 @@ def checkpoint_round_trip(spark, d):
     return leaves.select("name", F.size("values").cast("long").alias("n"), F.round(total, 4).alias("total"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings WHERE vec_id < 50")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, 64 AS n, true AS aligned FROM embeddings")
 def container_round_trip(spark, d):
-    """A container of 50 tensors, written and read with its checksums."""
+    """All embeddings as tensors of a container, written in parallel, published by its list, and read with its checksums."""
     where = scratch(spark)
-    some = table(spark, d, "embeddings").filter("vec_id < 50").collect()
-    data = W.container_bytes([(str(r.vec_id), np.array(r.embedding, np.float32)) for r in some])
-    spark.createDataFrame([(bytearray(data),)], "content binary").write.parquet(f"{where}/c")
-    unpacked = spark.read.parquet(f"{where}/c").mapInArrow(_tensors_of, "vec_id long, total double")
-    return unpacked.select("vec_id", F.round("total", 4).alias("total"))
-
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.array(F.lit(8), F.lit(8)).alias("shape"), F.col("embedding").alias("values"))
+    W.write_tensors(e.repartition(4), f"{where}/c")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    n = F.aggregate("shape", F.lit(1), lambda a, x: a * x)
+    return W.read_tensors(spark, f"{where}/c").select(F.col("name").cast("long").alias("vec_id"), F.round(total, 4).alias("total"), n.alias("n"), (F.col("offset") % 64 == 0).alias("aligned"))
 
-def _tensors_of(batches):
-    import pyarrow as pa
 
-    for b in batches:
-        for content in b.column(0).to_pylist():
-            got = [(int(n), float(a.astype(np.float64).sum())) for n, a in W.container_tensors(content)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got])], names=["vec_id", "total"])
+@query("SELECT vec_id, label AS seg, (vec_id // 60000 + vec_id % 60000 + list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 100)::BIGINT + 1000)))::BIGINT AS total, 66 AS n FROM embeddings")
+def array_rows(spark, d):
+    """Packed rows as array files, written in parallel and read by byte ranges."""
+    where = scratch(spark)
+    x = F.transform("embedding", lambda x: (F.floor(x.cast("double") * 100) + 1000).cast("int"))
+    i = F.col("vec_id")
+    tokens = F.concat(F.array((i / 60000).cast("int"), (i % 60000).cast("int")), x)
+    W.write_arrays(table(spark, d, "embeddings").select(tokens.alias("tokens"), F.array_repeat(F.col("label").cast("int"), 66).alias("segs")).repartition(4), f"{where}/rows")
+    back = W.read_arrays(spark, f"{where}/rows", part_bytes=10_000)
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    return back.select((F.get("tokens", F.lit(0)).cast("long") * 60000 + F.get("tokens", F.lit(1))).alias("vec_id"), F.element_at("segs", -1).alias("seg"), total.alias("total"), F.size("tokens").alias("n"))
+
+
+@query("SELECT page_id, md5(html) AS md5, 'ok' AS verdict FROM pages")
+def fetched_pages(spark, d):
+    """Files of pages copied with their digests held against wanted ones, and read from where they went."""
+    where = scratch(spark)
+    table(spark, d, "pages").select(F.to_json(F.struct("page_id", "html")).alias("value")).repartition(8).write.text(f"{where}/from")
+    want = W.digests(spark, f"{where}/from").select("path", F.upper("sha256").alias("want"))
+    got = L.fetched(want, f"{where}/to")
+    got.write.parquet(f"{where}/report")
+    report = spark.read.parquet(f"{where}/report").select(F.element_at(F.split("target", "/"), -1).alias("file"), "verdict")
+    lines = spark.read.text(f"{where}/to").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    page = F.from_json("value", "page_id long, html string")
+    return lines.withColumn("p", page).join(report, "file").select("p.page_id", F.md5("p.html").alias("md5"), "verdict")
 
 
 # Names and leaves
@@ -193,9 +212,9 @@ def ring_contents(spark, d):
     return P.ring(table(spark, d, "events"), "event_id", "value", 16, 64)
 
 
-@query("SELECT event_id, round(value * cos(event_id) - user_id * sin(event_id), 6) AS a, round(user_id * cos(event_id) + value * sin(event_id), 6) AS b FROM events WHERE event_id < 2000")
+@query("SELECT event_id, round(value * cos(event_id) - user_id * sin(event_id), 6) AS a, round(user_id * cos(event_id) + value * sin(event_id), 6) AS b FROM events")
 def rotary(spark, d):
-    e = table(spark, d, "events").filter("event_id < 2000")
+    e = table(spark, d, "events")
     v = M.rotary(F.array(F.col("value"), F.col("user_id").cast("double")), F.col("event_id"))
     return e.select("event_id", F.round(F.get(v, F.lit(0)), 6).alias("a"), F.round(F.get(v, F.lit(1)), 6).alias("b"))
 
@@ -306,12 +325,12 @@ def learning_rate(spark, d):
     return spark.createDataFrame([(s, round(G.learning_rate(s, 0.001, 100, 1000), 9)) for s in range(0, 1201, 50)], "step long, rate double")
 
 
-@query("SELECT doc_id, strlen(text) + 2 AS n FROM documents WHERE strlen(text) <= 510")
+@query("SELECT doc_id, least(strlen(text) + 2, 512) AS n FROM documents")
 def framed_bytes(spark, d):
     """Start, ids, end, padded; the ids are the bytes of short texts, moved past the special ones."""
     from tessera.functions import tokenizer as Z
 
-    docs = table(spark, d, "documents").filter(F.octet_length("text") <= 510)
+    docs = table(spark, d, "documents")
     ids = F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: i * 0 + 9)
     framed = Z.framed(F.when(F.octet_length("text") > 0, ids).otherwise(F.array().cast("array<int>")), 512)
     return docs.select("doc_id", F.size(F.filter(framed, lambda x: x != P.PAD)).cast("long").alias("n"))
@@ -467,11 +486,11 @@ def _length_of(text, schema):
     return {k: len(text) for k in schema}
 
 
-REPLY = """WITH r AS (SELECT event_id AS batch, event_type AS tool, (props->>'$.k')::BIGINT AS k FROM events WHERE event_id < 400), g AS (SELECT *, batch % 10 <> 9 AS came FROM r)"""
+REPLY = """WITH r AS (SELECT event_id AS batch, event_type AS tool, (props->>'$.k')::BIGINT AS k FROM events), g AS (SELECT *, batch % 10 <> 9 AS came FROM r)"""
 
 
 def _replies(spark, d):
-    e = table(spark, d, "events").filter("event_id < 400").select(F.col("event_id").alias("batch"), F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").alias("k"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("batch"), F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").alias("k"))
     body = F.to_json(F.struct("tool", "k", "batch"))
     from tessera.sources import teacher as E
 
@@ -517,12 +536,12 @@ def token_round_trip(spark, d):
     return back.join(b.withColumnRenamed("text", "was"), "item_id").select("item_id", (T.trim(F.col("text")) == T.trim(F.col("was"))).alias("same"))
 
 
-@query("SELECT event_id AS key, true AS balanced FROM events WHERE event_id < 200")
+@query("SELECT event_id AS key, true AS balanced FROM events")
 def balanced_matrices(spark, d):
     """Rows and columns that sum to 1."""
     i = F.col("event_id")
     m = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda x: ((x * 7 + i) % 5).cast("double"))
-    s = M.sinkhorn(table(spark, d, "events").filter("event_id < 200").select(i.alias("key"), m.alias("m")), "key", "m")
+    s = M.sinkhorn(table(spark, d, "events").select(i.alias("key"), m.alias("m")), "key", "m")
     near = lambda at: F.abs(sum(F.get("matrix", F.lit(k)) for k in at) - 1) < 1e-2
     sums = [near(range(3 * r, 3 * r + 3)) for r in range(3)] + [near(range(c, 9, 3)) for c in range(3)]
     return s.select("key", F.forall(F.array(*sums), lambda x: x).alias("balanced"))
@@ -580,10 +599,10 @@ def report_round_trip(spark, d):
     return spark.createDataFrame([(r["lang"], r["n"]) for r in N.load_report(spark, f"{where}/report")["langs"]], "lang string, n long")
 
 
-@query("WITH c AS (SELECT sha256(page_id::VARCHAR) AS sha, page_id FROM pages WHERE page_id < 20) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ok' ELSE 'unchecked' END AS verdict FROM c")
+@query("WITH c AS (SELECT sha256(page_id::VARCHAR) AS sha, page_id FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ok' ELSE 'unchecked' END AS verdict FROM c")
 def verified_files(spark, d):
     """Digests held against sidecars."""
-    p = table(spark, d, "pages").filter("page_id < 20").select(F.col("page_id").cast("string").alias("path"), F.sha2(F.col("page_id").cast("string"), 256).alias("sha256"))
+    p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.sha2(F.col("page_id").cast("string"), 256).alias("sha256"))
     want = p.filter(F.col("path").cast("long") % 2 == 0).select("path", F.upper("sha256").alias("want"))
     return W.verified(p, want).select(F.col("path").cast("long").alias("page_id"), "verdict")
 

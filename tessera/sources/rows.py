@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import json
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import arrays, files
+
 TAG, VERSION, ALIGN = b"TSR1", 1, 64
 
 
@@ -25,31 +27,32 @@ def load_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_arrays(spark: SparkSession, path: str, seq_len: int) -> DataFrame:
-    """(path, row, tokens, segs) of ``.npy`` files of rows, with or without segments, or flat 16-bit dumps.
+def write_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Packed rows (tokens, segs) as array files of 16-bit numbers, in parallel; the list of the files comes last."""
+    arrays.register(df.sparkSession)
+    df.select("tokens", "segs").write.format("tessera_rows").mode(mode).save(path)
 
-    Flat dumps are cut to whole rows; rows narrower than seq_len raise. A file is one row of the source and is decoded in
-    its task; files are the unit of parallel work.
-    """
 
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if content[:6] == b"\x93NUMPY":
-                    a = np.load(io.BytesIO(content), allow_pickle=False)
-                else:
-                    a = np.frombuffer(content[: len(content) // 2 * 2], "<u2")
-                if a.ndim == 1:
-                    a = a[: len(a) // seq_len * seq_len].reshape(-1, seq_len)
-                if a.shape[1] < seq_len:
-                    raise ValueError(f"{name}: rows of {a.shape[1]} tokens, {seq_len} asked for")
-                a = a[:, :seq_len]
-                for i in range(0, len(a), 1024):
-                    part = a[i : i + 1024].astype(np.int32)
-                    tokens, segs = (part[..., 0], part[..., 1]) if part.ndim == 3 else (part, None)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(i, i + len(part))), pa.array(list(tokens), pa.list_(pa.int32())), pa.array(list(segs) if segs is not None else [None] * len(part), pa.list_(pa.int32()))], names=["path", "row", "tokens", "segs"])
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, "path string, row long, tokens array<int>, segs array<int>")
+def read_arrays(spark: SparkSession, path: str, seq_len: int | None = None, part_bytes: int = arrays.RANGE) -> DataFrame:
+    """(path, row, tokens, segs) of array files of rows, with or without segments, or flat 16-bit dumps, by byte ranges.
+
+    Flat dumps are cut to whole rows; rows narrower than seq_len raise. In a folder that ``write_arrays`` wrote, row counts on
+    over its files."""
+    arrays.register(spark)
+    reader = spark.read.format("tessera_rows").option("range", part_bytes)
+    return (reader if seq_len is None else reader.option("length", seq_len)).load(path)
+
+
+def write_tensors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Tensors (name, shape, values) as aligned blobs with their directories, in parallel; the list of the parts comes last."""
+    arrays.register(df.sparkSession)
+    df.select("name", "shape", F.col("values").cast("array<float>").alias("values")).write.format("tessera_tensors").mode(mode).save(path)
+
+
+def read_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """(name, shape, values, offset) of what ``write_tensors`` wrote, every checksum verified."""
+    arrays.register(spark)
+    return spark.read.format("tessera_tensors").load(path)
 
 
 def container_bytes(tensors: list[tuple[str, np.ndarray]], meta: dict | None = None) -> bytes:
@@ -110,21 +113,30 @@ def aligned_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("name", p.alias("problem")).filter("problem is not null")
 
 
-def save_checkpoint(leaves: DataFrame, path: str, geometry: dict, step: int = 0) -> None:
-    """Leaves (name, shape, values) and one row of metadata; each table appears when its job commits, the metadata last."""
-    leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+def save_checkpoint(leaves: DataFrame, path: str, geometry: dict, step: int = 0) -> str:
+    """Leaves (name, shape, values) and one row of metadata as a new version, published when both are whole.
+
+    Until the pointer has moved, and if anything fails before, readers get the version before. Older versions stay, for
+    readers that have begun; ``files.removed`` deletes what is no longer wanted. The version's name."""
+    name = f"step{step:09d}-{uuid.uuid4().hex[:8]}"
+    leaves.write.parquet(f"{path}/{name}/leaves")
     meta = json.dumps({"tag": TAG.decode(), "version": VERSION, "step": step, "geometry": geometry}, sort_keys=True)
-    leaves.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    leaves.sparkSession.createDataFrame([(meta,)], "meta string").coalesce(1).write.parquet(f"{path}/{name}/meta")
+    files.publish(leaves.sparkSession, path, name)
+    return name
 
 
 def load_checkpoint(spark: SparkSession, path: str, geometry: dict | None = None) -> tuple[DataFrame, int]:
-    """(leaves, step); another tag or version, or a geometry that differs from the given one, is refused."""
-    meta = json.loads(spark.read.parquet(f"{path}/meta").first().meta)
+    """(leaves, step) of the published version; another tag or version, or a geometry that differs from the given one, is refused."""
+    name = files.current(spark, path)
+    if name is None:
+        raise FileNotFoundError(f"no checkpoint was published at {path}")
+    meta = json.loads(spark.read.parquet(f"{path}/{name}/meta").first().meta)
     if meta["tag"] != TAG.decode() or meta["version"] != VERSION:
         raise ValueError("not a checkpoint of this version")
     if geometry is not None and (off := sorted(k for k in {*geometry, *meta["geometry"]} if geometry.get(k) != meta["geometry"].get(k))):
         raise ValueError(f"the checkpoint's geometry differs in {', '.join(off)}")
-    return spark.read.parquet(f"{path}/leaves"), meta["step"]
+    return spark.read.parquet(f"{path}/{name}/leaves"), meta["step"]
 
 
 def verified(files: DataFrame, expected: DataFrame) -> DataFrame:

@@ -99,15 +99,16 @@ def compact_json(*columns):
 def catalogue(spark: SparkSession, path: str, embeddings: DataFrame | None = None) -> DataFrame:
     """(ix, name, schema VARIANT, text) of a tool catalogue, with emb, of unit length, from ``embeddings`` (name, emb).
 
-    ix is the place in the files, by path and line.
+    ix is the place among all tools of all files, by path and line, or by path and place in a JSON list.
     """
     if path.rstrip("/").endswith((".jsonl", ".jsonl.gz")):
         lines = _files(spark, path, "*").filter(T.trim(F.col("value")) != "").select("shard", "block", "row", F.parse_json("value").alias("schema"))
-        lines = lines.filter(F.map_contains_key(K.fields(F.col("schema")), "name")).withColumn("_one", F.lit(1))
-        df = C.running_total(lines, "_one", ["shard", "block", "row"], F.struct("shard", "block"), name="ix").drop("_one")
+        named = lines.filter(F.map_contains_key(K.fields(F.col("schema")), "name"))
     else:
-        v = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
-        df = v.select(F.posexplode(F.coalesce(K.items(F.col("v")), F.array("v"))).alias("ix", "schema")).filter(K.field(F.col("schema"), "name").isNotNull())
+        v = _files(spark, path, "*", True).select("shard", "block", F.parse_json("value").alias("v"))
+        each = v.select("shard", "block", F.posexplode(F.coalesce(K.items(F.col("v")), F.array("v"))).alias("row", "schema"))
+        named = each.filter(K.field(F.col("schema"), "name").isNotNull())
+    df = C.running_total(named.withColumn("one", F.lit(1)), "one", ["shard", "block", "row"], F.struct("shard", "block"), name="ix")
     keys = F.map_keys(F.coalesce(K.fields(K.field(F.col("schema"), "parameters.properties", "variant")), F.create_map().cast(K.ARGS)))
     out = df.select(F.col("ix").cast("long").alias("ix"), K.field(F.col("schema"), "name").alias("name"), "schema", F.concat_ws(" ", K.field(F.col("schema"), "description"), F.array_join(keys, " ")).alias("text"))
     return out if embeddings is None else out.join(embeddings.select("name", unit(F.col("emb")).alias("emb")), "name", "left")

@@ -35,22 +35,24 @@ def post(url: str, body: dict, tries: int = 5, wait: float = 1.0, timeout: float
 
 
 def ask(prompts: DataFrame, client=post, **settings) -> DataFrame:
-    """(batch, reply) of (batch, body JSON) rows; a reply that failed for good is null.
+    """(batch, reply, error) of (batch, body JSON) rows; a request that failed for good has no reply, but its cause.
 
     ``client`` is any function of (url, body, ...); tests and reruns pass one that replays a table.
     """
 
     def run(batches):
         for b in batches:
-            out = []
+            out, errors = [], []
             for body in b.column(1).to_pylist():
                 try:
-                    out.append(client(body=json.loads(body), **settings))
-                except Exception:  # noqa: BLE001  a failed batch is counted, not fatal
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["batch", "reply"])
-
-    return prompts.select(F.col("batch").cast("long").alias("batch"), "body").mapInArrow(run, "batch long, reply string")
+                    reply, error = client(body=json.loads(body), **settings), None
+                except Exception as e:  # noqa: BLE001  a failed batch is counted and its cause kept, not fatal
+                    reply, error = None, f"{type(e).__name__}: {e}"
+                out.append(reply)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=["batch", "reply", "error"])
+
+    return prompts.select(F.col("batch").cast("long").alias("batch"), "body").mapInArrow(run, "batch long, reply string, error string")
 
 
 def examples(replies: DataFrame, tools: str) -> DataFrame:
