@@ -95,6 +95,48 @@ def window_edges(n: int, window: int, sinks: list[int], spark) -> DataFrame:
     return q.select("query", F.explode(F.array_union(recent, pinned)).alias("key"))
 
 
+KEYS = "array<struct<lo:long,hi:long>>"
+
+
+def keys_up_to(lo: Column, query: Column) -> Column:
+    """The keys from ``lo`` (0, or where the query's segment starts) to the query, as a list of one interval."""
+    return F.array(F.struct(lo.cast("long").alias("lo"), query.cast("long").alias("hi"))).cast(KEYS)
+
+
+def window_keys(query: Column, window: int, sinks: list[int]) -> Column:
+    """The last ``window`` keys and the pinned ones at or before the query, as disjoint intervals in order."""
+    q = query.cast("long")
+    recent = F.greatest(F.lit(0).cast("long"), q - window + 1)
+    runs, out = [], []
+    for s in sorted(set(sinks)):
+        runs[-1:] = [(runs[-1][0], s)] if runs and runs[-1][1] == s - 1 else [*runs[-1:], (s, s)]
+    for lo, hi in runs:
+        out.append(F.struct(F.lit(lo).cast("long").alias("lo"), F.least(F.lit(hi).cast("long"), recent - 1).alias("hi")))
+    pinned = F.filter(F.array(*out).cast(KEYS), lambda i: i["lo"] <= i["hi"]) if out else F.array().cast(KEYS)
+    return F.concat(pinned, F.array(F.struct(recent.alias("lo"), q.alias("hi")))).cast(KEYS)
+
+
+def both_keys(a: Column, b: Column) -> Column:
+    """The keys that two masks share: at most as many intervals as both have together, and no key is listed."""
+    meet = lambda x: F.filter(F.transform(b, lambda y: F.struct(F.greatest(x["lo"], y["lo"]).alias("lo"), F.least(x["hi"], y["hi"]).alias("hi"))), lambda i: i["lo"] <= i["hi"])
+    return F.flatten(F.transform(a, meet)).cast(KEYS)
+
+
+def n_keys(mask: Column) -> Column:
+    """How many keys a mask of disjoint intervals holds."""
+    return F.aggregate(mask, F.lit(0).cast("long"), lambda n, i: n + i["hi"] - i["lo"] + 1)
+
+
+def holds(mask: Column, key: Column) -> Column:
+    return F.exists(mask, lambda i: key.between(i["lo"], i["hi"]))
+
+
+def packing_keys(spans: DataFrame, row: str = "row_id", lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """(row, query, keys) for each place of packed spans [lo, hi): its segment's keys up to itself. Nothing is joined."""
+    q = spans.select(row, F.col(lo).alias("start"), F.explode(F.sequence(F.col(lo), F.col(hi) - 1)).alias("query"))
+    return q.select(row, "query", keys_up_to(F.col("start"), F.col("query")).alias("keys"))
+
+
 def ring_slot(pos: Column, pinned: int, size: int) -> Column:
     """Pinned positions stay, the others rotate through the rest."""
     return F.when(pos < pinned, pos).otherwise(F.lit(pinned) + (pos - pinned) % F.lit(size - pinned))
@@ -133,10 +175,9 @@ def nucleus(df: DataFrame, part: list[str], p: str, tie: str, top_p: float) -> D
 def dataset(rows: DataFrame, prompt: str, target: str, max_len: int) -> DataFrame:
     """``rows`` with example (ids, weights); rows whose target alone is too long go, and if none is left the job fails."""
     d = rows.withColumn("example", encode_example(F.col(prompt), F.col(target), max_len)).filter("example is not null")
-    left = d.agg(F.count("*").alias("_left"))  # one row
-    checked = left.select(F.when(F.col("_left") == 0, F.raise_error(F.lit(f"no row fits {max_len} tokens"))).otherwise(F.col("_left")).alias("_left"))
-    # the row of the count stays where no example is left, so that it is looked at
-    return checked.join(d, F.lit(True), "left").filter(F.col("_left") > 0).drop("_left")
+    none = F.when(F.col("left") == 0, F.raise_error(F.lit(f"no row fits {max_len} tokens")).cast("boolean")).otherwise(False)
+    guard = d.agg(F.count("*").alias("left")).filter(none)  # one row, which is dropped or fails the job
+    return d.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema]))
 
 
 def ring(df: DataFrame, pos: str, value: str, pinned: int, size: int) -> DataFrame:

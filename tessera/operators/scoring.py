@@ -71,6 +71,61 @@ def threshold_sweep(df: DataFrame, conf: str, correct: str, thresholds=THRESHOLD
     return rows.na.fill(0.0)
 
 
+def order_statistics(df: DataFrame, value: str, ranks: list[int], at_once: int = 10_000) -> dict[int, float]:
+    """The values that stand at the given places (from 0) in ascending order; nulls don't count. Exact at any size.
+
+    Each pass sketches the values that are still in question by Spark's mergeable quantile summary, takes the sketch's bounds
+    around the places, and counts what lies below and between them, so that the sketch decides how fast the range narrows
+    and never the result. A range of ``at_once`` rows, or of one value, ends it; values are then counted, not listed. No task ever
+    holds or sorts the table.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    out, n = {}, None
+    for rank in sorted(set(ranks)):
+        if n is None:
+            n, lo, hi = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+            whole = (lo, hi)
+        if not 0 <= rank < n:
+            raise ValueError(f"there is no place {rank} among {n} values")
+        (lo, hi), below, inside = whole, 0, n
+        while lo != hi and inside > at_once:
+            share, slack = (rank - below) / inside, 2e-4
+            got = rows.filter(F.col("v").between(lo, hi)).agg(F.percentile_approx("v", F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack))), F.lit(10_000))).first()[0]
+            a, b = (min(max(x, lo), hi) for x in got)
+            v = F.col("v")
+            under, at_a, between, at_b, over = rows.filter(v.between(lo, hi)).agg(*[F.count_if(c) for c in (v < a, v == a, v.between(a, b), v == b, v > b)]).first()
+            if rank - below < under:
+                new = (lo, a, below, under + at_a)
+            elif rank - below < under + between:
+                new = (a, b, below + under, between)
+            else:
+                new = (b, hi, below + under + between - at_b, over + at_b)
+            if new[:2] == (lo, hi):
+                break  # few values, each of many rows
+            lo, hi, below, inside = new
+        if lo == hi:
+            out[rank] = lo
+            continue
+        for v, k in rows.filter(F.col("v").between(lo, hi)).groupBy("v").count().orderBy("v").collect():
+            below += k
+            if rank < below:
+                out[rank] = v
+                break
+    return out
+
+
+def percentile(df: DataFrame, value: str, share: float) -> float | None:
+    """The value below which a share of the rows lies, interpolated between the two places next to it; null without rows."""
+    n = df.agg(F.count(value)).first()[0]
+    if not n:
+        return None
+    at = share * (n - 1)
+    k = int(at)
+    found = order_statistics(df, value, sorted({k, min(k + 1, n - 1)}))
+    a, b = found[k], found[min(k + 1, n - 1)]
+    return a + (b - a) * (at - k)
+
+
 def perplexity_confidence(ppl: Column, mu: Column, k: float = 5.0) -> Column:
     """0.5 at mu, falling in log perplexity."""
     return 1 / (1 + F.exp(F.lit(k) * (F.ln(F.greatest(ppl, F.lit(1.0))) - F.ln(F.greatest(mu, F.lit(1.0 + 1e-9))))))

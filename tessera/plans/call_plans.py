@@ -189,8 +189,8 @@ def threshold_sweep(spark, d):
 @query("WITH m AS (SELECT quantile_cont(value, 0.8) AS mu FROM events) SELECT event_id, round(1 / (1 + exp(5 * (ln(greatest(value, 1)) - ln(greatest(mu, 1.000000001))))), 6) AS confidence FROM events, m")
 def ppl_confidence(spark, d):
     e = table(spark, d, "events")
-    mu = e.agg(F.percentile("value", F.lit(0.8)).alias("mu"))
-    return e.crossJoin(F.broadcast(mu)).select("event_id", F.round(S.perplexity_confidence(F.col("value"), F.col("mu")), 6).alias("confidence"))
+    mu = F.lit(S.percentile(e, "value", 0.8))
+    return e.select("event_id", F.round(S.perplexity_confidence(F.col("value"), mu), 6).alias("confidence"))
 
 
 GRID = f"""{B}, s AS (SELECT least(greatest(conf, 1e-6), 1 - 1e-6) AS p, y FROM c), z AS (SELECT ln(p / (1 - p)) AS z, y, count(*) AS n FROM s GROUP BY ALL),

@@ -201,8 +201,17 @@ def dilated_taps(spark, d):
 @query(f"{SPANS.replace(str(S), '32')}, p AS (SELECT row_id, seg, unnest(range(lo, hi)) AS pos FROM spans) SELECT row_id, sum(k)::BIGINT AS edges FROM (SELECT row_id, pos - min(pos) OVER (PARTITION BY row_id, seg) + 1 AS k FROM p) GROUP BY row_id")
 def packing_mask_edges(spark, d):
     docs = table(spark, d, "documents").select("doc_id", (n_tokens() + 1).alias("n"))
-    pos = P.spans(docs, "n", "doc_id", 32).select("row_id", "seg", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("pos"))
-    return P.packing_edges(pos, "row_id", "pos", "seg").groupBy("row_id").agg(F.count("*").alias("edges"))
+    return P.packing_keys(P.spans(docs, "n", "doc_id", 32)).groupBy("row_id").agg(F.sum(P.n_keys(F.col("keys"))).alias("edges"))
+
+
+@query(f"""{SPANS.replace(str(S), '64')}, p AS (SELECT row_id, lo, unnest(range(lo, hi)) AS q FROM spans), k AS (SELECT row_id, q, unnest(range(lo, q + 1)) AS k FROM p)
+  SELECT row_id, count(*) AS edges, count(*) FILTER (k = 30) AS on_sink FROM k WHERE q - k < 8 OR k IN (0, 1, 30) GROUP BY row_id""")
+def window_in_segments(spark, d):
+    """The window mask with pinned keys within each place's segment, as intervals."""
+    docs = table(spark, d, "documents").select("doc_id", (n_tokens() + 1).alias("n"))
+    keys = P.packing_keys(P.spans(docs, "n", "doc_id", 64))
+    keys = keys.select("row_id", P.both_keys(F.col("keys"), P.window_keys(F.col("query"), 8, [0, 1, 30])).alias("keys"))
+    return keys.groupBy("row_id").agg(F.sum(P.n_keys(F.col("keys"))).alias("edges"), F.count_if(P.holds(F.col("keys"), F.lit(30))).alias("on_sink"))
 
 
 @query("SELECT q AS query, k AS key FROM range(64) a(q), range(64) b(k) WHERE k <= q AND (q - k < 8 OR k IN (0, 1, 30))")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Annotated, Literal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import registry as B
+from tessera.functions import validation as V
+from tessera.functions.registry import Field
 from tessera.operators import automaton as A
 from tessera.operators.corpus import running_total
 from tessera.plans.corpus_plans import CLEANED, KEEP
@@ -94,6 +99,50 @@ def state_masks(spark, d):
     return masks.groupBy("kind", "tool", "prefix").agg(F.count_distinct("tools").alias("sets"), F.sum(F.bitmap_count("allowed")).cast("long").alias("allowed"))
 
 
+# Schemas that act
+
+
+def _book(
+    user: Annotated[int, Field(minimum=5, maximum=900)],
+    kind: Literal["click", "view"],
+    amount: Annotated[float, Field(exclusive_minimum=0.5)] = 1.0,
+    note: Annotated[str, Field(max_length=8, pattern="^[a-z]+[0-9]*$")] = "none",
+    tags: list[int] | None = None,
+) -> str:
+    """Books an event."""
+    return kind
+
+
+BOOKED = """b AS (SELECT event_id, user_id, event_type, value, event_id % 7 AS m FROM events)"""
+
+
+@query(f"""WITH {BOOKED} SELECT event_id, concat_ws('; ', CASE WHEN m = 0 THEN 'user: is missing' WHEN m = 1 THEN 'user: is not integer' WHEN user_id < 5 THEN 'user: minimum 5' WHEN user_id > 900 THEN 'user: maximum 900' END,
+    CASE WHEN event_type NOT IN ('click', 'view') THEN 'kind: is not one of the choices' END, CASE WHEN m <> 2 AND round(value, 2) <= 0.5 THEN 'amount: exclusiveMinimum 0.5' END,
+    CASE WHEN m <> 3 AND length(event_type || event_id) > 8 THEN 'note: maxLength 8' END, CASE WHEN m = 4 THEN 'note: pattern ^[a-z]+[0-9]*$' END, CASE WHEN m = 5 THEN 'tags[1]: is not integer' END, CASE WHEN m = 6 THEN 'extra: is not declared' END) AS problems FROM b""")
+def checked_calls(spark, d):
+    """Calls made of events, checked by predicates that a function's signature compiles to."""
+    calls, schema = _booked(spark, d)
+    return calls.select("event_id", F.array_join(V.violations(F.parse_json("arguments"), schema["parameters"]), "; ").alias("problems"))
+
+
+@query(f"""WITH {BOOKED} SELECT event_id, CASE WHEN m IN (0, 1) THEN NULL ELSE user_id END AS user, event_type AS kind, CASE WHEN m = 2 THEN 1.0 ELSE round(value, 2) END AS amount, CASE WHEN m = 3 THEN 'none' WHEN m = 4 THEN upper(event_type) || event_id ELSE event_type || event_id END AS note, CASE WHEN m = 5 THEN 2 END AS n_tags FROM b""")
+def typed_calls(spark, d):
+    """The same calls cast to the struct that the schema compiles to, with its defaults."""
+    calls, schema = _booked(spark, d)
+    rows = calls.select("event_id", V.typed(F.parse_json("arguments"), schema["parameters"]).alias("a")).select("event_id", "a.*")
+    return rows.select("event_id", "user", "kind", "amount", "note", F.when(F.col("tags").isNotNull(), F.size("tags")).alias("n_tags"))
+
+
+def _booked(spark, d):
+    schema, m = B.build_schema(_book), F.col("event_id") % 7
+    user = F.when(m == 1, F.to_variant_object(F.array(F.col("user_id")))).when(m != 0, F.col("user_id").cast("variant"))
+    note = F.when(m == 4, F.concat(F.upper("event_type"), "event_id")).when(m != 3, F.concat("event_type", "event_id"))
+    tags = F.when(m == 5, F.lit('[1,"x"]'))
+    parts = [("user", F.to_json(user)), ("kind", F.to_json(F.col("event_type").cast("variant"))), ("amount", F.when(m != 2, F.to_json(F.round("value", 2).cast("variant")))), ("note", F.to_json(note.cast("variant"))), ("tags", tags), ("extra", F.when(m == 6, F.lit("1")))]
+    given = F.array_join(F.filter(F.array(*[F.concat(F.lit(f'"{k}":'), v) for k, v in parts]), lambda x: x.isNotNull()), ",")
+    return table(spark, d, "events").select("event_id", F.concat(F.lit("{"), given, F.lit("}")).alias("arguments")), schema
+
+
 # Streams with state
 
 
