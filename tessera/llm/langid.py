@@ -6,16 +6,17 @@ The prediction is the language of largest posterior under equal priors, ties to
 posterior.
 
 Words are the runs of letters and other non-ASCII characters of the lower-cased text, with the vocabulary's word mark in
-front, of any length: time is linear in it, and sums are rescaled on the way. The words of a batch that aren't cached are
+front, of any length: time is linear in it, sums are rescaled on the way, and only those of the last few places are kept. The words of a batch that aren't cached are
 scored together, grouped by length. Caches are bounded, and outlive the tasks of a worker.
 
-Fitting: expected piece counts (forward-backward) over a bounded sample of labelled texts, the ``sample_docs`` rows per
-language whose id and text have the least hash; two rounds from equal probabilities. Every label is learned, ``at_once`` of them in one pass, so
+Fitting: expected piece counts (forward-backward) over a bounded sample of labelled texts, the ``sample_docs`` distinct
+texts per language of the least hash, so that a text that repeats counts once; two rounds from equal probabilities. Every label is learned, ``at_once`` of them in one pass, so
 that counts of at most the vocabulary times ``at_once`` reach the driver at a time. The model is one column per language.
 
 Defined results: `und` with score 0 for null texts, texts without a letter (by Unicode's categories: ½ and ² are none), and
 if nothing could be learned. Rows with
-null or repeated ids come back one by one; extra columns are ignored by ``predict`` and kept by ``known``.
+null or repeated ids come back one by one; extra columns are ignored by ``predict`` and kept by ``known``. Empty table: no
+rows, and no language to learn. More than ``MOST_LABELS`` labels are an error, because the model would outgrow a broadcast.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ HAS_LETTER = regex.compile(r"\p{L}")
 UNKNOWN = 1e-7
 #: Longer words are rescaled, every so many characters.
 SHORT, STEP = 24, 8
+#: Bounds of what is learned: characters of a word in one part, and labels (a column of 32 000 doubles each, broadcast).
+LONG, MOST_LABELS = 4096, 1024
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -64,7 +67,8 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
         self.number = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        self.sizes = sorted({1, *map(len, pieces)})
+        self.longest = self.sizes[-1]
         self.none, self.odd = len(pieces), len(pieces) + 1  # rows of no probability and of UNKNOWN
 
     def table(self, p: np.ndarray) -> np.ndarray:
@@ -99,9 +103,26 @@ class Lattice:
         return (a[::-1], None if scale is None else scale[::-1]) if back else (a, scale)
 
     def log_forward(self, words, table) -> np.ndarray:
-        """The logarithm of each word's probability, summed over all segmentations."""
-        a, scale = self._swept(words, table, self.cells(words))
-        return np.log(a[-1]) + (0 if scale is None else scale[-1])
+        """The logarithm of each word's probability, summed over all segmentations.
+
+        Only the sums of the last places, as many as the longest piece has characters, are kept, whatever the words' length."""
+        n, kept, get = len(words[0]), self.longest + 1, self.number.get
+        ring, scale = np.zeros((kept, len(words), table.shape[1])), 0.0
+        ring[0] = 1
+        for j in range(1, n + 1):
+            now = np.zeros(ring.shape[1:])
+            for size in self.sizes:
+                if size > j:
+                    break
+                miss = self.odd if size == 1 else self.none
+                ids = [get(w[j - size : j], miss) for w in words]
+                if any(i != self.none for i in ids):
+                    now += ring[(j - size) % kept] * table[ids]
+            ring[j % kept] = now
+            if n > SHORT and j % STEP == 0:
+                ring /= now
+                scale = scale + np.log(now)
+        return np.log(ring[n % kept]) + scale
 
     def expected(self, words, weights, table):
         """Expected counts per piece and language of words that occur ``weights`` (words x languages) times."""
@@ -122,6 +143,14 @@ def _marked(word: bytes) -> str:
     return MARK + word.decode("utf-8", "replace")
 
 
+def _parts(text: str):
+    """The words to learn from; a longer one than ``LONG`` characters is learned in parts, so that a lattice stays small."""
+    for word in split(text):
+        c = _marked(word)
+        for i in range(0, len(c), LONG):
+            yield c[i : i + LONG]
+
+
 def _by_length(words, languages: int):
     """Words of one length, at most 4096 of them and fewer of long ones and for many languages, so that a lattice stays as large."""
     groups: dict[int, list[str]] = {}
@@ -182,15 +211,19 @@ class Scorer:
 def fit(docs: DataFrame, train: Column, vocabulary_path: str | None = None, sample_docs: int = 400, at_once: int = 64, rounds: int = 2):
     """(languages, pieces, probabilities) from the rows of ``docs`` where ``train`` holds."""
     pieces = vocabulary(vocabulary_path)
-    labelled = docs.filter(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = docs.filter(train & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # texts are told apart by a hash: however often a text repeats, it has one place
+    labelled = labelled.withColumn("key", F.xxhash64("text")).withColumn("h", F.pmod(F.xxhash64("key"), F.lit(1 << 40)))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return langs, pieces, np.full((len(pieces), 1), 1 / len(pieces))
-    # rows of small hash, four times as many as wanted, so that the ranking sees as many whatever the input
-    share = docs.sparkSession.createDataFrame([(k, int((1 << 40) * min(1.0, (4 * sample_docs + 100) / counts[k]))) for k in langs], "lang string, share long")
-    few = labelled.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).join(F.broadcast(share), "lang").filter("h <= share")
-    w = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    if len(langs) > MOST_LABELS:
+        raise ValueError(f"{len(langs)} labels: the model is broadcast, and holds {MOST_LABELS} at most")
+    # texts of small hash, four times as many as wanted, so that the ranking sees as many whatever the input
+    share = docs.sparkSession.createDataFrame([(k, int((1 << 40) * min(1.0, (4 * sample_docs + 100) / max(1, counts[k])))) for k in langs], "lang string, share long")
+    few = labelled.join(F.broadcast(share), "lang").filter("h <= share").dropDuplicates(["lang", "key"])
+    w = Window.partitionBy("lang").orderBy("h", "key")
     ranked = few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_docs)
     where = common.shared_dir(docs.sparkSession)
     sample = common.written(ranked.select("lang", "text"), where)
@@ -215,8 +248,7 @@ def _learned(sample: DataFrame, langs: list[str], pieces: list[str], rounds: int
                 n: dict[str, np.ndarray] = {}
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     k = number[lang]
-                    for word in split(text):
-                        c = _marked(word)
+                    for c in _parts(text):
                         if c not in n:
                             n[c] = np.zeros(p.shape[1])
                         n[c][k] += 1

@@ -9,7 +9,9 @@ The schedule is one walk over the distinct sizes, in one task that holds nothing
 in order and writes ranges of ranks as it goes, so that neither side has to fit into memory. Sizes are at least
 ``size_floor`` and their sum is the data's, so that S distinct ones need S * S / 2 units at least: 100 TB have under
 15 million. Groups are numbered within their size over (size, hash bucket) windows with the buckets' counts added up, so
-that neither a hot group nor a hot size nor one shard has to pass through one task; the buckets follow the rows.
+that neither a hot group nor a hot size nor one shard has to pass through one task; the buckets follow the rows, each of
+which has a number of its own, so that rows that repeat fall into all of them. Ties: groups of one size go by their hash, rows
+of a shard by id, checksum, size and number.
 
 Law: ``bytes``. Defined results: a null text counts no bytes, has the checksum of the empty text, and all null texts are
 one group, apart from the group of empty texts; rows with null or repeated doc_ids are rows like others; extra columns
@@ -101,7 +103,8 @@ def assign(docs: DataFrame, shards: int = 24, size: Column | None = None, size_f
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.unhex(group), F.lit(b"")).alias("g")
     )
-    rows = common.written(rows, f"{where}/rows")
+    # rows that repeat have a number of their own, so that they too fall into all buckets
+    rows = common.written(rows.withColumn("at", F.monotonically_increasing_id()), f"{where}/rows")
     groups = rows.groupBy("g").agg(F.sum("size").alias("gsize"), F.count("*").alias("rows"))
     groups = common.written(groups.select("g", "gsize"), f"{where}/groups")
     sizes = groups.groupBy("gsize").agg(F.count("*").alias("n")).repartition(1).sortWithinPartitions(F.desc("gsize"))
@@ -111,7 +114,7 @@ def assign(docs: DataFrame, shards: int = 24, size: Column | None = None, size_f
     placed = ranked.join(plan, "gsize").filter("rank >= a and rank < b").select("g", "shard")
     sharded = common.written(rows.join(placed, "g").drop("g"), f"{where}/sharded")
     common.removed(spark, f"{where}/rows", f"{where}/groups", f"{where}/plan")
-    return _numbered(sharded, "shard", ["doc_id", "text_crc32", "size"], "slot", buckets).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return _numbered(sharded, "shard", ["doc_id", "text_crc32", "size", "at"], "slot", buckets).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,86 @@ def test_rows_without_an_id_or_with_a_repeated_one_are_learned_from_like_others(
     assert langs == ["de", "fr"] and all(p[:, k].max() > 5 / len(pieces) for k in range(2))
     got = l.predict(docs, (langs, pieces, p)).collect()
     assert np.mean([x.lang_pred == lang for x, (_, _, lang) in zip(got, rows)]) > 0.98
+
+
+def test_a_text_that_repeats_is_learned_once(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rest = [" ".join(word() for _ in range(8)) for _ in range(300)]
+    rows = [(1, "the same text again", "x")] * 1000 + [(i, t, "x") for i, t in enumerate(rest)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen = []
+    before = l._learned
+    try:
+        l._learned = lambda sample, *a: (seen.append([x.text for x in sample.collect()]), before(sample, *a))[1]
+        l.fit(docs, F.lit(True), sample_docs=100)
+        l.fit(docs, F.lit(True), sample_docs=400)
+    finally:
+        l._learned = before
+    assert len(seen[0]) == len(set(seen[0])) == 100 and sorted(seen[1]) == sorted({t for _, t, _ in rows})
+
+
+def test_a_very_long_word_takes_little_memory():
+    import tracemalloc
+
+    pieces = ["a", "ab", "b", "ba", "▁", "▁a"]
+    p = np.full((6, 4), 1 / 6)
+    scorer = l.Scorer(pieces, p)
+    tracemalloc.start()
+    scorer([[b"ab" * 100_000]])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6
+    assert max(map(len, l._parts("ab" * 50_000))) == l.LONG and sum(map(len, l._parts("ab" * 50_000))) == 100_001
+
+
+def test_too_many_labels_and_empty_tables(spark, monkeypatch):
+    import pytest
+
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert l.predict(none, l.fit(none, F.lit(True))).count() == 0
+    monkeypatch.setattr(l, "MOST_LABELS", 2)
+    with pytest.raises(ValueError, match="3 labels"):
+        l.fit(spark.createDataFrame([(1, "aa", "x"), (2, "bb", "y"), (3, "cc", "z")], "doc_id long, text string, lang string"), F.lit(True))
+
+
+def test_fit_and_posterior_against_brute_force(spark):
+    """Two rounds of expected counts over all segmentations, and the posterior, with plain loops over a few pieces."""
+    r = random.Random(9)
+    texts = [(i, " ".join(r.choice(["aba", "bab", "ab", "abba", "b"] if i % 2 else ["aa", "aab", "ca", "cab"]) for _ in range(6)), "xy"[i % 2]) for i in range(12)]
+    pieces = ["a", "aa", "ab", "b", "ba", "c", "ca", "▁", "▁a"]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    before = l.vocabulary
+    try:
+        l.vocabulary = lambda path=None: pieces
+        langs, _, p = l.fit(docs, F.lit(True))
+        got = {x.doc_id: (x.lang_pred, x.score) for x in l.predict(docs, (langs, pieces, p)).collect()}
+    finally:
+        l.vocabulary = before
+
+    def cuts(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in pieces or k == 1:
+                for rest in cuts(word[k:]):
+                    yield [word[:k], *rest]
+
+    want = np.full((len(pieces), 2), 1 / len(pieces))
+    for _ in range(2):
+        n = np.zeros(want.shape)
+        for _, text, lang in texts:
+            k = "xy".index(lang)
+            for word in text.split():
+                ways = list(cuts("▁" + word))
+                odds = np.array([np.prod([want[pieces.index(c), k] if c in pieces else l.UNKNOWN for c in way]) for way in ways])
+                for way, o in zip(ways, odds / odds.sum()):
+                    for c in way:
+                        if c in pieces:
+                            n[pieces.index(c), k] += o
+        want = (n + 0.01) / (n.sum(0) + 0.01 * len(pieces))
+    assert langs == ["x", "y"] and np.allclose(p, want, rtol=1e-9)
+    for i, text, _ in texts:
+        log = [sum(np.log(sum(np.prod([want[pieces.index(c), k] if c in pieces else l.UNKNOWN for c in way]) for way in cuts("▁" + w))) for w in text.split()) for k in range(2)]
+        top = int(np.argmax(log))
+        assert got[i][0] == "xy"[top] and np.isclose(got[i][1], 1 / sum(np.exp(x - max(log)) for x in log))

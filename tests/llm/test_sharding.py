@@ -52,3 +52,17 @@ def test_rows_groups_nulls_and_slots(spark):
 
 def test_empty_table(spark):
     assert sharding.assign(spark.createDataFrame([], "doc_id long, text string"), 3).count() == 0
+
+
+def test_rows_that_repeat_use_all_buckets(spark):
+    rows = spark.range(200_000).select(F.lit(7).alias("doc_id"), F.lit("hot").alias("text")).withColumn("at", F.monotonically_increasing_id()).withColumn("shard", F.lit(0))
+    n = sharding._numbered(rows, "shard", ["doc_id", "text", "at"], "slot", 64)
+    assert n.select(F.countDistinct(F.pmod(F.xxhash64("doc_id", "text", "at"), F.lit(64))), F.countDistinct("slot"), F.max("slot")).first() == (64, 200_000, 199_999)
+    got = sharding.assign(rows.drop("at", "shard"), 3)
+    assert got.agg(F.countDistinct("slot"), F.max("slot"), F.countDistinct("shard")).first() == (200_000, 199_999, 1)
+
+
+def test_very_long_texts_and_ties(spark):
+    docs = spark.createDataFrame([(i, c * 2_000_000) for i, c in enumerate("abcd")] + [(9, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r["size"], r.shard) for r in sharding.assign(docs, 4).collect()}
+    assert {got[i][0] for i in range(4)} == {2_000_008} and len({got[i][1] for i in range(4)}) == 4 and got[9][0] == 9
