@@ -233,17 +233,20 @@ def discover(seen: DataFrame, where: str, rounds: int = 6, min_seeds: int = 5, t
 
 
 def find(docs: DataFrame, **k) -> DataFrame:
-    """(doc_id, base, base_sha256, added) per row of ``docs``; base and added are arrays of (start, kind, end)."""
+    """(doc_id, base, base_sha256, added, n_discovered) per row of ``docs``; base and added are arrays of (start, kind, end).
+
+    ``added`` has the spans of discovered instances, and those of seeds of secrets; ``n_discovered`` counts the former alone."""
     where = common.shared_dir(docs.sparkSession)
     rows = common.written(_scan(docs).withColumn("row", F.monotonically_increasing_id()), f"{where}/rows")
     seen = rows.filter(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
     found = common.written(discover(seen, f"{where}/graph", **k), f"{where}/found")
     common.removed(docs.sparkSession, f"{where}/graph")
-    new = seen.filter(f"kind < 0 or kind = {SECRET}").drop("kind").join(found, ["pattern", "instance"])
-    added = new.select("row", "start", "end", "kind").distinct()
+    new = seen.filter(f"kind < 0 or kind = {SECRET}").withColumnRenamed("kind", "own").join(found, ["pattern", "instance"])
     # one kind per token: the first in order
-    added = added.groupBy("row", "start", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    return rows.join(added, "row", "left").select("doc_id", "base", "base_sha256", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
+    added = new.groupBy("row", "start", "end").agg(F.min("kind").alias("kind"), F.max(F.col("own") < 0).alias("discovered"))
+    added = added.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"), F.count_if("discovered").alias("n_discovered"))
+    out = rows.join(added, "row", "left")
+    return out.select("doc_id", "base", "base_sha256", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"), F.coalesce("n_discovered", F.lit(0)).alias("n_discovered"))
 
 
 def joined(spans):
@@ -257,7 +260,8 @@ def _equals(k: int):
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every whole text of documents."""
+    """Personal data in every whole text of documents; secrets, which aren't of the four kinds, in a column of their own."""
     n = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _equals(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:SECRET])]
-    every = F.concat("base", "added")
-    return find(common.documents(spark, sf_dir)).select("doc_id", *n, "base_sha256", joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(every).cast("long").alias("n_spans"))
+    secret = F.filter("added", lambda s: s["kind"] == SECRET)
+    every = F.concat("base", F.filter("added", lambda s: s["kind"] < SECRET))
+    return find(common.documents(spark, sf_dir)).select("doc_id", *n, "base_sha256", joined(every).alias("spans"), F.col("n_discovered").cast("long").alias("n_discovered"), joined(secret).alias("secrets"), F.size(every).cast("long").alias("n_spans"))

@@ -96,8 +96,8 @@ def test_op4(spark, docs):
     want = {}
     for (i, t), more in zip(docs, added):
         base = brute(t or "")
-        want[i] = (*[sum(k == kind for _, k, _ in base) for kind in range(4)], hashlib.sha256(said(base).encode()).hexdigest(), said(base + more))
-    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in rows(spark, "op4_pii")}
+        want[i] = (*[sum(k == kind for _, k, _ in base) for kind in range(4)], hashlib.sha256(said(base).encode()).hexdigest(), said(base + [x for x in more if x[1] < 4]), said([x for x in more if x[1] == 4]))
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans, r.secrets) for r in rows(spark, "op4_pii")}
     assert got == want
 
 

@@ -108,6 +108,9 @@ def test_added_spans_equal_a_plain_bootstrap(spark):
     got = {x.doc_id: sorted(tuple(s) for s in x.added) for x in pii.find(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert all(want[i] for i in range(40, 106)) and not any(want[:40]) and not any(want[106:])
+    # instances that weren't seeds, apart from those
+    n = {x.doc_id: x.n_discovered for x in pii.find(docs).collect()}
+    assert all(n[i] == len(want[i]) for i in range(40, 75)) and not any(n[i] for i in range(75, 105)) and n[105] == 1
     one_round = {x.doc_id: x.added for x in pii.find(docs, rounds=1).collect()}
     assert any(one_round[i] for i in range(40, 43)) and not any(one_round[i] for i in (73, 74))
 
