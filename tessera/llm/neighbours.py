@@ -8,7 +8,8 @@ under 1 - ``confidence`` isn't verified.
 
 One kd-tree spans all rows. Its upper levels are fitted to a bounded sample of projected points (``SAMPLE`` rows,
 ``CELLS`` cells at most) and deal every row to a cell of about ``block_rows``; inside a cell the tree goes on to its
-leaves. A query first visits the nearest ``first`` cells, leaf by leaf in order of distance, verifying vectors until the
+leaves. Where the table has outgrown ``CELLS`` cells, a cell is held in shares of about ``cell_rows`` rows, each a task's work with a
+tree of its own, so that memory stays bounded and no row is left out. A query first visits the nearest ``first`` cells, leaf by leaf in order of distance, verifying vectors until the
 test stops it. What it has found by then bounds the cells it still has to visit, and it is sent to those alone. On
 vectors without structure, whose nearest are hardly nearer than the rest, no projection can exclude much, and queries
 meet most cells (README).
@@ -169,6 +170,20 @@ def _by_dim(column: pa.Array):
         yield at, _matrix(column.take(pa.array(at)))
 
 
+def _projected(projections: int):
+    """Rows (v) to their projected points."""
+
+    def run(batches):
+        for b in batches:
+            out = np.zeros((b.num_rows, projections))
+            for at, x in _by_dim(b.column(0)):
+                out[at] = unit(x) @ axes(x.shape[1], projections)
+            ends = pa.array(np.arange(0, (b.num_rows + 1) * projections, projections), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=["p"])
+
+    return run
+
+
 def _dealt(cells: Cells, projections: int):
     """Adds to rows (v, ids) the cell they belong to."""
 
@@ -240,7 +255,7 @@ def _verify(k: int, projections: int, confidence: float):
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, block_rows: int = 2048, query_rows: int = 65536, projections: int = 8, confidence: float = 0.98, first: int = 2) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, block_rows: int = 2048, cell_rows: int = 8192, query_rows: int = 65536, projections: int = 8, confidence: float = 0.98, first: int = 2) -> DataFrame:
     """(query_id, rank, vec_id, score): up to ``k`` neighbours of the rows of ``vectors`` where ``queries`` holds."""
     spark = vectors.sparkSession
     where = common.shared_dir(spark)
@@ -254,29 +269,35 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, block_rows: int = 2
     n = rows.count()
     depth = max(0, int(np.ceil(np.log2(max(1, min(CELLS, n / block_rows))))))
     share = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(n, 1)))
-    some = [r.v for r in rows.filter(share).select("v").limit(2 * SAMPLE).toLocalIterator()] if depth else []
-    points = np.zeros((0, projections))
-    if some:
-        points = np.concatenate([unit(x) @ axes(x.shape[1], projections) for _, x in _by_dim(pa.array(some, pa.list_(pa.float64())))])
-    cells = Cells(points, depth if some else 0)
-    rows = common.written(rows.mapInArrow(_dealt(cells, projections), f"v {vector}, ids array<long>, cell int").withColumn("dim", F.size("v")), f"{where}/dealt")
+    # vectors are projected where they are: what comes to the driver is a few numbers for each of a bounded number of rows
+    some = [r.p for r in rows.filter(share).select("v").mapInArrow(_projected(projections), "p array<double>").limit(2 * SAMPLE).toLocalIterator()] if depth else []
+    cells = Cells(np.array(some) if some else np.zeros((0, projections)), depth if some else 0)
+    rows = rows.mapInArrow(_dealt(cells, projections), f"v {vector}, ids array<long>, cell int").withColumn("dim", F.size("v"))
+    rows = common.written(rows, f"{where}/dealt")
+    # a cell that has outgrown a task's memory is held in shares, each with a tree of its own, and its queries go to all of them
+    subs = common.written(rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(cell_rows)).cast("int").alias("subs")), f"{where}/subs")
+    rows = rows.join(subs, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("v"), F.col("subs")).cast("int")).drop("subs")
 
     def visited(asks: DataFrame, name: str) -> DataFrame:
         """(q, vec_id, score, same) of what the queries (q, v, bound) find in the cells that they are sent to."""
         sent = common.written(asks.mapInArrow(_routed(cells, projections, first, confidence), f"q long, v {vector}, bound double, cell int").withColumn("dim", F.size("v")), f"{where}/{name}-sent")
-        parts = sent.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("parts"))
-        sent = sent.join(parts, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("salt"), "q", "v", F.lit(None).cast("array<long>").alias("ids"), "bound")
-        held = rows.join(parts, ["dim", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        held = held.select("dim", "cell", "salt", F.lit(None).cast("long").alias("q"), "v", "ids", F.lit(None).cast("double").alias("bound"))
+        sent = sent.join(subs, ["dim", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
+        parts = sent.groupBy("dim", "cell", "sub").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("parts"))
+        sent = sent.join(parts, ["dim", "cell", "sub"])
+        salt = lambda c: (F.col("sub").cast("long") * (1 << 32) + c).alias("salt")
+        sent = sent.select("dim", "cell", salt(F.pmod(F.xxhash64("q"), F.col("parts"))), "q", "v", F.lit(None).cast("array<long>").alias("ids"), "bound")
+        held = rows.join(parts, ["dim", "cell", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        held = held.select("dim", "cell", salt(F.col("part")), F.lit(None).cast("long").alias("q"), "v", "ids", F.lit(None).cast("double").alias("bound"))
         # a stated number of tasks: the work follows the pairs of vectors, not the bytes that Spark would go by
-        both = held.unionByName(sent).repartition(max(1, min(2**depth, 4096)), "dim", "cell", "salt").sortWithinPartitions("dim", "cell", "salt", "q")
+        both = held.unionByName(sent).repartition(max(1, min(int(np.ceil(n / block_rows)), 4096)), "dim", "cell", "salt").sortWithinPartitions("dim", "cell", "salt", "q")
         return common.written(both.mapInArrow(_verify(k + 1, projections, confidence), "q long, vec_id long, score double, same boolean"), f"{where}/{name}")
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", F.desc("same"))
     found = visited(asked.withColumn("bound", F.lit(None).cast("double")), "near")
     kth = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k + 1).select("q", F.col("score").alias("bound"))
-    found = found.unionByName(visited(asked.join(kth, "q", "left").select("q", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")), "far"))
-    common.removed(spark, *[f"{where}/{x}" for x in ("rows", "dealt", "near-sent", "far-sent")])
+    if 2**cells.depth > first:
+        found = found.unionByName(visited(asked.join(kth, "q", "left").select("q", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")), "far"))
+    common.removed(spark, *[f"{where}/{x}" for x in ("rows", "dealt", "subs", "near-sent", "far-sent")])
     top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
     lists = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "same"))).alias("found")).join(asked, "q").select("v", "found")
     # each row leaves itself out: the first of its id with an equal vector

@@ -95,3 +95,29 @@ def test_recall_of_the_query_on_the_embeddings_table(spark):
     for r in nb.op3_neighbours(spark, D).collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert sum(len({j for _, j in w} & set(got[i])) for i, w in want.items()) / (5 * len(want)) >= 0.95
+
+
+def test_cells_that_outgrow_a_task_are_held_in_shares(spark, monkeypatch):
+    """With two cells at most, a cell's rows come to a task 60 by 60 or so, and nothing is lost."""
+    monkeypatch.setattr(nb, "CELLS", 2)
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((20, 12)) * 4
+    rows = [(i, v.tolist()) for i, v in enumerate((centres[rng.integers(0, 20, 1500)] + rng.standard_normal((1500, 12))).astype(np.float32))]
+    want, got = brute(rows, 5), {}
+    for r in nb.nearest(table(spark, rows), F.col("vec_id") % 50 == 0, block_rows=100, cell_rows=60).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(g) == 5 for g in got.values()) and got.keys() == want.keys()
+    assert sum(len({j for _, j in w} & set(got[i])) for i, w in want.items()) / (5 * len(want)) >= 0.95
+    # the shares themselves, dealt as the operator deals them
+    shares = table(spark, rows).select(F.pmod(F.xxhash64("embedding"), F.lit(750 // 60 + 1)).alias("sub")).groupBy("sub").count().agg(F.max("count")).first()[0]
+    assert shares < 2 * 1500 / (750 // 60 + 1)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_recall_at_the_larger_table(spark):
+    d = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
+    want, got = brute(rows, 5), {}
+    for r in nb.op3_neighbours(spark, d).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sum(len({j for _, j in w} & set(got[i])) for i, w in want.items()) / (5 * len(want)) >= 0.95
