@@ -8,21 +8,23 @@ a window are states of their own.
 Ahead of the walk, whole batches are reduced with numpy to runs in which each word, and each pair of neighbours, occurs
 in some item; no window can lie outside such a run of its own length, so this leaves nothing out.
 
-An automaton is built in the driver from at most ``max_item_words`` item words (or one item) and broadcast, so that its
-size is bounded. A benchmark of more words makes several: one after another is built, broadcast, walked by all documents
-and dropped, and what each finds is put together by document.
+Items are dealt by a hash to automata of about ``max_item_words`` words (or one item), which are built in tasks and saved in
+the shared folder under names that no other attempt uses; the driver sees their names. Documents are read once: a task
+splits its texts once and walks them through one automaton after another, of which a worker holds ``HELD``, so that memory
+stays bounded whatever the benchmark's size, and puts together what each has found.
 
 Defined results: null and empty texts have no words (0 words, 0 hits, no items, not contaminated); null items and items
-without words have no windows; equal items all count; rows with a null or repeated doc_id come back one by one. Extra
+without words have no windows; equal items all count; rows with a null or repeated doc_id come back one by one; a very long
+text is walked like any other. Extra
 columns of documents are kept by ``clean`` and ignored by ``matches``. Empty tables: no rows, or no hits.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-from functools import reduce
-from itertools import chain, repeat
+import uuid
+from collections import OrderedDict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -164,20 +166,53 @@ class Automaton:
         return start[long_enough], end[long_enough] + (self.least >= 2)
 
 
-def automata(items: DataFrame, window: int, max_item_words: int) -> Iterator[Automaton]:
-    """Automata of (item_id, text) rows, each of at most ``max_item_words`` words (or of one item), built when asked for."""
-    part, n = [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
-        w = words(r.t)
-        if not w:
-            continue
-        if part and n + len(w) > max_item_words:
-            yield Automaton(part, window)
-            part, n = [], 0
-        part.append((r.i if r.i is not None else "", w))
-        n += len(w)
-    if part:
-        yield Automaton(part, window)
+MADE = pa.schema([("path", pa.string()), ("words", pa.int64())])
+
+
+def automata(items: DataFrame, where: str, window: int, max_item_words: int) -> list[str]:
+    """Files of the shared folder, an automaton of about ``max_item_words`` words in each, built in as many tasks."""
+    size = F.regexp_count(F.col("t"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).withColumn("n", size).filter("n > 0")
+    rows = common.written(rows, f"{where}/items")
+    n = rows.agg(F.coalesce(F.ceil(F.sum("n") / F.lit(max_item_words)), F.lit(0))).first()[0]
+    if not n:
+        return []
+    # items of any order and size are dealt evenly by a hash; one that is longer than an automaton's share has to be whole
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n))).repartition(min(n, 4096), "part").sortWithinPartitions("part", "i", "t")
+
+    def build(batches):
+        part, held = None, []
+        for b in batches:
+            for i, t, k in zip(*(c.to_pylist() for c in b.columns)):
+                if k != part and held:
+                    yield made(held)
+                    held = []
+                part = k
+                held.append((i, words(t)))
+        if held:
+            yield made(held)
+
+    def made(held):
+        path = f"{where}/automata/{uuid.uuid4().hex}"
+        common.put(path, [pickle.dumps(Automaton(held, window))])
+        return common.batches_of([(path, sum(len(w) for _, w in held))], MADE)
+
+    files = common.written(dealt.select("i", "t", "part").mapInArrow(build, "path string, words long"), f"{where}/made")
+    return sorted(r.path for r in files.select("path").toLocalIterator())  # a name per automaton
+
+
+#: Automata that a worker has at hand, by file; the least recently used goes first.
+_AT_HAND: OrderedDict[str, Automaton] = OrderedDict()
+HELD = 4
+
+
+def _automaton(path: str) -> Automaton:
+    if path not in _AT_HAND:
+        while len(_AT_HAND) >= HELD:
+            _AT_HAND.popitem(last=False)
+        _AT_HAND[path] = pickle.loads(common.get(path)[0])
+    _AT_HAND.move_to_end(path)
+    return _AT_HAND[path]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -191,14 +226,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, y) for x, y in out]
 
 
-def _hits(m: Automaton | None, docs: list[list[bytes]]):
+def _hits(m: Automaton, docs: list[list[bytes]]):
     """For each document: sorted disjoint (first, end) word spans, and the set of item names."""
     hit: list[list[tuple[int, int]]] = [[] for _ in docs]
     names: list[set[str]] = [set() for _ in docs]
     size = np.fromiter(map(len, docs), np.int64, len(docs))
     flat = [w for d in docs for w in d]
     first = np.cumsum(size) - size
-    ids = np.fromiter(map(m.number.get, flat, repeat(-1)), np.int64, len(flat)) if m else np.empty(0, np.int64)
+    ids = np.fromiter(map(m.number.get, flat, repeat(-1)), np.int64, len(flat))
     # a separator after each document would cost a copy: runs are cut at document bounds below
     for a, b in zip(*(x.tolist() for x in m.runs(ids))) if len(ids) else ():
         k = int(np.searchsorted(first, a, side="right")) - 1
@@ -218,57 +253,47 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 FOUND_DDL = "items array<string>, spans array<struct<first: long, end: long>>"
 
 
+#: Characters of the texts that meet one automaton after another where there are more than a worker holds.
+AT_ONCE = 16 << 20
+
+
 def _found(docs: DataFrame, at: int, items: DataFrame, window: int, max_item_words: int, finish, ddl) -> DataFrame:
     """``finish(rows, words, spans, names)`` for batches of ``docs`` (texts in column ``at``), of which it makes batches of ``ddl``."""
-    spark = docs.sparkSession
-    models = automata(items, window, max_item_words)
-    one, two = next(models, None), next(models, None)
+    files = automata(items, common.shared_dir(docs.sparkSession), window, max_item_words)
 
     def sliced(batches):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                yield part, [words(t) for t in part.column(at).cast(pa.string()).to_pylist()]
-
-    if two is None:
-        shared = spark.sparkContext.broadcast(pickle.dumps(one))
-
-        def run(batches):
-            model = pickle.loads(shared.value)
-            for part, split in sliced(batches):
-                yield finish(part, split, *_hits(model, split))
-
-        return docs.mapInArrow(run, ddl)
-    where = common.shared_dir(spark)
-    row, found = common.fresh(docs, "row", "found")
-    rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), f"{where}/rows")
-    parts = []
-    for k, model in enumerate(chain((one, two), models)):
-        shared = spark.sparkContext.broadcast(pickle.dumps(model))
-
-        def walk(batches, shared=shared):
-            model = pickle.loads(shared.value)
-            for part, split in sliced(batches):
-                hit, names = _hits(model, split)
-                some = [i for i, h in enumerate(hit) if h]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(part.num_columns - 1).take(pa.array(some, pa.int64())), pa.array([sorted(names[i]) for i in some], pa.list_(pa.string())), pa.array([[{"first": x, "end": y} for x, y in hit[i]] for i in some], SPANS)],
-                    names=["row", "items", "spans"],
-                )
-
-        parts.append(common.written(rows.mapInArrow(walk, f"row long, {FOUND_DDL}"), f"{where}/part{k}"))
-        shared.destroy()
-    every = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    both = rows.join(every.select(F.col("row").alias(row), F.struct("items", "spans").alias(found)), row, "left").select(*common.columns(docs), F.col(found))
-
-    def put_together(batches):
-        for part, split in sliced(batches):
-            got = part.column(part.num_columns - 1).to_pylist()
-            part = pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
-            spans = [_merged([(s["first"], s["end"]) for s in g["spans"]]) if g else [] for g in got]
-            yield finish(part, split, spans, [set(g["items"]) if g else set() for g in got])
-
-    return both.mapInArrow(put_together, ddl)
+                yield part, part.column(at).cast(pa.string()).to_pylist()
+
+    def together(parts):
+        """Slices, many at a time where automata have to be loaded for each lot."""
+        lot, n = [], 0
+        for part, texts in parts:
+            lot.append((part, texts))
+            n += sum(len(t or "") for t in texts)
+            if len(files) <= HELD or n >= AT_ONCE:
+                yield lot
+                lot, n = [], 0
+        if lot:
+            yield lot
+
+    def run(batches):
+        for lot in together(sliced(batches)):
+            split = [[words(t) for t in texts] for _, texts in lot]
+            hits = [([[] for _ in s], [set() for _ in s]) for s in split]
+            for path in files:
+                model = _automaton(path)
+                for s, (spans, names) in zip(split, hits):
+                    for k, (h, who) in enumerate(zip(*_hits(model, s))):
+                        if h:
+                            spans[k] += h
+                            names[k] |= who
+            for (part, _), s, (spans, names) in zip(lot, split, hits):
+                yield finish(part, s, [_merged(h) for h in spans], names)
+
+    return docs.mapInArrow(run, ddl)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, max_item_words: int = 200_000) -> DataFrame:

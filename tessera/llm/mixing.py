@@ -15,8 +15,8 @@ Targets: a margin's shares are given as (value, share) rows, or by default are i
 ``temper``, which raises small sources and holds down a hot one. Values without a target keep their natural share.
 
 Defined results: null sources, languages and topics are values of their own, "(none)"; null and empty texts have no
-tokens and their cell, if it has no other, keeps the ratio 1; a null doc_id counts as empty text in the draw; repeated
-rows are drawn alike. Extra columns are kept by ``sample`` and ignored by ``plan``. Empty table: no rows.
+tokens and their cell, if it has no other, keeps the ratio 1; a very long text is as many tokens as it has; a null doc_id
+counts as empty text in the draw; repeated rows, and rows that tie at an id, are drawn alike. Extra columns are kept by ``sample`` and ignored by ``plan``. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -49,15 +49,14 @@ def cell_of(topic: Column | None = None) -> Column:
 
 def targets_of(cells: DataFrame, margin: str, temper: float, given: DataFrame | None) -> DataFrame:
     """(value, target): shares of a margin, summing to 1."""
-    all_ = Window.partitionBy()
     natural = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").cast("double").alias("t"))
     if given is None:
         wanted = natural.withColumn("s", F.when(F.col("t") > 0, F.pow("t", F.lit(temper))).otherwise(0.0))
     else:
-        share = F.col("t") / F.greatest(F.sum("t").over(all_), F.lit(1.0))
+        share = F.col("t") / F.lit(max(1.0, natural.agg(F.sum("t")).first()[0] or 0.0))
         wanted = natural.join(given.select("value", "share"), "value", "left").withColumn("s", F.coalesce("share", share))
-    total = F.sum("s").over(all_)
-    return wanted.select(F.col("value").alias(margin), F.when(total > 0, F.col("s") / total).otherwise(0.0).alias(f"target_{margin}"))
+    total = wanted.agg(F.sum("s")).first()[0] or 0.0  # one number, so that no window spans all values of a margin
+    return wanted.select(F.col("value").alias(margin), (F.col("s") / F.lit(total) if total > 0 else F.lit(0.0)).alias(f"target_{margin}"))
 
 
 def _scaled(w: DataFrame, margin: str, rate: float, one_task: bool) -> DataFrame:
