@@ -117,11 +117,11 @@ def arm_summary(leaves: DataFrame, arm: str, size: str) -> DataFrame:
     return leaves.groupBy(arm).agg(F.count("*").alias("tensors"), F.sum(size).alias("params"))
 
 
-def steps_per_epoch(rows: int, batch: int) -> int:
-    """K12."""
-    return max(1, -(-rows // batch))
+def steps_for(rows: Column, batch: int) -> Column:
+    """Whole or begun batches of an epoch, one at least."""
+    return F.greatest(F.lit(1), F.ceil(rows / F.lit(max(1, batch)))).cast("long")
 
 
-def recommended_epochs(rows: int, batch: int = 16, steps: int = 390, least: int = 10, most: int = 30) -> int:
+def epochs_for(rows: Column, batch: int = 16, steps: int = 390, least: int = 10, most: int = 30) -> Column:
     """The epochs that come to about ``steps`` steps, within bounds."""
-    return min(most, max(least, -(-steps // steps_per_epoch(max(rows, 1), max(batch, 1)))))
+    return F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.lit(steps) / steps_for(rows, batch)))).cast("long")

@@ -236,9 +236,11 @@ def arm_summary(spark, d):
     return M.arm_summary(table(spark, d, "events").select(F.col("event_type").alias("arm"), F.col("user_id").alias("size")), "arm", "size")
 
 
-@query("SELECT n, greatest(10, least(30, ceil(390 / greatest(1, ceil(n / 16)))))::BIGINT AS epochs, greatest(1, ceil(n / 16))::BIGINT AS steps FROM range(1, 1001) t(n)")
+@query("SELECT user_id, n, greatest(10, least(30, ceil(390 / greatest(1, ceil(n / 4)))))::BIGINT AS epochs, greatest(1, ceil(n / 4))::BIGINT AS steps FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
 def epochs_for(spark, d):
-    return spark.createDataFrame([(n, M.recommended_epochs(n), M.steps_per_epoch(n, 16)) for n in range(1, 1001)], "n long, epochs long, steps long")
+    """Steps and epochs for as many examples as each user has events, in batches of 4."""
+    n = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.select("user_id", "n", M.epochs_for(F.col("n"), 4).alias("epochs"), M.steps_for(F.col("n"), 4).alias("steps"))
 
 
 @query("SELECT round(avg(m), 6) AS loss FROM (SELECT event_id // 32 AS b, avg(value) AS m, count(*) AS n FROM events GROUP BY b) WHERE n = 32")
@@ -320,9 +322,9 @@ def marker_ids(spark, d):
     return N.check_markers(spark.createDataFrame([(i, m) for i, m in enumerate(["a", "b", "c", "d", *T.MARKERS])], "id int, piece string"))
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN 0.001 * step / 100 ELSE 0.001 * (0.01 + 0.99 * 0.5 * (1 + cos(pi() * least(1, (step - 100) / 900)))) END, 9) AS rate FROM (SELECT unnest(range(0, 1201, 50)) AS step)")
+@query("SELECT event_id, round(CASE WHEN step < 100 THEN 0.001 * step / 100 ELSE 0.001 * (0.01 + 0.99 * 0.5 * (1 + cos(pi() * least(1, (step - 100) / 900)))) END, 9) AS rate FROM (SELECT event_id, event_id % 1300 AS step FROM events)")
 def learning_rate(spark, d):
-    return spark.createDataFrame([(s, round(G.learning_rate(s, 0.001, 100, 1000), 9)) for s in range(0, 1201, 50)], "step long, rate double")
+    return table(spark, d, "events").select("event_id", F.round(G.learning_rate(F.col("event_id") % 1300, 0.001, 100, 1000), 9).alias("rate"))
 
 
 @query("SELECT doc_id, least(strlen(text) + 2, 512) AS n FROM documents")
@@ -344,23 +346,54 @@ def sft_dataset(spark, d):
     return P.dataset(s, "a", "t", 64).agg(F.count("*").alias("n"))
 
 
-# Sizes
+# Sizes: a model per part, of 1 to 40 layers and 4 to 16 heads
 
 
-@query("SELECT component, params FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in G.param_count(G.Geometry()).items() if k != "training_only") + ") t(component, params)")
+MODELS = """m AS (SELECT p_partkey, 1 + p_partkey % 40 AS l, 4 * (1 + p_partkey % 4) AS h, 2 * (1 + p_partkey % 4) AS kh, 256 * (1 + p_partkey % 4) AS d, p_partkey * 1000 AS weights, p_partkey % 9 AS tools FROM part),
+  g AS (SELECT *, 64 AS hd, kh * 64 AS kv, pow(2, ceil(log2(d)))::BIGINT AS had, 4 * d AS wide, 2 * greatest(1, d // 256) AS tables, 2 * l * (kh * 64 + kh * 64 // 32 * 4) + 2 * (d + d // 32 * 4) AS per FROM m),
+  w AS (SELECT *, least(256, greatest(160, least(12058624 // per - 12058624 // per % 32, 2048))) AS win, d * d * 3 + 2 * d * kv + 2 * hd + 3 * d + 1 + 3 * had AS block FROM g)"""
+SIZES = {"embedding": "8192 * d", "blocks": "l * block", "routers": "l * (wide * 4 * 6 + 8 + 16 + 3)", "memory": "2 * (tables * 8192 * (d // tables) + 2 * d * d + 4 * d)", "retrieval": "4 * d * 129 + 1", "confidence": "16 * d + 1", "final_norm": "d", "training_only": "2 * d * d + block + 2 * d"}
+LIVE = {"weights": "weights", "prefill scratch": "win * wide * 4 + h * win * win * 4", "KV cache": "win * per", "allocator arena": "2998272", "loader and constants": "1343488", "tries": "918016", "tokenizer": "412800", "retrieval index": "tools * 256", "logits": "32768"}
+
+
+def _models(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k, (1 + k % 40).alias("num_layers"), (4 * (1 + k % 4)).alias("num_heads"), (2 * (1 + k % 4)).alias("num_kv_heads"), (256 * (1 + k % 4)).alias("d_model"), (k * 1000).alias("weights"), (k % 9).alias("tools"))
+
+
+@query(f"WITH {MODELS} " + " UNION ALL ".join(f"SELECT p_partkey, '{n}' AS component, ({x})::BIGINT AS params FROM w" for n, x in SIZES.items()))
+def param_count(spark, d):
+    """Parameters by component, for a sweep of models."""
+    return G.param_count(G.with_settings(_models(spark, d)), ["p_partkey"])
+
+
+@query(f"WITH {MODELS} " + " UNION ALL ".join(f"SELECT p_partkey, '{n}' AS component, ({x})::BIGINT AS params FROM w" for n, x in SIZES.items() if n != "training_only"))
 def shipped_tensors(spark, d):
     """The inventory's sizes by component, against the closed formulas."""
-    rows = [(n, int(np.prod(s, dtype=np.int64))) for n, s in G.tensors(G.Geometry())]
-    part = F.substring_index("name", ".", 1)
-    component = F.when(part == "block", "blocks").when(part == "router", "routers").otherwise(part)
-    return spark.createDataFrame(rows, "name string, n long").groupBy(component.alias("component")).agg(F.sum("n").alias("params"))
+    t = G.tensors(G.with_settings(_models(spark, d)), ["p_partkey"])
+    return t.groupBy("p_partkey", "component").agg(F.sum(G.size_of(F.col("shape"))).alias("params"))
 
 
-@query("SELECT * FROM (VALUES ('base', 16704::BIGINT, 704::BIGINT, 256::BIGINT), ('wide', 25056, 480, 256), ('tiny', 432, 256, 128)) t(preset, kv_bytes, budget, window_)")
+@query(f"WITH {MODELS} " + " UNION ALL ".join(f"SELECT p_partkey, '{n}' AS part, ({x})::BIGINT AS bytes FROM w" for n, x in LIVE.items()))
+def session_budget(spark, d):
+    """The bytes of a live session by part."""
+    return G.session_budget(G.with_settings(_models(spark, d)), ["p_partkey"])
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 512 WHEN 1 THEN 768 ELSE 128 END::BIGINT AS d_model, (1 + p_partkey % 40)::BIGINT AS num_layers, CASE p_partkey % 3 WHEN 2 THEN 32 ELSE 64 END::BIGINT AS head_dim, CASE p_partkey % 3 WHEN 0 THEN 2048 WHEN 1 THEN 2048 ELSE 256 END::BIGINT AS max_seq_len FROM part")
 def presets(spark, d):
-    """The session numbers of the named geometries."""
-    rows = [(n, g.kv_bytes_per_position, g.budget_window, g.window) for n in G.PRESETS for g in [G.preset(n)]]
-    return spark.createDataFrame(rows, "preset string, kv_bytes long, budget long, window_ long")
+    """Named settings, some replaced."""
+    k = F.col("p_partkey")
+    named = table(spark, d, "part").select(k, F.when(k % 3 == 0, "base").when(k % 3 == 1, "wide").otherwise("tiny").alias("preset"), (1 + k % 40).alias("num_layers"))
+    return G.of_preset(named, "preset").select("p_partkey", "d_model", "num_layers", "head_dim", "max_seq_len")
+
+
+@query("SELECT p_partkey, (1 + p_partkey % 40)::BIGINT AS num_layers, (p_partkey % 5)::BIGINT AS sites, 512::BIGINT AS d_model, least(4096, 512 + p_partkey)::BIGINT AS slots FROM part")
+def yaml_settings(spark, d):
+    """Settings read from YAML texts, comments, lists and unknown names included."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("# model\nnum_layers: "), 1 + k % 40, F.lit(" # depth\n\nsites: ["), F.array_join(F.transform(F.slice(F.array(*[F.lit(i) for i in range(5)]), 1, (k % 5).cast("int")), lambda x: x.cast("string")), ", "), F.lit("]\nname: 'x'\nslots: "), F.least(F.lit(4096), 512 + k))
+    return G.of_yaml(table(spark, d, "part").select(k, text.alias("yaml")), "yaml").select("p_partkey", "num_layers", "sites", "d_model", "slots")
 
 
 @query("SELECT label, round(avg(x), 2) + 0.0 AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import geometry as G
 from tessera.functions import text as T
 from tessera.operators import codec as V
 from tessera.operators import grammar as R
@@ -263,23 +262,6 @@ def blob_offsets(spark, d):
     return V.offsets(docs, "id", "n").select("id", F.col("offset").alias("start"))
 
 
-GEOMETRY = "(SELECT 8192 AS v, 512 AS d, 27 AS l, 64 AS hd, 256 AS kv, 512 AS h, 4 AS lanes, 2048 AS wide, 2 AS sites, 4 AS tables, 8192 AS slots) g, LATERAL (SELECT d * d * 3 + 2 * d * kv + 2 * hd + 3 * d + 1 + 3 * h AS block) b"
-COMPONENTS = {"embedding": "v * d", "blocks": "l * block", "routers": "l * wide * lanes * 2 + l * wide * lanes * lanes + 2 * l * lanes + l * lanes * lanes + 3 * l", "memory": "sites * (tables * slots * 128 + 2 * d * d + 4 * d)", "retrieval": "4 * d + 4 * d * 128 + 1", "confidence": "8 * d + 8 * d + 1", "final_norm": "d", "training_only": "2 * d * d + block + 2 * d"}
-
-
-@query(" UNION ALL ".join(f"SELECT '{n}' AS component, ({x})::BIGINT AS params FROM {GEOMETRY}" for n, x in COMPONENTS.items()))
-def param_count(spark, d):
-    return spark.createDataFrame(list(G.param_count(G.Geometry()).items()), "component string, params long")
-
-
-PARTS = {"weights": "13440000", "prefill scratch": "256 * 512 * 4 * 4 + 8 * 256 * 256 * 4", "KV cache": "256 * 16704", "allocator arena": "2998272", "loader and constants": "1343488", "tries": "918016", "tokenizer": "412800", "retrieval index": "5 * 128 * 2", "logits": "8192 * 4"}
-
-
-@query(" UNION ALL ".join(f"SELECT '{n}' AS part, ({x})::BIGINT AS bytes" for n, x in PARTS.items()))
-def session_budget(spark, d):
-    return spark.createDataFrame(list(G.session_budget(G.Geometry(), 13_440_000).items()), "part string, bytes long")
-
-
 # Grammar
 
 

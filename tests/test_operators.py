@@ -240,12 +240,30 @@ def test_widths_and_geometry():
     for bad in ("a=2", "default=5", "default", "=2,default=2"):
         with pytest.raises(ValueError):
             V.parse_widths(bad)
-    g = G.Geometry()
-    assert sum(G.param_count(g).values()) == 45_211_383 and (g.kv_bytes_per_position, g.budget_window, g.window) == (16704, 704, 256)
-    assert G.Geometry.of(d_model=256, unheard_of=1).d_model == 256
-    with pytest.raises(ValueError):
-        G.Geometry(d_model=500)
-    assert G.learning_rate(0, 1, 10, 100) == 0 and G.learning_rate(10, 1, 10, 100) == 1 and G.learning_rate(100, 1, 10, 100) == pytest.approx(0.01)
+
+
+def test_geometry_over_rows_of_settings(spark):
+    rows = G.with_settings(spark.createDataFrame([(1, None, None), (2, 256, None), (3, 512, 0)], "i int, d_model int, kv_window int"))
+    got = {r.i: r for r in rows.collect()}
+    assert (got[1].kv_bytes, got[1].budget_window, got[1].live_window) == (16704, 704, 256) and got[3].live_window == 704 and got[2].head_dim == 32
+    sizes = {(r.i, r.component): r.params for r in G.param_count(rows, ["i"]).collect()}
+    assert sum(n for (i, _), n in sizes.items() if i == 1) == 45_211_383
+    shipped = G.tensors(rows, ["i"]).groupBy("i", "component").agg(F.sum(G.size_of(F.col("shape"))).alias("n"))
+    assert {(r.i, r.component): r.n for r in shipped.collect()} == {k: n for k, n in sizes.items() if k[1] != "training_only"}
+    assert sum(r.bytes for r in G.session_budget(rows.filter("i = 1").withColumn("weights", F.lit(13_440_000)).withColumn("tools", F.lit(5)), ["i"]).collect()) == 13_440_000 + 256 * 2048 * 4 + 8 * 256 * 256 * 4 + 256 * 16704 + 2_998_272 + 1_343_488 + 918_016 + 412_800 + 1280 + 32768
+    with pytest.raises(Exception, match="divide"):
+        G.with_settings(spark.createDataFrame([(500,)], "d_model int")).collect()
+    y = spark.createDataFrame([("d_model: 256 # wide\n\n# all\nsites: [1, 'a', 3]\nunheard: x\nlanes:\n",)], "y string")
+    r = G.of_yaml(y, "y").first()
+    assert (r.d_model, r.sites, r.lanes, r.slots) == (256, 3, 4, 8192)
+    with pytest.raises(Exception, match="is not name: value"):
+        G.of_yaml(spark.createDataFrame([("d_model",)], "y string"), "y").collect()
+    named = spark.createDataFrame([("tiny", None), ("wide", 3)], "preset string, num_layers int")
+    assert [(r.d_model, r.num_layers, r.slots) for r in G.of_preset(named, "preset").orderBy("preset").collect()] == [(128, 2, 256), (768, 3, 8192)]
+    with pytest.raises(Exception, match="no preset"):
+        G.of_preset(spark.createDataFrame([("x",)], "preset string"), "preset").collect()
+    rate = spark.range(0, 101, 10).select(G.learning_rate(F.col("id"), 1.0, 10, 100).alias("r")).collect()
+    assert rate[0].r == 0 and rate[1].r == 1 and rate[-1].r == pytest.approx(0.01)
 
 
 # Grammar, retrieval, numbers
