@@ -18,8 +18,10 @@ OFF_TOPIC, HELD_OUT, MULTI_SHARE, TOOLS_PER_TURN, NEAR, TWIN_OVERLAPS = 180, 241
 
 
 def family_plan(spark, families=FAMILIES, held_out: int = HELD_OUT, multi_share: float = MULTI_SHARE) -> DataFrame:
-    """(family, total, held, multi, single): how many rows of each kind a family gets."""
-    f = spark.createDataFrame([(n, t, i) for i, (n, t) in enumerate(families)], "family string, total int, ord int")
+    """(family, total, held, multi, single): how many rows of each kind a family gets.
+
+    ``families`` lists (family, total) in order, or is a table (family, total, ord)."""
+    f = families if isinstance(families, DataFrame) else spark.createDataFrame([(n, t, i) for i, (n, t) in enumerate(families)], "family string, total int, ord int")
     held = apportion(f, held_out, "family", "total").withColumnRenamed("tokens", "held")
     multi = F.bround(F.col("total") * multi_share).cast("long")
     return held.select("family", F.col("total").cast("long").alias("total"), "held", multi.alias("multi"), (F.col("total") - F.col("held") - multi).alias("single"))
@@ -151,11 +153,12 @@ def two_call_requests(tools: DataFrame, values: DataFrame, pair: tuple[str, str]
     return a.filter(F.col("place") < count).select("query", first.alias("first"), second.alias("second"), "place")
 
 
-def copy_rows(spark, rows: int, seed: int = 0, lo: int = 4, hi: int = 24, vocab: int = 512) -> DataFrame:
-    """(row, prompt, target): seeded copy-task rows: a random run of tokens, to be repeated."""
+def copy_rows(spark, rows: int | DataFrame, seed: int = 0, lo: int = 4, hi: int = 24, vocab: int = 512) -> DataFrame:
+    """(row, prompt, target): seeded copy-task rows, as many as asked for or one per ``id``: a random run of tokens, to be repeated."""
+    ids = rows if isinstance(rows, DataFrame) else spark.range(rows)
     n = F.lit(lo) + F.floor(F.conv(F.substring(seeded(seed, F.col("id")), 1, 8), 16, 10).cast("double") / 4294967296 * (hi - lo + 1)).cast("int")
     token = lambda i: F.lit(14) + (F.conv(F.substring(seeded(seed, F.col("row"), i), 1, 8), 16, 10).cast("long") % (vocab - 14)).cast("int")
-    return spark.range(rows).select(F.col("id").alias("row"), n.alias("n")).select("row", F.transform(F.sequence(F.lit(1), F.col("n")), token).alias("prompt")).withColumn("target", F.col("prompt"))
+    return ids.select(F.col("id").alias("row"), n.alias("n")).select("row", F.transform(F.sequence(F.lit(1), F.col("n")), token).alias("prompt")).withColumn("target", F.col("prompt"))
 
 
 def twin_requests(suite: DataFrame) -> DataFrame:

@@ -100,10 +100,11 @@ def exact_dedup_in_source(spark, d):
     return C.first_of(docs, ["source", "key"], ["doc_id"]).join(copies, ["source", "key"]).drop("key")
 
 
-@query(f"WITH s(source, share, ord) AS (VALUES {', '.join(f'({s!r}, {x}::DOUBLE, {i})' for i, (s, x) in enumerate(C.MIX))}), e AS (SELECT source, ord, 1000011 * share / sum(share) OVER () AS e FROM s), r AS (SELECT *, 1000011 - sum(floor(e)) OVER () AS short, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) AS n FROM e) SELECT source, (floor(e) + (n <= short)::INT)::BIGINT AS tokens FROM r")
+@query("WITH s AS (SELECT source, count(*)::DOUBLE AS share FROM documents GROUP BY source), e AS (SELECT source, 1000011 * share / sum(share) OVER () AS e FROM s), r AS (SELECT *, 1000011 - sum(floor(e)) OVER () AS short, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, source) AS n FROM e) SELECT source, (floor(e) + (n <= short)::INT)::BIGINT AS tokens FROM r")
 def mix_plan(spark, d):
-    shares = spark.createDataFrame([(s, x, i) for i, (s, x) in enumerate(C.MIX)], "source string, share double, ord int")
-    return C.apportion(shares, 1_000_011).select("source", "tokens")
+    """A budget of tokens dealt to the documents' sources by their numbers of rows."""
+    shares = table(spark, d, "documents").groupBy("source").agg(F.count("*").cast("double").alias("share"))
+    return C.apportion(shares, 1_000_011, order="source").select("source", "tokens")
 
 
 BUDGETS = [("en", 60000), ("de", 9000), ("fr", 9000), ("es", 7000)]
@@ -214,11 +215,6 @@ def window_in_segments(spark, d):
     return keys.groupBy("row_id").agg(F.sum(P.n_keys(F.col("keys"))).alias("edges"), F.count_if(P.holds(F.col("keys"), F.lit(30))).alias("on_sink"))
 
 
-@query("SELECT q AS query, k AS key FROM range(64) a(q), range(64) b(k) WHERE k <= q AND (q - k < 8 OR k IN (0, 1, 30))")
-def window_mask_edges(spark, d):
-    return P.window_edges(64, 8, [0, 1, 30], spark)
-
-
 @query("SELECT event_id, CASE WHEN event_id < 16 THEN event_id ELSE 16 + (event_id - 16) % 48 END AS slot FROM events")
 def ring_slots(spark, d):
     return table(spark, d, "events").select("event_id", P.ring_slot(F.col("event_id"), 16, 64).alias("slot"))

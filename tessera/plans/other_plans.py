@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -75,30 +76,36 @@ def surface_overlap(spark, d):
     return p.select("a", "b", F.round(Q.request_overlap(F.col("x"), F.col("y")), 6).alias("overlap"))
 
 
-TOOLS = [
-    ("set_timer", "phone", False, ["minutes", "label"], ["set a {minutes} minute timer called {label}", "{label} timer for {minutes} minutes"]),
-    ("set_alarm", "phone", True, ["hour", "label"], ["wake me at {hour} for {label}", "alarm at {hour}, {label}"]),
-    ("send_text", "phone", False, ["name", "label"], ["text {name} about {label}"]),
-    ("start_run", "wearable", False, ["minutes"], ["start a {minutes} minute run"]),
-    ("log_water", "wearable", True, ["glasses"], ["log {glasses} glasses of water"]),
-    ("lock_door", "smart home", False, ["door"], ["lock the {door} door", "please lock the {door} door now"]),
-    ("open_door", "smart home", True, ["door"], ["open the {door} door"]),
-    ("move_arm", "robot", False, ["pose", "object"], ["move the arm to {pose} and take the {object}"]),
-    ("drop_object", "robot", True, ["object"], ["drop the {object}"]),
-]
-POOLS = {"minutes": ["5", "10", "twenty five", "40"], "label": ["tea", "the big meeting", "yoga"], "hour": ["six", "seven", "half past nine"], "name": ["Ann", "Bo", "Mary Lou"], "glasses": ["2", "3", "four"], "door": ["front", "back", "garden", "cellar side"], "pose": ["home", "far left"], "object": ["red cup", "bolt", "small green box"]}
-SLOTS = [(n, k, s, o, v) for n, _, _, keys, _ in TOOLS for s, k in enumerate(keys) for o, v in enumerate(POOLS[k])]
-SMALL = [("phone", 14), ("wearable", 5), ("smart home", 8), ("robot", 6)]
+# A catalogue made of the tables: a tool per brand of the parts, in four families; its arguments are the brand's types and its buyers.
 
+CATALOGUE = """brands AS (SELECT DISTINCT substr(p_brand, 7)::INT AS n FROM part),
+  tools AS MATERIALIZED (SELECT n, 'brand_' || n AS name, 'family ' || n % 4 AS family, n % 5 = 0 AS held_out, CASE WHEN n % 3 = 1 THEN ['buyer'] ELSE ['type', 'buyer'] END AS keys,
+    CASE WHEN n % 3 = 1 THEN ['sell it to {buyer}', 'one for {buyer} please'] ELSE ['sell a {type} one to {buyer}', '{buyer} wants it {type} now'] END AS phrasings FROM brands),
+  pool AS (SELECT DISTINCT substr(p_brand, 7)::INT AS n, 'type' AS key, lower(p_type) AS value FROM part UNION ALL SELECT c_custkey % 25 + 1, 'buyer', 'customer ' || c_custkey || ' of ' || lower(c_mktsegment) FROM customer),
+  slots AS MATERIALIZED (SELECT name, key, list_position(keys, key) - 1 AS slot, row_number() OVER (PARTITION BY name, key ORDER BY value) - 1 AS ord, value FROM pool JOIN tools USING (n) WHERE list_contains(keys, key))"""
+SMALL = [("family 0", 44), ("family 1", 25), ("family 2", 38), ("family 3", 26)]
 
-def _catalogue(spark):
-    t = spark.createDataFrame(TOOLS, "name string, family string, held_out boolean, keys array<string>, phrasings array<string>")
-    return t, spark.createDataFrame(SLOTS, "name string, key string, slot int, ord int, value string")
 
+def _catalogue(spark, d):
+    """(tools, slots) of the tables ``part`` and ``customer``."""
+    n = F.substr("p_brand", F.lit(7)).cast("int")
+    part = table(spark, d, "part").select(n.alias("n"), F.lit("type").alias("key"), F.lower("p_type").alias("value")).distinct()
+    c = table(spark, d, "customer")
+    buyers = c.select((F.col("c_custkey") % 25 + 1).cast("int").alias("n"), F.lit("buyer").alias("key"), F.concat(F.lit("customer "), "c_custkey", F.lit(" of "), F.lower("c_mktsegment")).alias("value"))
+    one = F.col("n") % 3 == 1
+    texts = lambda *x: F.array(*map(F.lit, x))
+    tools = part.select("n").distinct().select(
+        "n", F.concat(F.lit("brand_"), "n").alias("name"), F.concat(F.lit("family "), F.col("n") % 4).alias("family"), (F.col("n") % 5 == 0).alias("held_out"), F.when(one, texts("buyer")).otherwise(texts("type", "buyer")).alias("keys"),
+        F.when(one, texts("sell it to {buyer}", "one for {buyer} please")).otherwise(texts("sell a {type} one to {buyer}", "{buyer} wants it {type} now")).alias("phrasings"),
+    )
+    slots = part.unionByName(buyers).join(tools.select("n", "name", "keys"), "n").filter(F.array_contains("keys", F.col("key")))
+    at = F.row_number().over(Window.partitionBy("name", "key").orderBy("value")) - 1
+    return tools.drop("n"), slots.select("name", "key", (F.array_position("keys", F.col("key")) - 1).cast("int").alias("slot"), at.alias("ord"), "value")
 
-@query(f"WITH t AS (SELECT n AS name, list_distinct(list_concat(string_split(n, '_'), string_split(array_to_string(k, '_'), '_'))) AS w FROM {values([(t[0], t[3]) for t in TOOLS])} t(n, k)), p AS (SELECT a.name, b.name AS other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap FROM t a, t b WHERE a.name <> b.name) SELECT name, other, overlap, row_number() OVER (PARTITION BY name ORDER BY overlap DESC, other)::INT AS place FROM p")
+
+@query(f"WITH {CATALOGUE}, t AS (SELECT name, list_distinct(list_concat(string_split(name, '_'), string_split(array_to_string(keys, '_'), '_'))) AS w FROM tools), p AS (SELECT a.name, b.name AS other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS overlap FROM t a, t b WHERE a.name <> b.name) SELECT name, other, overlap, row_number() OVER (PARTITION BY name ORDER BY overlap DESC, other)::INT AS place FROM p")
 def tool_neighbours(spark, d):
-    return Q.tool_neighbours(_catalogue(spark)[0]).withColumn("overlap", F.round("overlap", 6))
+    return Q.tool_neighbours(_catalogue(spark, d)[0]).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"WITH e AS (SELECT event_id AS qid, event_type AS name FROM events), c(name, ix, score) AS {values([('click', 0, 0.5), ('extra_a', 1, 0.9), ('extra_b', 2, 0.9), ('extra_c', 3, 0.1)])}, x AS (SELECT qid, name, 0 AS f, 0 AS ix, NULL AS score FROM e UNION ALL SELECT qid, c.name, 1, ix, score FROM e, c WHERE c.name <> e.name), r AS (SELECT qid, name, row_number() OVER (PARTITION BY qid ORDER BY f, score DESC, ix)::INT AS place FROM x) SELECT * FROM r WHERE place <= 3")
@@ -111,26 +118,28 @@ def choose_tools(spark, d):
 # Benchmark generation
 
 
-@query(f"WITH f(family, total, ord) AS {values([(n, t, i) for i, (n, t) in enumerate(U.FAMILIES)])}, e AS (SELECT *, {U.HELD_OUT} * total / sum(total) OVER () AS e FROM f), h AS (SELECT *, (floor(e) + (row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) <= {U.HELD_OUT} - sum(floor(e)) OVER ())::INT)::BIGINT AS held, round_even(total * {U.MULTI_SHARE}, 0)::BIGINT AS multi FROM e) SELECT family, total::BIGINT AS total, held, multi, (total - held - multi)::BIGINT AS single FROM h")
+@query(f"WITH f AS (SELECT source AS family, count(*) AS total, row_number() OVER (ORDER BY source) AS ord FROM documents GROUP BY source), e AS (SELECT *, 41 * total / sum(total) OVER () AS e FROM f), h AS (SELECT *, (floor(e) + (row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) <= 41 - sum(floor(e)) OVER ())::INT)::BIGINT AS held, round_even(total * {U.MULTI_SHARE}, 0)::BIGINT AS multi FROM e) SELECT family, total, held, multi, (total - held - multi)::BIGINT AS single FROM h")
 def suite_apportion(spark, d):
-    return U.family_plan(spark)
+    """The plan of a suite whose families are the documents' sources."""
+    f = table(spark, d, "documents").groupBy(F.col("source").alias("family")).agg(F.count("*").alias("total")).withColumn("ord", F.col("family"))
+    return U.family_plan(spark, f, 41)
 
 
-@query(f"""WITH s(name, key, slot, ord, value) AS {values(SLOTS)}, ph AS (SELECT name, unnest(p) AS phrasing FROM {values([(t[0], t[4]) for t in TOOLS])} t(name, p)),
+@query(f"""WITH {CATALOGUE}, s AS (SELECT * FROM slots), ph AS (SELECT name, unnest(phrasings) AS phrasing FROM tools),
   one AS (SELECT ph.name, phrasing, key AS k0, value AS v0 FROM ph JOIN s ON s.name = ph.name AND slot = 0),
   two AS (SELECT o.name, replace(replace(phrasing, '{{' || k0 || '}}', v0), '{{' || coalesce(key, '') || '}}', coalesce(value, '')) AS query FROM one o LEFT JOIN s ON s.name = o.name AND slot = 1)
   SELECT name, query, (row_number() OVER (PARTITION BY name ORDER BY md5('0:' || name || ':' || query), query) - 1)::BIGINT AS place FROM two""")
 def suite_assignments(spark, d):
-    return U.assignments(*_catalogue(spark)).select("name", "query", "place")
+    return U.assignments(*_catalogue(spark, d)).select("name", "query", "place")
 
 
 HELD = f"f(family, total, ord) AS {values([(n, t, i) for i, (n, t) in enumerate(SMALL)])}, e AS (SELECT *, 11 * total / sum(total) OVER () AS e FROM f), h AS (SELECT family, total, floor(e) + (row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) <= 11 - sum(floor(e)) OVER ())::INT AS held, round_even(total * 0.1, 0) AS multi FROM e)"
 
 
-@query(f"""WITH {HELD}, s(name, key, slot, ord, value) AS {values(SLOTS)}, ph AS (SELECT name, unnest(p) AS phrasing FROM {values([(t[0], t[4]) for t in TOOLS])} t(name, p)),
+@query(f"""WITH {CATALOGUE}, {HELD}, s AS (SELECT * FROM slots), ph AS (SELECT name, unnest(phrasings) AS phrasing FROM tools),
   v AS (SELECT a.name, a.key AS k0, a.value AS v0, b.key AS k1, b.value AS v1 FROM s a LEFT JOIN s b ON b.name = a.name AND b.slot = 1 WHERE a.slot = 0),
   r AS (SELECT name, phrasing, k0, v0, k1, v1, replace(replace(phrasing, '{{' || k0 || '}}', v0), '{{' || coalesce(k1, '') || '}}', coalesce(v1, '')) AS query FROM ph JOIN v USING (name)),
-  t AS (SELECT name, family, out, row_number() OVER (PARTITION BY family, out ORDER BY name) - 1 AS i, count(*) OVER (PARTITION BY family, out) AS n FROM {values([(t[0], t[1], int(t[2])) for t in TOOLS])} t(name, family, out)),
+  t AS (SELECT name, family, out, row_number() OVER (PARTITION BY family, out ORDER BY name) - 1 AS i, count(*) OVER (PARTITION BY family, out) AS n FROM (SELECT name, family, held_out::INT FROM tools) t(name, family, out)),
   w AS (SELECT name, family, out = 1 AS held_out, floor(x / n) + (i < x % n)::INT AS want FROM (SELECT t.*, CASE WHEN out = 1 THEN held ELSE total - held - multi END AS x FROM t JOIN h USING (family))),
   a AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY md5('0:row:' || query), query) AS r FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5('0:' || name || ':' || query), query) - 1 AS place FROM r) JOIN w USING (name) WHERE place < want),
   b AS (SELECT *, replace(family, ' ', '-') || '-' || lpad(r::VARCHAR, 4, '0') AS id, [0.60, 0.75, 0.90][(r - 1) % 3 + 1]::DOUBLE AS target FROM a),
@@ -138,30 +147,35 @@ HELD = f"f(family, total, ord) AS {values([(n, t, i) for i, (n, t) in enumerate(
   o AS (SELECT *, {WORDS.format('query')} AS x, {WORDS.format('twin')} AS y FROM c), p AS (SELECT *, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS ov FROM o)
   SELECT id, family, name, query, held_out, '''' || v0 || ''' -> ' || k0 || coalesce('; ''' || v1 || ''' -> ' || k1, '') AS reasoning, arg_min(twin, (round(abs(ov - target), 9), slot, ord)) AS twin_query, round(arg_min(ov, (round(abs(ov - target), 9), slot, ord)), 4) AS twin_overlap FROM p GROUP BY ALL""")
 def suite_build(spark, d):
-    return U.build_suite(*_catalogue(spark), families=SMALL, held_out=11).select("id", "family", "name", "query", "held_out", "reasoning", F.col("twin.query").alias("twin_query"), F.col("twin.overlap").alias("twin_overlap"))
+    return U.build_suite(*_catalogue(spark, d), families=SMALL, held_out=11).select("id", "family", "name", "query", "held_out", "reasoning", F.col("twin.query").alias("twin_query"), F.col("twin.overlap").alias("twin_overlap"))
 
 
 @query(f"WITH f(family, total, ord) AS {values([(n, t, i) for i, (n, t) in enumerate(SMALL)])}, e AS (SELECT total, 11 * total / sum(total) OVER () AS e, ord FROM f), h AS (SELECT total, floor(e) + (row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, ord) <= 11 - sum(floor(e)) OVER ())::INT AS held FROM e) SELECT sum(total - round_even(total * 0.1, 0))::BIGINT AS requests, sum(held)::BIGINT AS held_out, sum(total - round_even(total * 0.1, 0))::BIGINT AS twins FROM h")
 def suite_summary(spark, d):
-    return U.summary(U.build_suite(*_catalogue(spark), families=SMALL, held_out=11)).select("requests", "held_out", "twins")
+    return U.summary(U.build_suite(*_catalogue(spark, d), families=SMALL, held_out=11)).select("requests", "held_out", "twins")
+
+
+TEMPLATES = ["what is {topic}", "sing about {topic}", "who invented {topic}"]
 
 
-TEMPLATES, SUBJECTS = ["what is {topic}", "sing about {topic}", "who invented {topic}"], ["rain", "glass", "tax law", "chess"]
+def _off_topic(spark, d):
+    subjects = table(spark, d, "part").select(F.col("p_name").alias("subject")).distinct()
+    return spark.createDataFrame([(t,) for t in TEMPLATES], "template string"), subjects
 
 
-@query(f"SELECT query, place FROM (SELECT query, row_number() OVER (ORDER BY md5('0:' || query), query) - 1 AS place FROM (SELECT replace(t, '{{topic}}', s) AS query FROM {values([(t,) for t in TEMPLATES])} a(t), {values([(s,) for s in SUBJECTS])} b(s))) WHERE place < 10")
+@query(f"SELECT query, place FROM (SELECT query, row_number() OVER (ORDER BY md5('0:' || query), query) - 1 AS place FROM (SELECT replace(t, '{{topic}}', s) AS query FROM {values([(t,) for t in TEMPLATES])} a(t), (SELECT DISTINCT p_name AS s FROM part))) WHERE place < 100")
 def offtopic_product(spark, d):
-    return U.off_topic(spark.createDataFrame([(t,) for t in TEMPLATES], "template string"), spark.createDataFrame([(s,) for s in SUBJECTS], "subject string"), 10)
+    return U.off_topic(*_off_topic(spark, d), 100)
 
 
-@query(f"""WITH s(name, key, slot, ord, value) AS {values(SLOTS)}, ph AS (SELECT name, unnest(p) AS phrasing FROM {values([(t[0], t[4]) for t in TOOLS])} t(name, p)),
+@query(f"""WITH {CATALOGUE}, s AS (SELECT * FROM slots), ph AS (SELECT name, unnest(phrasings) AS phrasing FROM tools),
   v AS (SELECT a.name, a.key AS k0, a.value AS v0, b.key AS k1, b.value AS v1 FROM s a LEFT JOIN s b ON b.name = a.name AND b.slot = 1 WHERE a.slot = 0),
   r AS (SELECT name, phrasing, k0, v0, k1, v1, replace(replace(phrasing, '{{' || k0 || '}}', v0), '{{' || coalesce(k1, '') || '}}', coalesce(v1, '')) AS query FROM ph JOIN v USING (name)),
   c AS (SELECT r.*, s.key, s.slot, s.ord, replace(replace(phrasing, '{{' || k0 || '}}', CASE WHEN s.key = k0 THEN s.value ELSE v0 END), '{{' || coalesce(k1, '') || '}}', coalesce(CASE WHEN s.key = k1 THEN s.value ELSE v1 END, '')) AS twin FROM r JOIN s ON s.name = r.name AND (s.key = k0 AND s.value <> v0 OR s.key = k1 AND s.value <> v1)),
   o AS (SELECT *, {WORDS.format('query')} AS x, {WORDS.format('twin')} AS y FROM c), p AS (SELECT *, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS ov FROM o)
   SELECT name, query, arg_min(twin, (round(abs(ov - 0.75), 9), slot, ord)) AS twin, round(arg_min(ov, (round(abs(ov - 0.75), 9), slot, ord)), 4) AS overlap FROM p GROUP BY name, query""")
 def twin_candidates(spark, d):
-    tools, slots = _catalogue(spark)
+    tools, slots = _catalogue(spark, d)
     rows = U.assignments(tools, slots).withColumn("target", F.lit(0.75))
     t = U.twins(rows.select("name", "phrasing", "values", "query", "target"), slots, ["name", "query"])
     return t.select("name", "query", F.col("twin.query").alias("twin"), F.col("twin.overlap").alias("overlap"))
@@ -238,22 +252,30 @@ TENSORS = [("embedding", [8192, 512]), ("attn.q_proj", [27, 512, 512]), ("attn.o
 SPEC = "default=2,router.phi=4,attn.out_proj=3,attn=2"
 
 
-def _tensors(spark):
-    return spark.createDataFrame(TENSORS, "name string, shape array<int>")
+def _tensors(spark, d):
+    """The tensors of a model per part, of 1 to 40 layers."""
+    k = F.col("p_partkey")
+    all_ = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, x)).alias("shape")) for n, x in TENSORS])
+    t = table(spark, d, "part").select(k, F.inline(all_))
+    layers = F.concat(F.array((1 + k % 40).cast("int")), F.slice("shape", 2, 3))
+    return t.select("p_partkey", "name", F.when(F.get("shape", F.lit(0)) == 27, layers).otherwise(F.col("shape")).alias("shape"))
+
+
+STACKED = f"x AS (SELECT p_partkey, name, CASE WHEN shape[1] = 27 THEN [1 + p_partkey % 40] || shape[2:] ELSE shape END AS shape FROM part, {values(TENSORS)} t(name, shape)), p(k, b) AS {values([('router.phi', 4), ('attn.out_proj', 3), ('attn', 2)])}"
 
 
-@query(f"WITH p(k, b) AS {values([('router.phi', 4), ('attn.out_proj', 3), ('attn', 2)])} SELECT name, coalesce(arg_max(b, length(k)), 2)::DOUBLE AS bits FROM {values(TENSORS)} t(name, shape) LEFT JOIN p ON starts_with(name, k) GROUP BY name")
+@query(f"WITH {STACKED} SELECT p_partkey, name, coalesce(arg_max(b, length(k)), 2)::DOUBLE AS bits FROM x LEFT JOIN p ON starts_with(name, k) GROUP BY p_partkey, name")
 def bits_for_name(spark, d):
-    return V.widths_for(_tensors(spark), "name", SPEC).select("name", "bits")
+    return V.widths_for(_tensors(spark, d), "name", SPEC).select("p_partkey", "name", "bits")
 
 
-@query(f"""WITH p(k, b) AS {values([('router.phi', 4), ('attn.out_proj', 3), ('attn', 2)])}, t AS (SELECT name, any_value(shape) AS shape, coalesce(arg_max(b, length(k)), 2)::DOUBLE AS bits FROM {values(TENSORS)} t(name, shape) LEFT JOIN p ON starts_with(name, k) GROUP BY name),
+@query(f"""WITH {STACKED}, t AS (SELECT p_partkey, name, any_value(shape) AS shape, coalesce(arg_max(b, length(k)), 2)::DOUBLE AS bits FROM x LEFT JOIN p ON starts_with(name, k) GROUP BY p_partkey, name),
   a AS (SELECT *, list_product(shape) AS n, CASE WHEN regexp_matches(name, 'embedding|table|slot|memory|codebook') THEN shape[len(shape)] ELSE shape[greatest(len(shape) - 1, 1)] END AS along FROM t),
   q AS (SELECT *, len(shape) >= 2 AND NOT starts_with(name, 'head') AND NOT regexp_matches(name, '(norm|gamma|gate|bias|taps|temp|scale)$') AND along >= 128 AS c FROM a),
   b AS (SELECT *, CASE WHEN NOT c THEN n * 2 ELSE n / along * (ceil(along / 128) * 128 * bits / 8 + ceil(along / 128) * 2) END AS b FROM q)
   SELECT round(sum(b))::BIGINT AS bytes, sum(n)::BIGINT AS params, sum(CASE WHEN c THEN n ELSE 0 END)::BIGINT AS quantised, sum(CASE WHEN c THEN 0 ELSE n END)::BIGINT AS stored, round(sum(CASE WHEN c THEN n * bits END) / sum(CASE WHEN c THEN n END), 6) AS mean_bits FROM b""")
 def size_report(spark, d):
-    return V.size_report(_tensors(spark), SPEC, 128).withColumn("mean_bits", F.round("mean_bits", 6))
+    return V.size_report(_tensors(spark, d), SPEC, 128).withColumn("mean_bits", F.round("mean_bits", 6))
 
 
 @query(f"SELECT i AS id, (coalesce(sum(ceil(n / 64) * 64) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM (SELECT doc_id AS i, strlen(text) AS n FROM documents)")
@@ -265,12 +287,13 @@ def blob_offsets(spark, d):
 # Grammar
 
 
-@query("SELECT p AS prefix, g::VARCHAR AS digit, lo, hi, EXISTS (SELECT 1 FROM range(0, 10000) r(x) WHERE starts_with(x::VARCHAR, p || g) AND x BETWEEN lo AND hi) AS allowed FROM (VALUES (''), ('1'), ('2'), ('9'), ('10'), ('45')) a(p), range(1, 10) b(g), (VALUES (50, 100), (0, 9), (7, 42), (100, 999), (50, 1000)) c(lo, hi)")
+@query("WITH g AS (SELECT event_id, left((event_id * 7 % 1000)::VARCHAR, (event_id % 3)::INT) AS p, (1 + event_id % 9)::VARCHAR AS digit, user_id % 90 AS lo, user_id % 90 + event_id % 500 AS hi FROM events) SELECT event_id, EXISTS (SELECT 1 FROM range(0, 1000) r(x) WHERE starts_with(x::VARCHAR, p || digit) AND x BETWEEN lo AND hi) AS allowed FROM g")
 def digit_walker(spark, d):
-    p = spark.createDataFrame([(x,) for x in ("", "1", "2", "9", "10", "45")], "prefix string")
-    b = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in ((50, 100), (0, 9), (7, 42), (100, 999), (50, 1000))])
-    g = p.select("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda x: x.cast("string"))).alias("digit")).select("prefix", "digit", F.explode(b).alias("b")).select("prefix", "digit", "b.*")
-    return g.withColumn("allowed", T.digit_allowed(F.col("prefix"), F.col("digit"), F.col("lo").cast("double"), F.col("hi").cast("double")))
+    """Whether a digit can follow the digits so far of a number between two bounds."""
+    i, lo = F.col("event_id"), F.col("user_id") % 90
+    prefix = F.substr((i * 7 % 1000).cast("string"), F.lit(1), (i % 3).cast("int"))
+    allowed = T.digit_allowed(prefix, (1 + i % 9).cast("string"), lo.cast("double"), (lo + i % 500).cast("double"))
+    return table(spark, d, "events").select("event_id", allowed.alias("allowed"))
 
 
 @query("WITH w AS (SELECT DISTINCT event_type AS w FROM events), p AS (SELECT w, unnest(range(0, length(w) + 1)) AS n FROM w) SELECT w[1:n] AS prefix, count(DISTINCT nullif(w[n + 1:n + 1], '')) AS branches, bool_or(n = length(w)) AS terminal FROM p GROUP BY w[1:n]")

@@ -22,6 +22,8 @@ def test_window_masks(spark, window, sinks):
         got = [k for i in r.m for k in range(i.lo, i.hi + 1)]
         assert got == sorted(want) and r.n == len(want) and r.two == (2 in want)
         assert [k for i in r.part for k in range(i.lo, i.hi + 1)] == sorted(k for k in want if k >= 10)
+    edges = {(e["query"], e["key"]) for e in P.window_edges(64, window, sinks, spark).collect()}
+    assert edges == {(q, k) for q in range(64) for k in range(q + 1) if q - k < window or k in sinks}
 
 
 def test_packing_masks_equal_the_listed_edges(spark):
