@@ -28,7 +28,8 @@ def keep(cleaned: Column, prose: bool = True, structured: bool = False) -> Colum
 
 def first_of(df: DataFrame, key: list, order: list) -> DataFrame:
     """The first row of each key; the rows before the sort are cut down to one per key and task."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_nth = 1").drop("_nth")
+    nth = T.unused(df, "nth")
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(nth) == 1).drop(nth)
 
 
 def keep_report(docs: DataFrame) -> DataFrame:
@@ -61,13 +62,15 @@ def interleave(frames: dict[str, DataFrame], order: str, seed: int | None = None
     """
     out = None
     for name, df in frames.items():
-        df = df.withColumn("source", F.lit(name)).withColumn("_one", F.lit(1))
+        df = df.withColumn("source", F.lit(name))
+        one, i, n, o = T.unused(df, "one", "i", "n", "o")
+        df = df.withColumn(one, F.lit(1))
         if seed is None:
-            df = running_total(df, "_one", [order], name="_i")
+            df = running_total(df, one, [order], name=i)
         else:
-            df = running_total(df.withColumn("_o", seeded(seed, F.col("source"), F.col(order))), "_one", ["_o", order], F.substring("_o", 1, DIGITS), name="_i").drop("_o")
-        n = df.agg(F.count("*").alias("_n"))  # one row
-        df = df.crossJoin(F.broadcast(n)).withColumn("place", (F.col("_i") + 0.5) / F.col("_n")).drop("_one", "_i", "_n")
+            df = running_total(df.withColumn(o, seeded(seed, F.col("source"), F.col(order))), one, [o, order], F.substring(o, 1, DIGITS), name=i).drop(o)
+        count = df.agg(F.count("*").alias(n))  # one row
+        df = df.crossJoin(F.broadcast(count)).withColumn("place", (F.col(i) + 0.5) / F.col(n)).drop(one, i, n)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
@@ -85,29 +88,38 @@ def seeded(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
-#: Buckets of a running total, and the digits of a hash order that make as many.
-BUCKETS, DIGITS = 4096, 3
+#: Buckets of a running total (the ranges between quantiles, and equal steps in each), and the digits of a hash order that make as many.
+RANGES, STEPS, DIGITS = 64, 64, 3
 
 
-def even_buckets(df: DataFrame, order: str, n: int = BUCKETS) -> DataFrame:
-    """``df`` with _bucket: where a number lies between the least and the greatest of its column, in ``n`` equal steps."""
-    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))  # one row
-    step = (F.col("_hi") - F.col("_lo")) / n
-    place = F.when(step > 0, F.least(F.floor((F.col(order) - F.col("_lo")) / step), F.lit(n - 1))).otherwise(0)
-    return df.crossJoin(F.broadcast(ends)).withColumn("_bucket", place).drop("_lo", "_hi")
+def even_buckets(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with a bucket that never falls with a number: its range between quantiles of the column, and its step in there.
+
+    Quantiles follow the values wherever they cluster; they come from Spark's mergeable summary, as one row."""
+    at = T.unused(df, "at")
+    ends = df.agg(F.percentile_approx(F.col(order).cast("double"), F.array(*[F.lit(i / RANGES) for i in range(RANGES + 1)]), F.lit(20 * RANGES)).alias(at))
+    v, b = F.col(order).cast("double"), F.col(at)
+    halves = F.array(*[F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())])
+    place = F.aggregate(halves, F.lit(0), lambda q, k: F.when(F.get(b, q + k) <= v, q + k).otherwise(q))
+    width = lambda q: F.get(b, q + 1) - F.get(b, q)
+    step = lambda q: F.when(width(q) > 0, F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor((v - F.get(b, q)) / width(q) * STEPS)))).otherwise(0)
+    bucket = T.let(place, lambda q: q * STEPS + step(q))
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.coalesce(bucket.cast("long"), F.lit(-1).cast("long"))).drop(at)
 
 
 def running_total(df: DataFrame, value: str, order: list, bucket: Column | None = None, within: list[str] | None = None, name: str = "before") -> DataFrame:
     """Sum of ``value`` over all earlier rows, in two levels: ``bucket`` is a function of the order that never falls (by
-    default equal steps of the first column of the order, a number), buckets are added up in a small window, rows
+    default the ranges of the first column of the order, a number), buckets are added up in a small window, rows
     within their bucket; no task sorts everything."""
     within = within or []
-    df = even_buckets(df, order[0]) if bucket is None else df.withColumn("_bucket", bucket)
-    sums = df.groupBy(*within, "_bucket").agg(F.sum(value).alias("_s"))
-    up_to = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*within, "_bucket", F.coalesce(F.sum("_s").over(up_to), F.lit(0)).alias("_start"))
-    local = Window.partitionBy(*within, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_l", F.coalesce(F.sum(value).over(local), F.lit(0))).join(starts, [*within, "_bucket"]).withColumn(name, F.col("_start") + F.col("_l")).drop("_bucket", "_l", "_start")
+    at, total, start, here = T.unused(df, "bucket", "total", "start", "here")
+    df = even_buckets(df, order[0], at) if bucket is None else df.withColumn(at, bucket)
+    sums = df.groupBy(*within, at).agg(F.sum(value).alias(total))
+    up_to = Window.partitionBy(*within).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*within, at, F.coalesce(F.sum(total).over(up_to), F.lit(0)).alias(start))
+    local = Window.partitionBy(*within, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn(here, F.coalesce(F.sum(value).over(local), F.lit(0))).join(starts, [*within, at])
+    return out.withColumn(name, F.col(start) + F.col(here)).drop(at, here, start)
 
 
 def mix_draw(docs: DataFrame, budgets: DataFrame, source: str, tokens: str, key: str, seed: int = 0) -> DataFrame:
@@ -115,6 +127,7 @@ def mix_draw(docs: DataFrame, budgets: DataFrame, source: str, tokens: str, key:
 
     The order is a hash, whose first digits make even buckets of it.
     """
-    df = docs.withColumn("_o", seeded(seed, F.col(key)))
-    df = running_total(df, tokens, ["_o", key], F.substring("_o", 1, DIGITS), [source])
-    return df.join(budgets.select(F.col(source), F.col("tokens").alias("budget")), source).filter(F.col("before") < F.col("budget")).drop("_o")
+    o = T.unused(docs, "o")
+    df = docs.withColumn(o, seeded(seed, F.col(key)))
+    df = running_total(df, tokens, [o, key], F.substring(o, 1, DIGITS), [source])
+    return df.join(budgets.select(F.col(source), F.col("tokens").alias("budget")), source).filter(F.col("before") < F.col("budget")).drop(o)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import MARKERS
 from tessera.operators import corpus as C
+from tessera.operators import packing as P
 
 
 def family(name: Column) -> Column:
@@ -95,7 +96,7 @@ def positional(a: DataFrame, b: DataFrame, order: str, key: str = "ix") -> DataF
     return num(a).join(num(b).drop(order), key)
 
 
-def build_corpus(docs: DataFrame, shares: list[tuple[str, float]], tokens: int, seq_len: int, count: Column, seed: int = 0) -> DataFrame:
+def build_corpus(docs: DataFrame, shares: list[tuple[str, float]] | DataFrame, tokens: int, seq_len: int, count: Column, seed: int = 0) -> DataFrame:
     """Documents (source, doc_id, text) to packed spans of ``tokens`` // ``seq_len`` rows.
 
     Filter, dedup per source, draw to token shares, pack in draw order interleaved by how far each budget is spent.
@@ -105,17 +106,14 @@ def build_corpus(docs: DataFrame, shares: list[tuple[str, float]], tokens: int,
     from tessera.functions import text as T
 
     spark = docs.sparkSession
-    budgets = C.apportion(spark.createDataFrame([(s, x, i) for i, (s, x) in enumerate(shares)], "source string, share double, ord int"), tokens)
-    d = docs.withColumn("text", T.clean(F.col("text"))).filter(C.keep(F.col("text")))
-    d = C.first_of(d.withColumn("_k", F.sha2("text", 256)), ["source", "_k"], ["doc_id"]).drop("_k").withColumn("n", count + 1)
+    if not isinstance(shares, DataFrame):
+        shares = spark.createDataFrame([(s, x, i) for i, (s, x) in enumerate(shares)], "source string, share double, ord int")
+    budgets = C.apportion(shares, tokens)
+    d = docs.select("source", "doc_id", T.clean(F.col("text")).alias("text")).filter(C.keep(F.col("text")))
+    d = C.first_of(d.withColumn("key", F.sha2("text", 256)), ["source", "key"], ["doc_id"]).withColumn("n", count + 1)
     drawn = C.mix_draw(d, budgets, "source", "n", "doc_id", seed).withColumn("place", F.col("before") / F.greatest("budget", F.lit(1)))
     # the place is in [0, 1): its thousandths are even buckets of the order
-    t = C.running_total(drawn.filter("n > 0"), "n", ["place", "source", "doc_id"], F.floor(F.col("place") * 1000), name="start")
-    rows = F.sequence(F.floor(F.col("start") / seq_len), F.floor((F.col("start") + F.col("n") - 1) / seq_len))
-    t = t.select("source", "doc_id", "start", (F.col("start") + F.col("n")).alias("end"), F.explode(rows).alias("row_id")).filter(F.col("row_id") < tokens // seq_len)
-    lo, hi = F.greatest(F.lit(0), F.col("start") - F.col("row_id") * seq_len), F.least(F.lit(seq_len), F.col("end") - F.col("row_id") * seq_len)
-    t = t.select("row_id", "source", "doc_id", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
-    return t.withColumn("seg", F.row_number().over(Window.partitionBy("row_id").orderBy("lo")))
+    return P.spans(drawn, "n", ["place", "source", "doc_id"], seq_len, F.floor(F.col("place") * 1000)).filter(F.col("row_id") < tokens // seq_len).drop("place")
 
 
 def save_report(frames: dict[str, DataFrame], path: str) -> None:

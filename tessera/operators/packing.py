@@ -12,20 +12,21 @@ PAD, EOS, BOS, UNK = 0, 1, 2, 3
 SEED, PRIME, MASK = 0x9E3779B9, 0x01000193, 0xFFFFFFFF
 
 
-def spans(docs: DataFrame, n: str, order: str, seq_len: int) -> DataFrame:
-    """(row_id, seg, order, lo, hi): where each document of ``n`` tokens (end included) lies in rows of seq_len.
+def spans(docs: DataFrame, n: str, order: str | list[str], seq_len: int, bucket: Column | None = None) -> DataFrame:
+    """(row_id, seg, order..., lo, hi): where each document of ``n`` tokens (end included) lies in rows of seq_len.
 
-    Documents of no tokens have no span; a document cut at a row's end continues under a new segment.
-    """
+    Documents of no tokens have no span; a document cut at a row's end continues under a new segment. ``bucket`` is that of
+    ``running_total``."""
     if seq_len < 2:
         raise ValueError("seq_len must be at least 2")
-    df = running_total(docs.filter(F.col(n) > 0).select(order, n), n, [order])
-    s, e = F.col("before"), F.col("before") + F.col(n)
+    order = [order] if isinstance(order, str) else order
+    df = running_total(docs.filter(F.col(n) > 0), n, order, bucket, name="start_of_doc").withColumn("end_of_doc", F.col("start_of_doc") + F.col(n))
+    s, e = F.col("start_of_doc"), F.col("end_of_doc")
     rows = F.sequence(F.floor(s / seq_len), F.floor((e - 1) / seq_len))
-    df = df.select(order, s.alias("s"), e.alias("e"), F.explode(rows).alias("row_id"))
-    lo, hi = F.greatest(F.lit(0), F.col("s") - F.col("row_id") * seq_len), F.least(F.lit(seq_len), F.col("e") - F.col("row_id") * seq_len)
+    df = df.select(*order, s, e, F.explode(rows).alias("row_id"))
+    lo, hi = F.greatest(F.lit(0), s - F.col("row_id") * seq_len), F.least(F.lit(seq_len), e - F.col("row_id") * seq_len)
     seg = F.row_number().over(Window.partitionBy("row_id").orderBy("lo"))
-    return df.select("row_id", order, lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).withColumn("seg", seg)
+    return df.select("row_id", *order, lo.cast("long").alias("lo"), hi.cast("long").alias("hi")).withColumn("seg", seg)
 
 
 def segments_from_eos(tokens: Column) -> Column:

@@ -135,6 +135,34 @@ def interleaved_sources(spark, d):
     return C.interleave({"docs": docs, "pages": pages}, "id").select("source", "id", F.round("place", 9).alias("place"))
 
 
+CORPUS = [("en", 0.5), ("de", 0.2), ("fr", 0.2), ("es", 0.1)]
+
+
+@query(f"""WITH k AS (SELECT doc_id, lang, c AS text FROM ({CLEANED}) WHERE coalesce({KEEP}, false)), u AS (SELECT *, {TOKENS} + 1 AS n, row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY doc_id) AS nth FROM k),
+  o AS (SELECT lang, doc_id, n, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY md5('0:' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u WHERE nth = 1),
+  b(lang, budget) AS (VALUES {', '.join(f"('{x}', {int(y * 200_000)})" for x, y in CORPUS)}), w AS (SELECT *, before / budget AS place FROM o JOIN b USING (lang) WHERE before < budget),
+  a AS (SELECT lang, doc_id, n, coalesce(sum(n) OVER (ORDER BY place, lang, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM w),
+  x AS (SELECT *, unnest(range(s // 512, (s + n - 1) // 512 + 1)) AS row_id FROM a), p AS (SELECT row_id, lang AS source, doc_id, greatest(0, s - row_id * 512)::BIGINT AS lo, least(512, s + n - row_id * 512)::BIGINT AS hi FROM x WHERE row_id < 200000 // 512)
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY lo)::INT AS seg FROM p""")
+def corpus_build(spark, d):
+    """The whole build over documents: clean, filter, first of equals, draw to token shares, interleave, pack."""
+    from tessera.operators.names import build_corpus
+
+    docs = table(spark, d, "documents").select(F.col("lang").alias("source"), "doc_id", "text")
+    return build_corpus(docs, CORPUS, 200_000, 512, n_tokens())
+
+
+@query("SELECT 'block.' || vec_id || '.attn.' || CASE vec_id % 3 WHEN 0 THEN 'out' ELSE 'q' END || '.kernel' AS name FROM embeddings WHERE vec_id % 3 <> 2 AND vec_id % 5 <> 0 AND vec_id % 7 <> 0")
+def adapter_targets(spark, d):
+    """the kernels that adapters go to: named modules inside attention, that ship and aren't all zero."""
+    from tessera.operators.names import adapter_targets as targets
+
+    i = F.col("vec_id")
+    name = F.concat(F.when(i % 7 == 0, "head").otherwise("block"), F.lit("."), i, F.lit(".attn."), F.when(i % 3 == 0, "out").when(i % 3 == 1, "q").otherwise("gate"), F.lit(".kernel"))
+    values = F.when(i % 5 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    return targets(table(spark, d, "embeddings").select(name.alias("name"), values.alias("values")), ["out", "q"], "attn", ["head"])
+
+
 S = 512
 SPANS = f"""WITH t AS (SELECT doc_id, {TOKENS} + 1 AS n FROM documents), a AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM t),
   x AS (SELECT doc_id, s, s + n AS e, unnest(range(s // {S}, (s + n - 1) // {S} + 1)) AS row_id FROM a),
