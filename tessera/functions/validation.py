@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.calls import fields, items, kind
+from tessera.operators.calls import fields, is_object, items, kind
 
 SIMPLE = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}
 #: Variant kinds of each JSON type.
@@ -143,7 +143,7 @@ def violations(arguments: Column, schema: dict) -> Column:
 
     Arguments that aren't an object, or that can't be read, are one violation."""
     whole = F.array(F.lit("the arguments are not an object"))
-    return F.when(F.coalesce(kind(arguments) == "OBJECT", F.lit(False)), _members(arguments, schema, F.lit(""))).otherwise(whole)
+    return F.when(is_object(arguments), _members(arguments, schema, F.lit(""))).otherwise(whole)
 
 
 def checked(name: Column, arguments: Column, tools: list[dict]) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import CALL_END, CALL_START, let
-from tessera.operators.calls import declared, field, items, kind, lookup
+from tessera.operators.calls import declared, field, is_object, items, kind, lookup
 
 BLANK = r"[ \t\n\x0B\f\r]"
 #: A string, closed or up to the end of the text; a sign; blanks; anything else up to one of these.
@@ -34,7 +34,7 @@ def _rule(tools: Column, tool: Column, key: Column) -> Column:
     """The schema of an argument if it restricts values, as a variant; null otherwise."""
     spec = F.try_element_at(lookup(tools, tool)["properties"], F.coalesce(key, F.lit("")))
     held = lambda s: field(s, "enum", "variant").isNotNull() | field(s, "minimum", "variant").isNotNull() | field(s, "maximum", "variant").isNotNull()
-    return let(spec, lambda s: F.when((kind(s) == "OBJECT") & held(s), s))
+    return let(spec, lambda s: F.when(is_object(s) & held(s), s))
 
 
 def _allowed(rule: Column, quoted: Column, token: Column) -> Column:

@@ -29,12 +29,17 @@ def kind(v: Column) -> Column:
 
 def items(v: Column) -> Column:
     """A variant list as an array, null for anything else."""
-    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def fields(v: Column) -> Column:
     """A variant object as a map, null for anything else."""
-    return F.when(kind(v) == "OBJECT", F.try_variant_get(v, "$", ARGS))
+    return F.try_variant_get(v, "$", ARGS)
+
+
+def is_object(v: Column) -> Column:
+    """Whether a variant is an object; ``kind`` would write out the types of all that it holds."""
+    return F.coalesce(fields(v).isNotNull(), F.lit(False))
 
 
 def field(v: Column, path: str, type_: str = "string") -> Column:
@@ -43,8 +48,8 @@ def field(v: Column, path: str, type_: str = "string") -> Column:
 
 def call_list(v: Column) -> Column:
     """calls of a prediction: null, a response with function_calls, one call, or a list; others are dropped."""
-    inner = F.when(kind(v) == "OBJECT", F.coalesce(items(field(v, "function_calls", "variant")), F.when(field(v, "name").isNotNull(), F.array(v)), F.array().cast("array<variant>"))).otherwise(items(v))
-    called = F.transform(F.filter(F.coalesce(inner, F.array().cast("array<variant>")), lambda c: kind(c) == "OBJECT"), lambda c: F.struct(F.coalesce(field(c, "name"), F.lit("")).alias("name"), F.coalesce(fields(field(c, "arguments", "variant")), F.create_map().cast(ARGS)).alias("arguments")))
+    inner = F.when(is_object(v), F.coalesce(items(field(v, "function_calls", "variant")), F.when(field(v, "name").isNotNull(), F.array(v)), F.array().cast("array<variant>"))).otherwise(items(v))
+    called = F.transform(F.filter(F.coalesce(inner, F.array().cast("array<variant>")), lambda c: is_object(c)), lambda c: F.struct(F.coalesce(field(c, "name"), F.lit("")).alias("name"), F.coalesce(fields(field(c, "arguments", "variant")), F.create_map().cast(ARGS)).alias("arguments")))
     return called
 
 
@@ -57,7 +62,7 @@ def parse_examples(reply: Column) -> Column:
     """the objects with a query in the widest [...] of a reply; an empty list if it can't be read."""
     body = T.trim(F.regexp_replace(reply, FENCE, ""))
     got = items(F.try_parse_json(F.regexp_extract(body, r"(?s)\[.*\]", 0)))
-    return F.coalesce(F.filter(got, lambda r: (kind(r) == "OBJECT") & F.map_contains_key(fields(r), "query")), F.array().cast("array<variant>"))
+    return F.coalesce(F.filter(got, lambda r: is_object(r) & F.map_contains_key(fields(r), "query")), F.array().cast("array<variant>"))
 
 
 def parse_calls(text: Column) -> Column:
@@ -65,8 +70,8 @@ def parse_calls(text: Column) -> Column:
     body = F.when(F.instr(text, T.CALL_START) > 0, F.substr(text, F.instr(text, T.CALL_START) + len(T.CALL_START))).otherwise(text)
     body = T.trim(T.restore_json(T.strip_markers(F.substring_index(body, T.CALL_END, 1))))
     v = F.coalesce(F.try_parse_json(body), F.try_parse_json(T.outermost(body)))
-    list_ = F.when(kind(v) == "OBJECT", F.array(v)).otherwise(items(v))
-    named = F.transform(list_, lambda c: F.coalesce((kind(c) == "OBJECT") & (kind(field(c, "name", "variant")) == "STRING"), F.lit(False)))
+    list_ = F.when(is_object(v), F.array(v)).otherwise(items(v))
+    named = F.transform(list_, lambda c: F.coalesce(is_object(c) & (kind(field(c, "name", "variant")) == "STRING"), F.lit(False)))
     bad = F.array_position(named, False)
     good = F.when(bad > 0, F.slice(list_, F.lit(1), F.greatest(bad.cast("int") - 1, F.lit(0)))).otherwise(list_)
 
@@ -137,7 +142,7 @@ def validate(df: DataFrame, key: str, query: str, answers: str, tools: str) -> D
 
     def of_known(spec, args, c):
         reason = (
-            F.when(kind(c) != "OBJECT", "a call is not an object")
+            F.when(~is_object(c), "a call is not an object")
             .when(spec.isNull(), "undeclared tool")
             .when(args.isNull(), "no arguments object")
             .when(F.size(F.array_except(F.map_keys(args), F.map_keys(spec["properties"]))) > 0, "undeclared arguments")
