@@ -43,7 +43,26 @@ def scratch(spark: SparkSession) -> str:
         if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir isn't set: a folder is needed that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex[:12]}"
+    return remembered(f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex[:12]}")
+
+
+#: Folders that queries of this process have made.
+_MADE: list[str] = []
+
+
+def remembered(path: str) -> str:
+    """Notes a folder that ``clear`` will delete."""
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the intermediate folders that queries of this process have made; call it when their results have been read."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _MADE:
+        p = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return n
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -22,3 +22,13 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def no_folders_left(request):
+    """Intermediate folders go after each test."""
+    yield
+    if "spark" in request.fixturenames:
+        from tessera.session import clear
+
+        clear(request.getfixturevalue("spark"))
