@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.session import remembered, table
 
 #: Lower-cases A-Z in UTF-8 bytes and leaves every other byte alone.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -27,7 +27,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir.
+    """A new folder under spark.checkpoint.dir; ``tessera.session.clear`` deletes what this process has made.
 
     Where that is unset a local master, as in tests, gets a folder of its own; on a cluster it is an error, because executors
     would each write to a folder that nobody else sees.
@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir isn't set: the operators need a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}"
+    return remembered(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}")
 
 
 #: Frees a query's shuffle files as soon as it has ended: what ``written`` returns is read from its table, never from them.
