@@ -123,3 +123,12 @@ def test_empty_and_no_training(spark):
     assert katz.score(docs.limit(0), F.lit(False)).count() == 0
     r = katz.score(docs, F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(r.choice(words) for _ in range(60_000))), (2, "x" * 400_000 + " w1 w2"), (3, "w1 w2 w3")]
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string"), common.crc_of_id() % 7 == 2, 5_000, parts=3, order=2).collect()
+    b = Brute([t for i, t in rows if not held_out(i)], 2)
+    same(got, [b.row(i, held_out(i), t) for i, t in rows])

@@ -95,3 +95,11 @@ def test_columns_that_clash_come_back_as_they_were(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.sample(docs_of(spark), rounds=1)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_very_long_texts_and_empty_margins(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000, "en", "a"), (2, "x y", "en", "a"), (3, "x y", "de", "b")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.tokens, r.topic) for r in mixing.plan(docs, rounds=2).collect()}
+    assert got == {1: (400_000, "long"), 2: (2, "short"), 3: (2, "short")}
+    none = spark.createDataFrame([(1, None, None, None), (2, "", None, None)], "doc_id long, text string, lang string, source string")
+    assert [r.probability for r in mixing.plan(none, rounds=2).collect()] == [0.5, 0.5]

@@ -66,3 +66,13 @@ def test_round_trip_equals_brute_force(spark):
     got = warc.read(warc.write(pages.repartition(3), common.shared_dir(spark), archive_bytes=20000), at_once=7)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
     assert warc.read(warc.write(pages.limit(0), common.shared_dir(spark))).count() == 0
+
+
+def test_payloads_longer_than_an_archive(spark):
+    r = random.Random(2)
+    huge = ["".join(r.choice("abcdefghij") for _ in range(300_000)) for _ in range(3)]  # each longer, packed, than an archive of 20 kB
+    rows = [(i, "u", huge[i % 3] if i < 5 else f"small {i}") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = warc.write(pages.coalesce(1), common.shared_dir(spark), archive_bytes=20_000)
+    assert made.count() >= 3
+    assert sorted(map(tuple, warc.read(made).collect()), key=str) == brute(rows)
