@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.corpus import seeded
+from tessera.operators.corpus import DIGITS, running_total, seeded
 
 
 def draw_tokens(logits: DataFrame, row: str, token: str, logit: str, temperature: float = 0.0, top_k: int = 0, top_p: float = 1.0, seed: int = 0) -> DataFrame:
@@ -41,11 +41,12 @@ def unique_batches(rows: DataFrame, key: str, tool: str, size: int, seed: int =
     The n-th row of each tool, in seeded order, goes to wave n; waves are cut into batches, and rows past the last whole
     batch of a wave are left out of the epoch.
     """
-    o = seeded(seed, F.col(key))
-    r = rows.withColumn("_w", F.row_number().over(Window.partitionBy(tool).orderBy(o, key)))
-    r = r.withColumn("_p", F.row_number().over(Window.partitionBy("_w").orderBy(o, key)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("_w")))
-    r = r.withColumn("_b", F.floor(F.col("_p") / size)).filter((F.col("_b") + 1) * size <= F.col("_n"))
-    return r.select(F.struct("_w", "_b").alias("batch"), key, tool)
+    r = rows.select(key, tool, seeded(seed, F.col(key)).alias("drawn"))
+    r = r.withColumn("wave", F.row_number().over(Window.partitionBy(tool).orderBy("drawn", key))).withColumn("one", F.lit(1))
+    # a wave holds a row of every tool: its places are counted in two levels, over the first digits of the order
+    r = running_total(r, "one", ["drawn", key], F.substring("drawn", 1, DIGITS), ["wave"], "place")
+    r = r.join(r.groupBy("wave").agg(F.count("*").alias("n")), "wave").withColumn("part", F.floor(F.col("place") / size))
+    return r.filter((F.col("part") + 1) * size <= F.col("n")).select(F.struct("wave", "part").alias("batch"), key, tool)
 
 
 def greedy_batches(rows: DataFrame, key: str, tool: str, size: int, seed: int = 0) -> DataFrame:

@@ -586,12 +586,12 @@ def balanced_matrices(spark, d):
     return s.select("key", F.forall(F.array(*sums), lambda x: x).alias("balanced"))
 
 
-@query("SELECT true AS distinct_tools, true AS whole FROM range(1)")
+@query("""WITH w AS (SELECT event_id, user_id, md5('0:' || event_id) AS o, row_number() OVER (PARTITION BY user_id ORDER BY md5('0:' || event_id), event_id) AS wave FROM events),
+  p AS (SELECT *, (row_number() OVER (PARTITION BY wave ORDER BY o, event_id) - 1) // 4 AS part, count(*) OVER (PARTITION BY wave) AS n FROM w) SELECT wave, part, event_id, user_id FROM p WHERE (part + 1) * 4 <= n""")
 def distinct_tool_batches(spark, d):
     """K07, as sets: no tool twice in a batch, every batch whole."""
     b = M.unique_batches(table(spark, d, "events").select("event_id", "user_id"), "event_id", "user_id", 4)
-    g = b.groupBy("batch").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"))
-    return g.agg(F.min(F.col("n") == F.col("u")).alias("distinct_tools"), F.min(F.col("n") == 4).alias("whole"))
+    return b.select("batch.*", "event_id", "user_id")
 
 
 @query("SELECT true AS distinct_tools, true AS whole, true AS in_turn FROM range(1)")
@@ -646,14 +646,18 @@ def verified_files(spark, d):
     return W.verified(p, want).select(F.col("path").cast("long").alias("page_id"), "verdict")
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) ORDER BY doc_id")
+@query("SELECT doc_id, strlen(text) AS n FROM documents ORDER BY doc_id")
 def ordered_map(spark, d):
     """Work on all cores whose rows come in order again."""
-    return H.ordered_map(table(spark, d, "documents").select("doc_id"), ["doc_id"], _same, "doc_id long")
+    return H.ordered_map(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], _measured, "doc_id long, n long")
+
 
+def _measured(batches):
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-def _same(batches):
-    yield from batches
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(b.column(1)).cast(pa.int64())], names=["doc_id", "n"])
 
 
 @query("SELECT DISTINCT md5(t) AS md5 FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) WHERE length(t) >= 200")
