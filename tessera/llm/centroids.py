@@ -182,9 +182,21 @@ def _assigned(now: np.ndarray):
     return run
 
 
+def _summed(batches):
+    """(cluster, n, sums) of all blocks of a task."""
+    total: dict[int, list] = {}
+    for batch in batches:
+        for parts in batch.column(0).to_pylist():
+            for p in parts:
+                n, sums = total.get(p["cluster"], (0, 0))
+                total[p["cluster"]] = n + p["n"], sums + np.array(p["sums"], np.int64)
+    rows = [(c, n, sums.tolist()) for c, (n, sums) in total.items()]
+    yield common.batches_of(rows, pa.schema([("cluster", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))]))
+
+
 def moved(blocks: DataFrame, now: np.ndarray) -> np.ndarray:
-    """The means, rounded down, of what each centroid was given."""
-    each = blocks.select(F.explode("parts").alias("p")).select("p.cluster", "p.n", F.posexplode("p.sums").alias("at", "s"))
+    """The means, rounded down, of what each centroid was given: added up in each task, then by Spark."""
+    each = blocks.select("parts").mapInArrow(_summed, "cluster int, n long, sums array<long>").select("cluster", "n", F.posexplode("sums").alias("at", "s"))
     out = now.copy()
     for r in each.groupBy("cluster", "at").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():  # k x dim rows
         out[r["cluster"], r["at"]] = r["s"] // r["n"]
