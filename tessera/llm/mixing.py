@@ -72,7 +72,7 @@ def _scaled(w: DataFrame, margin: str, rate: float, one_task: bool) -> DataFrame
 
 def residual_of(w: DataFrame) -> float:
     """The largest gap between a margin's share of the wanted total and its target."""
-    gaps = [w.groupBy(m).agg(F.abs(F.sum("w") / F.max("total") - F.max(f"target_{m}")).alias("gap")).select("gap") for m in MARGINS]
+    gaps = [w.groupBy(m).agg(F.abs(F.try_divide(F.sum("w"), F.max("total")) - F.max(f"target_{m}")).alias("gap")).select("gap") for m in MARGINS]
     return gaps[0].unionByName(gaps[1]).unionByName(gaps[2]).agg(F.max(F.coalesce("gap", F.lit(0.0)))).first()[0] or 0.0
 
 
