@@ -224,10 +224,12 @@ def size_report(tensors: DataFrame, spec: str, group: int, heads=("head",)) -> D
 
 def offsets(tensors: DataFrame, order: str, size: str, align: int = 64) -> DataFrame:
     """Where each blob starts when every blob starts at a multiple of ``align``."""
+    from tessera.functions.text import unused
     from tessera.operators.corpus import running_total
 
     up = F.ceil(F.col(size) / align) * align
-    return running_total(tensors.withColumn("_up", up.cast("long")), "_up", [order], name="offset").drop("_up")
+    name = unused(tensors, "up")
+    return running_total(tensors.withColumn(name, up.cast("long")), name, [order], name="offset").drop(name)
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -77,10 +77,11 @@ def interleave(frames: dict[str, DataFrame], order: str, seed: int | None = None
 
 def apportion(shares: DataFrame, total: int, name: str = "source", share: str = "share", order: str = "ord") -> DataFrame:
     """Largest remainder: parts of ``total`` by share that sum to it, ties in declaration order."""
-    exact = shares.withColumn("_e", F.lit(float(total)) * F.col(share) / F.sum(share).over(Window.partitionBy()))
-    exact = exact.withColumn("_f", F.floor("_e").cast("long")).withColumn("_short", F.lit(total) - F.sum("_f").over(Window.partitionBy()))
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(F.col("_e") - F.col("_f"), 9)), order))
-    return exact.withColumn("tokens", F.col("_f") + F.when(rank <= F.col("_short"), 1).otherwise(0)).drop("_e", "_f", "_short")
+    e, f, short = T.unused(shares, "e", "f", "short")
+    exact = shares.withColumn(e, F.lit(float(total)) * F.col(share) / F.sum(share).over(Window.partitionBy()))  # a row per source
+    exact = exact.withColumn(f, F.floor(e).cast("long")).withColumn(short, F.lit(total) - F.sum(f).over(Window.partitionBy()))
+    rank = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.round(F.col(e) - F.col(f), 9)), order))
+    return exact.withColumn("tokens", F.col(f) + F.when(rank <= F.col(short), 1).otherwise(0)).drop(e, f, short)
 
 
 def seeded(seed: int, *keys: Column) -> Column:

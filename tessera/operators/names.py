@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import MARKERS
+from tessera.functions.text import MARKERS, unused
 from tessera.operators import corpus as C
 from tessera.operators import packing as P
 
@@ -92,8 +92,12 @@ def positional(a: DataFrame, b: DataFrame, order: str, key: str = "ix") -> DataF
     n, m = a.count(), b.count()
     if n != m:
         raise ValueError(f"{n} and {m} rows: they pair by position, so there must be as many")
-    num = lambda d: C.running_total(d.withColumn("_one", F.lit(1)), "_one", [order], name=key).drop("_one")
-    return num(a).join(num(b).drop(order), key)
+
+    def numbered(d):
+        one = unused(d, "one")
+        return C.running_total(d.withColumn(one, F.lit(1)), one, [order], name=key).drop(one)
+
+    return numbered(a).join(numbered(b).drop(order), key)
 
 
 def build_corpus(docs: DataFrame, shares: list[tuple[str, float]] | DataFrame, tokens: int, seq_len: int, count: Column, seed: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import unused
 from tessera.operators.corpus import DIGITS, apportion, running_total, seeded
 from tessera.operators.retrieval import request_overlap
 
@@ -87,15 +88,17 @@ def bind(first: Column, second: Column, binding: dict[str, str]) -> Column:
 def split_holdout(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """``df`` with held_out: the first int(n * share) rows of the seeded order."""
     n = df.count()
-    d = df.withColumn("_o", seeded(seed, F.col(key))).withColumn("_one", F.lit(1))
-    d = running_total(d, "_one", ["_o", key], F.substring("_o", 1, DIGITS), [], "_place")
-    return d.withColumn("held_out", F.col("_place") < int(n * share)).drop("_o", "_one", "_place")
+    o, one, place = unused(df, "o", "one", "place")
+    d = df.withColumn(o, seeded(seed, F.col(key))).withColumn(one, F.lit(1))
+    d = running_total(d, one, [o, key], F.substring(o, 1, DIGITS), [], place)
+    return d.withColumn("held_out", F.col(place) < int(n * share)).drop(o, one, place)
 
 
 def sample_per_group(df: DataFrame, group: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
     """K rows per group without replacement, in seeded order."""
     w = Window.partitionBy(*group).orderBy(seeded(seed, *[F.col(g) for g in group], F.col(key)), key)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+    n = unused(df, "n")
+    return df.withColumn(n, F.row_number().over(w)).filter(F.col(n) <= k).drop(n)
 
 
 def build_suite(tools: DataFrame, values: DataFrame, seed: int = 0, families=FAMILIES, held_out: int = HELD_OUT) -> DataFrame:

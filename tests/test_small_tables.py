@@ -98,3 +98,26 @@ def test_build_corpus(spark):
     assert 0.6 < n["a"] / (n["a"] + n["b"]) < 0.9
     with pytest.raises(ValueError):
         N.build_corpus(docs, [("a", 1.0)], 50, 100, F.lit(1))
+
+
+def test_columns_of_any_name_stay(spark):
+    """Operators that keep a table's columns work beside columns named like their own."""
+    from tessera.operators import corpus as C
+
+    odd = ["bucket", "_bucket", "total", "start", "here", "at", "one", "_one", "o", "_o", "n", "place", "nth", "key", "up"]
+    df = spark.range(40).withColumns({c: F.lit(c) for c in odd}).withColumn("v", F.lit(1))
+    for out in (
+        C.running_total(df, "v", ["id"]), C.first_of(df, ["id"], ["id"]), U.split_holdout(df, "id", 0.5), U.sample_per_group(df.withColumn("g", F.col("id") % 4), ["g"], "id", 10),
+        C.interleave({"a": df.drop("place")}, "id").withColumn("place", F.lit("place")), N.positional(df.drop("ix"), spark.range(40), "id"),
+    ):
+        got = out.collect()
+        assert len(got) == 40 and all(r[c] == c for r in got for c in odd)
+
+
+def test_running_totals_of_clustered_numbers(spark):
+    """A thousand ids in a corner, one far away: the totals are right and the ids don't share a bucket."""
+    from tessera.operators import corpus as C
+
+    df = spark.createDataFrame([(i, 1.0) for i in range(1000)] + [(10**12, 5.0), (None, 3.0)], "id long, v double")
+    assert {r.id: r.before for r in C.running_total(df, "v", ["id"]).collect()} == {None: 0.0, **{i: i + 3.0 for i in range(1000)}, 10**12: 1003.0}
+    assert C.even_buckets(df, "id", "b").select("b").distinct().count() > 500
