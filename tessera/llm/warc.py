@@ -13,7 +13,8 @@ Archives are written straight to the shared folder by the tasks, under names tha
 rows of the attempts that succeeded say which count. An archive closes at ``archive_bytes``.
 
 Defined results: a null html is an empty payload; a null url is written as an empty one; rows that repeat the largest
-page_id with the same payload are all responses, and with null page_ids only, all are responses. Repeated rows come back
+page_id with the same payload are all responses, and with null page_ids only, all are responses; a payload longer than an
+archive's size makes an archive of its own, and has to fit in a task's memory twice. Repeated rows come back
 repeated; extra columns are ignored. Empty table: no archive, no rows.
 """
 
