@@ -9,7 +9,7 @@ import pytest
 from tessera.plans import catalogue
 
 D = "/root/testdata/sf0.001"
-TABLES = "part events documents embeddings pages benchmark labels conversations".split()
+TABLES = "part customer events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 
 
