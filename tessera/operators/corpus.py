@@ -105,7 +105,7 @@ def even_buckets(df: DataFrame, order: str, name: str) -> DataFrame:
     width = lambda q: F.get(b, q + 1) - F.get(b, q)
     step = lambda q: F.when(width(q) > 0, F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor((v - F.get(b, q)) / width(q) * STEPS)))).otherwise(0)
     bucket = T.let(place, lambda q: q * STEPS + step(q))
-    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.coalesce(bucket.cast("long"), F.lit(-1).cast("long"))).drop(at)
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.when(v.isNull() | b.isNull(), F.lit(-1)).otherwise(bucket).cast("long")).drop(at)
 
 
 def running_total(df: DataFrame, value: str, order: list, bucket: Column | None = None, within: list[str] | None = None, name: str = "before") -> DataFrame:
