@@ -218,6 +218,11 @@ def digit_allowed(prefix: Column, digit: Column, lo: Column, hi: Column) -> Colu
     return F.when(~digits.rlike("^[0-9]+$"), False).when(most.isNull(), True).otherwise(F.coalesce(meets, F.lit(False)))
 
 
+def digit_follows(prefix: Column, digit: Column, lo: Column, hi: Column) -> Column:
+    """C19 as the walk asks it: JSON has no leading zeros, so that no digit follows a lone one."""
+    return ~F.regexp_replace(prefix, "^-", "").startswith("0") & digit_allowed(prefix, digit, lo, hi)
+
+
 def number_complete(text: Column, lo: Column, hi: Column) -> Column:
     """C20: whether a finished whole number lies in its range."""
     far = F.lit(float("inf"))

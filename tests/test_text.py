@@ -93,3 +93,9 @@ def test_names(spark):
     v = values(spark, ["params/Layers/self_attn/attn/out_proj/kernel", "layer10.w", "layer2.w", "head_a/b", "kernel"], T.canonical_name(F.col("t"), ["params", "layers", "kernel"], {"self_attn": "attn"}, ["head_"]), T.natural_key(F.col("t")), T.snake(F.lit("HTTPServerName")))
     assert [x[0] for x in v] == ["attn.out_proj", "layer10.w", "layer2.w", "head.a.b", "kernel"]
     assert v[2][1] < v[1][1] and v[0][2] == "http_server_name"
+
+
+def test_no_digit_follows_a_lone_zero(spark):
+    df = spark.createDataFrame([("0", "3"), ("-0", "3"), ("", "0"), ("1", "0"), ("-", "3")], "p string, g string")
+    got = {(r.p, r.g): r.ok for r in df.select("*", T.digit_follows(F.col("p"), F.col("g"), F.lit(-50.0), F.lit(50.0)).alias("ok")).collect()}
+    assert got == {("0", "3"): False, ("-0", "3"): False, ("", "0"): True, ("1", "0"): True, ("-", "3"): True}
