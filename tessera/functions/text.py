@@ -146,24 +146,26 @@ def lexical_score(query: Column, name: Column, text: Column) -> Column:
     return F.when(F.size(tool) == 0, 0.0).otherwise(shared + bonus)
 
 
-def number_text(x: Column) -> Column:
-    """C11: a number with six significant digits, as %g prints it."""
+def number_text(x: Column, digits: int = 6) -> Column:
+    """C11: a number with six significant digits, as %g prints it, or with as many as asked for, 15 at most."""
+    if not 1 <= digits <= 15:
+        raise ValueError("1 to 15 digits")
     d = x.cast("double")
     e = F.when(d == 0, 0).otherwise(F.floor(F.log10(F.abs(d)))).cast("int")
     cut = lambda x, n: F.regexp_replace(F.regexp_replace(F.bround(x, n).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
     def printed(e):
         exact = d.cast("decimal(38,16)")
-        fixed = cut(exact, 10)
-        for n in range(0, 10):
-            fixed = F.when(F.lit(5) - e == n, cut(exact, n)).otherwise(fixed)
-        mantissa = cut((d / F.pow(F.lit(10.0), e)).cast("decimal(20,15)"), 5)
+        fixed = cut(exact, digits + 4)
+        for n in range(0, min(digits + 4, 17)):
+            fixed = F.when(F.lit(digits - 1) - e == n, cut(exact, n)).otherwise(fixed)
+        mantissa = cut((d / F.pow(F.lit(10.0), e)).cast("decimal(20,15)"), digits - 1)
         power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-        return F.when((e >= 6) | (e < -4), F.concat(mantissa, F.lit("e"), power)).otherwise(F.when(d == 0, "0").otherwise(fixed))
+        return F.when((e >= digits) | (e < -4), F.concat(mantissa, F.lit("e"), power)).otherwise(F.when(d == 0, "0").otherwise(fixed))
 
     # a mantissa that rounds up to ten has the next exponent
-    up = lambda e: F.when(F.abs(d) >= F.pow(F.lit(10.0), e + 1) - F.pow(F.lit(10.0), e - 5) / 2, e + 1).otherwise(e)
-    whole = (d == F.floor(d)) & (F.abs(d) < 1e6)  # most numbers, and none of the work
+    up = lambda e: F.when(F.abs(d) >= F.pow(F.lit(10.0), e + 1) - F.pow(F.lit(10.0), e - digits + 1) / 2, e + 1).otherwise(e)
+    whole = (d == F.floor(d)) & (F.abs(d) < float(f"1e{digits}"))  # most numbers, and none of the work
     return F.when(whole, d.cast("long").cast("string")).otherwise(let(let(e, up), printed))
 
 

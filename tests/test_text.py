@@ -99,3 +99,10 @@ def test_no_digit_follows_a_lone_zero(spark):
     df = spark.createDataFrame([("0", "3"), ("-0", "3"), ("", "0"), ("1", "0"), ("-", "3")], "p string, g string")
     got = {(r.p, r.g): r.ok for r in df.select("*", T.digit_follows(F.col("p"), F.col("g"), F.lit(-50.0), F.lit(50.0)).alias("ok")).collect()}
     assert got == {("0", "3"): False, ("-0", "3"): False, ("", "0"): True, ("1", "0"): True, ("-", "3"): True}
+
+
+def test_numbers_print_with_more_digits(spark):
+    r = random.Random(3)
+    x = [0.0, 10000.25, 1500000.75, 6e6, 999999999999999.0, 1e15, 0.1, 1 / 3, -2.5e-7, 99999.9999999] + [r.randrange(10**8) / 4 for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(x)), "i int, x double").select("i", T.number_text(F.col("x"), 15).alias("a"), T.number_text(F.col("x"), 9).alias("b"))
+    assert [(v.a, v.b) for v in df.orderBy("i").collect()] == [(f"{v:.15g}", f"{v:.9g}") for v in x]
