@@ -6,6 +6,8 @@ seeded md5 order, so that counts and invariants are those of the suite and any e
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,13 +87,16 @@ def bind(first: Column, second: Column, binding: dict[str, str]) -> Column:
     return F.map_concat(F.map_filter(second, lambda k, v: ~k.isin(list(binding))), F.create_map(*[x for k, s in binding.items() for x in (F.lit(k), first[s])]))
 
 
-def split_holdout(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
-    """``df`` with held_out: the first int(n * share) rows of the seeded order."""
+def split_holdout(df: DataFrame, key: str, share: float, seed: int = 0, whole: bool = True) -> DataFrame:
+    """``df`` with held_out: the first int(n * share) rows of the seeded order.
+
+    Without ``whole``, every row that starts before the share's end: a part of a row counts as one."""
     n = df.count()
+    end = int(n * share) if whole else float(n * Decimal(str(share)))
     o, one, place = unused(df, "o", "one", "place")
     d = df.withColumn(o, seeded(seed, F.col(key))).withColumn(one, F.lit(1))
     d = running_total(d, one, [o, key], F.substring(o, 1, DIGITS), [], place)
-    return d.withColumn("held_out", F.col(place) < int(n * share)).drop(o, one, place)
+    return d.withColumn("held_out", F.col(place) < end).drop(o, one, place)
 
 
 def sample_per_group(df: DataFrame, group: list[str], key: str, k: int, seed: int = 0) -> DataFrame:

@@ -121,3 +121,10 @@ def test_running_totals_of_clustered_numbers(spark):
     df = spark.createDataFrame([(i, 1.0) for i in range(1000)] + [(10**12, 5.0), (None, 3.0)], "id long, v double")
     assert {r.id: r.before for r in C.running_total(df, "v", ["id"]).collect()} == {None: 0.0, **{i: i + 3.0 for i in range(1000)}, 10**12: 1003.0}
     assert C.even_buckets(df, "id", "b").select("b").distinct().count() > 500
+
+
+def test_holdout_ends_at_a_share_or_at_a_whole_row(spark):
+    df = spark.range(52)  # a tenth is 5.2 rows
+    held = lambda **how: sorted(r.id for r in U.split_holdout(df, "id", 0.1, 5, **how).filter("held_out").collect())
+    assert len(held()) == 5 and len(held(whole=False)) == 6 and set(held()) < set(held(whole=False))
+    assert U.split_holdout(spark.range(30), "id", 0.1, whole=False).filter("held_out").count() == 3
