@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 #: The three levels of the ternary book, the fit of the others (rounds, samples, seed).
 TERNARY_BITS, TERNARY = 1.58, 1.2240064
 FIT = (200, 400_000, 0)
@@ -281,6 +283,14 @@ def mixed_quantise(leaves: DataFrame, spec: str, group: int, name: str = "name",
     return out
 
 
+def least_error(v: Column, bits: float, group: int) -> Column:
+    """The least share of a group's squared length that its nearest levels lose; a zero group loses nothing."""
+    levels = F.array(*[F.lit(float(x)) for x in codebook(bits, group)])
+    squares = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    lost = lambda r, n: F.aggregate(r, F.lit(0.0), lambda s, x: s + F.pow(F.array_min(F.transform(levels, lambda y: F.abs(x / n - y))), 2))
+    return let(rotate(v, group), lambda r: let(F.sqrt(squares(r)), lambda n: F.when(n == 0, 0.0).otherwise(lost(r, n))))
+
+
 def rms_error(df: DataFrame, by: str, original: str, back: str) -> DataFrame:
     """The root of the mean squared error per group of vectors."""
     sq = F.aggregate(F.zip_with(original, back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
