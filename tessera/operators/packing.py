@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
 from tessera.operators.corpus import DIGITS, running_total, seeded
 
 PAD, EOS, BOS, UNK = 0, 1, 2, 3
@@ -31,14 +32,14 @@ def spans(docs: DataFrame, n: str, order: str | list[str], seq_len: int, bucket:
 
 def segments_from_eos(tokens: Column) -> Column:
     """1 + ends strictly before, per token of an array; padding is 0."""
-    ends = F.transform(tokens, lambda t: F.when(t == EOS, 1).otherwise(0))
-    start = F.struct(F.lit(1).alias("n"), F.array().cast("array<int>").alias("out"))
+    at = F.filter(F.transform(tokens, lambda t, i: F.when(t == EOS, i + 1)), lambda i: i.isNotNull())
+    cuts = F.concat(F.array(F.lit(0)), at, F.array(F.size(tokens)))
 
-    def step(a, i):
-        t = F.get(tokens, i)
-        return F.struct((a["n"] + F.get(ends, i)).alias("n"), F.concat(a["out"], F.array(F.when(t == PAD, 0).otherwise(a["n"]))).alias("out"))
+    def runs(cuts):
+        """Each segment's number, as often as it has tokens: no token looks at the others."""
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.array_repeat(k, F.get(cuts, k) - F.get(cuts, k - 1))))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, lambda a: a["out"])
+    return F.zip_with(tokens, let(cuts, runs), lambda t, n: F.when(t == PAD, 0).otherwise(n))
 
 
 def loss_mask(df: DataFrame, row: str = "row_id", pos: str = "pos", seg: str = "seg") -> DataFrame:

@@ -358,3 +358,36 @@ def test_greedy_batches_equal_a_walk(spark):
             held = []
     got = [tuple(x) for x in M.greedy_batches(spark.createDataFrame(rows, "i long, t string").repartition(4), "i", "t", 5, 4).collect()]
     assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_vectors_come_back_as_near_as_their_levels_allow(spark):
+    from tessera.operators import codec as V
+
+    r = np.random.RandomState(4)
+    far = V.walsh(64)[3] * 5 + r.randn(64) * 0.8  # one long component once turned
+    x = np.array([far, r.randn(64), V.walsh(64)[0], np.zeros(64)], np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
+    got = [tuple(r)[1:] for r in df.select("i", V.least_error(F.col("v"), 2, 64), V.least_error(F.col("v"), 4, 64)).orderBy("i").collect()]
+    for j, bits in enumerate((2, 4)):
+        back = V.decode_vectors(*V.encode_vectors(x, bits, 64), bits, 64, 64)
+        assert np.allclose([g[j] for g in got], ((x - back) ** 2).sum(1) / np.maximum((x**2).sum(1), 1e-12), atol=2e-3)
+    assert got[0][1] > 0.05 > got[1][1] and got[3] == (0.0, 0.0)
+
+
+def test_segments_of_long_rows_and_odd_ones(spark):
+    import time
+
+    r = random.Random(6)
+    rows = [[r.choice([0, 1, 5, 6]) for _ in range(n)] for n in (1, 2, 40, 400)] + [[1, 1, 1], [7], [1] * 20_000, [4] * 20_000]
+
+    def plain(t):
+        n, out = 1, []
+        for x in t:
+            out.append(0 if x == 0 else n)
+            n += x == 1
+        return out
+
+    started = time.time()
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t array<int>").select("i", P.segments_from_eos(F.col("t")).alias("s"))
+    assert [x.s for x in df.orderBy("i").collect()] == [plain(t) for t in rows]
+    assert time.time() - started < 30  # arrays that grow by a token each would take minutes
