@@ -52,15 +52,27 @@ def contains_run(parts: Column, run: Column) -> Column:
     return (n > 0) & (n <= F.size(parts)) & F.exists(starts, lambda i: F.slice(parts, i, n) == run)
 
 
+#: The parts that the paths which hold one name are dealt to.
+SALTS = 8
+
+
 def match_runs(paths: DataFrame, names: DataFrame) -> DataFrame:
     """(path, name): each path with the longest quantised name that it contains as a run of components.
 
-    The first component of the name is the join key; the run is checked after it.
+    A component holds no dot, so that a run is a name if and only if their texts are equal: the whole run is the join key, for
+    runs of as many components as the longest name has. Names meet each run once, so that a name that all paths hold
+    is as many rows as there are paths, which join in many tasks.
     """
-    p = paths.select("path", F.split("path", r"[./]").alias("_p")).withColumn("_k", F.explode(F.array_distinct("_p")))
-    n = names.select("name", F.split("name", r"\.").alias("_n")).withColumn("_k", F.get("_n", F.lit(0)))
-    hit = p.join(n, "_k").filter(contains_run(F.col("_p"), F.col("_n")))
-    return hit.groupBy("path").agg(F.max_by("name", F.struct(F.size("_n"), "name")).alias("name"))
+    n = names.filter("name is not null").select("name").distinct().withColumn("_n", F.size(F.split("name", r"\.")))
+    most = F.broadcast(n.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_most")))  # one row
+    p = paths.filter("path is not null").select("path").distinct().select("path", F.split("path", r"[./]").alias("_p")).crossJoin(most)
+    starts = F.sequence(F.lit(1), F.size("_p"))
+    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.col("_most"), F.size("_p") - i + 1)), lambda m: F.array_join(F.slice("_p", i, m), "."))
+    runs = p.filter("_most > 0").select("path", F.explode(F.array_distinct(F.flatten(F.transform(starts, runs)))).alias("name"))
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
+    dealt = n.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = runs.withColumn("_salt", salt).join(dealt, ["name", "_salt"])
+    return hit.groupBy("path").agg(F.max_by("name", F.struct("_n", "name")).alias("name"))
 
 
 def gather(rows: DataFrame, memory: DataFrame, key: list[str]) -> DataFrame:

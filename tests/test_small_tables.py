@@ -128,3 +128,15 @@ def test_holdout_ends_at_a_share_or_at_a_whole_row(spark):
     held = lambda **how: sorted(r.id for r in U.split_holdout(df, "id", 0.1, 5, **how).filter("held_out").collect())
     assert len(held()) == 5 and len(held(whole=False)) == 6 and set(held()) < set(held(whole=False))
     assert U.split_holdout(spark.range(30), "id", 0.1, whole=False).filter("held_out").count() == 3
+
+
+def test_runs_are_joined_whole(spark):
+    import time
+
+    paths = spark.range(8000).select(F.concat(F.lit("a/b."), F.col("id"), F.lit(".a")).alias("path"))
+    names = spark.range(8000).select(F.concat(F.lit("b."), F.col("id")).alias("name")).unionByName(spark.createDataFrame([("a",), ("a",), ("a.b",), ("b",), (None,), ("x/y",)], "name string"))
+    started = time.time()
+    got = N.match_runs(paths.unionByName(spark.createDataFrame([(None,), ("b/c",), ("c",), ("b..",)], "path string")), names).collect()
+    assert time.time() - started < 40  # pairs of all that share a first component would take minutes
+    want = {f"a/b.{i}.a": f"b.{i}" for i in range(8000)} | {"b/c": "b", "b..": "b"}
+    assert {r.path: r.name for r in got} == want and len(got) == len(want)
