@@ -11,9 +11,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions.text import unused
 from tessera.operators.corpus import DIGITS, apportion, running_total, seeded
-from tessera.operators.retrieval import request_overlap
 
 #: Fixed values of the suite: families and sizes, off-topic and held-out counts, share of two-call rows, twins' targets.
 FAMILIES = [("phone", 420), ("wearable", 240), ("smart home", 330), ("robot", 210)]
@@ -63,13 +63,40 @@ def reasoning(values: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(values), lambda e: F.concat(F.lit("'"), e["value"], F.lit("' -> "), e["key"])), "; ")
 
 
-def twins(rows: DataFrame, values: DataFrame, key: list[str]) -> DataFrame:
-    """Per row (key..., name, phrasing, values, query, target) the one-slot change whose overlap is nearest the target."""
+def alike(phrasings: DataFrame, values: DataFrame) -> DataFrame:
+    """Of slot values (name, key, slot, ord, value) those that a twin can need: the first two of each class of alike ones.
+
+    A word that no other value or phrasing of its tool holds is shared with no request but the value's own. So all values of
+    a slot with as many such words, and the same other ones, overlap with a request alike, and the first of them wins; the
+    second stands in where the request holds the first. Where a value's words could run into others, it is a class of its own.
+    """
+    said = phrasings.select("name", "phrasing").distinct()
+    v = values.groupBy("name", "key", "value").agg(F.min(F.struct("slot", "ord")).alias("_at"))  # of equal texts the first wins
+    v = v.withColumn("_w", F.array_distinct(T.words(F.col("value"))))
+    words = v.select("name", F.explode("_w").alias("_x")).unionByName(said.select("name", F.explode(F.array_distinct(T.words(F.col("phrasing")))).alias("_x")))
+    often = words.groupBy("name", "_x").agg(F.count("*").alias("_c"))
+    spelled = v.select("name", "key", "value", "_at", F.explode_outer("_w").alias("_x")).join(often, ["name", "_x"], "left")
+    kinds = spelled.groupBy("name", "key", "value", "_at").agg(F.count_if(F.col("_c") == 1).alias("_own"), F.sort_array(F.collect_list(F.when(F.col("_c") > 1, F.col("_x")))).alias("_shared"))
+    # words run into others at a placeholder within a word, or by a value that is filled itself
+    joined = said.filter(F.lower("phrasing").rlike(r"[a-z0-9}]\{|\}[a-z0-9]")).select("name").unionByName(v.filter(F.col("value").rlike(r"[{}]")).select("name"))
+    joined = joined.distinct().withColumn("_joined", F.lit(True))
+    kinds = kinds.join(joined, "name", "left").withColumn("_alone", F.when(F.col("_joined"), F.col("value")))
+    first = Window.partitionBy("name", "key", "_at.slot", "_own", "_shared", "_alone").orderBy("_at")
+    two = kinds.withColumn("_nth", F.row_number().over(first)).filter("_nth <= 2")
+    return two.select("name", "key", "_at.slot", "_at.ord", "value")
+
+
+def twins(rows: DataFrame, values: DataFrame, key: list[str], phrasings: DataFrame | None = None) -> DataFrame:
+    """Per row (key..., name, phrasing, values, query, target) the one-slot change whose overlap is nearest the target.
+
+    ``phrasings`` has (name, phrasing) of all rows, which is less to read than the rows."""
+    values = alike(rows if phrasings is None else phrasings, values)
     v = values.select("name", F.col("key").alias("slot_key"), F.col("value").alias("new"), "slot", "ord")
-    c = rows.join(v, "name").filter(F.col("values")[F.col("slot_key")] != F.col("new"))
+    asked = rows.withColumn("_x", F.array_distinct(T.words(F.col("query"))))  # once per request
+    c = asked.join(v, "name").filter(F.col("values")[F.col("slot_key")] != F.col("new"))
     changed = F.transform_values("values", lambda k, x: F.when(k == F.col("slot_key"), F.col("new")).otherwise(x))
     c = c.withColumn("_tv", changed).withColumn("_tq", fill(F.col("phrasing"), F.col("_tv")))
-    c = c.withColumn("_ov", request_overlap(F.col("query"), F.col("_tq")))
+    c = c.withColumn("_ov", T.jaccard(F.col("_x"), F.array_distinct(T.words(F.col("_tq"))), 1.0))
     best = F.min_by(F.struct(F.col("_tq").alias("query"), F.col("_tv").alias("values"), F.col("slot_key").alias("differs"), F.round("_ov", 4).alias("overlap")), F.struct(F.round(F.abs(F.col("_ov") - F.col("target")), 9), "slot", "ord"))
     return c.groupBy(*key).agg(best.alias("twin"))
 
@@ -125,7 +152,7 @@ def build_suite(tools: DataFrame, values: DataFrame, seed: int = 0, families=FAM
     order = Window.partitionBy("family").orderBy(seeded(seed, F.lit("row"), F.col("query")), "query")
     a = a.withColumn("_r", F.row_number().over(order)).withColumn("id", F.concat(F.replace("family", F.lit(" "), F.lit("-")), F.lit("-"), F.lpad(F.col("_r").cast("string"), 4, "0")))
     a = a.withColumn("target", F.get(F.array(*map(F.lit, TWIN_OVERLAPS)), (F.col("_r") - 1) % len(TWIN_OVERLAPS)))
-    twin = twins(a.select("id", "name", "phrasing", "values", "query", "target"), values, ["id"])
+    twin = twins(a.select("id", "name", "phrasing", "values", "query", "target"), values, ["id"], tools.select("name", F.explode("phrasings").alias("phrasing")))
     return a.join(twin, "id", "left").select("id", "family", "name", "query", "values", "held_out", reasoning(F.col("values")).alias("reasoning"), "twin")
 
 

@@ -140,3 +140,32 @@ def test_runs_are_joined_whole(spark):
     assert time.time() - started < 40  # pairs of all that share a first component would take minutes
     want = {f"a/b.{i}.a": f"b.{i}" for i in range(8000)} | {"b/c": "b", "b..": "b"}
     assert {r.path: r.name for r in got} == want and len(got) == len(want)
+
+
+def test_twins_among_alike_values_equal_all_values(spark):
+    """The few values that a twin can need give the twins of all values: shared, own, repeated and no words, values that are filled themselves, placeholders within words."""
+    import random
+    import re
+    from collections import Counter
+
+    r = random.Random(8)
+    phrases = {"a": ["take {x} to {y}", "{y}: {x}, now or ann"], "b": ["pre{x} {y}"], "c": ["say {x}{y}"], "d": ["go {x} by {y}"]}
+    pool = ["ann", "bo", "ann bo", "bo ann", "c 1 d", "c 2 d", "c 3 e", "c 4 e", "now", "", "-", "zed", "X 5", "x 6 7", "ann"]
+    slots = [(n, k, i, o, v) for n in phrases for i, k in enumerate("xy") for o, v in enumerate(r.sample(pool, 9) + (["{y} q"] if n == "d" and k == "x" else []))]
+    values = spark.createDataFrame(slots, "name string, key string, slot int, ord int, value string")
+    tools = spark.createDataFrame([(n, p) for n, p in phrases.items()], "name string, phrasings array<string>")
+    rows = U.assignments(tools, values).select("name", "phrasing", "values", "query", "place").withColumn("target", F.element_at(F.array(*map(F.lit, (0.6, 0.75, 0.9))), (F.col("place") % 3 + 1).cast("int")))
+    rows = spark.createDataFrame(rows.collect(), rows.schema).withColumn("id", F.monotonically_increasing_id())
+    fill = lambda p, v: [p := p.replace("{%s}" % k, v[k]) for k in v][-1]
+    words = lambda t: set(re.findall("[a-z0-9]+", t.lower()))
+    want = {}
+    for q in rows.collect():
+        x = words(q["query"])
+        for n, k, i, o, v in slots:
+            if n == q.name and q["values"][k] != v:
+                t = fill(q.phrasing, {**q["values"], k: v})
+                ov = len(x & words(t)) / len(x | words(t)) if x | words(t) else 1.0
+                want[q.id] = min(want.get(q.id, (9,)), (round(abs(ov - q.target), 9), i, o, t, k))
+    assert {t.id: (t.twin["query"], t.twin.differs) for t in U.twins(rows, values, ["id"]).collect()} == {i: w[3:] for i, w in want.items()}
+    kept = Counter((n, k) for n, k, *_ in U.alike(rows, values.union(spark.createDataFrame([("a", "x", 0, 100 + i, f"c {100 + i} d") for i in range(50)], values.schema))).collect())
+    assert kept["a", "x"] < 20 and kept["d", "x"] == 10
