@@ -1,12 +1,15 @@
 """Retrieval and overlap.
 
 Texts are matched by an inverted index: only what shares a word, or spells a name out, meets. Vectors are scored in blocks:
-each query meets every block through a join on the block's number, and keeps k rows per block before the last ranking.
+each block of queries meets every block of the catalogue, and keeps what can rank before the last ranking.
 Nothing is broadcast, and no task holds the whole product.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,82 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def vector_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int = 6, **blocks) -> DataFrame:
-    """Queries (qid, q) against a catalogue (ix, v): dot products of unit vectors, rounded before ranking."""
-    pairs = in_blocks(queries.withColumn("q", unit(F.col("q"))), catalogue.withColumn("v", unit(F.col("v"))), **blocks)
-    return top(pairs.select("qid", "ix", F.round(dot(F.col("q"), F.col("v")), places).alias("score")), ["qid"], "score", "ix", k)
+#: Rows of a block of queries and of a block of the catalogue, and the queries that a task scores at once.
+QUERIES, ROWS, AT_ONCE = 2048, 4096, 64
+
+
+def unit_rows(vectors: pa.ChunkedArray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Each vector's length, -1 if it is null or holds a null, and by length the places and unit vectors."""
+    lists = pa.concat_arrays(vectors.chunks)
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), -1)).copy()
+    at, flat = np.repeat(np.arange(len(lists)), np.maximum(size, 0)), lists.flatten()
+    size[at[np.asarray(flat.is_null())]] = -1
+    flat, by = np.asarray(flat.cast(pa.float64()).fill_null(0.0)), {}
+    for n in set(size[size >= 0].tolist()):
+        m, square = flat[size[at] == n].reshape(-1, n) if n else np.zeros((int((size == 0).sum()), 0)), 0.0
+        for i in range(n):
+            square = square + m[:, i] * m[:, i]
+        by[n] = np.flatnonzero(size == n), m / np.maximum(np.sqrt(square), 1e-12).reshape(-1, 1)
+    return size, by
+
+
+def contenders(scores: np.ndarray, k: int, near: float) -> np.ndarray:
+    """The places whose scores, NaN first, can be among the k best once rounded; of equal scores the first k."""
+    s = np.where(np.isnan(scores), np.inf, scores)
+    some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - near) if len(s) > k else np.arange(len(s))
+    some = some[np.argsort(-s[some], kind="stable")]
+    return some[np.arange(len(some)) - np.searchsorted(-s[some], -s[some]) < k]
+
+
+def score_blocks(k: int, near: float):
+    """A function over a block of queries (qid, q) and one of the catalogue (ix, v): (qid, ix, score) of the contenders."""
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        c = c.sort_by("ix")
+        (sizes, asked), (widths, held) = unit_rows(q["q"]), unit_rows(c["v"])
+        found = []
+        for n, (at, m) in asked.items():
+            to, t = held.get(n, (np.array([], int), np.zeros((0, n))))
+            t = np.ascontiguousarray(t.T)
+            for lo in range(0, len(m) if len(to) else 0, AT_ONCE):
+                x = m[lo : lo + AT_ONCE]
+                s = np.zeros((len(x), len(to)))
+                for i in range(n):  # in the order of the components, as an aggregate adds them
+                    s += x[:, i, None] * t[i]
+                for j, row in zip(at[lo:], s):
+                    some = contenders(row, k, near)
+                    found.append((np.full(len(some), j), to[some], row[some], np.zeros(len(some), bool)))
+        for n in set(sizes.tolist()):  # pairs without a score can only fill up a ranking
+            none = np.flatnonzero((widths != n) | (n < 0))[:k]
+            at = np.flatnonzero(sizes == n)
+            found.append((np.repeat(at, len(none)), np.tile(none, len(at)), np.zeros(len(at) * len(none)), np.ones(len(at) * len(none), bool)))
+        rows, cols, scores, void = map(np.concatenate, zip(*found))
+        return pa.table({"qid": q["qid"].take(pa.array(rows)), "ix": c["ix"].take(pa.array(cols)), "score": pa.array(scores, pa.float64(), mask=void)})
+
+    return run
+
+
+def vector_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """Queries (qid, q) against a catalogue (ix, v): dot products of unit vectors, rounded before ranking.
+
+    Blocks of queries meet blocks of the catalogue, all with all; each pair of blocks is scored in one go and keeps what can be
+    among the k best. Vectors that are null, hold a null or differ in length have a null score, which comes last.
+    """
+    left, right = (max(1, -(-d.count() // n)) for d, n in ((queries, QUERIES), (catalogue, ROWS)))
+    mine = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(mine("qid", left).alias("_i"), each(right).alias("_j"), "qid", "q")
+    c = catalogue.select(each(left).alias("_i"), mine("ix", right).alias("_j"), "ix", "v")
+    kinds = ", ".join(f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((queries, "qid"), (catalogue, "ix")))
+    score = score_blocks(k, 1.01 * 10.0**-places)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            return score(a, b)
+        return pa.table({"qid": a["qid"].slice(0, 0), "ix": b["ix"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+    found = q.groupBy("_i", "_j").cogroup(c.groupBy("_i", "_j")).applyInArrow(run, f"{kinds}, score double")
+    return top(found.withColumn("score", F.round("score", places)), ["qid"], "score", "ix", k)
 
 
 def lexical_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int = 6) -> DataFrame:

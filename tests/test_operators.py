@@ -391,3 +391,29 @@ def test_segments_of_long_rows_and_odd_ones(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "i int, t array<int>").select("i", P.segments_from_eos(F.col("t")).alias("s"))
     assert [x.s for x in df.orderBy("i").collect()] == [plain(t) for t in rows]
     assert time.time() - started < 30  # arrays that grow by a token each would take minutes
+
+
+def test_vectors_are_scored_in_blocks(spark, monkeypatch):
+    """The ranking of all pairs: copies, ties after rounding, null vectors and ones of another length, over several blocks."""
+    import time
+
+    from pyspark.sql import Window
+
+    from tessera.operators import retrieval as Q
+
+    r = np.random.RandomState(5)
+    v = [(r.randn(8) + 1).astype(np.float32).tolist() for _ in range(60)]
+    v += [v[0]] * 30 + [[x + 1e-7 for x in v[0]]] * 5 + [[0.0] * 8, None, [1.0, None] * 4, [1.0, 2.0], []]
+    df = spark.createDataFrame(list(enumerate(v)), "ix long, v array<float>")
+    q = df.filter("ix % 3 = 0 or ix >= 95").select(F.col("ix").alias("qid"), F.col("v").alias("q"))
+    monkeypatch.setattr(Q, "QUERIES", 16)
+    monkeypatch.setattr(Q, "ROWS", 20)
+    p = q.crossJoin(df).select("qid", "ix", F.round(Q.dot(Q.unit(F.col("q")), Q.unit(F.col("v"))), 6).alias("score"))
+    for k in (1, 7, 98):
+        want = p.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "ix"))).filter(F.col("rank") <= k)
+        assert sorted(map(repr, Q.vector_topk(q, df, k).select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    monkeypatch.undo()
+    many = spark.range(20_000).select(F.col("id").alias("ix"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i)).alias("v"))
+    started = time.time()
+    assert Q.vector_topk(many.filter("ix % 20 = 0").select(F.col("ix").alias("qid"), F.col("v").alias("q")), many, 5).count() == 5000
+    assert time.time() - started < 60  # an expression per pair takes minutes
