@@ -32,6 +32,11 @@ def first_of(df: DataFrame, key: list, order: list) -> DataFrame:
     return df.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(nth) == 1).drop(nth)
 
 
+def first_ids(df: DataFrame, key: list[str], id_: str) -> DataFrame:
+    """(key..., id, copies): each key's least id and how many rows have the key; added up per task before the shuffle."""
+    return df.groupBy(*key).agg(F.min(id_).alias(id_), F.count("*").alias("copies"))
+
+
 def keep_report(docs: DataFrame) -> DataFrame:
     """Documents read, kept and dropped as duplicates, per source.
 

@@ -96,8 +96,7 @@ def text_field_extract(spark, d):
 @query(f"SELECT source, min(doc_id) AS doc_id, count(*) AS copies FROM ({CLEANED}) GROUP BY source, sha256(c)")
 def exact_dedup_in_source(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", F.sha2(T.clean(F.col("text")), 256).alias("key"))
-    copies = docs.groupBy("source", "key").agg(F.count("*").alias("copies"))
-    return C.first_of(docs, ["source", "key"], ["doc_id"]).join(copies, ["source", "key"]).drop("key")
+    return C.first_ids(docs, ["source", "key"], "doc_id").drop("key")
 
 
 @query("WITH s AS (SELECT source, count(*)::DOUBLE AS share FROM documents GROUP BY source), e AS (SELECT source, 1000011 * share / sum(share) OVER () AS e FROM s), r AS (SELECT *, 1000011 - sum(floor(e)) OVER () AS short, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, source) AS n FROM e) SELECT source, (floor(e) + (n <= short)::INT)::BIGINT AS tokens FROM r")

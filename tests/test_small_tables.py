@@ -169,3 +169,13 @@ def test_twins_among_alike_values_equal_all_values(spark):
     assert {t.id: (t.twin["query"], t.twin.differs) for t in U.twins(rows, values, ["id"]).collect()} == {i: w[3:] for i, w in want.items()}
     kept = Counter((n, k) for n, k, *_ in U.alike(rows, values.union(spark.createDataFrame([("a", "x", 0, 100 + i, f"c {100 + i} d") for i in range(50)], values.schema))).collect())
     assert kept["a", "x"] < 20 and kept["d", "x"] == 10
+
+
+def test_first_ids_are_one_aggregate(spark):
+    from tessera.operators import corpus as C
+
+    df = spark.createDataFrame([("a", "x", 3), ("a", "x", 1), ("a", "x", None), ("b", "x", 2), ("b", None, None)], "source string, key string, doc_id long")
+    out = C.first_ids(df, ["source", "key"], "doc_id")
+    assert rows(out) == sorted([("a", "x", 1, 3), ("b", "x", 2, 1), ("b", None, None, 1)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
