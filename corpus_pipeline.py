@@ -25,9 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """In operator 1's place: one document of each group of copies and near copies (five-word shingles, similarity 0.8).
+    """Operator 1: one document of each group of copies and near copies (five-word shingles, similarity 0.8).
 
-    Found by bands of minima and verified exactly, because SimHash distances can't carry that similarity (README)."""
+    Links of SimHash fingerprints, and bands of minima for what lies beyond their distance (README); each pair is verified exactly."""
     return simhash.one_of_each(docs)
 
 

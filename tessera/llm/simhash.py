@@ -441,14 +441,29 @@ def _left(members: DataFrame, sets: DataFrame, labels: DataFrame, where: str, si
 BLOCK, SHARES = 1 << 20, 16
 
 
+def _linked(fps: DataFrame, where: str, max_distance: int = 4) -> DataFrame:
+    """(x, y): pairs of nodes to be checked, of texts (node, fp): all of a fingerprint with its least node, and the least
+    nodes of linked fingerprints."""
+    heads = common.written(fps.groupBy("fp").agg(F.min("node").alias("x"), F.count("*").alias("n")), f"{where}/heads")
+    found = links(heads.select("fp"), max_distance, where)
+    of = lambda a, x: heads.select(F.col("fp").alias(a), F.col("x").alias(x))
+    across = found.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    within = fps.join(heads.filter("n > 1").select("fp", "x"), "fp").filter("node <> x").select("x", F.col("node").alias("y"))
+    return across.unionByName(within)
+
+
 def _copies(texts: Callable[[DataFrame | None], DataFrame], where: str, size: int, similarity: float) -> DataFrame:
-    """(node) of texts that aren't the first of their group: the groups join all pairs that share a key of ``bands`` and
-    are similar enough. ``texts`` gives (node, text) of some nodes, or of all."""
+    """(node) of texts that aren't the first of their group: the groups join all pairs that are linked by SimHash or share a
+    key of ``bands``, and are similar enough. ``texts`` gives (node, text) of some nodes, or of all."""
+    prints = texts(None).withColumnRenamed("node", "doc_id")
+    prints = common.written(fingerprints(prints, size, True).select(F.col("doc_id").alias("node"), "fp"), f"{where}/prints")
+    linked = common.written(_linked(prints, f"{where}/simhash"), f"{where}/linked")
     keys = common.written(bands(texts(None), size), f"{where}/bands")
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     members = common.written(keys.join(heads, "key").select("t", "key", "head", "node"), f"{where}/members")
     common.removed(keys.sparkSession, f"{where}/bands")
-    pairs = common.written(members.filter("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y")).distinct(), f"{where}/pairs")
+    banded = members.filter("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    pairs = common.written(banded.unionByName(linked).distinct(), f"{where}/pairs")
     asked = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     sets = common.written(shingle_sets(texts(asked), size), f"{where}/sets")
     near = pairs.join(sets.select(F.col("node").alias("x"), F.col("h").alias("g")), "x").join(sets.select(F.col("node").alias("y"), "h"), "y")
@@ -467,8 +482,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     """One row of ``docs`` per group of copies and near copies, that of the smallest doc_id; all columns stay.
 
     Texts of Jaccard similarity ``similarity`` or more, by their sets of ``size``-word shingles, form a group. They are
-    looked for by minima of hashes, which carry that similarity where a SimHash distance doesn't, and each one found is
-    checked exactly. In a run of equal keys all are held against the first; whoever that leaves in another group is
+    looked for by the fingerprints' links and, because many of that similarity lie further apart than four bits, by
+    minima of hashes; each one found is checked exactly. In a run of equal keys all are held against the first; whoever that leaves in another group is
     held against all others.
 
     Every row is a document: rows that share a doc_id but not the text are told apart, of rows that repeat both one

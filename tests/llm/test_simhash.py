@@ -201,3 +201,19 @@ def test_rows_are_told_apart_by_id_and_text_and_columns_may_clash(spark):
     got = [(r.doc_id, r.text, r["_nth"], r["a.b"]) for r in kept.collect()]
     want = [(i, t, f"_nth{t}", f"a.b{t}") for i, t in [(1, "a"), (1, "b"), (None, "c"), (3, "d")]]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_one_of_each_checks_what_simhash_links(spark, monkeypatch):
+    """Without any band, a text with one word changed among many goes by its fingerprint's link; a linked text of other words stays."""
+    words = [f"w{i}" for i in range(3000)]
+    near = words[:1500] + ["other"] + words[1501:]
+    rows = [(3, " ".join(words)), (5, " ".join(near)), (6, "a b c"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    empty = simhash.bands(docs.withColumnRenamed("doc_id", "node"), 5).limit(0)
+    monkeypatch.setattr(simhash, "bands", lambda docs, size: empty)
+    a, b = simhash.fingerprints_of([rows[0][1], rows[1][1]], 5, True)
+    assert bin(int(a) ^ int(b)).count("1") <= 4
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [3, 6, 7]
+    real = simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, size=4, distinct=False: real(docs, size, distinct).withColumn("fp", simhash.F.lit(1).cast("long")))
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [3, 6, 7]
