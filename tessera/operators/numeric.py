@@ -49,28 +49,89 @@ def unique_batches(rows: DataFrame, key: str, tool: str, size: int, seed: int =
     return r.filter((F.col("part") + 1) * size <= F.col("n")).select(F.struct("wave", "part").alias("batch"), key, tool)
 
 
-def greedy_batches(rows: DataFrame, key: str, tool: str, size: int, seed: int = 0) -> DataFrame:
+def closings(tools: list, size: int) -> list[tuple[int, int]]:
+    """For every place, and the end: how many batches the walk that starts there closes, and how many tools it then holds."""
+    held, end, after = {}, len(tools), [(0, 0)] * (len(tools) + 1)
+    for at in range(len(tools) - 1, -1, -1):
+        held[tools[at]] = held.get(tools[at], 0) + 1
+        while len(held) >= size:  # the batch ends behind the first row by which it has all its tools
+            last = tools[end - 1]
+            if held[last] == 1 and len(held) == size:
+                break
+            held[last] -= 1
+            if not held[last]:
+                del held[last]
+            end -= 1
+        after[at] = (after[end][0] + 1, after[end][1]) if len(held) == size else (0, len(held))
+    return after
+
+
+def greedy_batches(rows: DataFrame, key: str, tool: str, size: int, seed: int = 0, block_rows: int = 1 << 16) -> DataFrame:
     """(batch, key, tool) by one walk in seeded order: a row whose tool is in the open batch is left out of the epoch,
     and so is an unfinished last batch.
 
-    What a batch takes depends on all rows before it, so that the walk is one task; it streams, and holds one batch.
+    What a batch takes depends on all rows before it, but only by how many tools the open batch holds: these are the tools
+    met last. So each block of the order, cut by the hash, first tells its first tools, what the walk closes behind each of
+    them, and its last tools; one task chains these few values a block; each block is then walked from its own start. No task
+    holds more than a block.
     """
+    blocks = max(1, -(-rows.count() // block_rows))
     o = seeded(seed, F.col(key))
-    rows = rows.select(key, tool)
-
-    def run(batches):
-        n, held, tools = 0, [], set()
+    at = F.floor(F.conv(F.substring(o, 1, 8), 16, 10).cast("double") / 4294967296 * blocks).cast("int")
+    rows = rows.select(at.alias("_block"), o.alias("_o"), F.col(key).alias("_k"), F.col(tool).alias("_t"))
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("_k", "_t")}
+    order = [("_o", "ascending"), ("_t", "ascending")]  # one hash, one key
+
+    def tell(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        tools = t["_t"].to_pylist()
+        after, firsts, lasts = closings(tools, size), {}, {}
+        for i, x in enumerate(tools):
+            if x not in firsts:
+                firsts[x] = after[i + 1]
+                if len(firsts) == size:
+                    break
+        for x in reversed(tools):
+            if len(lasts) == size - 1:
+                break
+            lasts[x] = None
+        first = pa.array([[{"tool": x, "n": n, "held": k} for x, (n, k) in firsts.items()]], pa.list_(pa.struct([("tool", t.schema.field("_t").type), ("n", pa.int64()), ("held", pa.int32())])))
+        return pa.table({"_block": t["_block"].slice(0, 1), "_first": first, "_last": pa.array([[*lasts]], pa.list_(t.schema.field("_t").type))})
+
+    def chain(batches):
+        n, held, recent, ids, starts, opened, kinds = 0, 0, [], [], [], [], None
         for b in batches:
-            for k, t in zip(*(c.to_pylist() for c in b.columns)):
-                if t not in tools:
-                    held.append((k, t))
-                    tools.add(t)
+            kinds = b.schema.field("_last").type
+            for block, first, last in zip(*(c.to_pylist() for c in b.columns)):
+                ids.append(block), starts.append(n), opened.append(recent[:held])
+                for f in first:
+                    if f["tool"] not in opened[-1]:
+                        held += 1
+                        if held == size:
+                            n, held = n + 1 + f["n"], f["held"]
+                            break
+                recent = [*last, *(x for x in recent if x not in last)][: size - 1]
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(starts, pa.int64()), pa.array(opened, kinds), pa.array([n] * len(ids), pa.int64())], names=["_block", "_start", "_open", "_all"])
+
+    def walk(t: pa.Table, state: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        n, open_, all_ = (state[c][0].as_py() for c in ("_start", "_open", "_all"))
+        held, taken, numbers = set(open_), [], []
+        for i, x in enumerate(t["_t"].to_pylist()):
+            if n == all_:
+                break  # the last batch stays open
+            if x not in held:
+                held.add(x)
+                taken.append(i), numbers.append(n)
                 if len(held) == size:
-                    yield pa.RecordBatch.from_arrays([pa.array([n] * size, pa.int64()), pa.array([x[0] for x in held], b.schema.field(0).type), pa.array([x[1] for x in held], b.schema.field(1).type)], names=["batch", key, tool])
-                    n, held, tools = n + 1, [], set()
+                    n, held = n + 1, set()
+        taken = pa.array(taken, pa.int64())
+        return pa.table({"batch": pa.array(numbers, pa.int64()), key: t["_k"].take(taken), tool: t["_t"].take(taken)})
 
-    kind = {c: rows.schema[c].dataType.simpleString() for c in (key, tool)}
-    return rows.repartition(1).sortWithinPartitions(o, key).mapInArrow(run, f"batch long, {key} {kind[key]}, {tool} {kind[tool]}")
+    told = rows.groupBy("_block").applyInArrow(tell, f"_block int, _first array<struct<tool:{kind['_t']},n:long,held:int>>, _last array<{kind['_t']}>")
+    states = told.repartition(1).sortWithinPartitions("_block").mapInArrow(chain, f"_block int, _start long, _open array<{kind['_t']}>, _all long")
+    return rows.groupBy("_block").cogroup(states.groupBy("_block")).applyInArrow(walk, f"batch long, {key} {kind['_k']}, {tool} {kind['_t']}")
 
 
 def rotary(v: Column, pos: Column, theta: float = 1e5) -> Column:

@@ -360,6 +360,27 @@ def test_greedy_batches_equal_a_walk(spark):
     assert sorted(got) == sorted(want) and len(want) > 100
 
 
+def test_greedy_batches_walk_block_by_block(spark):
+    import hashlib
+
+    from tessera.operators import numeric as M
+
+    r = random.Random(8)
+    for tools, n, size in (("abcdefg", 400, 5), ("abcd", 300, 5), ("ab" * 40 + "cdef", 500, 4), ("abc", 120, 1), ([None, "a", "b", "c"], 200, 3)):
+        rows = [(i, r.choice(tools)) for i in range(n)]
+        want, held = [], []
+        for k, t in sorted(rows, key=lambda x: hashlib.md5(f"4:{x[0]}".encode()).hexdigest()):
+            if t not in [x[1] for x in held]:
+                held.append((k, t))
+            if len(held) == size:
+                want += [(len(want) // size, *x) for x in held]
+                held = []
+        got = M.greedy_batches(spark.createDataFrame(rows, "i long, t string").repartition(4), "i", "t", size, 4, block_rows=3)
+        assert sorted(map(tuple, got.collect()), key=lambda x: x[:2]) == sorted(want, key=lambda x: x[:2])
+    none = spark.createDataFrame([], "i long, t string")
+    assert M.greedy_batches(none, "i", "t", 2).collect() == []
+
+
 def test_vectors_come_back_as_near_as_their_levels_allow(spark):
     from tessera.operators import codec as V
 
