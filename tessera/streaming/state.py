@@ -38,50 +38,81 @@ def first_seen(df: DataFrame, column: str, time: str | None = None, delay: str =
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark([name]).drop(name)
 
 
+#: Waiting rows of a key that are one entry of its state: they are read and written together.
+WAITING = 256
+
+
 class InOrder(StatefulProcessor):
-    """Takes the rows of a key in the order of their numbers; ``value`` is the state schema of what a row brings."""
+    """Takes the rows of a key in the order of their numbers; what a row brings are texts and numbers.
 
-    value = "payload string"
+    Every call of a state is a round trip to the JVM, so that states are read when a key's rows come and written once when
+    they are taken, and rows wait in lots: a key's trips follow its micro-batches and lots, not its rows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", "at long")
-        self.waiting = handle.getMapState("waiting", "at long", self.value)
+        self.due = handle.getValueState("due", "at long, waiting long")
+        self.waiting = handle.getMapState("waiting", "lot long", "rows string")
         self.begin()
 
     def begin(self) -> None:
         """Further state."""
 
+    def open(self) -> None:
+        """Reads the key's further state, before rows are taken."""
+
     def take(self, at: int, row: tuple) -> bool:
         """One row in its turn; False if the key takes no more."""
         raise NotImplementedError
 
+    def save(self) -> None:
+        """Writes the key's further state, after rows were taken."""
+
     def result(self, key) -> Row | None:
         raise NotImplementedError
 
+    def lot(self, k: int, stored: bool) -> dict[int, tuple]:
+        """The rows that wait in lot ``k`` of the state, by number."""
+        got = self.waiting.getValue((k,)) if stored else None
+        return {at: tuple(row) for at, row in json.loads(got[0])} if got else {}
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        due = self.due.get()[0] if self.due.exists() else 0
+        due, stored = self.due.get() or (0, 0)
         here = {}
         for r in rows:
             if r["at"] >= due >= 0:
                 here.setdefault(r["at"], tuple(r[c] for c in r.__fields__ if c not in ("conv_id", "at")))
-        before = due
-        while due >= 0:
-            if due in here:
-                row = here.pop(due)
-            elif self.waiting.containsKey((due,)):
-                row = tuple(self.waiting.getValue((due,)))
-                self.waiting.removeKey((due,))
-            else:
+        before, waiting, lots = due, stored, {}
+        if due in here:  # what waits is of use only behind it
+            self.open()
+        while due in here or (due > before and waiting):
+            k = due // WAITING
+            if waiting and k not in lots:
+                lots[k] = self.lot(k, stored > 0)
+            row = lots.get(k, {}).pop(due, None)
+            waiting -= row is not None
+            row = here.pop(due, row)
+            if row is None:
                 break
             due = due + 1 if self.take(due, row) else -1
         if due < 0 <= before:
             self.waiting.clear()
+            waiting = 0
         elif due >= 0:
             for at, row in here.items():
-                self.waiting.updateValue((at,), row)
+                k = at // WAITING
+                if k not in lots:
+                    lots[k] = self.lot(k, stored > 0)
+                waiting += at not in lots[k]
+                lots[k][at] = row
+            for k, held in lots.items():
+                if held:
+                    self.waiting.updateValue((k,), (json.dumps([*held.items()]),))
+                elif stored:
+                    self.waiting.removeKey((k,))
+        if (due, waiting) != (before, stored):
+            self.due.update((due, waiting))
         if due != before:
-            self.due.update((due,))
+            self.save()
             out = self.result(key)
             if out is not None:
                 yield out
@@ -93,27 +124,31 @@ class InOrder(StatefulProcessor):
 class Runs(InOrder):
     """State of a run: how many turns and assistant turns it had, and why it stopped."""
 
-    value = "role string, n_calls long, confidence double"
-
     def __init__(self, max_steps: int, threshold: float, execute: bool):
         self.max_steps, self.threshold, self.execute = max_steps, threshold, execute
 
     def begin(self):
         self.run = self.handle.getValueState("run", "turns long, steps long, reason string")
 
+    def open(self):
+        self.now = self.run.get() or (0, 0, "")
+
     def take(self, at, row):
-        turns, steps, reason = self.run.get() if self.run.exists() else (0, 0, "")
+        turns, steps, reason = self.now
         role, n_calls, confidence = row
         turns += 1
         if role == "assistant":
             steps += 1
             unsure = confidence is not None and confidence < self.threshold
             reason = "escalate" if unsure else "done" if not n_calls else "reported" if not self.execute else "max_steps" if steps >= self.max_steps else ""
-        self.run.update((turns, steps, reason))
+        self.now = (turns, steps, reason)
         return not reason
 
+    def save(self):
+        self.run.update(self.now)
+
     def result(self, key):
-        turns, _, reason = self.run.get()
+        turns, _, reason = self.now
         return Row(conv_id=key[0], turns=turns, stop_reason=reason)
 
 
@@ -133,21 +168,24 @@ def agent_runs(turns: DataFrame, max_steps: int = 8, threshold: float = 0.0, exe
 class Calls(InOrder):
     """State of a turn: the reader's, which holds no text that it has read."""
 
-    value = "piece string"
-
     def __init__(self, tools: str):
         self.tools = json.loads(tools)
 
     def begin(self):
-        self.reader = self.handle.getValueState("reader", "saved string")
+        self.saved = self.handle.getValueState("reader", "saved string")
+
+    def open(self):
+        self.reader = Reading(self.tools, (self.saved.get() or (None,))[0])
 
     def take(self, at, row):
-        reader = Reading(self.tools, self.reader.get()[0] if self.reader.exists() else None)
-        self.reader.update((reader.feed(row[0] or "").saved(),))
+        self.reader.feed(row[0] or "")
         return True
 
+    def save(self):
+        self.saved.update((self.reader.saved(),))
+
     def result(self, key):
-        r = Reading(self.tools, self.reader.get()[0]).report()
+        r = self.reader.report()
         return Row(conv_id=key[0], state=r["state"], text=r["text"], tool=r["tool"], forbids_close=r["forbids_close"])
 
 
@@ -160,8 +198,6 @@ def call_states(pieces: DataFrame, tools: str) -> DataFrame:
 class Ring(InOrder):
     """State of a memory: the pinned first rows, and the last of the others."""
 
-    value = "payload string"
-
     def __init__(self, pinned: int, window: int):
         self.pinned, self.last = pinned, window - pinned
 
@@ -169,17 +205,26 @@ class Ring(InOrder):
         self.first = self.handle.getListState("first", "at long, payload string")
         self.ring = self.handle.getListState("ring", "at long, payload string")
 
+    def open(self):
+        self.head, self.tail = ([tuple(x) for x in s.get()] if s.exists() else [] for s in (self.first, self.ring))
+        self.new = False
+
     def take(self, at, row):
         if at < self.pinned:
-            self.first.appendValue((at, row[0]))
+            self.head.append((at, row[0]))
+            self.new = True
         else:
-            kept = [*map(tuple, self.ring.get()), (at, row[0])] if self.ring.exists() else [(at, row[0])]
-            self.ring.put(kept[-self.last :])  # what falls out is evicted from the state
+            self.tail = [*self.tail, (at, row[0])][-self.last :]  # what falls out is evicted from the state
         return True
 
+    def save(self):
+        if self.new:
+            self.first.put(self.head)
+        if self.tail:
+            self.ring.put(self.tail)
+
     def result(self, key):
-        both = [tuple(x) for s in (self.first, self.ring) if s.exists() for x in s.get()]
-        return Row(conv_id=key[0], held=[Row(at=at, payload=payload) for at, payload in both])
+        return Row(conv_id=key[0], held=[Row(at=at, payload=payload) for at, payload in (*self.head, *self.tail)])
 
 
 def memories(turns: DataFrame, pinned: int, window: int) -> DataFrame:

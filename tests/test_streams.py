@@ -86,3 +86,48 @@ def test_texts_once_over_a_restart(spark, tmp_path):
         S.run(S.first_seen(S.text_stream(spark, str(tmp_path / "in/*")), "text"), str(tmp_path))
     out = spark.read.parquet(str(tmp_path / "out")).select(F.col("text"))
     assert sorted(r.text for r in out.collect()) == sorted(x.rstrip() for x in lines)
+
+
+def test_trips_to_the_state_follow_batches_and_lots_not_rows():
+    from pyspark.sql import Row
+
+    class State(dict):
+        trips = 0
+
+        def __getattr__(self, name):
+            def call(*x):
+                State.trips += 1
+                return {"get": lambda: self.get_(()), "getValue": self.get_, "update": lambda v: self.put_((), v), "updateValue": self.put_, "removeKey": lambda k: self.pop(k, None), "exists": lambda: () in self, "containsKey": lambda k: k in self, "clear": self.empty}[name](*x)
+
+            return call
+
+        get = property(lambda self: self.__getattr__("get"))
+        clear = property(lambda self: self.__getattr__("clear"))
+        update = property(lambda self: self.__getattr__("update"))
+
+        def get_(self, k):
+            return self[k] if k in self else None
+
+        def put_(self, k, v):
+            self[k] = v
+
+        def empty(self):
+            for k in list(self):
+                del self[k]
+
+    class Handle:
+        getValueState = getMapState = lambda self, *_: State()
+
+    def trips(n):
+        text = '<tool_call>[{"name":"' + "x" * n
+        p, State.trips = S.Calls("[]"), 0
+        p.init(Handle())
+        rows = [Row(conv_id=1, at=i, piece=c) for i, c in enumerate(text)]
+        out = []
+        for batch in (rows[1::2], rows[:1], rows[2::2], rows[:3]):
+            out += p.handleInputRows((1,), iter(batch), None)
+        assert (out[-1].state, out[-1].text) == ("name", "x" * n)
+        return State.trips
+
+    assert trips(200) == trips(20) < 25
+    assert trips(2000) < trips(20) + 5 * (2000 // S.WAITING + 1)
