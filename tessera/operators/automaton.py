@@ -46,67 +46,85 @@ def _allowed(rule: Column, quoted: Column, token: Column) -> Column:
     return F.coalesce(F.when(enum.isNotNull(), F.exists(enum, member)).otherwise(quoted | number), F.lit(False))
 
 
-def _step(tools: Column):
-    """One JSON token. The stack has a letter per open bracket: k and v for an object before and after a key's end, or [."""
+STATE = ("pos", "stack", "tool", "key", "args", "keys", "broken", "state", "span", "spans")
+
+
+def _step(tools: Column, spans: bool):
+    """One JSON token. The stack has a letter per open bracket: k and v for an object before and after a key's end, or [.
+
+    Each kind of token has a branch of its own, so that a token pays for what it changes; ``spans`` lists where they stand."""
+
+    def new(s, t, **changed):
+        changed["pos"] = s["pos"] + F.length(t["text"])
+        return F.struct(*[changed.get(n, s[n]).alias(n) for n in STATE])
 
     def step(s, t):
-        first, text = F.substring(t["text"], 1, 1), t["text"]
-        closed = F.when(first == '"', text.rlike(CLOSED)).otherwise(~t["last"])
-        inner = F.when(first == '"', F.substr(text, F.lit(2), F.length(text) - F.when(closed, 2).otherwise(1))).otherwise(text)
-        inside = F.length(s["stack"])
-        in_args = (s["args"] > 0) & (inside == s["args"])
-        known = F.struct(first.alias("first"), closed.alias("closed"), inner.alias("inner"), _bare(inner).alias("word"), inside.alias("inside"), F.right(s["stack"], F.lit(1)).alias("top"), in_args.alias("in_args"))
-        return let(known, lambda b: sort(s, t, b))
-
-    def sort(s, t, b):
-        quoted, blank = b["first"] == '"', b["first"].rlike(BLANK)
-        sign = b["first"].isin(*"{}[],:")
-        kind_ = (
-            F.when(blank, "blank").when(sign, "sign").when(quoted & (b["top"] == "k"), "key")
-            .when(quoted & s["key"].eqNullSafe(F.lit("name")) & (s["args"] == 0), "name").otherwise("value")
+        return let(F.substring(t["text"], 1, 1), lambda c: F.when(c.isin(*" \t\n\x0b\f\r"), new(s, t)).when(c.isin(*"{}[],:"), sign(s, t, c)).otherwise(spelled(s, t, c)))
+
+    def head(s):
+        return F.left(s["stack"], F.greatest(F.length(s["stack"]) - 1, F.lit(0)))
+
+    def in_args(s):
+        return (s["args"] > 0) & (F.length(s["stack"]) == s["args"])
+
+    def sign(s, t, c):
+        free = {"state": F.lit("free"), "span": F.lit("")}
+        ruled = F.when(in_args(s), _rule(tools, s["tool"], s["key"]).isNotNull()).otherwise(False)
+        begins = (c == "{") & s["key"].eqNullSafe(F.lit("arguments")) & (s["args"] == 0)
+        opened = {"key": F.lit(None).cast("string"), "args": F.when(begins, F.length(s["stack"]) + 1).otherwise(s["args"]), "keys": F.when(begins, F.array().cast("array<string>")).otherwise(s["keys"])}
+        return (
+            F.when(c == ":", new(s, t, **free | {"state": F.when(ruled, "await").otherwise("free")}))
+            .when(c == ",", new(s, t, stack=F.when(s["stack"].endswith("v"), F.concat(head(s), F.lit("k"))).otherwise(s["stack"]), **free))
+            .when(c.isin("{", "["), new(s, t, stack=F.concat(s["stack"], F.when(c == "{", "k").otherwise(c)), **opened, **free))
+            .otherwise(new(s, t, stack=head(s), args=F.when(in_args(s), 0).otherwise(s["args"]), **free))
         )
-        word = F.when(~b["closed"] | b["in_args"] | (kind_ != "key"), b["word"]).otherwise(F.btrim(b["inner"], F.lit(" \t\n\x0b\f\r")))
-        key = F.when((kind_ == "key") & b["closed"], word).otherwise(s["key"])
-        more = F.struct(kind_.alias("kind"), word.alias("word"), F.when(b["in_args"], _rule(tools, s["tool"], key)).alias("rule"))
-        return let(more, lambda m: after(s, t, b, m))
-
-    def after(s, t, b, m):
-        is_ = lambda k: m["kind"] == k
-        first, inside, top, in_args, closed = b["first"], b["inside"], b["top"], b["in_args"], b["closed"]
-        opens, closes, ruled = first.isin("{", "["), first.isin("}", "]"), m["rule"].isNotNull()
-        ended = is_("key") & closed
-        begins = (first == "{") & s["key"].eqNullSafe(F.lit("arguments")) & (s["args"] == 0)
-        value = is_("value") & ruled
-        head = F.left(s["stack"], F.greatest(inside - 1, F.lit(0)))
-        stack = F.when(first == "{", F.concat(s["stack"], F.lit("k"))).when(first == "[", F.concat(s["stack"], first)).when(closes, head)
-        stack = stack.when((first == ",") & (top == "v"), F.concat(head, F.lit("k"))).when(ended, F.concat(head, F.lit("v"))).otherwise(s["stack"])
-        known = F.map_contains_key(F.coalesce(lookup(tools, s["tool"])["properties"], F.create_map().cast("map<string, variant>")), m["word"])
-        broke = F.when(ended & in_args, ~known).when(is_("name") & closed, lookup(tools, m["word"]).isNull()).when(value & closed, ~_allowed(m["rule"], first == '"', F.btrim(b["inner"], F.lit(" \t\n\x0b\f\r")))).otherwise(False)
-        state = (
-            F.when(is_("blank"), s["state"])
-            .when((first == ":") & ruled, "await")
-            .when(is_("sign"), "free")
-            .when(is_("key"), F.when(closed, F.when(ruled, "await").otherwise("free")).otherwise(F.when(in_args, "key").otherwise("free")))
-            .when(is_("name"), F.when(closed, "free").otherwise("name"))
-            .when(value & ~closed, "value").otherwise("free")
-        )
-        span = F.when(is_("blank"), s["span"]).when(~closed & (is_("key") | is_("name") | value), m["word"]).otherwise("")
-        held = F.when(is_("key") & in_args, "key").when(is_("name"), "name").when(value & (first == '"'), "value").when(value, "bare")
-        start = s["pos"] + F.when(first == '"', 1).otherwise(0)
-        stop = s["pos"] + F.length(t["text"]) - F.when((first == '"') & closed, 1).otherwise(0)
-        spot = F.struct(start.alias("start"), stop.alias("stop"), held.alias("kind"), F.when(held != "name", s["tool"]).alias("tool"), F.when(held.isin("value", "bare"), s["key"]).alias("key"))
-        return F.struct(
-            (s["pos"] + F.length(t["text"])).alias("pos"),
-            stack.alias("stack"),
-            F.when(is_("name") & closed, m["word"]).otherwise(s["tool"]).alias("tool"),
-            F.when(opens, None).when(ended, m["word"]).otherwise(s["key"]).alias("key"),
-            F.when(begins, inside + 1).when(closes & (s["args"] > 0) & (inside == s["args"]), 0).otherwise(s["args"]).alias("args"),
-            F.when(begins, F.array().cast("array<string>")).when(ended & in_args, F.array_append(s["keys"], m["word"])).otherwise(s["keys"]).alias("keys"),
-            (s["broken"] | F.coalesce(broke, F.lit(False))).alias("broken"),
-            state.alias("state"),
-            span.alias("span"),
-            F.when(held.isNotNull(), F.concat(s["spans"], F.array(spot))).otherwise(s["spans"]).cast(SPANS).alias("spans"),
-        )
+
+    def spelled(s, t, c):
+        quoted = c == '"'
+        closed = ~t["last"] | F.when(quoted, t["text"].rlike(CLOSED)).otherwise(False)  # what has no end is the last token
+        inner = lambda closed: F.when(quoted, F.substr(t["text"], F.lit(2), F.length(t["text"]) - F.when(closed, 2).otherwise(1))).otherwise(t["text"])
+        known = lambda closed: F.struct(closed.alias("closed"), inner(closed).alias("inner"), in_args(s).alias("in_args"))
+        is_key, is_name = quoted & s["stack"].endswith("k"), quoted & s["key"].eqNullSafe(F.lit("name")) & (s["args"] == 0)
+        return let(let(closed, known), lambda b: F.when(is_key, key(s, t, b)).when(is_name, name(s, t, b)).otherwise(value(s, t, b, quoted)))
+
+    def shown(b):
+        return F.btrim(b["inner"], F.lit(" \t\n\x0b\f\r"))
+
+    def at(s, t, b, held, quoted=None):
+        """The spans with that of the token."""
+        if not spans:
+            return s["spans"]
+        quote = lambda x: F.when(x, 1).otherwise(0)
+        start, stop = (F.lit(1), quote(b["closed"])) if quoted is None else (quote(quoted), quote(quoted & b["closed"]))
+        none = F.lit(None).cast("string")
+        spot = F.struct((s["pos"] + start).alias("start"), (s["pos"] + F.length(t["text"]) - stop).alias("stop"), held.alias("kind"), F.when(held != "name", s["tool"]).otherwise(none).alias("tool"), F.when(held.isin("value", "bare"), s["key"]).otherwise(none).alias("key"))
+        return F.concat(s["spans"], F.array(spot))
+
+    def key(s, t, b):
+        places = F.when(b["in_args"], at(s, t, b, F.lit("key"))).otherwise(s["spans"])
+
+        def ended(word):
+            props = F.coalesce(lookup(tools, s["tool"])["properties"], F.create_map().cast("map<string, variant>"))
+            ruled = F.when(b["in_args"], _rule(tools, s["tool"], word).isNotNull()).otherwise(False)
+            return new(s, t, stack=F.concat(head(s), F.lit("v")), key=word, keys=F.when(b["in_args"], F.array_append(s["keys"], word)).otherwise(s["keys"]), broken=s["broken"] | (b["in_args"] & ~F.map_contains_key(props, word)), state=F.when(ruled, "await").otherwise("free"), span=F.lit(""), spans=places)
+
+        word = F.when(b["in_args"], _bare(b["inner"])).otherwise(shown(b))
+        return F.when(b["closed"], let(word, ended)).otherwise(new(s, t, state=F.when(b["in_args"], "key").otherwise("free"), span=_bare(b["inner"]), spans=places))
+
+    def name(s, t, b):
+        places = at(s, t, b, F.lit("name"))
+        ended = lambda word: new(s, t, tool=word, broken=s["broken"] | lookup(tools, word).isNull(), state=F.lit("free"), span=F.lit(""), spans=places)
+        return let(_bare(b["inner"]), lambda word: F.when(b["closed"], ended(word)).otherwise(new(s, t, state=F.lit("name"), span=word, spans=places)))
+
+    def value(s, t, b, quoted):
+        places = at(s, t, b, F.when(quoted, "value").otherwise("bare"), quoted)
+
+        def by(rule):
+            ended = new(s, t, broken=s["broken"] | ~_allowed(rule, quoted, shown(b)), state=F.lit("free"), span=F.lit(""), spans=places)
+            going = new(s, t, state=F.lit("value"), span=_bare(b["inner"]), spans=places)
+            return F.when(rule.isNull(), new(s, t, state=F.lit("free"), span=F.lit(""))).when(b["closed"], ended).otherwise(going)
+
+        return let(F.when(b["in_args"], _rule(tools, s["tool"], s["key"])), by)
 
     return step
 
@@ -120,13 +138,14 @@ def body(text: Column) -> Column:
     return F.when(text.contains(CALL_START) & ~rest.contains(CALL_END), rest)
 
 
-def reading(body: Column, tools: Column) -> Column:
-    """The fold of a call list's JSON tokens over ``declared`` tools: where it stops, and where its spans stand."""
-    all_ = F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
-    marked = F.transform(all_, lambda t, i: F.struct(t.alias("text"), (i == F.size(all_) - 1).alias("last")))
+def reading(body: Column, tools: Column, spans: bool = True) -> Column:
+    """The fold of a call list's JSON tokens over ``declared`` tools: where it stops, and, with ``spans``, where its spans stand."""
+    cut = F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
+    mark = lambda all_: F.transform(all_, lambda t, i: F.struct(t.alias("text"), (i == F.size(all_) - 1).alias("last")))
+    marked = let(cut, mark)  # a text is cut once, not once per token
     none = F.lit(None).cast("string")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("stack"), none.alias("tool"), none.alias("key"), F.lit(0).alias("args"), F.array().cast("array<string>").alias("keys"), F.lit(False).alias("broken"), F.lit("free").alias("state"), F.lit("").alias("span"), F.array().cast(SPANS).alias("spans"))
-    return F.aggregate(marked, start.cast(START), lambda s, t: _step(tools)(s, t).cast(START))
+    return F.aggregate(marked, start.cast(START), _step(tools, spans))
 
 
 def call_state(df: DataFrame, key: str, text: str, tools: str) -> DataFrame:
@@ -143,7 +162,7 @@ def call_state(df: DataFrame, key: str, text: str, tools: str) -> DataFrame:
             pending.alias("pending"), F.coalesce(r["broken"], F.lit(False)).alias("broken"), F.coalesce((F.size(pending) > 0) & (F.length(r["stack"]) == r["args"]), F.lit(False)).alias("forbids_close"),
         )
 
-    read = F.when(F.col("body").isNotNull(), reading(F.col("body"), F.col("tools")))
+    read = F.when(F.col("body").isNotNull(), reading(F.col("body"), F.col("tools"), spans=False))
     return rows.select(F.col("id").alias(key), let(read, result).alias("r")).select(key, "r.*")
 
 

@@ -126,3 +126,16 @@ def test_turns_are_looked_up(spark):
 def test_odd_declarations(spark, text):
     df = spark.createDataFrame([(text,), (None,)], "tools string")
     assert A.constraints(df, "tools").filter("word <> '3'").count() == 0
+
+
+def test_a_long_turn_is_cut_once(spark):
+    import time
+
+    from tessera.operators import automaton as A
+
+    text = '<tool_call>[{"name":"lamp","arguments":{"room":[' + "1, " * 10_000
+    rows = spark.createDataFrame([(1, text, '[{"name":"lamp","parameters":{"properties":{"room":{}},"required":["room","at"]}}]')], "i long, t string, d string")
+    began = time.time()
+    r = A.call_state(rows, "i", "t", "d").first()
+    assert (r.state, r.tool, r["keys"], r.pending, r.forbids_close) == ("free", "lamp", ["room"], ["at"], False)
+    assert time.time() - began < 20  # once per token it took minutes
