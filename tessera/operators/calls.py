@@ -66,24 +66,30 @@ def parse_examples(reply: Column) -> Column:
 
 
 def parse_calls(text: Column) -> Column:
-    """struct(calls, error) of an emitted turn; never raises."""
-    body = F.when(F.instr(text, T.CALL_START) > 0, F.substr(text, F.instr(text, T.CALL_START) + len(T.CALL_START))).otherwise(text)
-    body = T.trim(T.restore_json(T.strip_markers(F.substring_index(body, T.CALL_END, 1))))
-    v = F.coalesce(F.try_parse_json(body), F.try_parse_json(T.outermost(body)))
-    list_ = F.when(is_object(v), F.array(v)).otherwise(items(v))
-    named = F.transform(list_, lambda c: F.coalesce(is_object(c) & (kind(field(c, "name", "variant")) == "STRING"), F.lit(False)))
-    bad = F.array_position(named, False)
-    good = F.when(bad > 0, F.slice(list_, F.lit(1), F.greatest(bad.cast("int") - 1, F.lit(0)))).otherwise(list_)
+    """struct(calls, error) of an emitted turn; never raises. Each step is worked out once per turn."""
+    empty = F.array().cast(f"array<struct<name: string, arguments: {ARGS}>>")
 
     def arguments(c):
-        a = F.coalesce(field(c, "arguments", "variant"), field(c, "parameters", "variant"))
-        nested = F.when(kind(a) == "STRING", F.try_parse_json(a.cast("string"))).otherwise(a)
+        given = F.coalesce(field(c, "arguments", "variant"), field(c, "parameters", "variant"))
+        nested = T.let(given, lambda a: F.when(kind(a) == "STRING", F.try_parse_json(a.cast("string"))).otherwise(a))
         return F.coalesce(fields(nested), F.create_map().cast(ARGS))
 
-    calls = F.transform(good, lambda c: F.struct(field(c, "name").alias("name"), arguments(c).alias("arguments")))
-    empty = F.array().cast(f"array<struct<name: string, arguments: {ARGS}>>")
-    error = F.when(body == "", None).when(v.isNull(), "unparsable JSON").when(list_.isNull(), "expected a list of calls").when(bad > 0, "a call had no name")
-    return F.struct(F.when(body == "", empty).otherwise(F.coalesce(calls, empty)).alias("calls"), error.alias("error"))
+    def found(body, v, list_):
+        named = F.transform(list_, lambda c: F.coalesce(is_object(c) & (kind(field(c, "name", "variant")) == "STRING"), F.lit(False)))
+        return T.let(F.array_position(named, False), lambda bad: of_good(body, v, list_, bad))
+
+    def of_good(body, v, list_, bad):
+        good = F.when(bad > 0, F.slice(list_, F.lit(1), F.greatest(bad.cast("int") - 1, F.lit(0)))).otherwise(list_)
+        calls = F.transform(good, lambda c: F.struct(field(c, "name").alias("name"), arguments(c).alias("arguments")))
+        error = F.when(body == "", None).when(v.isNull(), "unparsable JSON").when(list_.isNull(), "expected a list of calls").when(bad > 0, "a call had no name")
+        return F.struct(F.when(body == "", empty).otherwise(F.coalesce(calls, empty)).alias("calls"), error.alias("error"))
+
+    def of_body(body):
+        v = F.coalesce(F.try_parse_json(body), F.try_parse_json(T.outermost(body)))
+        return T.let(v, lambda v: T.let(F.when(is_object(v), F.array(v)).otherwise(items(v)), lambda list_: found(body, v, list_)))
+
+    behind = F.when(F.instr(text, T.CALL_START) > 0, F.substr(text, F.instr(text, T.CALL_START) + len(T.CALL_START))).otherwise(text)
+    return T.let(T.trim(T.restore_json(T.strip_markers(F.substring_index(behind, T.CALL_END, 1)))), of_body)
 
 
 def number_in(value: Column, query: Column) -> Column:

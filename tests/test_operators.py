@@ -360,6 +360,13 @@ def test_greedy_batches_equal_a_walk(spark):
     assert sorted(got) == sorted(want) and len(want) > 100
 
 
+def test_a_turn_is_read_once(spark):
+    from tessera.operators import calls as K
+
+    plan = spark.range(1).select(K.parse_calls(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json") < 10 and plan.count("instr(") < 10  # it was 78 and more, a reading each
+
+
 def test_greedy_batches_walk_block_by_block(spark):
     import hashlib
 
