@@ -40,24 +40,53 @@ def fill(template: Column, values: Column) -> Column:
     return F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
 
 
-def assignments(tools: DataFrame, values: DataFrame, seed: int = 0) -> DataFrame:
-    """(name, phrasing, values, query, place): every phrasing with every combination of slot values, in seeded order.
+#: Combinations of slot values that are made within one row.
+COMBINATIONS = 1 << 14
+
 
-    Combinations grow slot by slot: a fold over the slots of a tool inside the row, not joins.
+def combinations(tools: DataFrame, values: DataFrame, at_once: int = COMBINATIONS) -> tuple[DataFrame, DataFrame]:
+    """(name, phrasing, combos): every phrasing with all combinations of slot values, ``at_once`` to a row at most; and (name, n):
+    how many each tool has.
+
+    Slots are cut into parts by a hash, parts are combined slot by slot in joins, and the rows are dealt out before the
+    combinations of their parts are made, so that no row or task grows with the product.
     """
-    slots = values.groupBy("name", "key").agg(F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("v"), F.min("slot").alias("slot"))
-    slots = slots.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("slot", "key", "v"))).alias("slots"))
+    per = values.groupBy("name", "key").agg(F.min("slot").alias("_slot"), F.count("*").alias("_n"))
+    per = per.withColumn("_at", F.row_number().over(Window.partitionBy("name").orderBy("_slot", "key")) - 1).withColumn("_of", F.count("*").over(Window.partitionBy("name")))
+    part = F.pmod(F.xxhash64("ord", "value"), F.ceil(F.col("_n") / F.floor(F.pow(F.lit(float(at_once)), 1 / F.col("_of")))))
+    parts = values.join(per, ["name", "key"]).groupBy("name", "_at", "key", part.alias("_part")).agg(F.collect_list(F.struct("ord", "value")).alias("v"))
+    t = tools.join(per.select("name").distinct(), "name", "left_semi").select("name", F.explode("phrasings").alias("phrasing"), F.array().cast("array<struct<key:string,v:array<struct<ord:bigint,value:string>>>>").alias("slots"))
+    for i in range(per.agg(F.max("_of")).first()[0] or 0):
+        t = t.join(parts.filter(F.col("_at") == i).select("name", "key", "v"), "name", "left")
+        t = t.select("name", "phrasing", F.when(F.col("key").isNull(), F.col("slots")).otherwise(F.array_append("slots", F.struct("key", F.transform("v", lambda x: F.struct(x["ord"].cast("bigint").alias("ord"), x["value"].alias("value"))).alias("v")))).alias("slots"))
     empty = F.array(F.create_map().cast("map<string,string>"))
 
     def grow(combos, slot):
         return F.flatten(F.transform(combos, lambda m: F.transform(slot["v"], lambda v: F.map_concat(m, F.create_map(slot["key"], v["value"])))))
 
-    t = tools.join(slots, "name").select("name", F.explode("phrasings").alias("phrasing"), F.aggregate("slots", empty, grow).alias("combos"))
+    session = tools.sparkSession
+    dealt = t.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    n = tools.join(per.groupBy("name").agg(F.product("_n").alias("_n")), "name").select("name", (F.size("phrasings") * F.col("_n")).alias("n"))
+    return dealt.select("name", "phrasing", F.aggregate("slots", empty, grow).alias("combos")), n
+
+
+def assignments(tools: DataFrame, values: DataFrame, seed: int = 0) -> DataFrame:
+    """(name, phrasing, values, query, place): every phrasing with every combination of slot values, in seeded order."""
+    t = combinations(tools, values)[0]
     t = t.select("name", "phrasing", F.explode("combos").alias("values")).withColumn("query", fill(F.col("phrasing"), F.col("values")))
     t = t.withColumn("_o", seeded(seed, F.col("name"), F.col("query"))).withColumn("_one", F.lit(1))
     return running_total(t, "_one", ["_o", "query"], F.substring("_o", 1, DIGITS), ["name"], "place").drop("_o", "_one")
 
 
+def first_assignments(combos: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """The rows of ``assignments`` whose place is below ``most``: each row of combinations keeps its first ones, which are then ranked."""
+    said = lambda m, i: T.let(fill(F.col("phrasing"), m), lambda q: F.struct(seeded(seed, F.col("name"), q).alias("o"), q.alias("query"), i.alias("i")))
+    first = T.let(F.col("combos"), lambda c: F.transform(F.slice(F.sort_array(F.transform(c, said)), 1, max(1, most)), lambda x: F.struct(F.get(c, x["i"]).alias("values"), x["query"].alias("query"), x["o"].alias("_o"))))
+    t = combos.select("name", "phrasing", F.inline(first))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("_o", "query")) - 1
+    return t.withColumn("place", place).filter(F.col("place") < most).drop("_o")
+
+
 def reasoning(values: Column) -> Column:
     """C11: 'value' -> key; ... in key order of the map."""
     return F.array_join(F.transform(F.map_entries(values), lambda e: F.concat(F.lit("'"), e["value"], F.lit("' -> "), e["key"])), "; ")
@@ -143,12 +172,12 @@ def build_suite(tools: DataFrame, values: DataFrame, seed: int = 0, families=FAM
     w = Window.partitionBy("family", "held_out")
     t = tools.withColumn("_i", F.row_number().over(w.orderBy("name")) - 1).withColumn("_n", F.count("*").over(w)).join(F.broadcast(plan), "family")
     t = t.withColumn("want", even(F.when(F.col("held_out"), F.col("held")).otherwise(F.col("single")), F.col("_n"), F.col("_i")))
-    a = assignments(tools, values, seed).join(t.select("name", "family", "held_out", "want"), "name")
-    room = a.groupBy("name", "want").agg(F.count("*").alias("n"))
-    short = room.filter("n < want").limit(1).collect()
+    combos, room = combinations(t.select("name", "phrasings"), values)
+    short = room.join(t.select("name", "want"), "name").filter("n < want").limit(1).collect()
     if short:
-        raise ValueError(f"tool {short[0].name!r} can produce {short[0].n} distinct requests, {short[0].want} asked for")
-    a = a.filter(F.col("place") < F.col("want"))
+        raise ValueError(f"tool {short[0].name!r} can produce {short[0].n:.0f} distinct requests, {short[0].want} asked for")
+    most = t.agg(F.max("want")).first()[0] or 0
+    a = first_assignments(combos, int(most), seed).join(t.select("name", "family", "held_out", "want"), "name").filter(F.col("place") < F.col("want"))
     order = Window.partitionBy("family").orderBy(seeded(seed, F.lit("row"), F.col("query")), "query")
     a = a.withColumn("_r", F.row_number().over(order)).withColumn("id", F.concat(F.replace("family", F.lit(" "), F.lit("-")), F.lit("-"), F.lpad(F.col("_r").cast("string"), 4, "0")))
     a = a.withColumn("target", F.get(F.array(*map(F.lit, TWIN_OVERLAPS)), (F.col("_r") - 1) % len(TWIN_OVERLAPS)))

@@ -367,6 +367,22 @@ def test_a_turn_is_read_once(spark):
     assert plan.count("parse_json") < 10 and plan.count("instr(") < 10  # it was 78 and more, a reading each
 
 
+def test_combinations_stay_small_in_a_row(spark):
+    from tessera.operators import suite as U
+
+    tools = spark.createDataFrame([("a", ["{x} to {y}", "{y} of {x}"]), ("b", ["only {x}"]), ("c", ["none"])], "name string, phrasings array<string>")
+    slots = [("a", "y", 1, i, f"v{i % 25}") for i in range(30)] + [("a", "x", 0, i, f"u{i}") for i in range(40)] + [("b", "x", 0, i, f"w{i}") for i in range(50)]
+    values = spark.createDataFrame(slots, "name string, key string, slot int, ord int, value string")
+    combos, n = U.combinations(tools, values, 64)
+    sizes = combos.select("name", F.size("combos").alias("n")).collect()
+    assert max(r.n for r in sizes) < 600 and {r.name: r.n for r in n.collect()} == {"a": 2400, "b": 50}  # a row held 1200
+    all_ = U.assignments(tools, values, 3)
+    first = U.first_assignments(combos, 9, 3)
+    shown = lambda df: sorted((r.name, r.place, r.query, tuple(r["values"])) for r in df.collect())
+    want = shown(all_)
+    assert len(want) == 2450 and shown(first) == [x for x in want if x[1] < 9]
+
+
 def test_greedy_batches_walk_block_by_block(spark):
     import hashlib
 
