@@ -135,14 +135,29 @@ def session_budget(df: DataFrame, keep: list[str]) -> DataFrame:
     return _rows(df, keep, "part", "bytes", SESSION)
 
 
+def _component(tensor: str) -> str:
+    return {"block": "blocks", "router": "routers"}.get(tensor.split(".")[0], tensor.split(".")[0])
+
+
+def _shape(sizes: str) -> Column:
+    return (F.expr(f"array({sizes})") if sizes else F.expr("array()")).cast("array<long>")
+
+
 def tensors(df: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., component, name, shape) of every tensor that ships, stacked by layer or site."""
-    component = lambda n: {"block": "blocks", "router": "routers"}.get(n.split(".")[0], n.split(".")[0])
-    shape = lambda sizes: F.expr(f"array({sizes})") if sizes else F.expr("array()")
-    all_ = F.array(*[F.struct(F.lit(component(n)).alias("component"), F.lit(n).alias("name"), shape(s).cast("array<long>").alias("shape")) for n, s in INVENTORY.items()])
+    all_ = F.array(*[F.struct(F.lit(_component(n)).alias("component"), F.lit(n).alias("name"), _shape(s).alias("shape")) for n, s in INVENTORY.items()])
     return df.select(*keep, F.inline(all_))
 
 
+def shipped(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., component, params): the sizes of ``tensors`` by component, added up within the row, where they all are."""
+    by = {}
+    for n, s in INVENTORY.items():
+        by.setdefault(_component(n), []).append(size_of(_shape(s)))
+    add = lambda sizes: F.aggregate(F.array_compact(F.array(*sizes)), F.lit(None).cast("long"), lambda n, x: F.coalesce(n, F.lit(0)) + x)
+    return df.select(*keep, F.inline(F.array(*[F.struct(F.lit(c).alias("component"), add(sizes).alias("params")) for c, sizes in by.items()])))
+
+
 def size_of(shape: Column) -> Column:
     return F.aggregate(shape, F.lit(1).cast("long"), lambda n, x: n * x)
 

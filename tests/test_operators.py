@@ -383,6 +383,17 @@ def test_combinations_stay_small_in_a_row(spark):
     assert len(want) == 2450 and shown(first) == [x for x in want if x[1] < 9]
 
 
+def test_shipped_sizes_need_no_shuffle(spark):
+    from tessera.plans import more_plans as P
+
+    d = "/root/testdata/sf0.001"
+    got = P.shipped_tensors(spark, d)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    t = P.G.tensors(P.G.with_settings(P._models(spark, d)), ["p_partkey"])
+    want = t.groupBy("p_partkey", "component").agg(F.sum(P.G.size_of(F.col("shape"))).alias("params"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_greedy_batches_walk_block_by_block(spark):
     import hashlib
 
