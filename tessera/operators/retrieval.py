@@ -1,7 +1,7 @@
 """Retrieval and overlap.
 
-Texts are matched by an inverted index: only what shares a word, or spells a name out, meets. Vectors are scored in blocks:
-each block of queries meets every block of the catalogue, and keeps what can rank before the last ranking.
+Texts and vectors are scored in blocks: each block of queries meets every block of the catalogue, and keeps what can rank
+before the last ranking. Within a block of texts, an inverted index counts the words.
 Nothing is broadcast, and no task holds the whole product.
 """
 
@@ -95,50 +95,96 @@ def score_blocks(k: int, near: float):
     return run
 
 
-def vector_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int = 6) -> DataFrame:
-    """Queries (qid, q) against a catalogue (ix, v): dot products of unit vectors, rounded before ranking.
-
-    Blocks of queries meet blocks of the catalogue, all with all; each pair of blocks is scored in one go and keeps what can be
-    among the k best. Vectors that are null, hold a null or differ in length have a null score, which comes last.
-    """
-    left, right = (max(1, -(-d.count() // n)) for d, n in ((queries, QUERIES), (catalogue, ROWS)))
+def each_with_each(queries: DataFrame, catalogue: DataFrame, rows: int, score) -> DataFrame:
+    """(qid, ix, score) of what ``score`` finds in each block of queries (qid, ...) with each of the catalogue (ix, ...)."""
+    left, right = (max(1, -(-d.count() // n)) for d, n in ((queries, QUERIES), (catalogue, rows)))
     mine = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(mine("qid", left).alias("_i"), each(right).alias("_j"), "qid", "q")
-    c = catalogue.select(each(left).alias("_i"), mine("ix", right).alias("_j"), "ix", "v")
+    q = queries.select(mine("qid", left).alias("_i"), each(right).alias("_j"), *queries.columns)
+    c = catalogue.select(each(left).alias("_i"), mine("ix", right).alias("_j"), *catalogue.columns)
     kinds = ", ".join(f"{n} {d.schema[n].dataType.simpleString()}" for d, n in ((queries, "qid"), (catalogue, "ix")))
-    score = score_blocks(k, 1.01 * 10.0**-places)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows and b.num_rows:
             return score(a, b)
         return pa.table({"qid": a["qid"].slice(0, 0), "ix": b["ix"].slice(0, 0), "score": pa.array([], pa.float64())})
 
-    found = q.groupBy("_i", "_j").cogroup(c.groupBy("_i", "_j")).applyInArrow(run, f"{kinds}, score double")
+    return q.groupBy("_i", "_j").cogroup(c.groupBy("_i", "_j")).applyInArrow(run, f"{kinds}, score double")
+
+
+def vector_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """Queries (qid, q) against a catalogue (ix, v): dot products of unit vectors, rounded before ranking.
+
+    Blocks of queries meet blocks of the catalogue, all with all; each pair of blocks is scored in one go and keeps what can be
+    among the k best. Vectors that are null, hold a null or differ in length have a null score, which comes last.
+    """
+    found = each_with_each(queries.select("qid", "q"), catalogue.select("ix", "v"), ROWS, score_blocks(k, 1.01 * 10.0**-places))
     return top(found.withColumn("score", F.round("score", places)), ["qid"], "score", "ix", k)
 
 
+#: Rows of a block of texts, and the words' pairs of query and text that a task counts at once.
+TEXTS, PAIRS = 1024, 1 << 20
+
+
+def words_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The words of texts that are words joined by spaces: the text's place and the word."""
+    lists = pc.split_pattern(pa.concat_arrays(texts.chunks), " ")
+    return np.asarray(pc.list_parent_indices(lists)), lists.flatten()
+
+
+def score_texts(k: int, near: float):
+    """A function over a block of queries (qid, h) and one of texts (ix, t, n, s): (qid, ix, score) of the contenders.
+
+    ``h`` are a query's words, ``t`` the n distinct ones of a text, ``s`` its name as a request spells it.
+    """
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        c = c.sort_by("ix")
+        rows, cols = q.num_rows, c.num_rows
+        at, word = words_of(q["h"])
+        words = word.filter(pc.not_equal(word, "")).unique()
+        code = pc.index_in(word, words)
+        at, code = at[np.asarray(code.is_valid())], np.asarray(code.drop_null())
+        code, at = np.divmod(np.unique(code.astype(np.int64) * rows + at), rows)  # each word of a query once, by words
+        many = np.bincount(code, minlength=len(words))
+        first = np.cumsum(many) - many
+        to, word = words_of(c["t"])
+        code = pc.index_in(word, words)
+        to, code = to[np.asarray(code.is_valid())], np.asarray(code.drop_null())
+        ends, shared = np.cumsum(many[code]), np.zeros(rows * cols)
+        cuts = np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS)) + 1 if len(ends) else []
+        for of, t in zip(np.split(code, cuts), np.split(to, cuts)):
+            n = many[of]
+            who = at[np.repeat(first[of] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            shared += np.bincount(who * cols + np.repeat(t, n), minlength=rows * cols)
+        n = np.asarray(c["n"])
+        scores = shared.reshape(rows, cols) / np.sqrt(np.maximum(n, 1))
+        names = c["s"].combine_chunks().dictionary_encode()
+        of, asked = np.asarray(pc.fill_null(names.indices, -1)), pa.concat_arrays(q["h"].chunks)
+        text = "\n".join(filter(None, asked.to_pylist()))
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            if name and name in text:
+                says = np.asarray(pc.fill_null(pc.match_substring(asked, name), False))
+                scores[np.ix_(says, (of == i) & (n > 0))] += 1.0
+        some = [contenders(row, k, near) for row in scores]
+        who, which = np.repeat(np.arange(rows), list(map(len, some))), np.concatenate(some)
+        return pa.table({"qid": q["qid"].take(pa.array(who)), "ix": c["ix"].take(pa.array(which)), "score": scores[who, which]})
+
+    return run
+
+
 def lexical_topk(queries: DataFrame, catalogue: DataFrame, k: int, places: int = 6) -> DataFrame:
     """Requests (qid, query) against tools (ix, name, text).
 
-    Shared words are counted over an inverted index, and added up per task before the shuffle. A name that a request spells
-    out starts with up to three characters that the request holds: they are the key of a second join. Tools without
-    any score can only fill up a ranking: the 2k smallest ix are enough for that.
+    Blocks of requests meet blocks of tools, all with all. Shared words are counted in a block over an inverted index of its
+    requests, and each pair of blocks keeps what can be among the k best, so that no pair of request and tool leaves its block.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(T.words(F.col("query")))).alias("_w"))
-    t = catalogue.select("ix", F.array_distinct(T.words(F.concat_ws(" ", "name", "text"))).alias("_t"), F.regexp_replace(F.lower("name"), "_", " ").alias("_s"))
-    held = t.select("ix", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
-    shared = asked.join(held, "_w").groupBy("qid", "ix", "_n").agg(F.count("*").alias("_c")).select("qid", "ix", (F.col("_c") / F.sqrt("_n")).alias("score"))
-    spelled = queries.select("qid", T.normalise(F.col("query")).alias("_h"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_h")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substr("_h", i, n)))))
-    keyed = spelled.filter("_h <> ''").select("qid", "_h", F.explode(grams).alias("_g"))
-    named = t.filter((F.col("_s") != "") & (F.size("_t") > 0)).select("ix", "_s", F.substring("_s", 1, 3).alias("_g"))
-    bonus = keyed.join(named, "_g").filter(F.col("_h").contains(F.col("_s"))).select("qid", "ix", F.lit(1.0).alias("score"))
-    least = F.slice(F.sort_array(F.collect_list("ix")), 1, 2 * k)
-    fill = t.select("ix").orderBy("ix").limit(2 * k).agg(least.alias("_all"))
-    none = queries.select("qid").crossJoin(F.broadcast(fill)).select("qid", F.explode("_all").alias("ix"), F.lit(0.0).alias("score"))
-    every = shared.unionByName(bonus).unionByName(none).groupBy("qid", "ix").agg(F.round(F.sum("score"), places).alias("score"))
-    return top(every, ["qid"], "score", "ix", k)
+    words = F.array_distinct(T.words(F.concat_ws(" ", "name", "text")))
+    t = catalogue.select("ix", words.alias("_t"), F.regexp_replace(F.lower("name"), "_", " ").alias("s"))
+    t = t.select("ix", F.array_join("_t", " ").alias("t"), F.size("_t").alias("n"), "s")
+    q = queries.select("qid", T.normalise(F.col("query")).alias("h"))
+    found = each_with_each(q, t, TEXTS, score_texts(k, 1.01 * 10.0**-places))
+    return top(found.withColumn("score", F.round("score", places)), ["qid"], "score", "ix", k)
 
 
 def choose_tools(scored: DataFrame, declared: DataFrame, room: int) -> DataFrame:

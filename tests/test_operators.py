@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -305,6 +306,31 @@ def test_retrieval(spark):
     assert x == 1.0
 
 
+def test_lexical_topk_by_blocks(spark, monkeypatch):
+    """Pairs of request and tool stay in their blocks, however few rows these hold; ties go to the smaller ix."""
+    monkeypatch.setattr(Q, "QUERIES", 3), monkeypatch.setattr(Q, "TEXTS", 7), monkeypatch.setattr(Q, "PAIRS", 5)
+    draw, some = random.Random(5), ["the", "a", "red", "lamp", "door", "x9", "é"]
+    text = lambda n: " ".join(draw.choice(some) for _ in range(draw.randrange(n)))
+    q = [(i, text(9)) for i in range(7)] + [(7, None), (8, "???"), (8, "the RED_lamp")]
+    c = [(i, draw.choice(["red_lamp", "the", "Door", "", "é", None]), draw.choice([text(12), text(12), None])) for i in range(60)]
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+
+    def score(query, name, text):
+        t, spelled = set(words(" ".join(x for x in (name, text) if x is not None))), (name or "").lower().replace("_", " ")
+        return round(len(t & set(words(query))) / math.sqrt(len(t)) + (bool(spelled) and spelled in " ".join(words(query))), 6) if t else 0.0
+
+    want = {}
+    for i, query in q:
+        want.setdefault(i, []).extend((-score(query, name, text), ix) for ix, name, text in c)
+    found = Q.lexical_topk(spark.createDataFrame(q, "qid int, query string"), spark.createDataFrame(c, "ix int, name string, text string"), 4)
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((-r.score, r.ix))
+    assert got == {i: sorted(x)[:4] for i, x in want.items()}
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert Q.lexical_topk(spark.createDataFrame(q, "qid int, query string"), spark.createDataFrame([], "ix int, name string, text string"), 4).count() == 0
+
+
 def test_draws_batches_and_matrices(spark):
     inf = float("-inf")
     df = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (0, 2, 3.0), (1, 0, inf), (1, 1, inf)], "r int, t int, l double")
