@@ -14,12 +14,22 @@ def share(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(empty))
 
 
-def headline(rows: DataFrame) -> DataFrame:
-    """A07, A08, A12 from one row per request: off_topic, n_calls, n_valid, exact, selected, hit, total."""
-    on = ~F.col("off_topic")
+def counted(weight: str | None):
+    """A count of the rows that meet a condition, and a sum; each row stands for as many as ``weight`` says, or for itself."""
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    return lambda ok: F.coalesce(F.sum(F.when(ok, w)), F.lit(0).cast("long")), lambda x: F.sum(x * w)
+
+
+def headline(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """A07, A08, A12 from one row per request: off_topic, n_calls, n_valid, exact, selected, hit, total.
+
+    A row may stand for many requests that are alike: ``weight`` names the column of their number, here and below.
+    """
+    on, none = ~F.col("off_topic"), F.col("n_calls") == 0
+    count, add = counted(weight)
     agg = rows.agg(
-        F.count("*").alias("n"), F.count_if(on).alias("requests"), F.count_if(~on).alias("off"), F.sum("n_calls").alias("calls"), F.sum("n_valid").alias("valid"), F.count_if(on & F.col("exact")).alias("exact"),
-        F.count_if(on & F.col("selected")).alias("selected"), F.count_if(~on & (F.col("n_calls") == 0)).alias("refused"), F.count_if(on & (F.col("n_calls") == 0)).alias("over"), F.sum(F.when(on, F.col("hit"))).alias("hit"), F.sum(F.when(on, F.col("total"))).alias("total"),
+        count(F.lit(True)).alias("n"), count(on).alias("requests"), count(~on).alias("off"), add(F.col("n_calls")).alias("calls"), add(F.col("n_valid")).alias("valid"), count(on & F.col("exact")).alias("exact"),
+        count(on & F.col("selected")).alias("selected"), count(~on & none).alias("refused"), count(on & none).alias("over"), add(F.when(on, F.col("hit"))).alias("hit"), add(F.when(on, F.col("total"))).alias("total"),
     )
     c = F.col
     return agg.select(
@@ -28,15 +38,17 @@ def headline(rows: DataFrame) -> DataFrame:
     )
 
 
-def by_family(rows: DataFrame) -> DataFrame:
+def by_family(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """A10."""
-    return rows.filter(~F.col("off_topic")).groupBy("family").agg(share(F.count_if("exact"), F.count("*")).alias("exact_call"))
+    count, _ = counted(weight)
+    return rows.filter(~F.col("off_topic")).groupBy("family").agg(share(count(F.col("exact")), count(F.lit(True))).alias("exact_call"))
 
 
-def by_slice(rows: DataFrame) -> DataFrame:
+def by_slice(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """Each request counts in two slices."""
     slices = F.array(F.when(F.col("held_out"), "held_out").otherwise("seen"), F.when(F.col("n_gold") > 1, "multi_call").otherwise("single_call"))
-    return rows.filter(~F.col("off_topic")).withColumn("slice", F.explode(slices)).groupBy("slice").agg(share(F.count_if("exact"), F.count("*")).alias("exact_call"))
+    count, _ = counted(weight)
+    return rows.filter(~F.col("off_topic")).withColumn("slice", F.explode(slices)).groupBy("slice").agg(share(count(F.col("exact")), count(F.lit(True))).alias("exact_call"))
 
 
 def bin_of(conf: Column, bins: int = BINS) -> Column:

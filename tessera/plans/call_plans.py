@@ -13,7 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import calls as K
 from tessera.operators import corpus as C
 from tessera.operators import scoring as S
-from tessera.session import table
+from tessera.session import dealt, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,9 +31,8 @@ def query(sql: str | None = None):
 
 def calls(spark, d):
     """event_id, tool, k, two, q, gold, pred, tools, off_topic, held_out, confidence."""
-    i, tool = F.col("event_id"), F.col("event_type")
+    i, tool, k = F.col("event_id"), F.col("tool"), F.col("k")
     every = lambda n: i % n == 0
-    k = F.get_json_object("props", "$.k").cast("long")
     call = lambda name, args: F.concat(F.lit('{"name":"'), name, F.lit('","arguments":{'), args, F.lit("}}"))
     arg = lambda x: F.concat(F.lit('"k":'), x)
     second = F.when(every(7), F.concat(F.lit(","), call(tool, arg((k + 100).cast("string"))))).otherwise("")
@@ -45,8 +44,9 @@ def calls(spark, d):
     pred = F.concat(F.lit("["), call(ptool, pargs), F.when(every(14), second).otherwise(""), F.lit("]"))
     tools = F.concat(F.lit('[{"name":"'), tool, F.lit('","description":"log a thing","parameters":{"type":"object","properties":{"k":{"type":"integer","minimum":0,"maximum":90}},"required":["k"]}}]'))
     q = F.when(i % 8 == 1, "").when(i % 4 == 0, F.concat(F.lit("please "), tool, F.lit(" item "), k, F.lit(" now"))).otherwise("only one, thing")
-    return table(spark, d, "events").select(
-        "event_id", tool.alias("tool"), k.alias("k"), q.alias("q"), F.when(every(8), "[]").otherwise(gold).alias("gold"), F.when(every(23), "[]").otherwise(pred).alias("pred"), tools.alias("tools"),
+    events = table(spark, d, "events").select("event_id", F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return dealt(events, "event_id").select(
+        "event_id", "tool", "k", q.alias("q"), F.when(every(8), "[]").otherwise(gold).alias("gold"), F.when(every(23), "[]").otherwise(pred).alias("pred"), tools.alias("tools"),
         every(8).alias("off_topic"), every(5).alias("held_out"), ((i * 37 % 1000) / F.lit(1000.0)).alias("confidence"), F.when(every(9), '{"name":"x"}').otherwise(gold).alias("answers"),
     )
 
@@ -77,11 +77,12 @@ def read(c):
 
 
 def requests(spark, d):
-    """One row per request with what the report adds up."""
-    c = read(calls(spark, d))
-    g = K.grounding(F.col("p"), F.col("g"))
+    """What the report adds up, a row for all ``rows`` requests that are alike."""
+    alike = F.col("tool").alias("family"), "off_topic", "held_out", "pred", "gold", "tools"
+    c = read(calls(spark, d).groupBy(*alike).agg(F.count("*").alias("rows")))
+    c = c.withColumn("pf", K.forms(F.col("p"))).withColumn("gf", K.forms(F.col("g"))).withColumn("hits", K.compared(F.col("pf"), F.col("gf")))
     bad = F.size(F.filter("problems", lambda x: F.size(x) > 0))
-    return c.select("event_id", F.col("tool").alias("family"), "off_topic", "held_out", "confidence", F.size("p").alias("n_calls"), F.size("g").alias("n_gold"), K.exact_call(F.col("p"), F.col("g")).alias("exact"), (K.names(F.col("p")) == K.names(F.col("g"))).alias("selected"), g["hit"].alias("hit"), g["total"].alias("total"), (F.size("p") - bad).alias("n_valid"))
+    return c.select("rows", "family", "off_topic", "held_out", F.size("p").alias("n_calls"), F.size("g").alias("n_gold"), (F.col("pf") == F.col("gf")).alias("exact"), (K.names(F.col("pf")) == K.names(F.col("gf"))).alias("selected"), "hits.hit", "hits.total", (F.size("p") - bad).alias("n_valid"))
 
 
 REASON = """CASE WHEN q = '' THEN 'empty query' WHEN nolist THEN 'answers is not a list'
@@ -147,18 +148,18 @@ RATES = ("exact_call", "tool_selection", "argument_grounding", "refusal", "schem
 
 @query(f"{E} SELECT count(*) AS n, count(*) FILTER (NOT off) AS requests, sum(n_calls)::BIGINT AS calls, round(avg(exact::INT) FILTER (NOT off), 6) AS exact_call, round(avg(selected::INT) FILTER (NOT off), 6) AS tool_selection, round(sum(hit) FILTER (NOT off) / sum(total) FILTER (NOT off), 6) AS argument_grounding, round(avg(nocall::INT) FILTER (off), 6) AS refusal, round(sum(n_valid) / sum(n_calls), 6) AS schema_valid, round(avg(nocall::INT) FILTER (NOT off), 6) AS over_refusal FROM v")
 def score_headline(spark, d):
-    h = S.headline(requests(spark, d))
+    h = S.headline(requests(spark, d), "rows")
     return h.select("n", "requests", "calls", *[F.round(r, 6).alias(r) for r in RATES])
 
 
 @query(f"{E} SELECT tool AS family, round(avg(exact::INT), 6) AS exact_call FROM r WHERE NOT off GROUP BY tool")
 def score_by_family(spark, d):
-    return S.by_family(requests(spark, d)).withColumn("exact_call", F.round("exact_call", 6))
+    return S.by_family(requests(spark, d), "rows").withColumn("exact_call", F.round("exact_call", 6))
 
 
 @query(f"{E} SELECT slice, round(avg(exact::INT), 6) AS exact_call FROM (SELECT exact, unnest([CASE WHEN held THEN 'held_out' ELSE 'seen' END, CASE WHEN n_gold > 1 THEN 'multi_call' ELSE 'single_call' END]) AS slice FROM r WHERE NOT off) GROUP BY slice")
 def score_by_slice(spark, d):
-    return S.by_slice(requests(spark, d)).withColumn("exact_call", F.round("exact_call", 6))
+    return S.by_slice(requests(spark, d), "rows").withColumn("exact_call", F.round("exact_call", 6))
 
 
 def confident(spark, d):

@@ -140,6 +140,26 @@ def test_call_equality(spark):
     assert (x.hit, x.total) == (1, 4)
 
 
+def test_alike_requests_are_counted_once(spark):
+    kinds = "off_topic boolean, held_out boolean, family string, n_calls int, n_gold int, n_valid int, exact boolean, selected boolean, hit int, total int"
+    draw = random.Random(3)
+    some = [(draw.random() < 0.3, draw.random() < 0.5, draw.choice("ab"), draw.randrange(3), draw.randrange(3), 1, draw.random() < 0.5, draw.choice([True, False, None]), draw.randrange(2), 2, draw.randrange(1, 9)) for _ in range(20)]
+    once = spark.createDataFrame(some, kinds + ", rows long")
+    each = spark.createDataFrame([r[:-1] for r in some for _ in range(r[-1])], kinds)
+    for f, key in ((S.headline, "n"), (S.by_family, "family"), (S.by_slice, "slice")):
+        assert f(once, "rows").orderBy(key).collect() == f(each).orderBy(key).collect()
+    assert S.headline(once.limit(0), "rows").collect() == S.headline(each.limit(0)).collect()
+
+
+def test_each_step_of_scoring_is_worked_out_once(spark):
+    df = spark.createDataFrame([('[{"name": "a", "arguments": {"x": 1}}]', '[{"name": "a", "arguments": {"x": "1"}}]')], "p string, g string")
+    calls = df.select(C.call_list(F.try_parse_json("p")).alias("p"), C.call_list(F.try_parse_json("g")).alias("g"))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(df.select(C.call_list(F.try_parse_json("p")))).lower().count("parsejson") == 1
+    hits = calls.select(C.grounding(F.col("p"), F.col("g")).alias("g")).select("g.hit", "g.total")
+    assert plan(hits).count("array_intersect") == 1 and hits.collect() == [(1, 1)]
+
+
 def test_replies_and_turns(spark):
     texts = [
         ('Here:\n```json\n[{"query": "a"}, {"q": 1}, 7]\n```', 1), ("[]", 0), ("no", 0), ('[{"query": 1}', 0), ("] [", 0), (None, 0),
