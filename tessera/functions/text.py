@@ -17,8 +17,11 @@ TEXT_FIELDS = ("text", "content", "code", "body", "document")
 
 
 def let(value: Column, of) -> Column:
-    """``of(value)`` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
+    """``of(value)`` with the value worked out once, however often it is used.
+
+    A sum over no rows: an array of one would be made and copied, and its item's type be found anew for every row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, of)
 
 
 def unused(df: DataFrame, *names: str) -> str | list[str]:

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-def calls(spark, d):
+def calls(spark, d, deal=dealt):
     """event_id, tool, k, two, q, gold, pred, tools, off_topic, held_out, confidence."""
     i, tool, k = F.col("event_id"), F.col("tool"), F.col("k")
     every = lambda n: i % n == 0
@@ -45,7 +45,7 @@ def calls(spark, d):
     tools = F.concat(F.lit('[{"name":"'), tool, F.lit('","description":"log a thing","parameters":{"type":"object","properties":{"k":{"type":"integer","minimum":0,"maximum":90}},"required":["k"]}}]'))
     q = F.when(i % 8 == 1, "").when(i % 4 == 0, F.concat(F.lit("please "), tool, F.lit(" item "), k, F.lit(" now"))).otherwise("only one, thing")
     events = table(spark, d, "events").select("event_id", F.col("event_type").alias("tool"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return dealt(events, "event_id").select(
+    return deal(events, "event_id").select(
         "event_id", "tool", "k", q.alias("q"), F.when(every(8), "[]").otherwise(gold).alias("gold"), F.when(every(23), "[]").otherwise(pred).alias("pred"), tools.alias("tools"),
         every(8).alias("off_topic"), every(5).alias("held_out"), ((i * 37 % 1000) / F.lit(1000.0)).alias("confidence"), F.when(every(9), '{"name":"x"}').otherwise(gold).alias("answers"),
     )
@@ -72,14 +72,15 @@ def parsed(c: str):
 
 def read(c):
     """Calls, gold calls and what is wrong with the calls, each parsed once."""
-    c = c.withColumn("p", parsed("pred")).withColumn("g", parsed("gold")).withColumn("declared", K.declared(F.try_parse_json("tools")))
-    return c.withColumn("problems", K.problems(F.col("p"), F.col("declared")))
+    c = c.withColumn("p", parsed("pred")).withColumn("g", parsed("gold")).withColumn("specs", K.specs(F.try_parse_json("tools")))
+    return c.withColumn("problems", K.problems(F.col("p"), F.col("specs")))
 
 
 def requests(spark, d):
-    """What the report adds up, a row for all ``rows`` requests that are alike."""
+    """What the report adds up, a row for all ``rows`` requests that are alike; those are counted where they lie, and then dealt."""
     alike = F.col("tool").alias("family"), "off_topic", "held_out", "pred", "gold", "tools"
-    c = read(calls(spark, d).groupBy(*alike).agg(F.count("*").alias("rows")))
+    each = calls(spark, d, lambda events, key: events).groupBy(*alike).agg(F.count("*").alias("rows"))
+    c = read(dealt(each, "pred", "gold"))
     c = c.withColumn("pf", K.forms(F.col("p"))).withColumn("gf", K.forms(F.col("g"))).withColumn("hits", K.compared(F.col("pf"), F.col("gf")))
     bad = F.size(F.filter("problems", lambda x: F.size(x) > 0))
     return c.select("rows", "family", "off_topic", "held_out", F.size("p").alias("n_calls"), F.size("g").alias("n_gold"), (F.col("pf") == F.col("gf")).alias("exact"), (K.names(F.col("pf")) == K.names(F.col("gf"))).alias("selected"), "hits.hit", "hits.total", (F.size("p") - bad).alias("n_valid"))

@@ -36,9 +36,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
+def dealt(df: DataFrame, *key: str) -> DataFrame:
     """Rows dealt to all cores by their key, however few files and row groups hold them: where each costs far more to work on than to move."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *key)
 
 
 def scratch(spark: SparkSession) -> str:

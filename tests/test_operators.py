@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 import re
 from fractions import Fraction
@@ -160,6 +161,33 @@ def test_each_step_of_scoring_is_worked_out_once(spark):
     assert plan(hits).count("array_intersect") == 1 and hits.collect() == [(1, 1)]
 
 
+def test_calls_and_tools_are_read_in_one_step(spark):
+    tools = '[{"name": "f", "parameters": {"properties": {"a": {"type": "integer", "maximum": "9"}, "b": {"enum": [1, "x"]}, "c": 5, "d": {"type": ["string"]}}, "required": ["a", 7]}}, 3, null]'
+    calls = '[{"name": "f", "arguments": {"a": 10, "b": "1", "c": {}, "d": 1, "7": null}}, 5, null, {"arguments": []}, {"name": "f", "arguments": {"a": "9", "b": "x"}}]'
+    df = spark.createDataFrame([(calls, tools), ('{"function_calls": [{"name": "f"}]}', "[]"), ('{"name": "f", "arguments": {"z": 1}}', '[{"name": "f"}]'), ("5", "{")], "c string, t string")
+    found = df.select(C.problems(C.call_list(F.try_parse_json("c")), C.specs(F.try_parse_json("t"))).alias("p"))
+    assert [[[tuple(x) for x in call] for call in r.p] for r in found.collect()] == [
+        [[("wrong_argument_key", "7"), ("number_outside_range", "a"), ("value_outside_choices", "b")], [], [("missing_required", "7"), ("wrong_type", "a")]],
+        [[("wrong_tool_name", "f")]], [[("wrong_argument_key", "z")]], [],
+    ]
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString().lower()
+    steps = lambda d: plan(d).count("variant_get(")
+    assert steps(df.select(C.specs(F.try_parse_json("t")).alias("x"))) == 1
+    assert steps(df.select(C.call_list(F.try_parse_json("c")).alias("x"))) == 4  # a list, one of function_calls, or one call that has a name
+
+
+def test_requests_are_dealt_when_counted(spark):
+    from tessera.plans.call_plans import requests
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    r = requests(spark, d)
+    assert r.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and plan.index("RepartitionByExpression") < plan.index("Aggregate")
+
+
 def test_replies_and_turns(spark):
     texts = [
         ('Here:\n```json\n[{"query": "a"}, {"q": 1}, 7]\n```', 1), ("[]", 0), ("no", 0), ('[{"query": 1}', 0), ("] [", 0), (None, 0),
